@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, ngram_join
+from . import bpe, decontaminate, fingerprint, ngram_join, token_arrow, warc
 from ._store import Scratch
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op1")
+    files = warc.deduplicated_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch)
+    records = scratch.keep(warc.read_archives(spark, files.repartition(files.count() or 1, "file")), "records")
+    return warc.with_payload_bytes(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return ngram_join.ngram_components(docs, Scratch(spark, "op2"))
 
 
+def op4_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_arrow.read_tokens(spark, token_arrow.write_tokens(docs, Scratch(spark, "op4")))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate.digest(decontaminate.find_contamination(docs, items, Scratch(spark, "op9")))
@@ -22,5 +38,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op9_decontamination, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_ngram_jaccard_join, op4_token_arrow, op8_bpe, op9_decontamination, op10_fingerprint)}
 ORACLE: dict[str, str] = {}

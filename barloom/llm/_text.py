@@ -72,6 +72,7 @@ class Words:
     bounds: np.ndarray  # document k has words bounds[k]:bounds[k + 1]
     data: np.ndarray  # lower-cased bytes of the run
     offsets: np.ndarray  # byte offsets of the documents in data
+    raw: np.ndarray  # the bytes as they were
 
     @property
     def n_docs(self) -> int:
@@ -108,10 +109,10 @@ def word_runs(column: pa.Array, word: np.ndarray = NON_SPACE, run_bytes: int = R
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NON_SPACE, first: int = 0) -> Words:
-    data, n = LOWER[data], len(data)
+    raw, data, n = data, LOWER[data], len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(first, np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64), data, offsets)
+        return Words(first, np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64), data, offsets, raw)
     inside = word[data]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True  # a document's first byte begins a word whatever came before
@@ -123,7 +124,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NON_SPACE
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:n], out=total[1:])
     h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return Words(first, h, start, end, np.searchsorted(start, offsets), data, offsets)
+    return Words(first, h, start, end, np.searchsorted(start, offsets), data, offsets, raw)
 
 
 def _length_seed(n: int) -> np.uint64:

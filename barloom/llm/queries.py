@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, ngram_join, token_arrow, warc
+from . import bpe, decontaminate, fingerprint, hilbert, ngram_join, quality, token_arrow, warc
 from ._store import Scratch
 
 
@@ -20,11 +21,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(docs, Scratch(spark, "op2"))
 
 
+def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels, Scratch(spark, "op3"))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_arrow.read_tokens(spark, token_arrow.write_tokens(docs, Scratch(spark, "op4")))
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.document_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op5"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -38,5 +50,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_ngram_jaccard_join, op4_token_arrow, op8_bpe, op9_decontamination, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_ngram_jaccard_join, op3_quality_machine, op4_token_arrow, op5_hilbert_shards, op8_bpe, op9_decontamination, op10_fingerprint)}
 ORACLE: dict[str, str] = {}

@@ -253,6 +253,24 @@ def _scan(batch: pa.RecordBatch, blocks: list[str], load, shingle: int) -> Itera
         )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated: without a hit, or with fewer than one word in twenty hit."""
+    blocks = _write_blocks(items, scratch, item_id, item_text, block_bytes)
+    _rarity(docs.select(F.col(text).alias("text")), blocks, window, shingle).write.parquet(rarity := scratch.path("rarity"))
+    place = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = _loader(blocks, window, shingle, rarity)
+        for b in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(place)], ["doc_id", "text"])
+            found = [(x.column(1).to_numpy(), x.column(2).to_numpy()) for x in _scan(numbered, blocks, load, shingle)]
+            if found:
+                n, hit = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield b.filter(pa.array(~((hit > 0) & (20 * hit >= n))))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of find_contamination's result."""
     return found.select(

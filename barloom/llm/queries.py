@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, hilbert, ngram_join, quality, token_arrow, warc
+from . import bpe, decontaminate, fingerprint, hilbert, ngram_join, quality, surrogates, token_arrow, warc
 from ._store import Scratch
 
 
@@ -37,6 +37,11 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return surrogates.replace_entities(docs, Scratch(spark, "op6")).select("doc_id", "text", "n_entities")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -50,5 +55,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_ngram_jaccard_join, op3_quality_machine, op4_token_arrow, op5_hilbert_shards, op8_bpe, op9_decontamination, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_ngram_jaccard_join, op3_quality_machine, op4_token_arrow, op5_hilbert_shards, op6_surrogates, op8_bpe, op9_decontamination, op10_fingerprint)}
 ORACLE: dict[str, str] = {}

@@ -131,3 +131,27 @@ def direction_label(ahead: int = 4, by=BY) -> Column:
     """1 if the close rises over the bars ahead, else -1; 0 where there are too few."""
     later = F.lead("close", ahead).over(S.order(by))
     return F.when(later.isNull(), 0).when(later > F.col("close"), 1).otherwise(-1)
+
+
+def neighbour_label(df: DataFrame, features: list[str], label: str = "label", back: int = 2000, k: int = 8, every: int = 4, by=BY) -> DataFrame:
+    """prediction: the mean label of the k nearest among every fourth of the bars before; null for fewer."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", ignore_index=True)
+        x, at, y = pdf[features].to_numpy(float), pdf["idx"].to_numpy(), pdf[label].to_numpy(float)
+        whole, out = ~np.isnan(x).any(axis=1), np.full(len(x), np.nan)
+        for i in range(1, len(x)):
+            low = max(0, i - back)
+            rows = np.flatnonzero(whole[low:i] & (at[low:i] % every == 0)) + low
+            if whole[i] and len(rows) >= k:
+                far = np.log1p(np.abs(x[rows] - x[i])).sum(axis=1)
+                out[i] = y[rows[np.argsort(far, kind="stable")[:k]]].mean()
+        return pdf.assign(prediction=out)
+
+    out = _series(df, run, "prediction double", by)
+    return out.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction")))
+
+
+def adaptive_threshold(df: DataFrame, distance: str = "distance", by=BY) -> DataFrame:
+    """The mean distance of each series."""
+    return df.groupBy(*by).agg(F.avg(distance).alias("threshold"))

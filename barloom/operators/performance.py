@@ -147,3 +147,25 @@ def unbiased_skew(g1: Column, n: Column) -> Column:
 
 def unbiased_kurtosis(g2: Column, n: Column) -> Column:
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+
+
+def report(df: DataFrame, made: DataFrame | None = None, value: str = "equity", by=BY) -> DataFrame:
+    """One nested row a series: returns, drawdowns, risk and, where trades are given, trades and streaks.
+
+    ``by`` may name a strategy: curves of several strategies are compared by giving them as series.
+    """
+    from . import risk
+
+    parts = {"returns": return_stats(df, value, by), "drawdowns": drawdown_summary(df, value, by), "risk": risk.risk_metrics(returns(df, value, by), by=by)}
+    if made is not None:
+        parts |= {"trades": trade_stats(made, by), "streaks": streaks(made, by)}
+    out = df.select(*by).distinct()
+    for name, frame in parts.items():
+        out = out.join(frame.select(*by, F.struct(*[c for c in frame.columns if c not in by]).alias(name)), list(by), "left")
+    return out
+
+
+def current_drawdown(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
+    """by, drawdown in percent (positive) and whole days since the latest peak."""
+    rows = underwater(df, value, by).withColumn("_at", F.when(F.col("drawdown") >= 0, F.col("ts")))
+    return rows.groupBy(*by).agg((-F.max_by("drawdown", "ts")).alias("drawdown_pct"), S.floor_days(F.max("_at"), F.max("ts")).alias("days"))

@@ -146,3 +146,11 @@ def rolling_risk(r: DataFrame, b: DataFrame, window: int = 60, by=BY) -> DataFra
         beta.alias("beta"), ((mean - beta * F.avg("b").over(w)) * YEAR).alias("alpha"), F.pow(S.corr("r", "b", w), 2).alias("r_squared"), F.percentile("r", F.lit(0.05)).over(w).alias("var_95"), F.avg((F.col("r") > 0).cast("double")).over(w).alias("win_rate"),
     )
     return out.filter("_full").drop("_full")
+
+
+def value_at_risk_bootstrap(r: DataFrame, draws: int = 10_000, level: float = 0.95, seed: int = 7, by=BY) -> DataFrame:
+    """VaR in percent of returns drawn with replacement, by a generator that gives the same draws again."""
+    from . import simulate
+
+    x = simulate.bootstrap(r, "r", "ts", draws, 1, seed, by)
+    return x.groupBy(*by).agg((F.abs(F.percentile("x", F.lit(1 - level))) * 100).alias("var_bootstrap"))

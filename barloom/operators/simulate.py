@@ -78,3 +78,11 @@ def fan(paths: DataFrame, levels=(0.05, 0.5, 0.95), by=BY) -> DataFrame:
     """Percentiles of all paths at every step."""
     q = F.percentile("value", F.array(*[F.lit(x) for x in levels]))
     return paths.groupBy(*by, "step").agg(*[q[i].alias(f"p{round(100 * x)}") for i, x in enumerate(levels)])
+
+
+def sampled(paths: DataFrame, n: int = 100, seed: int = 7, by=BY) -> DataFrame:
+    """The paths of n simulations of each series, for a picture: the first in the order of a hash."""
+    sims = paths.select(*by, "sim").distinct()
+    order = Window.partitionBy(*by).orderBy(F.xxhash64("sim", F.lit(seed)), "sim")
+    chosen = sims.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+    return paths.join(chosen, [*by, "sim"], "left_semi")

@@ -47,24 +47,54 @@ def store(candles: DataFrame, path: str, checkpoint: str, every: str = "60 secon
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _stochastic(p: pd.DataFrame, n: int) -> float:
+    high, low = p["high"].tail(n).max(), p["low"].tail(n).min()
+    return 0.0 if high == low else 100 * (p["close"].iloc[-1] - low) / (high - low)
+
+
+def _cci(p: pd.DataFrame, n: int) -> float:
+    mean = ((p["high"] + p["low"] + p["close"]) / 3).tail(n)
+    dev = (mean - mean.mean()).abs().mean()
+    return 0.0 if dev == 0 else (mean.iloc[-1] - mean.mean()) / (0.015 * dev)
+
+
+def _hlc(p: pd.DataFrame) -> tuple:
+    return tuple(p[c].to_numpy(float) for c in ("high", "low", "close"))
+
+
+#: the last value of an indicator on the bars held, and the bars that it needs for a period n
+KERNELS = {
+    "rsi": (lambda p, n: R.rsi(p["close"].to_numpy(float), n)[-1], lambda n: n + 1),
+    "ema": (lambda p, n: R.ema(p["close"].to_numpy(float), n)[-1], lambda n: n),
+    "macd": (lambda p, n: R.macd(p["close"].to_numpy(float), n // 2, n, 9)[0][-1], lambda n: n),
+    "atr": (lambda p, n: R.atr(*_hlc(p), n)[-1], lambda n: n + 1),
+    "adx": (lambda p, n: R.directional(*_hlc(p), n)[2][-1], lambda n: 2 * n),
+    "percent_b": (lambda p, n: (lambda x: 0.5 if x.std(ddof=0) == 0 else (x.iloc[-1] - x.mean() + 2 * x.std(ddof=0)) / (4 * x.std(ddof=0)))(p["close"].tail(n)), lambda n: n),
+    "stochastic": (_stochastic, lambda n: n),
+    "williams_r": (lambda p, n: _stochastic(p, n) - 100, lambda n: n),
+    "cci": (_cci, lambda n: n),
+}
+
+
 class _Indicator(StatefulProcessor):
-    """Keeps the last ``size`` closes of a series and computes the kernel on them for each new bar."""
+    """Keeps the last ``size`` bars of a series and computes the kernel on them for each new bar."""
 
     def __init__(self, kernel: str, n: int):
         self.kernel, self.n, self.size = kernel, n, 3 * n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("closes", "ts timestamp, close double")
+        self.state = handle.getListState("bars", "ts timestamp, high double, low double, close double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = ["ts", "high", "low", "close"]
         held = list(self.state.get()) if self.state.exists() else []
-        out = []
         new = pd.concat(list(rows)).sort_values("ts")
-        for ts, close in zip(new["ts"], new["close"], strict=True):
-            held = [*held, (ts, close)][-self.size :]
-            x = pd.Series([c for _, c in held], dtype=float).to_numpy()
-            y = {"rsi": R.rsi, "ema": R.ema}[self.kernel](x, self.n)[-1] if len(x) else float("nan")
-            out.append((*key, ts, close, y))
+        value, needs = KERNELS[self.kernel]
+        out = []
+        for row in new[names].itertuples(index=False):
+            held = [*held, tuple(row)][-self.size :]
+            bars = pd.DataFrame(held, columns=names)
+            out.append((*key, row.ts, row.close, float(value(bars, self.n)) if len(held) >= needs(self.n) else None))
         self.state.put([tuple(x) for x in held])
         yield pd.DataFrame(out, columns=["market", "ts", "close", "value"])
 
@@ -73,5 +103,6 @@ class _Indicator(StatefulProcessor):
 
 
 def incremental(stream: DataFrame, kernel: str, n: int) -> DataFrame:
-    """rsi or ema of the last 3 * n bars for every bar of a stream (market, ts, close). Needs the RocksDB state store."""
+    """An indicator of KERNELS on the last 3 * n bars for every bar of a stream (market, ts, high, low, close); null
+    until it has enough. Needs the RocksDB state store."""
     return stream.groupBy("market").transformWithStateInPandas(_Indicator(kernel, n), "market string, ts timestamp, close double, value double", "Append", "None")

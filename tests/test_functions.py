@@ -93,3 +93,23 @@ def test_empty_tables(spark):
     assert I.bollinger(empty).count() == 0
     assert K.metrics(empty.withColumn("signal", F.lit(0))).count() == 0
     assert R.by_series(empty, {"e": lambda p: R.ema(p["close"].to_numpy(float), 3)}).count() == 0
+
+
+def test_report_and_draws(spark):
+    from barloom.operators import learn as L
+    from barloom.operators import performance as P
+    from barloom.operators import simulate as M
+
+    rows = [(s, DAY + dt.timedelta(days=i), 100.0 * (1 + 0.001 * i * k) + (i * 7919) % 5) for s, k in (("a", 1), ("b", 2)) for i in range(90)]
+    curve = spark.createDataFrame(rows, "strategy string, ts timestamp_ntz, equity double")
+    out = {r.strategy: r for r in P.report(curve, by=("strategy",)).collect()}
+    assert out["b"].returns.total_return_pct > out["a"].returns.total_return_pct and out["a"].risk.n == 89
+    assert P.current_drawdown(curve, by=("strategy",)).count() == 2
+    r = P.returns(curve, "equity", ("strategy",))
+    assert 0 < RK.value_at_risk_bootstrap(r, 500, by=("strategy",)).first().var_bootstrap < 10
+    paths = M.compounded_paths(M.bootstrap(r, "r", "ts", 20, 10, by=("strategy",)), by=("strategy",))
+    assert M.sampled(paths, 5, by=("strategy",)).select("strategy", "sim").distinct().count() == 10
+    bars = S.numbered(curve.withColumnRenamed("strategy", "market").withColumn("label", F.lit(1)))
+    got = L.neighbour_label(bars.withColumn("f", F.col("equity")), ["f"]).filter("prediction is not null")
+    assert got.select("prediction").distinct().collect()[0][0] == 1.0
+    assert L.adaptive_threshold(bars.withColumn("distance", F.lit(2.0))).first().threshold == 2.0

@@ -140,3 +140,32 @@ def test_listing(spark):
     assert Y.supported_symbols(mapped).count() == 2
     assert Y.valid_markets(spark.createDataFrame([("BTCUSDT",), ("ZZZ",)], "symbol string"), mapped).count() == 1
     assert spark.range(1).select(Y.interval("binance", F.lit("60"))).first()[0] == "1h"
+
+
+def test_incremental_indicators(spark, tmp_path):
+    from barloom.functions import recurrences as R
+
+    rows = [("m", DAY + dt.timedelta(minutes=i), 102.0 + (i * 7919) % 13, 98.0 - (i * 31) % 7, 100.0 + (i * 104729) % 9 - 4) for i in range(30)]
+    df = spark.createDataFrame(rows, "market string, ts timestamp, high double, low double, close double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/t")
+    for kernel in L.KERNELS:
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/t")
+        q = L.incremental(stream, kernel, 5).writeStream.format("memory").queryName(f"i_{kernel}").outputMode("append").option("checkpointLocation", f"{tmp_path}/{kernel}").start()
+        q.processAllAvailable()
+        q.stop()
+        got = {r.ts: r.value for r in spark.table(f"i_{kernel}").collect()}
+        assert len(got) == 30 and got[rows[0][1]] is None and got[rows[-1][1]] is not None
+    import numpy as np
+
+    close = np.array([r[4] for r in rows])
+    assert {r.ts: r.value for r in spark.table("i_rsi").collect()}[rows[9][1]] == pytest.approx(R.rsi(close[:10], 5)[-1])
+
+
+def test_settings(tmp_path):
+    from barloom import settings
+
+    (tmp_path / "s.json").write_text('{"indicators": {"rsi": {"period": 7}}}')
+    s = settings.load(str(tmp_path / "s.json"), {"BARLOOM_INDICATORS__RSI__OVERSOLD": "25", "OTHER": "1"})
+    assert (s.get("indicators", "rsi", "period"), s.get("indicators", "rsi", "oversold"), s.get("indicators", "rsi", "overbought"), s.get("x", "y", default=3)) == (7, 25, 70, 3)
+    (tmp_path / "s.ini").write_text("[storage]\nraw = here\n")
+    assert settings.load(str(tmp_path / "s.ini"), {}).get("storage", "raw") == "here"

@@ -14,7 +14,9 @@ costs a star and not all its pairs, and no link between components is missed.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from .components import components
 SHINGLE = 5
 #: links need 100 * intersection >= PERCENT * union
 PERCENT = 80
-#: the document-frequency sketch has 2 ** SKETCH_BITS counters of a byte
-SKETCH_BITS = 22
+#: the document-frequency sketch has 2 ** 16 to 2 ** 26 counters of a byte, about so many for each document
+COUNTERS = 64
 _CHUNK_BITS = 16
 #: hubs of an index entry in the rounds after the first; then four times as many each
 HUBS = 4
@@ -55,45 +57,59 @@ def _set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * _PAIR[0]).view(np.int64)
 
 
-def _count_rows(hashes: list[np.ndarray], bits: int) -> list[tuple[int, bytes]]:
-    """Counters of hashes, a chunk a row; a counter stops at 255."""
-    counts = np.bincount(np.concatenate(hashes) & np.uint64((1 << bits) - 1), minlength=1 << bits) if hashes else np.zeros(1 << bits, int)
-    counts = np.minimum(counts, 255).astype(np.uint8)
-    step = 1 << min(bits, _CHUNK_BITS)
-    return [(i // step, counts[i : i + step].tobytes()) for i in range(0, 1 << bits, step)]
+def _count_rows(counts: np.ndarray) -> pa.RecordBatch:
+    """A task's counters, a chunk a row; a counter stops at 255."""
+    small, step = np.minimum(counts, 255).astype(np.uint8), min(len(counts), 1 << _CHUNK_BITS)
+    chunks = [zlib.compress(small[i : i + step].tobytes(), 1) for i in range(0, len(counts), step)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "counts"])
 
 
-def _summed(rows: DataFrame, bits: int) -> np.ndarray:
-    """All tasks' counters added up: by chunk and part of the tasks, then by chunk; of fixed size at the driver."""
+def _summed(rows: DataFrame, bits: int) -> dict[int, bytes]:
+    """All tasks' counters added up, by chunk and part of the tasks, then by chunk: 2 ** bits numbers in all, packed."""
+    step = min(1 << bits, 1 << _CHUNK_BITS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(x, np.uint8 if len(x) == 1 << min(bits, _CHUNK_BITS) else "<u4").astype(np.uint32)
+                x = _unpacked(x, step)
                 sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    parts = max(1, (1 << bits) >> _CHUNK_BITS)
-    once = rows.repartition(parts, F.col("chunk"), F.pmod(F.xxhash64("counts"), F.lit(4))).mapInArrow(add, "chunk int, counts binary")
-    found = once.repartition(parts, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(1 << bits, np.uint32)
-    for r in found:
-        x = np.frombuffer(r["counts"], "<u4")
-        out[r["chunk"] * len(x) : (r["chunk"] + 1) * len(x)] = x
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
+    once = rows.repartition(16, F.col("chunk"), F.pmod(F.xxhash64("counts"), F.lit(4))).mapInArrow(add, "chunk int, counts binary")
+    return {r["chunk"]: bytes(r["counts"]) for r in once.repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary").collect()}
 
-def rarity_levels(counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """A byte for each counter that grows with the count, and the least level that is frequent.
 
-    Frequent: above what the mean load explains.
-    """
-    mean = counts.mean()
+def _unpacked(x: bytes, step: int) -> np.ndarray:
+    x = zlib.decompress(x)
+    return np.frombuffer(x, np.uint8 if len(x) == step else "<u4").astype(np.uint32)
+
+
+@dataclass
+class Rarity:
+    """A byte for each counter that grows with the count."""
+
+    levels: np.ndarray
+    shared: int  # shingles of lower levels are in one document
+    frequent: int  # shingles from this level on are in more documents than the mean load explains
+
+
+def rarity(chunks: dict[int, bytes], bits: int) -> Rarity:
+    step, levels = min(1 << bits, 1 << _CHUNK_BITS), np.zeros(1 << bits, np.uint8)
+    mean = sum(int(_unpacked(x, step).sum()) for x in chunks.values()) / (1 << bits)
     frequent = mean + 4 * np.sqrt(mean) + 12
     scale = max(1.0, frequent / 100)
-    levels = np.where(counts < frequent, np.minimum(counts / scale, 100), 101 + np.minimum(8 * np.log2(np.maximum(counts / frequent, 1)), 150))
-    return levels.astype(np.uint8), 101
+    for k, x in chunks.items():
+        counts = _unpacked(x, step)
+        levels[k * step : (k + 1) * step] = np.where(counts < frequent, np.minimum(counts / scale, 100), 101 + np.minimum(8 * np.log2(np.maximum(counts / frequent, 1)), 150))
+    return Rarity(levels, 2 if scale == 1 else 0, 101)
+
+
+def _present(chunks: dict[int, bytes], bits: int) -> np.ndarray:
+    step, out = min(1 << bits, 1 << _CHUNK_BITS), np.zeros(1 << bits, bool)
+    for k, x in chunks.items():
+        out[k * step : (k + 1) * step] = _unpacked(x, step) > 0
+    return out
 
 
 def _ranked(hashes: np.ndarray, at: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,14 +121,17 @@ def _ranked(hashes: np.ndarray, at: np.ndarray, levels: np.ndarray) -> tuple[np.
     return doc, hashes[order], level[order]
 
 
-def signatures(hashes: np.ndarray, at: np.ndarray, levels: np.ndarray, frequent: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(document, index entry) for the prefixes of the sets hashes[at[k]:at[k + 1]]."""
+def signatures(hashes: np.ndarray, at: np.ndarray, order_of: Rarity, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(document, index entry) for the prefixes of the sets hashes[at[k]:at[k + 1]].
+
+    A shingle that no other document has takes its place in the prefix and needs no entry.
+    """
     n = np.diff(at)
-    doc, h, level = _ranked(hashes, at, levels)
+    doc, h, level = _ranked(hashes, at, order_of.levels)
     need = lacking(n, percent) + 1
-    rare = level < frequent
+    rare = level < order_of.frequent
     place = np.arange(len(h)) - at[:-1][doc]
-    single = rare & (place < need[doc])
+    single = rare & (place < need[doc]) & (level >= order_of.shared)
     docs, entries = [doc[single]], [h[single]]
     n_rare = np.bincount(doc[rare], minlength=len(n))
     more = need - n_rare
@@ -153,6 +172,11 @@ def _keys(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, total, waiting, held = ["doc_id", "n", "node", "chunk", "counts"], np.zeros(1 << bits, np.uint32), [], 0
+
+        def count() -> None:
+            x, times = np.unique(np.concatenate(waiting) & np.uint64((1 << bits) - 1), return_counts=True)
+            total[x] += times.astype(np.uint32)
+
         for b in batches:
             for words in word_runs(b.column(1), NON_SPACE):
                 hashes, at = shingle_sets(words, shingle)
@@ -160,16 +184,15 @@ def _keys(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, words.n_docs).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_set_keys(hashes, at)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
                 waiting.append(hashes)
                 held += len(hashes)
-                if held > 4_000_000:
-                    total += np.bincount(np.concatenate(waiting) & np.uint64((1 << bits) - 1), minlength=1 << bits).astype(np.uint32)
+                if held > 2_000_000:
+                    count()
                     waiting, held = [], 0
         if waiting:
-            total += np.bincount(np.concatenate(waiting) & np.uint64((1 << bits) - 1), minlength=1 << bits).astype(np.uint32)
-        counts, step = np.minimum(total, 255).astype(np.uint8), 1 << min(bits, _CHUNK_BITS)
+            count()
         if total.any():
-            chunks = [counts[i : i + step].tobytes() for i in range(0, 1 << bits, step)]
-            k = len(chunks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(chunks, pa.binary())], names)
+            chunks = _count_rows(total)
+            k = chunks.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *chunks.columns], names)
 
     return docs.mapInArrow(make, "doc_id long, n long, node long, chunk int, counts binary")
 
@@ -190,7 +213,7 @@ def _sets(words: Words, shingle: int, least: int, seen: set[int]) -> tuple[np.nd
     return hashes, at, nodes[new]
 
 
-def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; a text of fewer words than a shingle is
@@ -199,10 +222,11 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     scan = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bits = bits or min(26, max(16, (COUNTERS * docs.count()).bit_length()))
     keys = scratch.keep(_keys(scan, shingle, bits), "keys")
     rows = keys.filter("chunk is null").select("doc_id", "n", "node")
-    levels, frequent = rarity_levels(_summed(keys.filter("chunk is not null").select("chunk", "counts"), bits))
-    order = spark.sparkContext.broadcast(levels)  # 2 ** bits bytes whatever the input
+    # 2 ** bits bytes whatever the input
+    order = spark.sparkContext.broadcast(rarity(_summed(keys.filter("chunk is not null").select("chunk", "counts"), bits), bits))
     # below this size only equal sets are as alike as the threshold
     least = next(n for n in range(1, 10_000) if lacking(np.int64(n + 1), percent) > 0)
 
@@ -211,7 +235,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
         for b in batches:
             for words in word_runs(b.column(0), NON_SPACE):
                 hashes, at, nodes = _sets(words, shingle, least, seen)
-                d, entry = signatures(hashes, at, order.value, frequent, percent)
+                d, entry = signatures(hashes, at, order.value, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(nodes[d]), pa.array(np.diff(at)[d].astype(np.int32))], ["entry", "node", "n"])
 
     linked = scan.filter("doc_id is not null").select("text")
@@ -221,7 +245,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     indexed = indexed.withColumns({"hub": F.first("node").over(w), "before": F.lag("node").over(w), "place": F.dense_rank().over(w), "last": F.max("node").over(whole), "least": F.min("node").over(whole)})
     indexed = indexed.filter("last <> least and (before is null or before <> node)").select("entry", "node", "n", "place", "hub")
     groups = scratch.keep(indexed, "index")
-    sets = _indexed_sets(linked, groups, scratch, shingle, least)
+    sets = _indexed_sets(linked, groups, scratch, shingle, least, bits)
 
     # each node with the hub that it shares most entries with
     stars = groups.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
@@ -247,14 +271,16 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _indexed_sets(texts: DataFrame, groups: DataFrame, scratch: Scratch, shingle: int, least: int, bits: int = 22) -> DataFrame:
+def _indexed_sets(texts: DataFrame, groups: DataFrame, scratch: Scratch, shingle: int, least: int, bits: int) -> DataFrame:
     """(node, hashes) of the nodes in groups, and of a few others: a bit map of fixed size tells them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _count_rows([b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches], bits)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["chunk", "counts"])
+        total = np.zeros(1 << bits, np.uint8)
+        for b in batches:
+            total[b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)] = 1
+        yield _count_rows(total)
 
-    there = texts.sparkSession.sparkContext.broadcast(_summed(groups.select("node").distinct().mapInArrow(count, "chunk int, counts binary"), bits) > 0)
+    there = texts.sparkSession.sparkContext.broadcast(_present(_summed(groups.select("node").distinct().mapInArrow(count, "chunk int, counts binary"), bits), bits))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -4,8 +4,9 @@ Documents are sets of word shingles. The shingles of all documents have one orde
 of document frequencies, then by hash. Two sets as alike as the threshold share a shingle among the first few of
 each; "few" is what one set may lack of the other, and one more. A rare shingle is indexed by itself. Frequent
 shingles are dealt into classes and indexed by pairs within a class; as a pair is lost with either of its two,
-the prefix is extended until the pairs outnumber what may be lacking. What shares an index entry is verified
-on the whole sets.
+the prefix is extended until the pairs outnumber what may be lacking. An entry carries how many shingles lie before
+it that the two can't share, as they would have met at one of those; if that leaves too few, the two are no pair.
+What remains is verified on the whole sets.
 
 Equal sets are one node. Of an index entry's nodes only those in different components need comparing: first each
 node with one hub, then, entry by entry and a few hubs at a time, all that still lie apart. So a group of copies
@@ -121,10 +122,12 @@ def _ranked(hashes: np.ndarray, at: np.ndarray, levels: np.ndarray) -> tuple[np.
     return doc, hashes[order], level[order]
 
 
-def signatures(hashes: np.ndarray, at: np.ndarray, order_of: Rarity, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(document, index entry) for the prefixes of the sets hashes[at[k]:at[k + 1]].
+def signatures(hashes: np.ndarray, at: np.ndarray, order_of: Rarity, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, index entry, lead) for the prefixes of the sets hashes[at[k]:at[k + 1]].
 
-    A shingle that no other document has takes its place in the prefix and needs no entry.
+    Two documents whose first common shingle in the order of all is this entry's have none in common among the
+    ``lead`` ones before it; in front of a pair of frequent shingles those are all rare ones, as a common rare one
+    has an entry of its own. A shingle that no other document has takes its place and needs no entry.
     """
     n = np.diff(at)
     doc, h, level = _ranked(hashes, at, order_of.levels)
@@ -132,7 +135,7 @@ def signatures(hashes: np.ndarray, at: np.ndarray, order_of: Rarity, percent: in
     rare = level < order_of.frequent
     place = np.arange(len(h)) - at[:-1][doc]
     single = rare & (place < need[doc]) & (level >= order_of.shared)
-    docs, entries = [doc[single]], [h[single]]
+    docs, entries, leads = [doc[single]], [h[single]], [place[single]]
     n_rare = np.bincount(doc[rare], minlength=len(n))
     more = need - n_rare
     open_ = (more[doc] > 0) & ~rare
@@ -164,7 +167,14 @@ def signatures(hashes: np.ndarray, at: np.ndarray, order_of: Rarity, percent: in
             lo, hi = np.minimum(gt[second], gt[other]), np.maximum(gt[second], gt[other])
             entries.append(mix(lo * _PAIR[0] + hi * _PAIR[1] + (band[keep][second] + beyond).astype(np.uint64)))
             docs.append(gd[second])
-    return np.concatenate(docs), np.concatenate(entries)
+            leads.append(n_rare[gd[second]])
+    return np.concatenate(docs), np.concatenate(entries), np.concatenate(leads)
+
+
+def may_link(n: np.ndarray, lead: np.ndarray, m: np.ndarray, ahead: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Can sets of n and m shingles link that share none of their first ``lead`` and ``ahead`` ones?"""
+    most = np.minimum(n - lead, m - ahead)
+    return 100 * most >= percent * (n + m - most)
 
 
 def _keys(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
@@ -235,29 +245,25 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
         for b in batches:
             for words in word_runs(b.column(0), NON_SPACE):
                 hashes, at, nodes = _sets(words, shingle, least, seen)
-                d, entry = signatures(hashes, at, order.value, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(nodes[d]), pa.array(np.diff(at)[d].astype(np.int32))], ["entry", "node", "n"])
+                d, entry, lead = signatures(hashes, at, order.value, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(nodes[d]), pa.array(np.diff(at)[d].astype(np.int32)), pa.array(lead.astype(np.int32))], ["entry", "node", "n", "lead"])
 
     linked = scan.filter("doc_id is not null").select("text")
-    w = Window.partitionBy("entry").orderBy("n", "node")
-    whole = Window.partitionBy("entry")
-    indexed = linked.mapInArrow(index, "entry long, node long, n int")
-    indexed = indexed.withColumns({"hub": F.first("node").over(w), "before": F.lag("node").over(w), "place": F.dense_rank().over(w), "last": F.max("node").over(whole), "least": F.min("node").over(whole)})
-    indexed = indexed.filter("last <> least and (before is null or before <> node)").select("entry", "node", "n", "place", "hub")
-    groups = scratch.keep(indexed, "index")
+    dealt = linked.mapInArrow(index, "entry long, node long, n int, lead int").repartition("entry").sortWithinPartitions("entry", "lead", "n", "node")
+    groups = scratch.keep(dealt.mapInArrow(lambda batches: _useful(batches, percent), GROUPS), "index")
     sets = _indexed_sets(linked, groups, scratch, shingle, least, bits)
 
     # each node with the hub that it shares most entries with
-    stars = groups.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    stars = groups.filter("hub is not null").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     links = scratch.keep(_verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent), "links")
     done, hubs = 0, HUBS
-    apart = groups.select("entry", "node", "n", "place")
+    apart = groups.select("entry", "node", "n", "lead", "place")
     while True:
         labels = scratch.keep(components(links, scratch), "labels")
         named = apart.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         each = Window.partitionBy("entry")
         named = named.withColumns({"lo": F.min("label").over(each), "hi": F.max("label").over(each), "most": F.max("place").over(each)})
-        kept = scratch.keep(named.filter(F.col("lo") != F.col("hi")).filter(F.col("most") > done + 1).select("entry", "node", "n", "place", "label"), "apart")
+        kept = scratch.keep(named.filter(F.col("lo") != F.col("hi")).filter(F.col("most") > done + 1).select("entry", "node", "n", "lead", "place", "label"), "apart")
         if kept.isEmpty():
             break
         pairs = _across(kept, done, done + hubs, percent)
@@ -305,30 +311,101 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
+GROUPS = "entry long, node long, n int, lead int, place int, hub long"
+#: an entry of more nodes is taken row by row
+_AT_ONCE = 2048
+
+
+def _useful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition sorted by entry and lead that may link with another one of their entry.
+
+    ``place`` counts an entry's rows from 1; ``hub`` is the first row before that the node may link with (of a very
+    long entry its first row or none). Of such an entry only its first row is held.
+    """
+    waiting: pa.Table | None = None
+    long_entry, long_first, long_place = None, None, 0
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([waiting, t]).combine_chunks() if waiting is not None else t
+        if not t.num_rows:
+            continue
+        entry, node, n, lead = (t.column(k).to_numpy() for k in range(4))
+        last = int(np.searchsorted(entry, entry[-1], "left"))
+        if len(entry) - last > _AT_ONCE or (long_entry is not None and entry[-1] == long_entry):
+            last = len(entry)  # the entry that may go on is a long one: its rows go now
+        waiting = t.slice(last)
+        entry, node, n, lead = entry[:last], node[:last], n[:last], lead[:last]
+        if not len(entry):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+        size = np.diff(np.append(begin, len(entry)))
+        for kind in np.unique(size):
+            at = begin[size == kind]
+            if long_entry is not None:
+                at = at[entry[at] != long_entry]
+            if kind == 1 or not len(at) or kind > _AT_ONCE:
+                continue
+            step = max(1, (1 << 20) // (kind * kind))
+            for i in range(0, len(at), step):
+                rows = at[i : i + step, None] + np.arange(kind)
+                yield _checked(entry, node, n, lead, rows, percent)
+        for a, k in zip(begin.tolist(), size.tolist(), strict=True):
+            if entry[a] == long_entry or k > _AT_ONCE:
+                if entry[a] != long_entry:
+                    long_entry, long_first, long_place = entry[a], (node[a], n[a], lead[a]), 0
+                r = np.arange(a, a + k)
+                ok = may_link(n[r], lead[r], long_first[1], long_first[2], percent) & (node[r] != long_first[0])
+                hub = pa.array(np.full(k, long_first[0]), mask=~ok)
+                yield pa.RecordBatch.from_arrays([pa.array(entry[r]), pa.array(node[r]), pa.array(n[r]), pa.array(lead[r]), pa.array((long_place + 1 + np.arange(k)).astype(np.int32)), hub], [x.split()[0] for x in GROUPS.split(", ")])
+                long_place += k
+    if waiting is not None and waiting.num_rows:
+        entry, node, n, lead = (waiting.column(k).to_numpy() for k in range(4))
+        if len(entry) > 1:
+            yield _checked(entry, node, n, lead, np.arange(len(entry))[None, :], percent)
+
+
+def _checked(entry: np.ndarray, node: np.ndarray, n: np.ndarray, lead: np.ndarray, rows: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Entries of equal size, a line of ``rows`` each: the rows that may link with another one."""
+    x, y = rows[:, :, None], rows[:, None, :]
+    ok = may_link(n[x], lead[x], n[y], lead[y], percent) & (node[x] != node[y])
+    before = ok & (np.arange(rows.shape[1])[None, :, None] > np.arange(rows.shape[1])[None, None, :])
+    has, first = before.any(axis=2), before.argmax(axis=2)
+    # a node that a task of another copy has indexed as well is one row of an entry
+    again = np.zeros(rows.shape, bool)
+    again[:, 1:] = node[rows[:, 1:]] == node[rows[:, :-1]]
+    keep = ok.any(axis=2) & ~again
+    hub = np.take_along_axis(node[rows], first, axis=1)
+    place = np.broadcast_to(np.arange(1, rows.shape[1] + 1), rows.shape)
+    r = rows[keep]
+    return pa.RecordBatch.from_arrays([pa.array(entry[r]), pa.array(node[r]), pa.array(n[r]), pa.array(lead[r]), pa.array(place[keep].astype(np.int32)), pa.array(hub[keep], mask=~has[keep])], [x.split()[0] for x in GROUPS.split(", ")])
+
+
 def _across(apart: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs of an entry's nodes that lie in different components, for the entry's hubs at places low + 1 to high.
+    """Pairs of an entry's nodes that may link and lie in different components, for the entry's hubs at places
+    low + 1 to high.
 
     Entries come in runs of a sorted partition; only the hubs of one are held.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, hubs = None, []
+        entry, hubs = None, np.zeros((4, 0), np.int64)
         for b in batches:
-            left, right = [], []
-            for e, node, n, place, label in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if e != entry:
-                    entry, hubs = e, []
-                if place > low:
-                    for hub, m, other in hubs:
-                        if other != label and 100 * m >= percent * n:
-                            left.append(node)
-                            right.append(hub)
-                    if place <= high:
-                        hubs.append((node, n, label))
-                if len(left) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-                    left, right = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    dealt = apart.select("entry", "node", "n", "place", "label").repartition("entry").sortWithinPartitions("entry", "place")
+            e, *rows = (c.to_numpy() for c in b.columns)
+            node, n, lead, place, label = rows
+            begin = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else []
+            for a, z in zip(begin, [*begin[1:], len(e)], strict=True):
+                if e[a] != entry:
+                    entry, hubs = e[a], np.zeros((4, 0), np.int64)
+                new = (place[a:z] > low) & (place[a:z] <= high)
+                hubs = np.concatenate([hubs, np.stack([x[a:z][new].astype(np.int64) for x in (node, n, lead, label)])], axis=1)
+                for i in range(0, hubs.shape[1], 64):
+                    h, m, ahead, other = hubs[:, i : i + 64]
+                    rest = np.flatnonzero(place[a:z] > low) + a
+                    ok = may_link(n[rest][:, None], lead[rest][:, None], m, ahead, percent) & (label[rest][:, None] != other) & (node[rest][:, None] != h)
+                    x, y = np.nonzero(ok)
+                    left, right = node[rest][x], h[y]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], ["a", "b"])
+
+    dealt = apart.select("entry", "node", "n", "lead", "place", "label").repartition("entry").sortWithinPartitions("entry", "place")
     return dealt.mapInArrow(pair, "a long, b long")

@@ -314,6 +314,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 GROUPS = "entry long, node long, n int, lead int, place int, hub long"
 #: an entry of more nodes is taken row by row
 _AT_ONCE = 2048
+#: pairs that a task remembers before it forgets all
+_TOLD = 1_000_000
 
 
 def _useful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -384,11 +386,14 @@ def _across(apart: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs of an entry's nodes that may link and lie in different components, for the entry's hubs at places
     low + 1 to high.
 
-    Entries come in runs of a sorted partition; only the hubs of one are held.
+    Entries come in runs of a sorted partition; only the hubs of one are held. Entries that begin with the same node
+    are often of one family and repeat its pairs, so they go to the same few tasks, and a task tells a pair once
+    while it remembers it.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry, hubs = None, np.zeros((4, 0), np.int64)
+        told: set[tuple[int, int]] = set()
         for b in batches:
             e, *rows = (c.to_numpy() for c in b.columns)
             node, n, lead, place, label = rows
@@ -404,8 +409,14 @@ def _across(apart: DataFrame, low: int, high: int, percent: int) -> DataFrame:
                     ok = may_link(n[rest][:, None], lead[rest][:, None], m, ahead, percent) & (label[rest][:, None] != other) & (node[rest][:, None] != h)
                     x, y = np.nonzero(ok)
                     left, right = node[rest][x], h[y]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], ["a", "b"])
-
-    dealt = apart.select("entry", "node", "n", "lead", "place", "label").repartition("entry").sortWithinPartitions("entry", "place")
+                    new = set(zip(np.maximum(left, right).tolist(), np.minimum(left, right).tolist(), strict=True)) - told
+                    if new:
+                        if len(told) > _TOLD:
+                            told.clear()
+                        told |= new
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], ["a", "b"])
+
+    family = F.min_by("node", "place").over(Window.partitionBy("entry"))
+    dealt = apart.withColumn("family", family).repartition("family", F.pmod("entry", F.lit(2))).sortWithinPartitions("entry", "place")
+    dealt = dealt.select("entry", "node", "n", "lead", "place", "label")
     return dealt.mapInArrow(pair, "a long, b long")

@@ -22,8 +22,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(least, both.a == least.u).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(down, large.a == down.u)
-        out = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select(F.col("u"), F.col("m"))).filter("a <> b").distinct()
+        small = large.join(down, large.a == down.u).select("a", "b", "m")
+        both = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
+        out = small.select(both.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         new = scratch.keep(out, "edges")
         same = _summary(new) == _summary(edges)
         scratch.drop(edges)

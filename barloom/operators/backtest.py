@@ -90,11 +90,14 @@ def equity(bars: DataFrame, made: DataFrame, terms: Terms = Terms(), by=BY) -> D
 
 def drawdown_marks(marks: DataFrame, made: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     """Equity marks and capital after each close in the order in which they happen, with peak and drawdown percent."""
-    a = marks.select(*by, "idx", F.lit(0).alias("kind"), F.lit(0).alias("trade"), "ts", F.col("equity").alias("value"))
-    b = made.select(*by, F.col("exit_idx").alias("idx"), F.lit(1).alias("kind"), "trade", F.col("exit_time").alias("ts"), F.col("capital_after").alias("value"))
+    own = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("trade"), F.col("equity").alias("value"))
+    closes = made.groupBy(*by, F.col("exit_idx").alias("idx")).agg(F.sort_array(F.collect_list(F.struct(F.lit(1).alias("kind"), "trade", F.col("capital_after").alias("value")))).alias("closes"))
+    # a bar closes two trades at most
+    rows = marks.join(closes, [*by, "idx"], "left").withColumn("x", F.explode(F.concat(F.array(own), F.coalesce("closes", F.array().cast("array<struct<kind:int,trade:int,value:double>>")))))
+    rows = rows.select(*by, "idx", "ts", "x.kind", "x.trade", "x.value")
     w = Window.partitionBy(*by).orderBy("idx", "kind", "trade").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("peak", F.greatest(F.max("value").over(w), F.lit(terms.capital)))
-    return both.withColumn("drawdown", (F.col("peak") - F.col("value")) / F.col("peak") * 100)
+    rows = rows.withColumn("peak", F.greatest(F.max("value").over(w), F.lit(terms.capital)))
+    return rows.withColumn("drawdown", (F.col("peak") - F.col("value")) / F.col("peak") * 100)
 
 
 def daily_sharpe(marks: DataFrame, by=BY) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I
@@ -77,7 +77,7 @@ def regime_statistics(df: DataFrame, by=BY) -> DataFrame:
 def adapted_weights(df: DataFrame, signals: list[str], lookback: int = 50, by=BY) -> DataFrame:
     """Per series and signal the weight 1 * (1 + 0.5 * correlation with the next return on the last 2 * lookback bars),
     brought to a sum of as many as there are signals."""
-    x = df.withColumn("_f", F.lead("close").over(S.order(by)) / F.col("close") - 1).withColumn("_back", F.row_number().over(S.order(by).partitionBy(*by).orderBy(F.desc("ts"))))
+    x = df.withColumn("_f", F.try_divide(F.lead("close").over(S.order(by)), F.col("close")) - 1).withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts"))))
     x = x.filter(F.col("_back") <= 2 * lookback)
     long = x.select(*by, "_f", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("v")) for s in signals])).alias("s"))
     w = long.groupBy(*by, "s.signal").agg((1 + 0.5 * F.coalesce(S.corr("s.v", "_f"), F.lit(0.0))).alias("raw"))

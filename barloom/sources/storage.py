@@ -6,6 +6,7 @@ time. A processed day is replaced as a whole; raw records only grow.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,14 @@ def upsert_processed(candles: DataFrame, path: str, arrival: str | None = None)
         held = held.select(*KEYS, "date", *names, F.struct(F.lit(0).alias("_new"), F.lit(None).cast(kind["_at"].dataType).alias("_at")).alias("_order"))
         new = held.unionByName(new)
     merged = latest(new, [*KEYS, "timestamp"], "_order").drop("date", "_order")
-    merged = merged.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.createDataFrame(merged.collect(), merged.schema) if merged.count() < 100_000 else merged.persist()
-    store_processed(merged, path)
+    # a frame can't replace the files that it reads: the merged days lie beside the layer for a moment
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    merged.write.parquet(staging)
+    try:
+        store_processed(spark.read.schema(merged.schema).parquet(staging), path)
+    finally:
+        uri = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        uri.getFileSystem(spark._jsc.hadoopConfiguration()).delete(uri, True)
 
 
 def store_raw(records: DataFrame, path: str, compression: str = "gzip") -> None:

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, join_hot
 
 # fixed values: the template's marks
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 LEARNT = "assistant"
 
-NODES = "node string, parent string, path string, conversation_depth int, role string, text string"
+#: turns of a path that one interval covers at most
+CHAIN = 64
 
 
 def escape(s: str) -> str:
@@ -43,82 +44,86 @@ def segment(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{END}\n", len(head), len(head) + len(body)
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every turn: its node, and the node's path of one hash a level."""
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every turn: the node of its conversation's turns so far."""
     for b in batches:
         rows = []
         for conv, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            parent, path = "", ""
+            parent = ""
             for depth, t in enumerate(turns):
                 role, text = t["role"], t["text"]
                 node = hashlib.blake2b(f"{parent}\0{len(role)}\0{role}{text}".encode(), digest_size=16).hexdigest()
-                path += node[:20]
-                rows.append((conv, node, parent, path, depth, len(turns) - 1 == depth, role, text))
+                rows.append((conv, node, parent, depth, len(turns) - 1 == depth, role, text))
                 parent = node
             if len(rows) > 2000:
-                yield _batch(rows)
+                yield _batch(rows, _TURNS)
                 rows = []
-        yield _batch(rows)
+        yield _batch(rows, _TURNS)
 
 
-_TURNS = "conv_id long, node string, parent string, path string, depth int, leaf boolean, role string, text string"
+_TURNS = "conv_id long, node string, parent string, depth int, leaf boolean, role string, text string"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in _TURNS.split(", ")])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+
+_LAID = "node string, parent string, part int, begin long, chain_begin long, above string, length long, tokens string, loss_from long, loss_to long"
 
 
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of a sorted partition and where each begins in it."""
+    """The segments of a sorted partition, where each begins in it, and its chain: the run of nodes, each the first
+    child of the one before, that it ends. A chain begins anew with each partition and after CHAIN nodes."""
     from pyspark import TaskContext
 
     at, part = 0, TaskContext.get().partitionId()
-    names = [x.split()[0] for x in _LAID.split(", ")]
+    before, chain, above, run = None, 0, "", 0
     for b in batches:
-        node, parent, path, depth, role, text = (b.column(k).to_pylist() for k in range(6))
-        made = [segment(r, t) for r, t in zip(role, text, strict=True)]
-        starts = []
-        for s, _, _ in made:
-            starts.append(at)
-            at += len(s)
-        learnt = [r == LEARNT for r in role]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node), pa.array(parent), pa.array(path), pa.array(depth, pa.int32()), pa.array([part] * len(node), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(s) for s, _, _ in made], pa.int64()), pa.array([s for s, _, _ in made], pa.string()), pa.array([x if y else None for (_, x, _), y in zip(made, learnt, strict=True)], pa.int64()), pa.array([x if y else None for (_, _, x), y in zip(made, learnt, strict=True)], pa.int64())],
-            names,
-        )
-
-
-_LAID = "node string, parent string, path string, depth int, part int, begin long, length long, tokens string, loss_from long, loss_to long"
+        rows = []
+        for node, parent, role, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if before is None or parent != before or run >= CHAIN:
+                chain, above, run = at, parent, 0
+            made, first, last = segment(role, text)
+            learnt = role == LEARNT
+            rows.append((node, parent, part, at, chain, above, len(made), made, first if learnt else None, last if learnt else None))
+            at, run, before = at + len(made), run + 1, node
+        yield _batch(rows, _LAID)
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, alone: Column, count: str, total: int, parts: int = 200) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, alone: Column, count: str, total: int, parts: int = 200, within: Column | None = None) -> DataFrame:
     """Join on key where one key may have most of big's rows: such a key's row of small is repeated, and its rows
-    of big are dealt over the repeats. ``count`` has the rows of big by key; at most ``parts`` keys are repeated."""
+    of big are dealt over the repeats. ``count`` has the rows of big by key; at most ``parts`` keys are repeated.
+    ``within`` is one more condition."""
     most = max(1000, total // parts)
     copies = F.ceil(F.col(count) / most).cast("int")
-    hot = small.filter(F.col(count) > most).select(F.col(key).alias("_hot"), copies.alias("_copies"))
+    hot = small.filter(F.col(count) > most).groupBy(key).agg(F.first(count).alias(count)).select(F.col(key).alias("_hot"), copies.alias("_copies"))
     dealt = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(alone), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_hot", "_copies")
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+    joined = dealt.join(repeated, [key, "_salt"])
+    return (joined if within is None else joined.filter(within)).drop("_salt")
 
 
 def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(segments, leaves) of the conversations' prefix tree.
 
-    segments, a row a node in depth-first order of ``start``: node, parent, start, length, position, intervals
-    (of ancestors and itself, as (start, end), the root first), tokens (the text), loss_from and loss_to (inside the
-    segment, null if nothing is learnt from it). leaves: conv_id and its last node.
+    segments, a row a node in depth-first order of ``start``: node, parent, chain (where its chain begins), start,
+    length, position, intervals (of its ancestors and itself, as (start, end), the root first; neighbours that follow
+    each other are one, up to CHAIN of them), tokens (the text), loss_from and loss_to (inside the segment, null if
+    nothing is learnt from it). leaves: conv_id and its last node.
     A conversation's turns are ordered by turn, role and text, null first; a null role or text is empty; rows with a
     null conv_id are one conversation; repeated rows are turns of their own.
     """
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    turns = scratch.keep(grouped.mapInArrow(_paths, _TURNS), "turns")
+    turns = scratch.keep(grouped.mapInArrow(_nodes, _TURNS), "turns")
     leaves = turns.filter("leaf").select("conv_id", "node")
-    nodes = turns.groupBy("node").agg(*[F.min(c).alias(c) for c in ("parent", "path", "depth", "role", "text")])
+    nodes = turns.groupBy("node").agg(*[F.min(c).alias(c) for c in ("parent", "depth", "role", "text")])
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.select("node", "parent", "path", "depth", "role", "text").repartitionByRange(parts, "path").sortWithinPartitions("path")
+    paths = _paths(turns, scratch).withColumnRenamed("node", "_n")
+    dealt = nodes.join(paths, F.col("node") == F.col("_n")).select("node", "parent", "role", "text", "path", "depth")
+    dealt = dealt.repartitionByRange(parts, "path", "depth").sortWithinPartitions("path", "depth").select("node", "parent", "role", "text")
     laid = scratch.keep(dealt.mapInArrow(_laid_out, _LAID), "laid")
     ends = laid.groupBy("part").agg(F.max(F.col("begin") + F.col("length")).alias("size")).collect()  # a row a partition
     bases, at = [], 0
@@ -126,31 +131,83 @@ def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id",
         bases.append((part, at))
         at += size
     offsets = conversations.sparkSession.createDataFrame(bases or [(0, 0)], "part int, base long")
-    placed = laid.join(F.broadcast(offsets), "part").withColumn("start", F.col("base") + F.col("begin")).drop("part", "base", "begin")
-
-    # each node with each of its ancestors and itself, which are the prefixes of its path
-    levels = F.sequence(F.lit(0), F.col("depth"))
-    lines = placed.select("node", F.posexplode(F.transform(levels, lambda i: F.substring(F.col("path"), F.lit(1), (i + 1) * 20))).alias("level", "above"))
-    counts = lines.groupBy("above").agg(F.count("*").alias("n"))
-    total = placed.select(F.sum(F.col("depth") + 1)).first()[0] or 0
-    spots = placed.select(F.col("path").alias("above"), "start", "length").join(counts, "above")
-    joined = spread_join(lines, spots, "above", F.col("node"), "n", total)
-    own = joined.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("level", "start", (F.col("start") + F.col("length")).alias("end")))).alias("i"), F.sum("length").alias("upto"))
-    intervals = F.transform("i", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    own = own.select(F.col("node").alias("_n"), intervals.alias("intervals"), "upto")
-    segments = placed.join(own, F.col("node") == F.col("_n")).withColumn("position", F.col("upto") - F.col("length"))
-    return scratch.keep(segments.select("node", "parent", "start", "length", "position", "intervals", "tokens", "loss_from", "loss_to"), "segments"), scratch.keep(leaves, "leaves")
+    placed = laid.join(F.broadcast(offsets), "part").withColumns({"start": F.col("base") + F.col("begin"), "chain": F.col("base") + F.col("chain_begin")}).drop("part", "base", "begin", "chain_begin")
+
+    above = _ancestors(placed, scratch).withColumnRenamed("chain", "_c")
+    segments = placed.join(above, F.col("chain") == F.col("_c"), "left").withColumn("above", F.coalesce("spans", F.array().cast(_SPANS)))
+    own = F.struct(F.col("chain").alias("start"), (F.col("start") + F.col("length")).alias("end"))
+    segments = segments.withColumn("intervals", F.concat("above", F.array(own)))
+    before = F.aggregate("above", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    segments = segments.withColumn("position", before + F.col("start") - F.col("chain"))
+    return scratch.keep(segments.select("node", "parent", "chain", "start", "length", "position", "intervals", "tokens", "loss_from", "loss_to"), "segments"), scratch.keep(leaves, "leaves")
+
+
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _paths(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, path): the hashes of those nodes on its way from the root that have siblings.
+
+    Ordered by path and then by depth, nodes are in depth-first order: nodes without siblings share the path of the
+    node above, so a long conversation has a short one.
+    """
+    light = turns.select("conv_id", "node", "parent", "depth")
+    children = light.select("parent", "node").distinct().groupBy("parent").agg(F.count("*").alias("n"))
+    uses = light.filter("parent <> ''").groupBy("parent").agg(F.count("*").alias("uses"))
+    forks = scratch.keep(children.filter("n > 1 and parent <> ''").join(uses, "parent").select("parent", F.lit(True).alias("fork"), "uses"), "forks")
+    total = uses.agg(F.sum("uses")).first()[0] or 0
+    alone = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), "depth")
+    marked = join_hot(light, forks, "parent", alone, F.col("uses") >= max(100, total // 1000))
+    marked = marked.withColumn("part", F.when((F.col("parent") == "") | F.col("fork"), F.substring("node", 1, 20)).otherwise(""))
+    ways = marked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "part"))).alias("way"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for way in b.column(0).to_pylist():
+                path = ""
+                for x in way:
+                    path += x["part"]
+                    rows.append((x["node"], path))
+            yield _batch(rows, "node string, path string")
+
+    return ways.select("way").mapInArrow(walk, "node string, path string").groupBy("node").agg(F.min("path").alias("path"))
+
+
+def _ancestors(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(chain, spans): what lies above a chain's first node, as spans of chains, the root's first; chains without any are left out.
+
+    A chain hangs on a node of another chain. Each round joins every chain with what the chain above has found so
+    far, so the number of rounds is the logarithm of the longest line of chains.
+    """
+    heads = placed.filter("start = chain and above <> ''").select("chain", F.col("above").alias("node"))
+    counts = heads.groupBy("node").agg(F.count("*").alias("n"))
+    spots = placed.select("node", F.col("chain").alias("next"), (F.col("start") + F.col("length")).alias("end")).join(counts, "node")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    links = spread_join(heads, spots, "node", F.col("chain").cast("string"), "n", total)
+    links = scratch.keep(links.select("chain", F.array(F.struct(F.col("next").alias("start"), "end")).cast(_SPANS).alias("spans"), "next"), "links")
+    while True:
+        open_ = links.filter("next is not null")
+        counts = open_.groupBy("next").agg(F.count("*").alias("n"))
+        known = links.select(F.col("chain").alias("next"), F.col("spans").alias("_more"), F.col("next").alias("_next")).join(counts, "next")
+        if known.isEmpty():
+            return links.select("chain", "spans")
+        on = spread_join(open_, known, "next", F.col("chain").cast("string"), "n", total)
+        longer = on.select(F.col("chain").alias("_c"), F.concat("_more", "spans").alias("_longer"), F.col("_next"))
+        joined = links.join(longer, F.col("chain") == F.col("_c"), "left")
+        links = scratch.keep(joined.select("chain", F.coalesce("_longer", "spans").alias("spans"), F.col("_next").alias("next")), "links")
 
 
 def read_back(segments: DataFrame, leaves: DataFrame) -> DataFrame:
     """Digests of every conversation, from the laid-out tokens, intervals and loss masks alone."""
     ends = leaves.groupBy("node").agg(F.count("*").alias("copies"))
-    lines = segments.join(ends, "node").select(F.col("node").alias("leaf"), F.posexplode("intervals").alias("level", "i")).select("leaf", "level", F.col("i.start").alias("start"))
-    counts = lines.groupBy("start").agg(F.count("*").alias("n"))
+    lines = segments.join(ends, "node").select(F.col("node").alias("leaf"), F.explode("intervals").alias("i")).select("leaf", F.col("i.start").alias("chain"), F.col("i.end").alias("end"))
+    counts = lines.groupBy("chain").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    bodies = segments.select("start", "tokens", "loss_from", "loss_to").join(counts, "start")
-    joined = spread_join(lines, bodies, "start", F.col("leaf"), "n", total)
-    grouped = joined.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("level", "tokens", "loss_from", "loss_to"))).alias("parts"))
+    bodies = segments.select("chain", "start", "tokens", "loss_from", "loss_to").join(counts, "chain")
+    # a chain has at most CHAIN segments
+    joined = spread_join(lines, bodies, "chain", F.col("leaf"), "n", total, within=F.col("start") < F.col("end"))
+    grouped = joined.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("start", "tokens", "loss_from", "loss_to"))).alias("parts"))
     digests = grouped.mapInArrow(_digests, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     found = digests.join(ends, digests.leaf == ends.node).drop("node").withColumnRenamed("leaf", "node")
     all_ = leaves.count()

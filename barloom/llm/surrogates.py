@@ -37,16 +37,18 @@ SYLLABLES = {
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join(sorted({*GIVEN["n_l"], *GIVEN["n_c"]}))
 _NAME_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-NAME = rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD})?|(?:{_GIVEN}) {_NAME_WORD})(?!\p{{L}})"
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
+_FIRST = "".join(sorted({x[0] for x in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *GIVEN["n_l"], *GIVEN["n_c"]]}))
+# each pattern looks at the one sign at hand before it looks around
+NAME = rf"(?=[{_FIRST}])(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD})?|(?:{_GIVEN}) {_NAME_WORD})(?!\p{{L}})"
+EMAIL = r"(?=[\p{L}\p{N}._%+\-])(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
-IPV6 = r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
-SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
-CARD = r"(?<![\w.\-])(?:3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7})(?!\w)"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-PHONE = r"(?<![\w+])(?:(?:\+?1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|(?:\+?1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:(?:[ .\-]?\d{3,4}){1,3}|(?:[ .\-]?\d{2}){2,5}))(?!\w|\.\d)"
-SECRET = r"(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)|(?<=(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']{0,1} {0,2}[=:] {0,2}[\"']{0,1})(?=[^\s\"',;]{0,200}\d)[^\s\"',;]{6,200}"
+IPV4 = rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
+IPV6 = r"(?=[0-9A-Fa-f])(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
+SSN = r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
+CARD = r"(?=[3-6])(?<![\w.\-])(?:3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7})(?!\w)"
+IBAN = r"(?=[A-Z]{2}\d)(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+PHONE = r"(?=[+(\d])(?<![\w+])(?:(?:\+?1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|(?:\+?1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:(?:[ .\-]?\d{3,4}){1,3}|(?:[ .\-]?\d{2}){2,5}))(?!\w|\.\d)"
+SECRET = r"(?=[Ags])(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)|(?<=[=:][\"' ]{0,3})(?=[^\s\"',;]{0,200}\d)(?<=(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']{0,1} {0,2}[=:] {0,2}[\"']{0,1})[^\s\"',;]{6,200}"
 ENTITY = "|".join([EMAIL, IPV4, IPV6, SSN, CARD, IBAN, PHONE, SECRET, NAME])
 
 
@@ -216,6 +218,7 @@ def replace_entities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     found = F.when(body.rlike("[0-9@]") | body.rlike(NAME), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)))
     tagged = docs.withColumn("_found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
     tagged = tagged.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(text).cast("string")))
+    tagged = scratch.keep(tagged, "tagged")  # the patterns run once over the texts
     has = F.coalesce(F.exists("_found", lambda x: x["kind"].isNotNull()), F.lit(False))
     finds = tagged.filter(has).select("_key", F.posexplode("_found").alias("pos", "x")).filter("x.kind is not null")
     finds = finds.select("_key", "pos", F.posexplode(entities_of(F.col("x.m"), F.col("x.kind"))).alias("part", "e"))

@@ -23,8 +23,8 @@ MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
 OTHER_TITLES = ["Dr", "Prof"]
 GIVEN = {
-    "m_l": ["Albert", "Andreas", "Antonio", "Bernard", "Carlos", "Christian", "Daniel", "Edward", "Etienne", "Fernando", "Francisco", "Frederic", "George", "Gerhard", "Guillaume", "Heinrich", "Henry", "Jacques", "Johannes", "Joseph", "Laurent", "Leonard", "Manuel", "Matthew", "Michael", "Nicolas", "Patrick", "Philippe", "Rafael", "Richard", "Robert", "Stefan", "Thomas", "Vincent", "William", "Wolfgang"],
-    "f_l": ["Adele", "Alexandra", "Amelie", "Angela", "Barbara", "Beatrice", "Camille", "Caroline", "Catherine", "Charlotte", "Christine", "Claudia", "Dorothea", "Eleanor", "Elizabeth", "Emilia", "Florence", "Francesca", "Gabriela", "Helene", "Isabel", "Jacqueline", "Johanna", "Juliette", "Katharina", "Leonora", "Louise", "Lucia", "Margaret", "Mathilde", "Patricia", "Rosalind", "Sabine", "Stephanie", "Theresa", "Victoria"],
+    "m_l": ["Albert", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Bernard", "Carlos", "Christian", "Charles", "Daniel", "David", "Diego", "Edward", "Etienne", "Fernando", "Francisco", "Frederic", "George", "Gerhard", "Guillaume", "Heinrich", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "Johannes", "John", "Jorge", "Joseph", "Juan", "Klaus", "Karl", "Laurent", "Leonard", "Louis", "Luis", "Manuel", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Pablo", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Rafael", "Richard", "Robert", "Stefan", "Thomas", "Vincent", "William", "Wolfgang"],
+    "f_l": ["Adele", "Alexandra", "Alice", "Amelie", "Andrea", "Angela", "Anna", "Barbara", "Beatrice", "Camille", "Carmen", "Caroline", "Catherine", "Charlotte", "Christine", "Claudia", "Dorothea", "Eleanor", "Elena", "Elizabeth", "Emilia", "Emily", "Emma", "Florence", "Francesca", "Gabriela", "Helene", "Isabel", "Jacqueline", "Jane", "Jennifer", "Johanna", "Julia", "Juliette", "Katharina", "Leonora", "Laura", "Linda", "Lisa", "Louise", "Lucia", "Margaret", "Maria", "Marie", "Marta", "Mary", "Mathilde", "Patricia", "Rosalind", "Sabine", "Sarah", "Sofia", "Sophie", "Stephanie", "Susan", "Theresa", "Victoria"],
     "m_c": ["Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Дмитрий", "Иван", "Константин", "Михаил", "Николай", "Павел", "Сергей", "Юрий"],
     "f_c": ["Александра", "Анастасия", "Вера", "Галина", "Дарья", "Екатерина", "Елена", "Ирина", "Людмила", "Мария", "Надежда", "Наталья", "Ольга", "Татьяна"],
 }

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: pieces that a worker remembers before it forgets all
-REMEMBERED = 800_000
+REMEMBERED = 150_000
 TEXTS_A_BATCH = 1000
 #: words in one flat array
 WORDS_A_BATCH = 50_000
@@ -116,7 +116,7 @@ class WordBpe:
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids and the decoded form of pieces of text without white space."""
         split = {p: self.word.findall(p) for p in pieces}
-        words = list(set().union(*split.values()) - self.words.keys())
+        words = list(set().union(*split.values()).difference(self.words))
         for i in range(0, len(words), WORDS_A_BATCH):
             some = words[i : i + WORDS_A_BATCH]
             flat, at = self.merge_words([w.encode() for w in some])
@@ -152,7 +152,7 @@ class WordBpe:
             split = [self.pieces(t) for t in texts[i : i + TEXTS_A_BATCH]]
             if len(self.known) > REMEMBERED:
                 self.forget()
-            self.learn(set().union(*split) - self.known.keys())
+            self.learn(set().union(*split).difference(self.known))
             known = self.known
             for ps in split:
                 found = [known[p] for p in ps]
@@ -201,5 +201,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, doc_id: str = "do
                     at = np.concatenate([[0], np.cumsum([len(x) // 4 for x, _ in found])]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()  # the worker goes on to other stages
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, schema)

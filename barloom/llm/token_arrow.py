@@ -28,7 +28,7 @@ LENGTH = 2048
 ROWS = 512
 END = 2
 #: pieces that a worker remembers before it forgets all
-REMEMBERED = 1_200_000
+REMEMBERED = 1_800_000
 
 _LETTERS_SIGNS = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]+)")
 _ONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -50,22 +50,20 @@ class Encoder:
         self.signs: dict[str, bytes] = {}
         self.odd = {""}
         size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
-    @property
-    def small(self) -> bool:
-        return self.tokenizer.get_vocab_size() <= 1 << 16
-
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = self.kind.char
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, each behind a space: many go in one text and part where a token has the space."""
         texts = [" " + " ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
-        flat = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        flat = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         at = [*np.flatnonzero(self.spaced[flat]).tolist(), len(flat)]
-        data = flat.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
+        data, width = flat.tobytes(), self.kind.itemsize
+        return [data[width * a : width * b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, pieces: set[str]) -> None:
         """Remember the ids of pieces behind a space. Letters and the signs behind them are apart in the pattern."""
@@ -86,25 +84,25 @@ class Encoder:
             listed = list(words)
             later.update(zip(listed, self._words(listed), strict=True))
         later.update(zip(ask, self._ask([" " + p for p in ask]), strict=True))
-        signs = list({b for _, _, b in cut} - self.signs.keys())
+        signs = list({b for _, _, b in cut}.difference(self.signs))
         self.signs.update(zip(signs, self._ask(signs), strict=True))
         later.update((p, later[a] + self.signs[b]) for p, a, b in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian 32-bit integers."""
+        """Per text its ids, one after another as integers of ``kind``."""
         if len(self.later) > REMEMBERED:
             self.later, self.signs, self.odd = {}, {}, {""}
         split = [t.split(" ") for t in texts]
         rest = [s[1:] for s in split]
         later = self.later
-        self._learn(set().union(*rest) - later.keys())
+        self._learn(set().union(*rest).difference(later))
         # white space of more than one sign is a token that may reach over a space
         wide = [k for k, s in enumerate(split) if s[0][-1:].isspace() or not s[0] or not self.odd.isdisjoint(s)]
         for k in wide:
             split[k] = _ONE_SPACE.split(texts[k])
             rest[k] = split[k][1:]
         if wide:
-            self._learn(set().union(*(rest[k] for k in wide)) - later.keys())
+            self._learn(set().union(*(rest[k] for k in wide)).difference(later))
         first = self._ask([s[0] for s in split])
         return [a + b"".join([later[p] for p in r]) for a, r in zip(first, rest, strict=True)]
 
@@ -120,16 +118,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def schema(length: int, small: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16() if small else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length)), ("ends", pa.list_(pa.bool_(), length)), ("docs", pa.list_(pa.int64()))])
+def schema(length: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length)), ("ends", pa.list_(pa.bool_(), length)), ("docs", pa.list_(pa.int64()))])
 
 
 class _File:
     """One file in the making: whole sequences leave in record batches, the last one is filled up at the end."""
 
-    def __init__(self, uri: str, length: int, small: bool):
-        self.uri, self.length, self.schema = uri, length, schema(length, small)
-        self.kind = np.uint16 if small else np.uint32
+    def __init__(self, uri: str, length: int, kind: np.dtype):
+        self.uri, self.length, self.kind, self.schema = uri, length, kind, schema(length, kind)
         self.fs, self.path = file_system(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
@@ -141,7 +138,7 @@ class _File:
         self.held = self.tokens = self.docs = 0
 
     def add(self, doc: int | None, ids: bytes) -> None:
-        own = np.frombuffer(ids, "<u4").astype(self.kind)
+        own = np.frombuffer(ids, self.kind)
         self.waiting += [own, np.array([END], self.kind)]
         self.held += len(own) + 1
         self.tokens += len(own) + 1
@@ -198,7 +195,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, path: str | None = None, doc
                     if p != at:
                         if out:
                             done.append((at, *out.close()))
-                        out, at = _File(f"{folder}/{p:06d}.arrow", length, own.small), p
+                        out, at = _File(f"{folder}/{p:06d}.arrow", length, own.kind), p
                     out.add(doc, found)
         if out:
             done.append((at, *out.close()))

@@ -32,8 +32,9 @@ def test_as_the_library(texts):
         want = WORD.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert decoded.decode() == WORD.decode(want, skip_special_tokens=False) == own.decode(want)
-    for text, ids in zip(texts, token_arrow.encoder(token_arrow.default_path()).encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == BYTE.encode(text, add_special_tokens=False).ids
+    encoder = token_arrow.encoder(token_arrow.default_path())
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == BYTE.encode(text, add_special_tokens=False).ids
 
 
 def test_forgetting(monkeypatch):

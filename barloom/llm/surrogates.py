@@ -48,7 +48,7 @@ SSN = r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 CARD = r"(?=[3-6])(?<![\w.\-])(?:3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7})(?!\w)"
 IBAN = r"(?=[A-Z]{2}\d)(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 PHONE = r"(?=[+(\d])(?<![\w+])(?:(?:\+?1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|(?:\+?1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:(?:[ .\-]?\d{3,4}){1,3}|(?:[ .\-]?\d{2}){2,5}))(?!\w|\.\d)"
-SECRET = r"(?=[Ags])(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)|(?<=[=:][\"' ]{0,3})(?=[^\s\"',;]{0,200}\d)(?<=(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']{0,1} {0,2}[=:] {0,2}[\"']{0,1})[^\s\"',;]{6,200}"
+SECRET = r"(?=[Ags])(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)|(?<=[=:][\"' ]{0,3})(?=[^\s\"',;]{6})(?<=(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']{0,1} {0,2}[=:] {0,2}[\"']{0,1})[^\s\"',;]{6,}+"
 ENTITY = "|".join([EMAIL, IPV4, IPV6, SSN, CARD, IBAN, PHONE, SECRET, NAME])
 
 
@@ -133,12 +133,12 @@ def entities_of(m: Column, kind: Column) -> Column:
 def _mapped(canon: Column, digest: Column, letters: Column | int = 26, kept: Column | int = 0) -> Column:
     """Digits for digits and letters for letters of the same case by the digest's bytes; the first ``kept`` stay."""
 
-    def change(i: Column) -> Column:
-        c = F.substring(canon, i, F.lit(1))
-        b = F.conv(F.substring(digest, 2 * F.pmod(i - 1, F.lit(60)) + 1, F.lit(2)), 16, 10).cast("int")
-        return F.when(i <= kept, c).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.char(65 + b % letters)).when(c.rlike(r"\p{L}"), F.char(97 + b % letters)).otherwise(c)
+    def change(c: Column, i: Column) -> Column:
+        b = F.conv(F.substring(digest, 2 * F.pmod(i, F.lit(60)) + 1, F.lit(2)), 16, 10).cast("int")
+        return F.when(i < kept, c).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.char(65 + b % letters)).when(c.rlike(r"\p{L}"), F.char(97 + b % letters)).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(canon), F.lit(1))), change), "")
+    # secrets have no greatest length, so no sign is looked up by its place
+    return F.array_join(F.transform(F.split(canon, ""), change), "")
 
 
 def surrogate(kind: Column, canon: Column, attempt: int, key: str = KEY) -> Column:
@@ -215,7 +215,7 @@ def replace_entities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     """
     docs = docs.drop("n_entities")
     body = F.col(text)
-    found = F.when(body.rlike("[0-9@]") | body.rlike(NAME), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)))
+    found = F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0))
     tagged = docs.withColumn("_found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
     tagged = tagged.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(text).cast("string")))
     tagged = scratch.keep(tagged, "tagged")  # the patterns run once over the texts

@@ -194,3 +194,18 @@ def test_surrogates_stay_distinct(spark):
     assert len(rows) == entities.count()
     assert len({(r.kind, r.core.lower()) for r in rows}) == len(rows)
     assert not {(r.kind, r.core.lower()) for r in rows} & {(r.kind, r.canon) for r in rows}
+
+
+def test_secrets_of_any_length(spark):
+    secrets = ["eyJ" + "aB3x-" * 100, "x" * 250 + "7y", "correct-horse-battery", "q9" * 20_000]
+    shown = ["token=" + secrets[0] + " end", f'api_key: "{secrets[1]}"', f"password={secrets[2]}, more", f"secret = {secrets[3]}"]
+    keys = ["AKIA" + "QWERTYUIOPASDFGH", "sk-" + "abcdefghijklmnopqrstuvwx"]
+    docs = spark.createDataFrame([cases.row(i, t) for i, t in enumerate([*shown, *(f"key {k} here" for k in keys)])], cases.SCHEMA)
+    out = {r.doc_id: r for r in S.replace_entities(docs, cases.scratch(spark)).collect()}
+    assert [out[i].n_entities for i in range(6)] == [1] * 6
+    for i, (text, own) in enumerate(zip([*shown, *(f"key {k} here" for k in keys)], [*secrets, *keys], strict=True)):
+        before, after = text.split(own)
+        new = out[i].text
+        assert len(new) == len(text) and new.startswith(before) and new.endswith(after)
+        core = new[len(before) : len(new) - len(after)]
+        assert all(core[a : a + 12] != own[a : a + 12] for a in range(4, len(own) - 11))

@@ -190,16 +190,23 @@ def laid_out(m: Column, kind: Column, cores: Column) -> Column:
     )
 
 
+def _space(kind: Column) -> Column:
+    """Kinds in which surrogates must differ: given names of a script are one, whatever their gender."""
+    return F.regexp_replace(kind, "^given_[mfn]_", "given_")
+
+
 def assign(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
-    """(kind, canon, core): a surrogate for each entity, unlike all other surrogates and all entities of its kind."""
+    """(kind, canon, core): a surrogate for each entity, unlike all other surrogates and all entities of its space."""
     left, done = entities.select("kind", "canon"), None
+    same = (F.col("space") == F.col("_k")) & (F.col("low") == F.col("_c"))
     for attempt in range(ROUNDS):
-        made = left.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, key)).withColumn("low", F.lower("core"))
-        taken = entities.select(F.col("kind").alias("_k"), F.lower("canon").alias("_c")).distinct()
-        free = made.join(taken, (F.col("kind") == F.col("_k")) & (F.col("low") == F.col("_c")), "left_anti")
+        made = left.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, key)).withColumns({"low": F.lower("core"), "space": _space(F.col("kind"))})
+        taken = entities.select(_space(F.col("kind")).alias("_k"), F.lower("canon").alias("_c")).distinct()
+        free = made.join(taken, same, "left_anti")
         if done is not None:
-            free = free.join(done.select(F.col("kind").alias("_k"), F.lower("core").alias("_c")), (F.col("kind") == F.col("_k")) & (F.col("low") == F.col("_c")), "left_anti")
-        won = scratch.keep(free.groupBy("kind", "low").agg(F.min_by(F.struct("canon", "core"), "canon").alias("w")).select("kind", "w.canon", "w.core"), "surrogates")
+            free = free.join(done.select(_space(F.col("kind")).alias("_k"), F.lower("core").alias("_c")), same, "left_anti")
+        won = free.groupBy("space", "low").agg(F.min_by(F.struct("kind", "canon", "core"), F.struct("canon", "kind")).alias("w"))
+        won = scratch.keep(won.select("w.kind", "w.canon", "w.core"), "surrogates")
         done = won if done is None else done.unionByName(won)
         left = scratch.keep(left.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "left")
         if left.isEmpty():

@@ -209,3 +209,13 @@ def test_secrets_of_any_length(spark):
         assert len(new) == len(text) and new.startswith(before) and new.endswith(after)
         core = new[len(before) : len(new) - len(after)]
         assert all(core[a : a + 12] != own[a : a + 12] for a in range(4, len(own) - 11))
+
+
+def test_given_names_stay_distinct_across_genders(spark):
+    names = [(f"given_{g}_l", f"{g}name{i}", 1) for g in "mfn" for i in range(60)] + [("given_n_l", n.lower(), 1) for n in S.GIVEN["m_l"][:20]]
+    entities = spark.createDataFrame(names, "kind string, canon string, n long")
+    first = entities.select("kind", S.surrogate(entities.kind, entities.canon, 0).alias("core")).collect()
+    assert {r.core for r in first if r.kind == "given_m_l"} & {r.core for r in first if r.kind == "given_n_l"}  # some draw one word
+    rows = S.assign(entities, cases.scratch(spark)).collect()
+    cores = {r.core.lower() for r in rows}
+    assert len(rows) == len(cores) == len(names) and not cores & {c for _, c, _ in names}

@@ -43,10 +43,21 @@ NAME = rf"(?=[{_FIRST}])(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_W
 EMAIL = r"(?=[\p{L}\p{N}._%+\-])(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IPV4 = rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
-IPV6 = r"(?=[0-9A-Fa-f])(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+# a dotted end belongs to the address, but behind ::ffff: it is an IPv4 address by itself
+_END = rf"(?:(?:{_OCTET}\.){{3}}{_OCTET}|{_HEX})(?!\w|:|\.\d)"
+_SHORT = "|".join([*[rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{0,{6 - n}}}:{_END}" for n in range(1, 7)], rf":(?::{_HEX}){{0,6}}:{_END}", rf"(?:{_HEX}:){{1,7}}:(?![\w:])"])
+# short forms have a digit or are of the local networks (other words around '::' are code), and are no steps of a slice
+IPV6 = rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}(?![\w:])|(?:{_HEX}:){{6}}(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)|(?<![\w)\]]\[)(?=[0-9A-Fa-f:]{{0,38}}::)(?=[A-Fa-f:]{{0,38}}\d|[Ff][CcDd][0-9A-Fa-f]{{2}}:)(?!::[Ff]{{4}}:\d+\.)(?:{_SHORT}))"
 SSN = r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
-CARD = r"(?=[3-6])(?<![\w.\-])(?:3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7})(?!\w)"
-IBAN = r"(?=[A-Z]{2}\d)(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+CARD = r"(?=[2-6])(?<![\w.\-])(?:(?:222[1-9]|22[3-9]\d|2[3-6]\d{2}|27[01]\d|2720)(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7})(?!\w)"
+# lengths of account numbers by country; others are taken up to the last group
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?=[A-Z]{{2}}\d)(?<!\w)(?:(?:{_BY_COUNTRY})(?!\w)|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
 PHONE = r"(?=[+(\d])(?<![\w+])(?:(?:\+?1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|(?:\+?1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:(?:[ .\-]?\d{3,4}){1,3}|(?:[ .\-]?\d{2}){2,5}))(?!\w|\.\d)"
 SECRET = r"(?=[Ags])(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)|(?<=[=:][\"' ]{0,3})(?=[^\s\"',;]{6})(?<=(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']{0,1} {0,2}[=:] {0,2}[\"']{0,1})[^\s\"',;]{6,}+"
 ENTITY = "|".join([EMAIL, IPV4, IPV6, SSN, CARD, IBAN, PHONE, SECRET, NAME])
@@ -91,16 +102,32 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.rlike(r"^[^@\s]+@[^@\s]+\.\p{L}+$"), "email")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
-        .when(m.rlike(r"^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"), "ipv6")
+        .when(m.rlike(rf"^(?:{IPV6})$"), "ipv6")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(rf"^(?:(?:{_TITLES})\.?|{_GIVEN}) \p{{Lu}}"), "name")
         .when(m.rlike(r"^[A-Z]{2}\d{2} ?[A-Z0-9]{4}[ A-Z0-9]+$"), F.when(mod97(_alnum(m)) == 1, "iban"))
-        .when(m.rlike(r"^[3-6]\d{3}[\d \-]+$") & n.between(13, 19), F.when(luhn_sum(_digits(m)) == 0, "card"))
+        .when(m.rlike(r"^[2-6]\d{3}[\d \-]+$") & n.between(13, 19), F.when(luhn_sum(_digits(m)) == 0, "card"))
         .when(m.rlike(r"^[+(\d][\d ().\-]+$") & m.rlike(r"[^\d]"), F.when(n >= 7, "phone"))
         .otherwise("secret")
     )
 
 
+def whole_ipv6(m: Column) -> Column:
+    """An IPv6 address as eight groups of four digits."""
+
+    def groups(half: Column) -> Column:
+        return F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda x: x != "")
+
+    low = F.lower(m)
+    octets = F.split(F.regexp_extract(low, r"[\d.]+$", 0), r"\.")
+    pair = lambda i: F.hex(F.get(octets, F.lit(i)).try_cast("int") * 256 + F.get(octets, F.lit(i + 1)).try_cast("int"))
+    low = F.when(F.contains(low, F.lit(".")), F.lower(F.concat(F.regexp_replace(low, r"[\d.]+$", ""), pair(0), F.lit(":"), pair(2)))).otherwise(low)
+    halves = F.split(low, "::")
+    head, tail = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    whole = F.concat(head, F.array_repeat(F.lit("0"), 8 - F.size(head) - F.size(tail)), tail)
+    return F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), ":")
+
+
 def entities_of(m: Column, kind: Column) -> Column:
     """The entities of a found string as an array of (kind, canonical form); a name has one for each word."""
 
@@ -126,7 +153,7 @@ def entities_of(m: Column, kind: Column) -> Column:
         .when(kind == "phone", F.array(one("phone", phone)))
         .when(kind.isin("card", "ssn"), F.array(one(kind, _digits(m))))
         .when(kind == "iban", F.array(one("iban", _alnum(m))))
-        .otherwise(F.array(one(kind, F.when(kind == "ipv6", F.lower(m)).otherwise(m))))
+        .otherwise(F.array(one(kind, F.when(kind == "ipv6", whole_ipv6(m)).otherwise(m))))
     )
 
 
@@ -159,7 +186,9 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str = KEY) -> Colu
     second = F.sha2(digest, 512)
     email = F.concat(_mapped(local, digest), F.lit("@"), _mapped(rest, second), F.lit("."), top)
     ipv4 = F.concat_ws(".", *[(number(i) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
-    body = F.concat(F.substring(canon, 1, 1), F.substring(_mapped(canon, digest), F.lit(2), F.length(canon) - 2))
+    ipv6 = F.concat(F.substring(canon, 1, 1), F.substring(F.regexp_replace(F.substring(digest, 1, 32), "(.{4})(?=.)", "$1:"), 2, 38))
+    first = F.when(F.substring(canon, 1, 1) == "2", F.concat(F.lit("2"), (3 + number(9) % 4).cast("string"))).otherwise(F.substring(canon, 1, 1))
+    body = F.concat(first, F.substring(_mapped(canon, digest), F.length(first) + 1, F.length(canon) - 1 - F.length(first)))
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0")))) % 10).cast("string"))
     raw = _mapped(canon, digest, kept=F.when(F.length(canon) > 10, 2).otherwise(0))
     ten = F.concat((2 + number(8) % 8).cast("string"), F.substring(raw, 2, 2), (2 + number(9) % 8).cast("string"), F.substring(raw, 5, 6))
@@ -167,7 +196,7 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str = KEY) -> Colu
     iban = F.concat(F.substring(canon, 1, 2), F.lpad((98 - mod97(account)).cast("string"), 2, "0"), F.substring(account, F.lit(5), F.length(account)))
     secret = _mapped(canon, digest, F.when(canon.rlike("^[0-9a-f]+$"), 6).otherwise(26), F.length(F.regexp_extract(canon, "^(A[KS]IA|gh[pousr]_|sk-)?", 0)))
     out = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "card", card).when(kind == "iban", iban)
-    out = out.when(kind == "phone", F.when(F.length(canon) == 10, ten).otherwise(raw)).when(kind == "ssn", _mapped(canon, digest)).when(kind == "ipv6", _mapped(canon, digest, 6))
+    out = out.when(kind == "phone", F.when(F.length(canon) == 10, ten).otherwise(raw)).when(kind == "ssn", _mapped(canon, digest)).when(kind == "ipv6", ipv6)
     return reduce(lambda acc, kv: acc.when(kind == kv[0], kv[1]), names.items(), out).otherwise(secret)
 
 

@@ -219,3 +219,27 @@ def test_given_names_stay_distinct_across_genders(spark):
     rows = S.assign(entities, cases.scratch(spark)).collect()
     cores = {r.core.lower() for r in rows}
     assert len(rows) == len(cores) == len(names) and not cores & {c for _, c, _ in names}
+
+
+def test_entities_of_all_shapes(spark):
+    texts = [
+        "pay ES9121000418450200051332 EUR or BE68 5390 0754 7034 CZK1 now",
+        "AT611904300234573201 DE89370400440532013000 and XX00 1234 5678 9",
+        "cards 2223000048400011, 2720-9900-0000-0007 and 2223000048400012",
+        "at 2001:db8::1, 2001:0DB8:0:0:0:0:0:1, fe80::a1b2. [fd00::] fdaa::beef ::1 64:ff9b::192.0.2.33 end",
+        "std::vector a::b x[::2] x[1::2] :: Face::Add 12:30:45 ::ffff:192.0.2.7 x",
+    ]
+    docs = spark.createDataFrame([cases.row(i, t) for i, t in enumerate(texts)], cases.SCHEMA)
+    got = {r.doc_id: r for r in S.replace_entities(docs, cases.scratch(spark)).collect()}
+    assert [got[i].n_entities for i in range(5)] == [2, 2, 2, 7, 1]
+    plain = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    a = re.fullmatch(r"pay (ES\d{22}) EUR or (BE\d\d \d{4} \d{4} \d{4}) CZK1 now", got[0].text)
+    b = re.fullmatch(r"(AT\d{18}) (DE\d{20}) and XX00 1234 5678 9", got[1].text)
+    assert {plain(x.replace(" ", "")) for x in (*a.groups(), *b.groups())} == {1}
+    assert not any(x in texts[0] + texts[1] for x in (*a.groups(), *b.groups()))
+    c = re.fullmatch(r"cards (2[3-6]\d{14}), (2[3-6]\d\d-\d{4}-\d{4}-\d{4}) and 2223000048400012", got[2].text)
+    for x in c.groups():
+        assert sum(int(y) if i % 2 else sum(divmod(2 * int(y), 10)) for i, y in enumerate(x.replace("-", ""))) % 10 == 0
+    d = re.fullmatch(r"at (\S+), (\S+), (\S+)\. \[(\S+)\] (\S+) (\S+) (\S+) end", got[3].text).groups()
+    assert d[0].lower() == d[1].lower() and len({x.lower() for x in d}) == 6 and all(re.fullmatch(r"(?:[0-9a-fA-F]{4}:){7}[0-9a-fA-F]{4}", x) for x in d)
+    assert re.fullmatch(r"std::vector a::b x\[::2\] x\[1::2\] :: Face::Add 12:30:45 ::ffff:(\d+\.){3}\d+ x", got[4].text) and "192.0.2.7" not in got[4].text

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import recurrences as R
 from ..functions import series as S
+from .strategy import gate
 
 BY = S.BY
 
@@ -72,12 +73,13 @@ def lorentzian_features(df: DataFrame, by=BY) -> DataFrame:
     return R.by_series(S.numbered(cci(df, 20, by).withColumnRenamed("cci", "f3"), by), made, by)
 
 
-def lorentzian(df: DataFrame, features: list[str], back: int = 2000, k: int = 8, every: int = 4, by=BY) -> DataFrame:
+def lorentzian(df: DataFrame, features: list[str], back: int = 2000, k: int = 8, every: int = 4, warm: bool = True, by=BY) -> DataFrame:
     """distance (mean over the k nearest) and signal of each bar among every fourth of the ``back`` bars before it.
 
     The distance is the sum of ln(1 + difference). Bars with a feature missing are no neighbours and have none; the
     signal is 1 where the nearest bar's distance lies below the mean by more than the deviation of the k distances,
     -1 where the bar before lies above it by more than that; ties go to the earlier bar.
+    If ``warm``, the signal of a series' first ``back`` bars is 0.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,6 +94,8 @@ def lorentzian(df: DataFrame, features: list[str], back: int = 2000, k: int = 8,
                 near = np.sort(far)[:k]
                 mean[i] = near.mean()
                 last = np.log1p(np.abs(x[i - 1] - x[i])).sum() if whole[i - 1] else np.nan
+                if warm and at[i] < back:
+                    continue
                 signal[i] = 1 if last < mean[i] - near.std() else -1 if last > mean[i] + near.std() else 0
         return pdf.assign(distance=mean, signal=signal.astype("int32"))
 
@@ -99,18 +103,54 @@ def lorentzian(df: DataFrame, features: list[str], back: int = 2000, k: int = 8,
     return out.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
 
 
+def lorentzian_signal(
+    df: DataFrame, back: int = 2000, k: int = 8, every: int = 4, warm: bool = True, volatility: bool = True, slope: float | None = None, adx: float | None = None, ema: int | None = None, sma: int | None = None, by=BY,
+) -> DataFrame:
+    """signal of the five features, 0 unless the kernel rises and all filters that are asked for hold.
+
+    volatility: ATR 14 above ATR 28; slope: the close's change over five bars above it; adx: ADX 14 at least it;
+    ema, sma: the close above its average of so many bars. A filter that has no value yet doesn't hold.
+    """
+    from ..functions.indicators import kernel_regression
+
+    hlc = lambda p: [p[c].to_numpy(float) for c in ("high", "low", "close")]
+    made = {"_a14": lambda p: R.atr(*hlc(p), 14), "_a28": lambda p: R.atr(*hlc(p), 28)} if volatility else {}
+    if adx is not None:
+        made["_adx"] = lambda p: R.directional(*hlc(p), 14)[2]
+    if ema is not None:
+        made["_ema"] = lambda p: R.ema(p["close"].to_numpy(float), ema)
+    rows = lorentzian_features(df, by).withColumn("kernel", kernel_regression(by=by))
+    rows = lorentzian(R.by_series(rows, made, by) if made else rows, ["f1", "f2", "f3", "f4", "f5"], back, k, every, warm, by)
+    close, ok = F.col("close"), F.col("kernel") > S.lag("kernel", 1, by)
+    if volatility:
+        ok = ok & (F.col("_a14") > F.col("_a28"))
+    if slope is not None:
+        ok = ok & (close - S.lag("close", 5, by) > slope)
+    if adx is not None:
+        ok = ok & (F.col("_adx") >= adx)
+    if ema is not None:
+        ok = ok & (close > F.col("_ema"))
+    if sma is not None:
+        ok = ok & (close > S.full(S.sma("close", sma, by), "close", sma, by))
+    return rows.withColumn("signal", S.gated("signal", ok).cast("int")).drop(*made)
+
+
 def logistic(df: DataFrame, lookback: int = 10, rate: float = 0.0009, iterations: int = 1000, by=BY) -> DataFrame:
     """loss and pred of a one-weight logistic fit on each full window of prices, ln(abs(p * p - 1) + 0.5) being the target.
 
     Both are brought to 0 to 1 within the window unless constant. All in the JVM: a fold over the iterations.
     """
-    w = S.last_rows(lookback, by)
+    return _fitted(df, S.last_rows(lookback, by), lookback, rate, iterations).filter(F.col("loss").isNotNull())
+
+
+def _fitted(df: DataFrame, w: WindowSpec, lookback: int, rate: float, iterations: int, least: float = 0.0, share: float = 0.0) -> DataFrame:
+    """loss and pred of the window's fit, null unless it is full; it is constant if its span is at most least + share * low."""
     rows = df.withColumn("_y0", F.log(F.abs(F.col("close") * F.col("close") - 1) + 0.5))
-    rows = rows.withColumns({"_x": F.collect_list("close").over(w), "_y": F.collect_list("_y0").over(w)}).filter(F.size("_x") >= lookback)
+    rows = rows.withColumns({"_x": F.collect_list("close").over(w), "_y": F.collect_list("_y0").over(w)})
 
     def scaled(a: str) -> Column:
         low, high = F.array_min(a), F.array_max(a)
-        return F.when(high > low, F.transform(a, lambda v: (v - low) / (high - low))).otherwise(F.col(a))
+        return F.when(high - low > least + share * F.abs(low), F.transform(a, lambda v: (v - low) / (high - low))).otherwise(F.col(a))
 
     rows = rows.withColumns({"_x": scaled("_x"), "_y": scaled("_y")})
 
@@ -123,10 +163,44 @@ def logistic(df: DataFrame, lookback: int = 10, rate: float = 0.0009, iterations
         return F.struct((acc["w"] - rate * grad).alias("w"), loss.alias("loss"))
 
     fitted = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("loss")), step)
-    rows = rows.withColumn("_f", fitted)
+    rows = rows.withColumn("_f", F.when(F.size("_x") >= lookback, fitted))
     return rows.withColumn("loss", F.col("_f.loss")).withColumn("pred", S.sigmoid(F.col("_f.w") * F.element_at("_x", -1))).drop("_x", "_y", "_y0", "_f")
 
 
+def logistic_signal(
+    df: DataFrame, lookback: int = 3, scale: int = 2, rate: float = 0.0009, iterations: int = 1000, price: bool = True, volatility: bool = False, volume: bool = False, holding: int = 5, by=BY,
+) -> DataFrame:
+    """signal: 1 where the close lies above the loss of a fit on the bars before, -1 where below; a tie keeps the last signal.
+
+    Without ``price`` the prediction takes the close's place. Loss and prediction are scaled by the range of the
+    ``scale`` closes before. Bars that fail the gates asked for are 0, as is each one that would make a signal last
+    longer than ``holding`` bars after its first.
+    """
+    w = S.order(by).rowsBetween(-lookback, -1)
+    rows = _fitted(df, w, lookback, rate, iterations, 1e-8, 1e-5)
+    before = S.order(by).rowsBetween(-scale, -1)
+    low, high = F.min("close").over(before), F.max("close").over(before)
+    flat = (F.count("close").over(before) < 2) | (high - low <= 1e-8 + 1e-5 * F.abs(low))
+    scaled = lambda x: F.when(flat, F.col(x)).otherwise((high - low) * (F.col(x) - low) / (high - low) + low)
+    rows = rows.withColumns({"_loss": scaled("loss"), "_value": F.col("close") if price else scaled("pred")})
+    rows = gate(rows, volatility, volume, by) if volatility or volume else rows.withColumn("gate", F.lit(True))
+
+    def run(pdf: pd.DataFrame) -> np.ndarray:
+        out, last, n = np.zeros(len(pdf)), 0, 0
+        for i, (x, loss, ok) in enumerate(zip(pdf["_value"].to_numpy(float), pdf["_loss"].to_numpy(float), pdf["gate"].to_numpy(bool), strict=True)):
+            if i < lookback:
+                n += 1
+                continue
+            new = (-1 if x < loss else 1 if x > loss else last) if ok else 0
+            n = n + 1 if new == last else 0
+            if n >= holding and new:
+                new, n = 0, 0
+            out[i] = last = new
+        return out
+
+    return R.by_series(rows, {"signal": run}, by).withColumn("signal", F.col("signal").cast("int")).drop("_loss", "_value", "gate")
+
+
 def direction_label(ahead: int = 4, by=BY) -> Column:
     """1 if the close rises over the bars ahead, else -1; 0 where there are too few."""
     later = F.lead("close", ahead).over(S.order(by))

@@ -158,9 +158,8 @@ def lorentzian_neighbors(spark, sf):
 
 @query()
 def lorentzian_signal(spark, sf):
-    """All five features and the kernel's rise as a gate."""
-    rows = L.lorentzian(L.lorentzian_features(bars_1h(spark, sf)).withColumn("kernel", I.kernel_regression()), ["f1", "f2", "f3", "f4", "f5"], back=400)
-    return rows.select("market", "ts", S.gated("signal", F.col("kernel") > S.lag("kernel")).cast("int").alias("signal"))
+    """All five features, gated by the kernel's rise and by volatility."""
+    return L.lorentzian_signal(bars_1h(spark, sf), back=400).select("market", "ts", "signal")
 
 
 @query(f"""{H1}, w AS (SELECT market, ts, list(close) OVER {Q.rows(10)} AS xs, list(ln(abs(close * close - 1) + 0.5)) OVER {Q.rows(10)} AS ys FROM b),

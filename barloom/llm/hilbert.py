@@ -115,9 +115,29 @@ def shards(df: DataFrame, dims: list[str], order: list[str], scratch: Scratch, n
     return placed.withColumn("slot", slot.cast("int")).select(*df.columns, "curve", "shard", "slot")
 
 
+def described(docs: DataFrame) -> DataFrame:
+    """docs with ``size`` and ``text_crc32``; a null text has no bytes, so size 1 and the checksum 0."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(F.encode(body, "UTF-8"))})
+
+
 def write_shards(df: DataFrame, placed: DataFrame, key: str, path: str) -> None:
-    """Write df's rows as Parquet, a folder a shard, in the order of slots; placed has key, shard and slot."""
-    joined = df.join(placed.select(key, "shard", "slot"), key)
+    """Write df's rows as Parquet, a folder a shard, in the order of slots; placed has key, shard and slot.
+
+    A row meets its place by all columns that both have, for documents by size and checksum too; rows equal in
+    these take the places one each, so that null and repeated keys stay as many as they are.
+    """
+    rows = described(df) if {"size", "text_crc32"} <= set(placed.columns) and "text" in df.columns and not {"size", "text_crc32"} & set(df.columns) else df
+    if key not in df.columns or key not in placed.columns:
+        raise ValueError(f"{key} must be a column of both frames")
+    both = [c for c in rows.columns if c in placed.columns and c not in ("shard", "slot")]
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*both).orderBy(F.xxhash64(*df.columns))))
+    places = placed.withColumn("_m", F.row_number().over(Window.partitionBy(*both).orderBy("shard", "slot")))
+    places = places.select(*[F.col(c).alias(f"_at_{c}") for c in both], "_m", "shard", "slot")
+    same = F.col("_n") == F.col("_m")
+    for c in both:
+        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    joined = rows.drop("shard", "slot").join(places, same).select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
@@ -127,6 +147,5 @@ def document_shards(docs: DataFrame, scratch: Scratch, n: int = SHARDS) -> DataF
     A null text has no bytes, so size 1 and the checksum 0. Null dimensions lie in the lowest cell. Rows that
     repeat, or share a doc_id, are placed one by one. Equal texts of one cell lie together only by chance.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
+    rows = described(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "size", "text_crc32")
     return shards(rows, ["source", "lang", "size"], ["doc_id", "text_crc32", "size"], scratch, n)

@@ -243,3 +243,13 @@ def test_entities_of_all_shapes(spark):
     d = re.fullmatch(r"at (\S+), (\S+), (\S+)\. \[(\S+)\] (\S+) (\S+) (\S+) end", got[3].text).groups()
     assert d[0].lower() == d[1].lower() and len({x.lower() for x in d}) == 6 and all(re.fullmatch(r"(?:[0-9a-fA-F]{4}:){7}[0-9a-fA-F]{4}", x) for x in d)
     assert re.fullmatch(r"std::vector a::b x\[::2\] x\[1::2\] :: Face::Add 12:30:45 ::ffff:(\d+\.){3}\d+ x", got[4].text) and "192.0.2.7" not in got[4].text
+
+
+def test_written_shards_keep_null_and_repeated_ids(spark, tmp_path):
+    docs = cases.documents(spark, [*[cases.row(None, f"none {'x' * i}") for i in range(5)], *[cases.row(5000, "same")] * 3, cases.row(5000, "other " * 50), cases.row(None, None)])
+    placed = H.document_shards(docs, cases.scratch(spark), 4)
+    H.write_shards(docs, placed, "doc_id", f"{tmp_path}/all")
+    back = spark.read.parquet(f"{tmp_path}/all")
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    row = lambda r: str((r.doc_id, r.size, r.text_crc32, r.shard, r.slot))
+    assert sorted(map(row, H.described(back).collect())) == sorted(map(row, placed.collect()))

@@ -15,6 +15,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     A step is an aggregate with partial sums and a join of many rows to one, each round a written table.
     """
     edges = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = _summary(edges)
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
@@ -26,10 +27,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         both = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
         out = small.select(both.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         new = scratch.keep(out, "edges")
-        same = _summary(new) == _summary(edges)
         scratch.drop(edges)
-        edges = new
-        if same:
+        edges, last, before = new, before, _summary(new)
+        if before == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 

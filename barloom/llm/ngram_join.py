@@ -1,39 +1,50 @@
 """N-gram Jaccard join on prefixes of token combinations.
 
-Documents are sets of word shingles. The shingles of all documents have one order: rare ones first, by a sketch
-of document frequencies, then by hash. Two sets as alike as the threshold share a shingle among the first few of
-each; "few" is what one set may lack of the other, and one more. A rare shingle is indexed by itself. Frequent
-shingles are dealt into classes and indexed by pairs within a class; as a pair is lost with either of its two,
-the prefix is extended until the pairs outnumber what may be lacking. An entry carries how many shingles lie before
-it that the two can't share, as they would have met at one of those; if that leaves too few, the two are no pair.
-What remains is verified on the whole sets.
-
-Equal sets are one node. Of an index entry's nodes only those in different components need comparing: first each
-node with one hub, then, entry by entry and a few hubs at a time, all that still lie apart. So a group of copies
-costs a star and not all its pairs, and no link between components is missed.
+Documents are sets of word shingles; equal sets are one node. The shingles of all documents have one order: those in
+the fewest nodes first, then by hash. Two sets as alike as the threshold share a shingle among the first few of each;
+"few" is what one set may lack of the other, and one more. A rare shingle is indexed by itself. Frequent shingles are
+dealt into classes and indexed by pairs within a class; as a pair is lost with either of its two, the prefix is
+extended until the pairs outnumber what may be lacking. An entry carries how many shingles lie before it that the two
+can't share, as they would have met at one of those; if that leaves too few, the two are no pair. What remains is
+verified on the whole sets.
+
+The node counts are exact and come from a shuffle, not from a sketch: nothing here grows in a task or on the driver
+with the number of documents. A node sends only its shingles in the lower part of the hash space where these are
+enough for its prefix and the pairs behind it, else all; the join is done in the lower part, and once more in the
+whole space among the nodes that sent all. A shingle of one node needs no answer: the node knows how many it sent.
+Shingles that a fixed share of all documents has are found first, are few whatever the input, and don't meet by hash.
+
+Of an index entry's nodes only those in different components need comparing: first each node with one hub, then,
+entry by entry and a few hubs at a time, all that still lie apart. So a group of copies costs a star and not all its
+pairs, and no link between components is missed.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import NON_SPACE, Words, mix, shingle_sets, word_runs
+from ._text import NON_SPACE, mix, shingle_sets, word_runs
 from .components import components
 
 SHINGLE = 5
 #: links need 100 * intersection >= PERCENT * union
 PERCENT = 80
-#: the document-frequency sketch has 2 ** 16 to 2 ** 26 counters of a byte, about so many for each document
-COUNTERS = 64
-_CHUNK_BITS = 16
+#: shingles of more nodes are indexed in pairs
+FREQUENT = 32
+#: nodes send the shingles below this part of the hash space, in eighths, if these are enough
+LOW = 3
+#: a shingle in one of so many documents is hot: at most so many times the shingles of a mean document are
+HOT = 250
+#: node counts are exact up to here; hot shingles come behind, by their counts
+MOST = 1 << 20
+#: hashes of one count of hot shingles
+_CHUNK = 2_000_000
 #: hubs of an index entry in the rounds after the first; then four times as many each
 HUBS = 4
 
@@ -58,85 +69,29 @@ def _set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * _PAIR[0]).view(np.int64)
 
 
-def _count_rows(counts: np.ndarray) -> pa.RecordBatch:
-    """A task's counters, a chunk a row; a counter stops at 255."""
-    small, step = np.minimum(counts, 255).astype(np.uint8), min(len(counts), 1 << _CHUNK_BITS)
-    chunks = [zlib.compress(small[i : i + step].tobytes(), 1) for i in range(0, len(counts), step)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "counts"])
+def reach(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """So many shingles of a set of n hold its prefix and, were all frequent, as many pairs as it needs."""
+    edges = _band_edges(percent)
+    return lacking(n, percent) + 1 + np.maximum(1, lacking(edges[np.searchsorted(edges, n, "right")], percent) // 3)
 
 
-def _summed(rows: DataFrame, bits: int) -> dict[int, bytes]:
-    """All tasks' counters added up, by chunk and part of the tasks, then by chunk: 2 ** bits numbers in all, packed."""
-    step = min(1 << bits, 1 << _CHUNK_BITS)
+def _is_low(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(61)) < LOW
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = _unpacked(x, step)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    once = rows.repartition(16, F.col("chunk"), F.pmod(F.xxhash64("counts"), F.lit(4))).mapInArrow(add, "chunk int, counts binary")
-    return {r["chunk"]: bytes(r["counts"]) for r in once.repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary").collect()}
-
-
-def _unpacked(x: bytes, step: int) -> np.ndarray:
-    x = zlib.decompress(x)
-    return np.frombuffer(x, np.uint8 if len(x) == step else "<u4").astype(np.uint32)
-
-
-@dataclass
-class Rarity:
-    """A byte for each counter that grows with the count."""
-
-    levels: np.ndarray
-    shared: int  # shingles of lower levels are in one document
-    frequent: int  # shingles from this level on are in more documents than the mean load explains
-
-
-def rarity(chunks: dict[int, bytes], bits: int) -> Rarity:
-    step, levels = min(1 << bits, 1 << _CHUNK_BITS), np.zeros(1 << bits, np.uint8)
-    mean = sum(int(_unpacked(x, step).sum()) for x in chunks.values()) / (1 << bits)
-    frequent = mean + 4 * np.sqrt(mean) + 12
-    scale = max(1.0, frequent / 100)
-    for k, x in chunks.items():
-        counts = _unpacked(x, step)
-        levels[k * step : (k + 1) * step] = np.where(counts < frequent, np.minimum(counts / scale, 100), 101 + np.minimum(8 * np.log2(np.maximum(counts / frequent, 1)), 150))
-    return Rarity(levels, 2 if scale == 1 else 0, 101)
-
-
-def _present(chunks: dict[int, bytes], bits: int) -> np.ndarray:
-    step, out = min(1 << bits, 1 << _CHUNK_BITS), np.zeros(1 << bits, bool)
-    for k, x in chunks.items():
-        out[k * step : (k + 1) * step] = _unpacked(x, step) > 0
-    return out
-
-
-def _ranked(hashes: np.ndarray, at: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sets in the order of all shingles: document, hash, level."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    level = levels[hashes & np.uint64(len(levels) - 1)]
-    key = (doc.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32))
-    order = np.argsort(key, kind="stable")
-    return doc, hashes[order], level[order]
 
+def signatures(doc: np.ndarray, h: np.ndarray, level: np.ndarray, alone: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, index entry, lead) for the prefixes of documents of n shingles, of which ``alone`` are in no other.
 
-def signatures(hashes: np.ndarray, at: np.ndarray, order_of: Rarity, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, index entry, lead) for the prefixes of the sets hashes[at[k]:at[k + 1]].
-
-    Two documents whose first common shingle in the order of all is this entry's have none in common among the
-    ``lead`` ones before it; in front of a pair of frequent shingles those are all rare ones, as a common rare one
-    has an entry of its own. A shingle that no other document has takes its place and needs no entry.
+    doc, h and level are the other shingles, by document and then in the order of all. Two documents whose first
+    common shingle is this entry's have none in common among the ``lead`` ones before it; in front of a pair of
+    frequent shingles those are all rare ones, as a common rare one has an entry of its own.
     """
-    n = np.diff(at)
-    doc, h, level = _ranked(hashes, at, order_of.levels)
     need = lacking(n, percent) + 1
-    rare = level < order_of.frequent
-    place = np.arange(len(h)) - at[:-1][doc]
-    single = rare & (place < need[doc]) & (level >= order_of.shared)
+    rare = level <= FREQUENT
+    place = alone[doc] + np.arange(len(h)) - np.searchsorted(doc, doc, "left")
+    single = rare & (place < need[doc])
     docs, entries, leads = [doc[single]], [h[single]], [place[single]]
-    n_rare = np.bincount(doc[rare], minlength=len(n))
+    n_rare = alone + np.bincount(doc[rare], minlength=len(n))
     more = need - n_rare
     open_ = (more[doc] > 0) & ~rare
     if open_.any():
@@ -177,128 +132,243 @@ def may_link(n: np.ndarray, lead: np.ndarray, m: np.ndarray, ahead: np.ndarray,
     return 100 * most >= percent * (n + m - most)
 
 
-def _keys(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """A row a document (doc_id, n, node), and rows with the task's counters (chunk, counts)."""
+def _keys(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row a document (doc_id, n, low, node), and rows of shingles that may be hot (shingle, times)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, total, waiting, held = ["doc_id", "n", "node", "chunk", "counts"], np.zeros(1 << bits, np.uint32), [], 0
+        names, seen, waiting, held, sets = ["doc_id", "n", "low", "node", "shingle", "times"], set(), [], 0, 0
 
-        def count() -> None:
-            x, times = np.unique(np.concatenate(waiting) & np.uint64((1 << bits) - 1), return_counts=True)
-            total[x] += times.astype(np.uint32)
+        def common() -> pa.RecordBatch:
+            x, times = np.unique(np.concatenate(waiting), return_counts=True)
+            x, times = x[(often := times >= max(4, sets // (2 * HOT)))], times[often]
+            none = pa.nulls(len(x), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(x.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
         for b in batches:
             for words in word_runs(b.column(1), NON_SPACE):
                 hashes, at = shingle_sets(words, shingle)
-                n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, words.n_docs).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_set_keys(hashes, at)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-                waiting.append(hashes)
-                held += len(hashes)
-                if held > 2_000_000:
-                    count()
-                    waiting, held = [], 0
-        if waiting:
-            count()
-        if total.any():
-            chunks = _count_rows(total)
-            k = chunks.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *chunks.columns], names)
-
-    return docs.mapInArrow(make, "doc_id long, n long, node long, chunk int, counts binary")
-
-
-def _sets(words: Words, shingle: int, least: int, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets of at least ``least`` shingles that the task has not seen: hashes, bounds, nodes."""
-    hashes, at = shingle_sets(words, shingle)
-    nodes, n = _set_keys(hashes, at), np.diff(at)
+                n, none = np.diff(at), pa.nulls(words.n_docs, pa.int64())
+                nodes = _set_keys(hashes, at)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, words.n_docs).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_low_counts(hashes, at)), pa.array(nodes), none, none], names)
+                new = _unseen(nodes, n, 1, seen)
+                waiting.append(hashes[np.repeat(new, n)])
+                held, sets = held + len(waiting[-1]), sets + int(new.sum())
+                if held > _CHUNK:
+                    yield common()
+                    waiting, held, sets = [], 0, 0
+        if held:
+            yield common()
+
+    return docs.mapInArrow(make, "doc_id long, n long, low long, node long, shingle long, times long")
+
+
+def _low_counts(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(_is_low(hashes))])
+    return (sums[at[1:]] - sums[at[:-1]]).astype(np.int64)
+
+
+def _unseen(nodes: np.ndarray, n: np.ndarray, least: int, seen: set[int]) -> np.ndarray:
+    """Which sets have at least ``least`` shingles and are new to the task."""
     new = n >= least
     for k in np.flatnonzero(new).tolist():
         if (x := int(nodes[k])) in seen:
             new[k] = False
         else:
             seen.add(x)
-    if not new.all():
-        hashes = hashes[np.repeat(new, n)]
-        at = np.concatenate([[0], np.cumsum(n[new])])
-    return hashes, at, nodes[new]
+    return new
+
+
+def _hot(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hot shingles in ascending order, and their counts.
+
+    A shingle in twice a hot one's share of the documents is in its part of the documents of so many chunks that
+    the sum shows it. As documents have a mean size, there are at most HOT times as many hot ones.
+    """
+    total = keys.filter("shingle is null").count()
+    found = keys.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(FREQUENT + 1, total // HOT)).toArrow()
+    h, times = found.column("shingle").to_numpy().view(np.uint64), found.column("times").to_numpy()
+    order = np.argsort(h)
+    return h[order], times[order]
+
+
+SENT = "hash long, node long, level int"
 
 
-def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
+def _sent(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], shingle: int, least: int, percent: int) -> DataFrame:
+    """(hash, node, level) of the shingles that nodes send; level is 0 but for hot ones."""
+    known = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        keys, times = known.value
+        for b in batches:
+            for words in word_runs(b.column(0), NON_SPACE):
+                hashes, at = shingle_sets(words, shingle)
+                n, nodes = np.diff(at), _set_keys(hashes, at)
+                new = _unseen(nodes, n, least, seen)
+                whole = new & (_low_counts(hashes, at) < reach(n, percent))
+                send = np.repeat(whole, n) | (np.repeat(new, n) & _is_low(hashes))
+                h, node, level = hashes[send], np.repeat(nodes, n)[send], np.zeros(int(send.sum()), np.int32)
+                if len(keys):
+                    k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    level = np.where(keys[k] == h, MOST + np.minimum(times[k], 1 << 30), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(level)], ["hash", "node", "level"])
+
+    return texts.mapInArrow(make, SENT)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by hash and node: those of hashes with more than one node, with their number as the
+    level. Rows of one hash are held up to MOST; those of a longer one pass with that level."""
+    held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
+    long_hash, last = None, None
+
+    def out(h: np.ndarray, node: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        new = first.copy()
+        new[1:] |= node[1:] != node[:-1]
+        if long_hash is not None and len(h) and h[0] == long_hash and node[0] == last:
+            new[0] = False  # the node's copy has gone before
+        group = np.cumsum(first) - 1
+        times = np.bincount(group[new], minlength=int(first.sum()))
+        if long_hash is not None and len(h) and h[0] == long_hash:
+            times[0] = MOST
+        times = np.minimum(times, MOST)[group]
+        keep = new & ((level > 0) | (times > 1))
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(np.where(level > 0, level, times)[keep].astype(np.int32)), pa.array(h[keep])], ["node", "level", "hash"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, node, level = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns, strict=True))
+        end = int(np.searchsorted(h, h[-1], "left"))
+        if len(h) - end > MOST or h[-1] == long_hash:
+            end = len(h)
+        if end:
+            # a hash of which MOST rows are held, or have gone, is a long one
+            if end == len(h) and h[-1] != long_hash:
+                begin = int(np.searchsorted(h, h[-1], "left"))
+                if begin:
+                    yield out(h[:begin], node[:begin], level[:begin])
+                h, node, level, end = h[begin:], node[begin:], level[begin:], end - begin
+                long_hash, last = h[-1], None
+            yield out(h[:end], node[:end], level[:end])
+            if h[end - 1] == long_hash:
+                last = node[end - 1]
+        held = h[end:], node[end:], level[end:]
+    if len(held[0]):
+        yield out(*held)
+
+
+ENTRIES = "entry long, node long, n int, lead int"
+
+
+def _index(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Index entries of the nodes of a partition sorted by node and level; a node's first row has the level -1
+    and its sizes."""
+    held, enough = None, 200_000
+    for b in batches:
+        held = pa.concat_tables([held, pa.Table.from_batches([b])]) if held is not None else pa.Table.from_batches([b])
+        if held.num_rows < enough:
+            continue
+        node = held.column(0).to_numpy()
+        end = int(np.searchsorted(node, node[-1], "left"))
+        enough = 200_000 if end else 2 * held.num_rows
+        if end:
+            yield _entries(held.slice(0, end), percent)
+            held = held.slice(end)
+    if held is not None and held.num_rows:
+        yield _entries(held, percent)
+
+
+def _entries(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    node, level, hash_ = (rows.column(k).to_numpy() for k in range(3))
+    head = level < 0
+    sizes = hash_[head]
+    nodes, n, low = node[head], sizes >> 32, sizes & 0xFFFFFFFF
+    doc, level, h = (np.cumsum(head) - 1)[~head], level[~head], hash_[~head].view(np.uint64)
+    doc = doc.astype(np.int64)
+    # the order of hashes is the unsigned one
+    order = np.lexsort((h, level, doc))
+    doc, level, h = doc[order], level[order], h[order]
+    lower = _is_low(h)
+    both = [(doc[lower], h[lower], level[lower], low, 0)]
+    if (whole := low < reach(n, percent)).any():
+        every = whole[doc]
+        both.append((doc[every], h[every], level[every], n, 1))
+    parts = []
+    for d, x, y, sent, k in both:
+        e_doc, entry, lead = signatures(d, x, y, sent - np.bincount(d, minlength=len(n)), n, percent)
+        # entries of the whole space are others than those of the lower part
+        parts.append((e_doc, mix(entry ^ _PAIR[0]) if k else entry, lead))
+    d, entry, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(nodes[d]), pa.array(n[d].astype(np.int32)), pa.array(lead.astype(np.int32))], ["entry", "node", "n", "lead"])
+
+
+def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; a text of fewer words than a shingle is
     one shingle; a text without words, or null, links with nothing and is its own component. Rows with a null
     doc_id get a null component and link nothing. Rows of one doc_id are each taken by their own text.
     """
-    spark = docs.sparkSession
     scan = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bits = bits or min(26, max(16, (COUNTERS * docs.count()).bit_length()))
-    keys = scratch.keep(_keys(scan, shingle, bits), "keys")
-    rows = keys.filter("chunk is null").select("doc_id", "n", "node")
-    # 2 ** bits bytes whatever the input
-    order = spark.sparkContext.broadcast(rarity(_summed(keys.filter("chunk is not null").select("chunk", "counts"), bits), bits))
+    keys = scratch.keep(_keys(scan, shingle), "keys")
+    rows = keys.filter("shingle is null").select("doc_id", "n", "low", "node")
     # below this size only equal sets are as alike as the threshold
     least = next(n for n in range(1, 10_000) if lacking(np.int64(n + 1), percent) > 0)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            for words in word_runs(b.column(0), NON_SPACE):
-                hashes, at, nodes = _sets(words, shingle, least, seen)
-                d, entry, lead = signatures(hashes, at, order.value, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(nodes[d]), pa.array(np.diff(at)[d].astype(np.int32)), pa.array(lead.astype(np.int32))], ["entry", "node", "n", "lead"])
-
-    linked = scan.filter("doc_id is not null").select("text")
-    dealt = linked.mapInArrow(index, "entry long, node long, n int, lead int").repartition("entry").sortWithinPartitions("entry", "lead", "n", "node")
+    linked = scan.filter("doc_id is not null")
+    sent = _sent(linked.select("text"), _hot(keys), shingle, least, percent)
+    counted = sent.repartition(F.when(F.col("level") == 0, F.col("hash")).otherwise(F.col("node"))).sortWithinPartitions("hash", "node").mapInArrow(_counted, "node long, level int, hash long")
+    sizes = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") >= least)).groupBy("node").agg(F.first("n").alias("n"), F.first("low").alias("low"))
+    sizes = sizes.select("node", F.lit(-1).alias("level"), (F.shiftleft("n", 32) + F.col("low")).alias("hash"))
+    prefixes = counted.union(sizes).repartition("node").sortWithinPartitions("node", "level").mapInArrow(lambda batches: _index(batches, percent), ENTRIES)
+    dealt = prefixes.repartition("entry").sortWithinPartitions("entry", "lead", "n", "node")
     groups = scratch.keep(dealt.mapInArrow(lambda batches: _useful(batches, percent), GROUPS), "index")
-    sets = _indexed_sets(linked, groups, scratch, shingle, least, bits)
+    sets = _indexed_sets(linked, rows, groups, scratch, shingle)
 
     # each node with the hub that it shares most entries with
     stars = groups.filter("hub is not null").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    links = scratch.keep(_verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent), "links")
-    done, hubs = 0, HUBS
+    links = _verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent)
+    labels, done, hubs = scratch.keep(components(links, scratch), "labels"), 0, HUBS
     apart = groups.select("entry", "node", "n", "lead", "place")
     while True:
-        labels = scratch.keep(components(links, scratch), "labels")
         named = apart.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        each = Window.partitionBy("entry")
-        named = named.withColumns({"lo": F.min("label").over(each), "hi": F.max("label").over(each), "most": F.max("place").over(each)})
-        kept = scratch.keep(named.filter(F.col("lo") != F.col("hi")).filter(F.col("most") > done + 1).select("entry", "node", "n", "lead", "place", "label"), "apart")
-        if kept.isEmpty():
+        each = named.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("most"))
+        still = each.filter((F.col("lo") != F.col("hi")) & (F.col("most") > done + 1)).select("entry")
+        apart = scratch.keep(named.join(still, "entry", "left_semi").select("entry", "node", "n", "lead", "place", "label"), "apart")
+        if apart.isEmpty():
             break
-        pairs = _across(kept, done, done + hubs, percent)
-        more = scratch.keep(_verified(pairs.distinct(), sets, percent), "links")
-        links, done, hubs, apart = links.select("a", "b").union(more.select("a", "b")), done + hubs, 4 * hubs, kept
-    first = rows.filter("doc_id is not null and n > 0").join(labels, "node", "left") if labels is not None else rows
-    first = first.withColumn("label", F.coalesce("label", "node"))
+        more = _verified(_across(apart, done, done + hubs, percent), sets, percent)
+        # components of the components
+        name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_of"))
+        more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+        new = scratch.keep(components(more, scratch), "joined")
+        moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+        labels = scratch.keep(moved.unionByName(new.join(labels, "node", "left_anti")), "labels")
+        done, hubs = done + hubs, 4 * hubs
+    first = rows.filter("doc_id is not null and n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_id = first.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = first.groupBy("node").agg(F.first("label").alias("label")).join(least_id, "label").select("node", "component_id")
     out = rows.join(by_node, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _indexed_sets(texts: DataFrame, groups: DataFrame, scratch: Scratch, shingle: int, least: int, bits: int) -> DataFrame:
-    """(node, hashes) of the nodes in groups, and of a few others: a bit map of fixed size tells them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint8)
-        for b in batches:
-            total[b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)] = 1
-        yield _count_rows(total)
-
-    there = texts.sparkSession.sparkContext.broadcast(_present(_summed(groups.select("node").distinct().mapInArrow(count, "chunk int, counts binary"), bits), bits))
+def _indexed_sets(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
+    """(node, hashes) of the nodes in groups, from the texts of one document each."""
+    nodes = scratch.keep(groups.select("node").distinct(), "nodes")
+    ids = rows.filter("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
             for words in word_runs(b.column(0), NON_SPACE):
-                hashes, at, nodes = _sets(words, shingle, least, seen)
-                hit = np.flatnonzero(there.value[nodes.view(np.uint64) & np.uint64((1 << bits) - 1)])
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([hashes[at[k] : at[k + 1]].view(np.int64) for k in hit.tolist()], pa.list_(pa.int64()))], ["node", "hashes"])
+                hashes, at = shingle_sets(words, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_keys(hashes, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "hashes"])
 
     made = texts.mapInArrow(make, "node long, hashes array<long>")
-    nodes = groups.select("node").distinct()
     return scratch.keep(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -314,8 +384,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 GROUPS = "entry long, node long, n int, lead int, place int, hub long"
 #: an entry of more nodes is taken row by row
 _AT_ONCE = 2048
-#: pairs that a task remembers before it forgets all
-_TOLD = 1_000_000
 
 
 def _useful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -383,40 +451,10 @@ def _checked(entry: np.ndarray, node: np.ndarray, n: np.ndarray, lead: np.ndarra
 
 
 def _across(apart: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs of an entry's nodes that may link and lie in different components, for the entry's hubs at places
-    low + 1 to high.
-
-    Entries come in runs of a sorted partition; only the hubs of one are held. Entries that begin with the same node
-    are often of one family and repeat its pairs, so they go to the same few tasks, and a task tells a pair once
-    while it remembers it.
-    """
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, hubs = None, np.zeros((4, 0), np.int64)
-        told: set[tuple[int, int]] = set()
-        for b in batches:
-            e, *rows = (c.to_numpy() for c in b.columns)
-            node, n, lead, place, label = rows
-            begin = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else []
-            for a, z in zip(begin, [*begin[1:], len(e)], strict=True):
-                if e[a] != entry:
-                    entry, hubs = e[a], np.zeros((4, 0), np.int64)
-                new = (place[a:z] > low) & (place[a:z] <= high)
-                hubs = np.concatenate([hubs, np.stack([x[a:z][new].astype(np.int64) for x in (node, n, lead, label)])], axis=1)
-                for i in range(0, hubs.shape[1], 64):
-                    h, m, ahead, other = hubs[:, i : i + 64]
-                    rest = np.flatnonzero(place[a:z] > low) + a
-                    ok = may_link(n[rest][:, None], lead[rest][:, None], m, ahead, percent) & (label[rest][:, None] != other) & (node[rest][:, None] != h)
-                    x, y = np.nonzero(ok)
-                    left, right = node[rest][x], h[y]
-                    new = set(zip(np.maximum(left, right).tolist(), np.minimum(left, right).tolist(), strict=True)) - told
-                    if new:
-                        if len(told) > _TOLD:
-                            told.clear()
-                        told |= new
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], ["a", "b"])
-
-    family = F.min_by("node", "place").over(Window.partitionBy("entry"))
-    dealt = apart.withColumn("family", family).repartition("family", F.pmod("entry", F.lit(2))).sortWithinPartitions("entry", "place")
-    dealt = dealt.select("entry", "node", "n", "lead", "place", "label")
-    return dealt.mapInArrow(pair, "a long, b long")
+    """Pairs (a, b) of an entry's nodes that may link and lie in different components, for the entry's hubs at places
+    low + 1 to high: a join of many rows to a few, whose long entries adaptive execution splits."""
+    rows = apart.filter(F.col("place") > low)
+    hubs = rows.filter(F.col("place") <= high).select("entry", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "lead", "label")])
+    most = F.least(F.col("n") - F.col("lead"), F.col("_n") - F.col("_lead"))
+    may = (100 * most >= percent * (F.col("n") + F.col("_n") - most)) & (F.col("label") != F.col("_label")) & (F.col("node") != F.col("_node"))
+    return rows.join(hubs, "entry").filter(may).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()

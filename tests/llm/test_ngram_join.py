@@ -47,21 +47,78 @@ def test_empty(spark):
     assert J.ngram_components(cases.empty(spark), cases.scratch(spark)).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(4, 120), st.integers(0, 40), st.integers(0, 40), st.integers(0, 6), st.integers(0, 3))
-def test_linked_sets_share_an_entry_that_they_may_link_by(n, only_x, only_y, seed, rare):
+def sent(node, hashes, level):
+    """What _index reads of a node whose shingles have these levels (0: in no other node)."""
+    import pyarrow as pa
+
+    low = J._is_low(hashes)
+    whole = low.sum() < J.reach(np.array([len(hashes)]))[0]
+    rows = [(node, -1, len(hashes) << 32 | int(low.sum()))]
+    rows += sorted((node, int(v), int(h)) for h, v, lo in zip(hashes.view(np.int64), level, low, strict=True) if (lo or whole) and v)
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["node", "level", "hash"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(4, 160), st.integers(0, 40), st.integers(0, 40), st.integers(0, 6), st.integers(0, 3))
+def test_linked_sets_share_an_entry_that_they_may_link_by(n, only_x, only_y, seed, kind):
     """Whatever the levels, two sets as alike as the threshold meet, and the bound lets them pass."""
+    import pyarrow as pa
+
     rnd = np.random.default_rng(seed * 1000 + n)
     pool = mix(rnd.integers(0, 1 << 62, n + only_x + only_y, dtype=np.uint64))
-    x, y = np.sort(pool[: n + only_x]), np.sort(np.concatenate([pool[:n], pool[n + only_x :]]))
     if 100 * n < 80 * (n + only_x + only_y):
         return
-    levels = rnd.choice([5, 50, 101, 120] if rare == 1 else [101, 130] if rare == 2 else [3, 4, 101], 1 << 8).astype(np.uint8)
-    order = J.Rarity(levels, 0, 101)
-    d, e, lead = J.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), order)
-    of = [dict(zip(e[d == k].tolist(), lead[d == k].tolist(), strict=True)) for k in (0, 1)]
+    levels = rnd.choice([[2, 3], [2, 30, 40, 5000, J.MOST + 9], [33, 40, J.MOST], [0, 2, 33]][kind], len(pool))
+    levels[:n] = np.maximum(levels[:n], 2)  # a shingle of both is in two nodes
+    parts = [slice(0, n + only_x), np.r_[0:n, n + only_x : len(pool)]]
+    batches = [b for k, part in enumerate(parts) for b in sent(k, pool[part], levels[part]).to_batches()]
+    of = [{}, {}]
+    for b in J._index(iter(batches), 80):
+        for r in b.to_pylist():
+            of[r["node"]][r["entry"]] = (r["n"], r["lead"])
     both = of[0].keys() & of[1].keys()
-    assert any(J.may_link(np.int64(len(x)), np.int64(of[0][k]), np.int64(len(y)), np.int64(of[1][k])) for k in both)
+    assert any(J.may_link(*(np.int64(v) for x in of for v in x[k])) for k in both)
+
+
+@pytest.mark.parametrize("most", [3, 1 << 20])
+def test_counts_of_nodes(monkeypatch, most):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "MOST", most)
+    rnd = random.Random(5)
+    rows = sorted((h, rnd.randrange(40), 0) for h in range(30) for _ in range(rnd.choice([1, 2, 3, 9, 30])))
+    rows += [(100, 7, most + 5), (100, 7, most + 5), (101, 1, most + 6)]
+    nodes = {}
+    for h, node, _ in rows:
+        nodes.setdefault(h, set()).add(node)
+    want = {(h, node): min(len(x), most) if h < 100 else most + h - 95 for h, x in nodes.items() for node in x if len(x) > 1 or h >= 100}
+    for size in (1, 2, 7, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["hash", "node", "level"]) for i in range(0, len(rows), size)]
+        got = [((r["hash"], r["node"]), r["level"]) for b in J._counted(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(dict(got))
+        if most > 30:
+            assert dict(got) == want
+        else:  # the rows of a long one go with the greatest level, a repeated one may count before that is known
+            assert {k: v for k, v in got if v > 1 or k[0] >= 100}.keys() >= want.keys()
+
+
+def test_frequent_and_hot_shingles(spark, monkeypatch):
+    """Boilerplate in most documents, and families in it."""
+    rnd = random.Random(8)
+    shared = " ".join(f"b{i}" for i in range(60))
+    families = [[f"f{k}x{i}" for i in range(90)] for k in range(3)]
+    texts = []
+    for i in range(240):
+        w = list(families[i % 3]) if i < 150 else [f"u{i}x{j}" for j in range(rnd.choice([5, 20, 60]))]
+        for _ in range(rnd.randint(0, 8) if i < 150 else 0):
+            w[rnd.randrange(len(w))] = f"y{rnd.randrange(500)}"
+        texts.append(" ".join(w) + " " + shared if i % 2 else shared + " " + " ".join(w))
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame([cases.row(i, t) for i, t in enumerate(texts)], cases.SCHEMA).repartition(5)
+    check(spark, docs)
+    keys = J._keys(docs.select("doc_id", "text"), 5)
+    hot = J._hot(keys)[0]
+    assert 50 <= len(hot) <= 600 and (np.diff(hot.astype(object)) > 0).all()
 
 
 def test_long_entries_go_row_by_row(monkeypatch):

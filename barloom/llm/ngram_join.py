@@ -16,7 +16,9 @@ Shingles that a fixed share of all documents has are found first, are few whatev
 
 Of an index entry's nodes only those in different components need comparing: first each node with one hub, then,
 entry by entry and a few hubs at a time, all that still lie apart. So a group of copies costs a star and not all its
-pairs, and no link between components is missed.
+pairs, and no link between components is missed. A row carries its node's entries just before this one in the order of
+all entries: two nodes that have one of them in common have met there, and don't meet again. It also carries a bit map
+of its set's parities, as sets whose maps differ in more places than linked sets can are no pair.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ HOT = 250
 MOST = 1 << 20
 #: hashes of one count of hot shingles
 _CHUNK = 2_000_000
+#: entries before its own that a row carries, and longs of its bit map
+BEFORE = 3
+MAP = 8
 #: hubs of an index entry in the rounds after the first; then four times as many each
 HUBS = 4
 
@@ -261,7 +266,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*held)
 
 
-ENTRIES = "entry long, node long, n int, lead int"
+ENTRIES = "entry long, node long, n int, lead int, " + ", ".join(f"p{k} long" for k in range(BEFORE))
 
 
 def _index(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -303,7 +308,16 @@ def _entries(rows: pa.Table, percent: int) -> pa.RecordBatch:
         # entries of the whole space are others than those of the lower part
         parts.append((e_doc, mix(entry ^ _PAIR[0]) if k else entry, lead))
     d, entry, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(nodes[d]), pa.array(n[d].astype(np.int32)), pa.array(lead.astype(np.int32))], ["entry", "node", "n", "lead"])
+    # singles in the order of all shingles, then pairs in that of their hashes: an order of all entries of a space
+    order = np.lexsort((entry, lead, np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]), d))
+    d, entry, lead = d[order], entry[order], lead[order]
+    columns = [entry.view(np.int64), nodes[d], n[d].astype(np.int32), lead.astype(np.int32)]
+    for k in range(1, BEFORE + 1):
+        earlier = mix(nodes[d].view(np.uint64) * _PAIR[1] + np.uint64(k))  # for none, what no other node has
+        same = d[k:] == d[:-k]
+        earlier[k:][same] = entry[:-k][same]
+        columns.append(earlier.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in ENTRIES.split(", ")])
 
 
 def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -333,12 +347,13 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     stars = groups.filter("hub is not null").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     links = _verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent)
     labels, done, hubs = scratch.keep(components(links, scratch), "labels"), 0, HUBS
-    apart = groups.select("entry", "node", "n", "lead", "place")
+    apart = groups.drop("hub")
     while True:
         named = apart.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         each = named.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("most"))
         still = each.filter((F.col("lo") != F.col("hi")) & (F.col("most") > done + 1)).select("entry")
-        apart = scratch.keep(named.join(still, "entry", "left_semi").select("entry", "node", "n", "lead", "place", "label"), "apart")
+        named = named.join(still, "entry", "left_semi")
+        apart = scratch.keep(named if done else named.join(sets.select("node", *[F.col("map")[k].alias(f"w{k}") for k in range(MAP)]), "node"), "apart")
         if apart.isEmpty():
             break
         more = _verified(_across(apart, done, done + hubs, percent), sets, percent)
@@ -356,8 +371,15 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A line of 64 * MAP bits for every set: whether it has an odd number of the hashes of a place."""
+    place = (np.repeat(np.arange(len(at) - 1), np.diff(at)) * (64 * MAP) + ((hashes >> np.uint64(20)) % np.uint64(64 * MAP)).astype(np.int64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=(len(at) - 1) * 64 * MAP) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(-1, MAP)
+
+
 def _indexed_sets(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """(node, hashes) of the nodes in groups, from the texts of one document each."""
+    """(node, hashes, map) of the nodes in groups, from the texts of one document each."""
     nodes = scratch.keep(groups.select("node").distinct(), "nodes")
     ids = rows.filter("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = docs.join(ids, "doc_id", "left_semi").select("text")
@@ -366,9 +388,11 @@ def _indexed_sets(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch:
         for b in batches:
             for words in word_runs(b.column(0), NON_SPACE):
                 hashes, at = shingle_sets(words, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(_set_keys(hashes, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "hashes"])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, MAP * len(at), MAP, dtype=np.int32)), pa.array(_parities(hashes, at).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(_set_keys(hashes, at)), lists, maps], ["node", "hashes", "map"])
 
-    made = texts.mapInArrow(make, "node long, hashes array<long>")
+    made = texts.mapInArrow(make, "node long, hashes array<long>, map array<long>")
     return scratch.keep(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -381,7 +405,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
-GROUPS = "entry long, node long, n int, lead int, place int, hub long"
+GROUPS = ENTRIES + ", place int, hub long"
 #: an entry of more nodes is taken row by row
 _AT_ONCE = 2048
 
@@ -399,12 +423,14 @@ def _useful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         t = pa.concat_tables([waiting, t]).combine_chunks() if waiting is not None else t
         if not t.num_rows:
             continue
-        entry, node, n, lead = (t.column(k).to_numpy() for k in range(4))
+        columns = [c.to_numpy() for c in t.columns]
+        entry = columns[0]
         last = int(np.searchsorted(entry, entry[-1], "left"))
         if len(entry) - last > _AT_ONCE or (long_entry is not None and entry[-1] == long_entry):
             last = len(entry)  # the entry that may go on is a long one: its rows go now
         waiting = t.slice(last)
-        entry, node, n, lead = entry[:last], node[:last], n[:last], lead[:last]
+        columns = [c[:last] for c in columns]
+        entry, node, n, lead = columns[:4]
         if not len(entry):
             continue
         begin = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
@@ -418,43 +444,50 @@ def _useful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             step = max(1, (1 << 20) // (kind * kind))
             for i in range(0, len(at), step):
                 rows = at[i : i + step, None] + np.arange(kind)
-                yield _checked(entry, node, n, lead, rows, percent)
+                yield _checked(columns, rows, percent)
         for a, k in zip(begin.tolist(), size.tolist(), strict=True):
             if entry[a] == long_entry or k > _AT_ONCE:
                 if entry[a] != long_entry:
                     long_entry, long_first, long_place = entry[a], (node[a], n[a], lead[a]), 0
                 r = np.arange(a, a + k)
                 ok = may_link(n[r], lead[r], long_first[1], long_first[2], percent) & (node[r] != long_first[0])
-                hub = pa.array(np.full(k, long_first[0]), mask=~ok)
-                yield pa.RecordBatch.from_arrays([pa.array(entry[r]), pa.array(node[r]), pa.array(n[r]), pa.array(lead[r]), pa.array((long_place + 1 + np.arange(k)).astype(np.int32)), hub], [x.split()[0] for x in GROUPS.split(", ")])
+                yield _rows(columns, r, long_place + 1 + np.arange(k), np.full(k, long_first[0]), ok)
                 long_place += k
     if waiting is not None and waiting.num_rows:
-        entry, node, n, lead = (waiting.column(k).to_numpy() for k in range(4))
-        if len(entry) > 1:
-            yield _checked(entry, node, n, lead, np.arange(len(entry))[None, :], percent)
+        columns = [c.to_numpy() for c in waiting.columns]
+        if len(columns[0]) > 1:
+            yield _checked(columns, np.arange(len(columns[0]))[None, :], percent)
+
+
+def _rows(columns: list[np.ndarray], r: np.ndarray, place: np.ndarray, hub: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(c[r]) for c in columns), pa.array(place.astype(np.int32)), pa.array(hub, mask=~has)], [x.split()[0] for x in GROUPS.split(", ")])
 
 
-def _checked(entry: np.ndarray, node: np.ndarray, n: np.ndarray, lead: np.ndarray, rows: np.ndarray, percent: int) -> pa.RecordBatch:
+def _checked(columns: list[np.ndarray], rows: np.ndarray, percent: int) -> pa.RecordBatch:
     """Entries of equal size, a line of ``rows`` each: the rows that may link with another one."""
+    _, node, n, lead = columns[:4]
     x, y = rows[:, :, None], rows[:, None, :]
     ok = may_link(n[x], lead[x], n[y], lead[y], percent) & (node[x] != node[y])
     before = ok & (np.arange(rows.shape[1])[None, :, None] > np.arange(rows.shape[1])[None, None, :])
     has, first = before.any(axis=2), before.argmax(axis=2)
-    # a node that a task of another copy has indexed as well is one row of an entry
-    again = np.zeros(rows.shape, bool)
-    again[:, 1:] = node[rows[:, 1:]] == node[rows[:, :-1]]
-    keep = ok.any(axis=2) & ~again
+    keep = ok.any(axis=2)
     hub = np.take_along_axis(node[rows], first, axis=1)
     place = np.broadcast_to(np.arange(1, rows.shape[1] + 1), rows.shape)
-    r = rows[keep]
-    return pa.RecordBatch.from_arrays([pa.array(entry[r]), pa.array(node[r]), pa.array(n[r]), pa.array(lead[r]), pa.array(place[keep].astype(np.int32)), pa.array(hub[keep], mask=~has[keep])], [x.split()[0] for x in GROUPS.split(", ")])
+    return _rows(columns, rows[keep], place[keep], hub[keep], has[keep])
 
 
 def _across(apart: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs (a, b) of an entry's nodes that may link and lie in different components, for the entry's hubs at places
     low + 1 to high: a join of many rows to a few, whose long entries adaptive execution splits."""
     rows = apart.filter(F.col("place") > low)
-    hubs = rows.filter(F.col("place") <= high).select("entry", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "lead", "label")])
+    hubs = rows.filter(F.col("place") <= high)
+    hubs = hubs.select("entry", *[F.col(c).alias(f"_{c}") for c in apart.columns if c not in ("entry", "place")])
     most = F.least(F.col("n") - F.col("lead"), F.col("_n") - F.col("_lead"))
     may = (100 * most >= percent * (F.col("n") + F.col("_n") - most)) & (F.col("label") != F.col("_label")) & (F.col("node") != F.col("_node"))
-    return rows.join(hubs, "entry").filter(may).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+    for k in range(BEFORE):
+        may = may & ~F.col(f"p{k}").isin([F.col(f"_p{j}") for j in range(BEFORE)])
+    # linked sets differ in as many shingles as these at most, and their maps in no more places
+    differ = F.floor((100 - percent) * (F.col("n") + F.col("_n")) / F.lit(100 + percent))
+    places = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"_w{k}"))) for k in range(MAP)), F.lit(0))
+    met = rows.join(hubs, "entry").filter(may & (places <= differ))
+    return met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()

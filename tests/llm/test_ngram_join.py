@@ -72,12 +72,18 @@ def test_linked_sets_share_an_entry_that_they_may_link_by(n, only_x, only_y, see
     levels[:n] = np.maximum(levels[:n], 2)  # a shingle of both is in two nodes
     parts = [slice(0, n + only_x), np.r_[0:n, n + only_x : len(pool)]]
     batches = [b for k, part in enumerate(parts) for b in sent(k, pool[part], levels[part]).to_batches()]
-    of = [{}, {}]
+    of, before = [{}, {}], [{}, {}]
     for b in J._index(iter(batches), 80):
         for r in b.to_pylist():
             of[r["node"]][r["entry"]] = (r["n"], r["lead"])
-    both = of[0].keys() & of[1].keys()
+            before[r["node"]][r["entry"]] = {r[f"p{i}"] for i in range(J.BEFORE)}
+    # and at one of the entries that they meet at no entry of both comes just before
+    both = [k for k in of[0].keys() & of[1].keys() if not before[0][k] & before[1][k]]
     assert any(J.may_link(*(np.int64(v) for x in of for v in x[k])) for k in both)
+    # their bit maps pass as well
+    sets = [np.sort(pool[part]) for part in parts]
+    a, b = J._parities(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+    assert sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= 20 * (len(sets[0]) + len(sets[1])) // 180
 
 
 @pytest.mark.parametrize("most", [3, 1 << 20])
@@ -127,7 +133,7 @@ def test_long_entries_go_row_by_row(monkeypatch):
     monkeypatch.setattr(J, "_AT_ONCE", 4)
     entry = np.array([1, 2, 2, 3, 3, 3, 3, 3, 3, 3, 4, 4, 5])
     node, n, lead = np.arange(13) + 100, np.full(13, 50, np.int32), np.zeros(13, np.int32)
-    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (entry, node, n, lead)], ["entry", "node", "n", "lead"])
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (entry, node, n, lead, node, node, node)], [x.split()[0] for x in J.ENTRIES.split(", ")])
     for size in (1, 2, 3, 5, 13):
         out = [r for b in J._useful((rows.slice(i, size) for i in range(0, 13, size)), 80) for r in b.to_pylist()]
         assert sorted((r["entry"], r["node"]) for r in out if r["entry"] != 3) == [(2, 101), (2, 102), (4, 110), (4, 111)]

@@ -86,9 +86,11 @@ def runs(df: DataFrame, x: str, name: str = "run", by=BY) -> DataFrame:
 
 def held(df: DataFrame, signal: str, holding: int, name: str, by=BY) -> DataFrame:
     """Signals limited by a holding period: every (holding + 1)-th bar of a run of one signal is 0."""
-    out = runs(df, signal, "_run", by)
-    place = F.row_number().over(Window.partitionBy(*by, "_run").orderBy("ts"))
-    return out.withColumn(name, F.when(place % (holding + 1) == 0, 0).otherwise(F.col(signal)).cast("int")).drop("_run")
+    at = F.row_number().over(order(by))
+    starts = (at == 1) | ~F.col(signal).eqNullSafe(lag(signal, 1, by))
+    out = df.withColumn("_at", at).withColumn("_first", F.last(F.when(starts, F.col("_at")), ignorenulls=True).over(so_far(by)))
+    place = F.col("_at") - F.col("_first") + 1
+    return out.withColumn(name, F.when(place % (holding + 1) == 0, 0).otherwise(F.col(signal)).cast("int")).drop("_at", "_first")
 
 
 def threshold(x: str | Column, t: float) -> Column:

@@ -2,7 +2,9 @@
 
 With signals of -1, 0 and 1 a position is open during one run of a signal, from the run's first bar until a stop or a
 target is touched or the run ends. So a trade is a run, its exit the first of the bars behind the entry (and the one
-that ends the run) on which something closes it; money compounds as a running product. There is no loop over bars.
+that ends the run) on which something closes it; money compounds as a running product. There is no loop over bars, and
+no join: a bar knows its run's entry, how many closes came before it and what they made of the capital from windows
+that all have one partitioning and order, so a series is shuffled and sorted once.
 """
 
 from __future__ import annotations
@@ -33,104 +35,142 @@ def _value(x: float | str | None) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x).cast("double")
 
 
-def trades(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
-    """Trades of bars with a column ``signal`` (null counts as 0), in the order ``trade`` of each series.
+def _played(bars: DataFrame, terms: Terms, by=BY) -> DataFrame:
+    """Every bar with its mark and the trades that end on it.
 
-    The bar that begins a run other than the series' first bar opens a trade; stops are looked at before targets, and
-    both before the signal. A trade that nothing closes ends at the last close without costs.
+    Columns: by, idx, ts, close, ``equity`` and ``unrealized_pnl`` before the bar's trading, ``made`` (one trade that
+    the bar closes and, on a series' last bar, the one still open) and ``peak``, the greatest value until the bar
+    before.
     """
     slip, comm = terms.slippage_pct / 100, terms.commission_pct / 100
+    w, so_far = S.order(by), S.so_far(by)
+    before = lambda c: F.lag(c).over(w)
     rows = S.numbered(bars.withColumn("signal", F.coalesce("signal", F.lit(0)).cast("int")), by)
-    rows = S.runs(rows, "signal", "run", by)
-    w, run = S.order(by), Window.partitionBy(*by, "run")
+    rows = rows.withColumn("_start", (F.col("idx") == 0) | (F.col("signal") != before("signal")))
     way = F.col("signal")
-    rows = rows.withColumn("_first", F.min("idx").over(run)).withColumn("_close0", F.min(F.when(F.col("idx") == F.col("_first"), F.col("close"))).over(run))
-    rows = rows.withColumn("_px", F.col("_close0") * (1 + slip * way)).withColumn("_eff", F.col("_px") * (1 + comm * way))
-    rows = rows.withColumn("_stop", F.col("_eff") * (1 - _value(terms.stop_pct) / 100 * way)).withColumn("_target", F.col("_eff") * (1 + _value(terms.target_pct) / 100 * way))
+    price = F.col("close") * (1 + slip * way)
+    enters = F.col("_start") & (F.col("idx") >= 1) & (way != 0)
+    entry = F.struct(F.col("idx").alias("entry_idx"), F.col("ts").alias("entry_time"), way.alias("direction"), price.alias("entry_price"), (price * (1 + comm * way)).alias("entry_eff"), _value(terms.size_pct).alias("_size_pct"))
+    rows = rows.withColumns({"_new": F.when(enters, entry), "_runs": F.sum(F.col("_start").cast("long")).over(so_far), "_trades": F.sum(enters.cast("long")).over(so_far), "_last": F.lead("idx").over(w).isNull()})
+    # the entry of the bar's run, null if the run opens no trade
+    rows = rows.withColumn("_entry", F.last(F.when(F.col("_start"), F.struct(F.col("_new").alias("e"), F.col("_trades").alias("trade"), F.col("_runs").alias("run"))), ignorenulls=True).over(so_far))
+    eff = F.col("_entry.e.entry_eff")
+    rows = rows.withColumn("_levels", F.when(F.col("_entry.e").isNotNull(), F.struct(F.col("_entry"), (eff * (1 - _value(terms.stop_pct) / 100 * way)).alias("stop"), (eff * (1 + _value(terms.target_pct) / 100 * way)).alias("target"))))
     # each bar may close the trade of the bar before it
-    rows = rows.withColumns({"_run": F.lag("run").over(w), "_way": F.lag("signal").over(w), "_s": F.lag("_stop").over(w), "_t": F.lag("_target").over(w)})
-    long = F.col("_way") == 1
-    stopped = F.when(long, F.col("low") <= F.col("_s")).otherwise(F.col("high") >= F.col("_s"))
-    reached = F.when(long, F.col("high") >= F.col("_t")).otherwise(F.col("low") <= F.col("_t"))
-    rows = rows.withColumn("_why", F.when(stopped, "STOP_LOSS").when(reached, "TAKE_PROFIT").when(F.col("_run") != F.col("run"), "SIGNAL"))
-    level = F.when(F.col("_why") == "STOP_LOSS", F.col("_s")).when(F.col("_why") == "TAKE_PROFIT", F.col("_t")).otherwise(F.col("close"))
-    exits = rows.filter("_way <> 0 and _why is not null").groupBy(*by, F.col("_run").alias("run")).agg(F.min_by(F.struct(F.col("idx").alias("exit_idx"), F.col("ts").alias("exit_time"), F.col("_why").alias("exit_reason"), level.alias("level")), "idx").alias("x"))
-    final = rows.groupBy(*by).agg(F.max_by(F.struct(F.col("idx").alias("exit_idx"), F.col("ts").alias("exit_time"), F.lit("END_OF_BACKTEST").alias("exit_reason"), F.col("close").alias("level")), "idx").alias("end"))
-    keep = [c for c in (terms.size_pct,) if isinstance(c, str) and c not in by]
-    entries = rows.filter("idx = _first and idx >= 1 and signal <> 0").select(*by, "run", *keep, F.col("idx").alias("entry_idx"), F.col("ts").alias("entry_time"), F.col("signal").alias("direction"), F.col("_px").alias("entry_price"), F.col("_eff").alias("entry_eff"))
-    out = entries.join(exits, [*by, "run"], "left").join(final, list(by)).withColumn("x", F.coalesce("x", "end")).select(*entries.columns, "x.*")
-    d = F.col("direction")
-    slipped = F.when(F.col("exit_reason") == "TAKE_PROFIT", F.col("level")).otherwise(F.col("level") * (1 - slip * d))
-    out = out.withColumn("exit_price", F.when(F.col("exit_reason") == "END_OF_BACKTEST", F.col("level")).otherwise(slipped - slipped * comm * d))
-    growth = 1 + _value(terms.size_pct) / 100 * d * (F.col("exit_price") - F.col("entry_eff")) / F.col("entry_price")
-    t = Window.partitionBy(*by).orderBy("entry_idx")
-    out = out.withColumn("_growth", growth).withColumn("trade", F.row_number().over(t))
-    out = out.withColumn("capital_after", terms.capital * F.product("_growth").over(t.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("capital_before", F.coalesce(F.lag("capital_after").over(t), F.lit(terms.capital)))
-    out = out.withColumn("size", F.col("capital_before") * _value(terms.size_pct) / 100 / F.col("entry_price"))
-    pnl = (F.col("exit_price") - F.col("entry_eff")) * d * F.col("size")
-    return out.withColumn("pnl", pnl).withColumn("pnl_pct", (F.col("exit_price") / F.col("entry_eff") - 1) * 100 * d).drop("_growth", "level")
-
-
-def equity(bars: DataFrame, made: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
+    rows = rows.withColumn("_held", before("_levels"))
+    long = F.col("_held._entry.e.direction") == 1
+    stopped = F.when(long, F.col("low") <= F.col("_held.stop")).otherwise(F.col("high") >= F.col("_held.stop"))
+    reached = F.when(long, F.col("high") >= F.col("_held.target")).otherwise(F.col("low") <= F.col("_held.target"))
+    rows = rows.withColumn("_why", F.when(F.col("_held").isNotNull(), F.when(stopped, "STOP_LOSS").when(reached, "TAKE_PROFIT").when(F.col("_start"), "SIGNAL")))
+    # closes up to the bar, and up to the start of its run: the first one behind the start counts
+    rows = rows.withColumn("_n", F.count("_why").over(so_far))
+    rows = rows.withColumn("_n0", F.last(F.when(F.col("_start"), F.col("_n")), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("_open", F.col("_held").isNotNull() & (before("_n") == before("_n0")))
+    rows = rows.withColumn("_why", F.when(F.col("_open"), F.col("_why")))
+    level = F.when(F.col("_why") == "STOP_LOSS", F.col("_held.stop")).when(F.col("_why") == "TAKE_PROFIT", F.col("_held.target")).otherwise(F.col("close"))
+
+    def growth(e: Column, exit_price: Column) -> Column:
+        return 1 + e["_size_pct"] / 100 * e["direction"] * (exit_price - e["entry_eff"]) / e["entry_price"]
+
+    held = F.col("_held._entry.e")
+    slipped = F.when(F.col("_why") == "TAKE_PROFIT", level).otherwise(level * (1 - slip * held["direction"]))
+    rows = rows.withColumn("_exit", F.when(F.col("_why").isNotNull(), slipped - slipped * comm * held["direction"]))
+    rows = rows.withColumn("_after", F.lit(terms.capital) * F.product(F.coalesce(growth(held, F.col("_exit")), F.lit(1.0))).over(so_far))
+    rows = rows.withColumn("_before", F.coalesce(before("_after"), F.lit(terms.capital)))
+    size = F.col("_before") * held["_size_pct"] / 100 / held["entry_price"]
+    mark = F.when(F.col("_open"), (F.col("close") - held["entry_eff"]) * held["direction"] * size).otherwise(0.0)
+    rows = rows.withColumn("unrealized_pnl", mark).withColumn("equity", F.col("_before") + F.col("unrealized_pnl"))
+
+    def trade(own: Column, why: Column, at: Column, cash: Column, after: Column) -> Column:
+        e = own["e"]
+        n = cash * e["_size_pct"] / 100 / e["entry_price"]
+        pnl = (at - e["entry_eff"]) * e["direction"] * n
+        figures = [own["run"].alias("run"), *[e[c].alias(c) for c in ("entry_idx", "entry_time", "direction", "entry_price", "entry_eff", "_size_pct")], F.col("idx").alias("exit_idx"), F.col("ts").alias("exit_time"), why.alias("exit_reason"), at.alias("exit_price")]
+        return F.struct(*figures, own["trade"].alias("trade"), after.alias("capital_after"), cash.alias("capital_before"), n.alias("size"), pnl.alias("pnl"), ((at / e["entry_eff"] - 1) * 100 * e["direction"]).alias("pnl_pct"))
+
+    closed = F.when(F.col("_why").isNotNull(), trade(F.col("_held._entry"), F.col("_why"), F.col("_exit"), F.col("_before"), F.col("_after")))
+    # a trade that nothing closes ends at the last close without costs
+    still = F.col("_last") & F.col("_entry.e").isNotNull() & (F.col("_n") == F.col("_n0"))
+    ended = F.when(still, trade(F.col("_entry"), F.lit("END_OF_BACKTEST"), F.col("close"), F.col("_after"), F.col("_after") * growth(F.col("_entry.e"), F.col("close"))))
+    rows = rows.withColumn("made", F.array_compact(F.array(closed, ended)))
+    top = F.greatest(F.when(F.col("idx") >= 1, F.col("equity")), F.array_max(F.transform("made", lambda t: t["capital_after"])))
+    peak = F.max(top).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("peak", F.greatest(peak, F.lit(terms.capital))).select(*by, "idx", "ts", "close", "equity", "unrealized_pnl", "made", "peak")
+
+
+def trades(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
+    """Trades of bars with a column ``signal`` (null counts as 0), in the order ``trade`` of each series.
+
+    The bar that begins a run other than the series' first bar opens a trade; stops are looked at before targets, and
+    both before the signal. A trade that nothing closes ends at the last close without costs.
+    """
+    out = _played(bars, terms, by).select(*by, F.explode("made").alias("t")).select(*by, "t.*")
+    return out.withColumnRenamed("_size_pct", terms.size_pct) if isinstance(terms.size_pct, str) and terms.size_pct not in by else out.drop("_size_pct")
+
+
+def equity(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     """Equity before each bar's trading, from the second bar on: closed trades and the open one at the bar's close.
 
     Columns: by, idx, ts, equity, unrealized_pnl.
     """
-    rows = S.runs(S.numbered(bars.withColumn("signal", F.coalesce("signal", F.lit(0)).cast("int")), by), "signal", "run", by)
-    rows = rows.withColumn("_run", F.lag("run").over(S.order(by))).filter("idx >= 1").select(*by, "idx", "ts", "close", "_run")
-    t = made.select(*by, F.col("run").alias("_run"), "entry_eff", "direction", "size", "exit_idx", "capital_before", "capital_after")
-    rows = rows.join(t, [*by, "_run"], "left")
-    is_open = F.col("idx") <= F.col("exit_idx")
-    closed = F.last("capital_after", ignorenulls=True).over(Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    cash = F.when(is_open, F.col("capital_before")).otherwise(F.coalesce(closed, F.lit(terms.capital)))
-    mark = F.when(is_open, (F.col("close") - F.col("entry_eff")) * F.col("direction") * F.col("size")).otherwise(0.0)
-    return rows.withColumn("unrealized_pnl", mark).withColumn("equity", cash + mark).select(*by, "idx", "ts", "equity", "unrealized_pnl")
-
-
-def drawdown_marks(marks: DataFrame, made: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
+    return _played(bars, terms, by).filter("idx >= 1").select(*by, "idx", "ts", "equity", "unrealized_pnl")
+
+
+def drawdown_marks(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     """Equity marks and capital after each close in the order in which they happen, with peak and drawdown percent."""
-    own = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("trade"), F.col("equity").alias("value"))
-    closes = made.groupBy(*by, F.col("exit_idx").alias("idx")).agg(F.sort_array(F.collect_list(F.struct(F.lit(1).alias("kind"), "trade", F.col("capital_after").alias("value")))).alias("closes"))
-    # a bar closes two trades at most
-    rows = marks.join(closes, [*by, "idx"], "left").withColumn("x", F.explode(F.concat(F.array(own), F.coalesce("closes", F.array().cast("array<struct<kind:int,trade:int,value:double>>")))))
-    rows = rows.select(*by, "idx", "ts", "x.kind", "x.trade", "x.value")
-    w = Window.partitionBy(*by).orderBy("idx", "kind", "trade").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("peak", F.greatest(F.max("value").over(w), F.lit(terms.capital)))
+    own = F.when(F.col("idx") >= 1, F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("trade"), F.col("equity").alias("value"))))
+    closes = F.transform("made", lambda t: F.struct(F.lit(1).alias("kind"), t["trade"].alias("trade"), t["capital_after"].alias("value")))
+    rows = _played(bars, terms, by).withColumn("_x", F.concat(F.coalesce(own, F.filter(closes, lambda x: F.lit(False))), closes))
+    rows = rows.select(*by, "idx", "ts", "peak", "_x", F.posexplode("_x").alias("_i", "x"))
+    peak = F.greatest("peak", F.array_max(F.transform(F.slice("_x", F.lit(1), F.col("_i") + 1), lambda x: x["value"])))
+    rows = rows.withColumn("peak", peak).select(*by, "idx", "ts", "x.kind", "x.trade", "x.value", "peak")
     return rows.withColumn("drawdown", (F.col("peak") - F.col("value")) / F.col("peak") * 100)
 
 
-def daily_sharpe(marks: DataFrame, by=BY) -> DataFrame:
-    """Sharpe of daily returns, days without a mark counting as unchanged; by, sharpe_ratio."""
-    days = marks.groupBy(*by, F.to_date("ts").alias("day")).agg(F.max_by("equity", "ts").alias("equity"))
-    w = Window.partitionBy(*by).orderBy("day")
-    days = days.withColumn("r", F.col("equity") / F.lag("equity").over(w) - 1).withColumn("gap", F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(0)))
-    # a day without a mark is a return of 0: it counts in the moments and adds nothing to the sums
-    n, s, q = F.sum("gap"), F.sum("r"), F.sum(F.col("r") * F.col("r"))
-    std = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
-    return days.groupBy(*by).agg(F.when((n > 1) & (std > 1e-12), F.sqrt(F.lit(252.0)) * (s / n) / std).otherwise(0.0).alias("sharpe_ratio"))
-
-
-def metrics(bars: DataFrame, terms: Terms = Terms(), by=BY, made: DataFrame | None = None) -> DataFrame:
-    """One row a series with 13 figures, as all zeros where nothing was traded; profit_factor is null without losses."""
-    made = trades(bars, terms, by) if made is None else made
-    marks = equity(bars, made, terms, by)
-    marked = drawdown_marks(marks, made, terms, by).groupBy(*by).agg(F.max("drawdown").alias("max_drawdown"))
-    span = marks.groupBy(*by).agg(S.floor_days(F.min("ts"), F.max("ts")).alias("days"))
-    win, loss = F.col("pnl") > 0, F.col("pnl") < 0
-    agg = made.groupBy(*by).agg(
-        (F.max_by("capital_after", "trade") / terms.capital - 1).alias("growth"),
+def metrics(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
+    """One row a series with 13 figures, as all zeros where nothing was traded; profit_factor is null without losses.
+
+    One aggregate over the played bars: days without a mark count as unchanged in the Sharpe ratio.
+    """
+    w, day = S.order(by), F.to_date("ts")
+    rows = _played(bars, terms, by).filter("idx >= 1")
+    # the day's last mark against that of the day with marks before it
+    rows = rows.withColumn("_ends", F.coalesce(F.lead(day).over(w) != day, F.lit(True)))
+    rows = rows.withColumn("_prev", F.last(F.when(F.col("_ends"), F.struct("equity", day.alias("day"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    r = F.when(F.col("_ends"), F.col("equity") / F.col("_prev.equity") - 1)
+    gap = F.when(F.col("_ends"), F.coalesce(F.datediff(day, F.col("_prev.day")), F.lit(0)))
+    down = (F.greatest("peak", "equity") - F.col("equity")) / F.greatest("peak", "equity") * 100
+    # a close comes behind its bar's mark and, on the last bar, behind the close before it
+    high = lambda c: F.greatest("peak", "equity", *c)
+    fell = lambda c: (high(c) - c[-1]) / high(c) * 100
+    first, second = (F.get("made", F.lit(i))["capital_after"] for i in (0, 1))
+    rows = rows.withColumns({"_r": r, "_gap": gap, "_down": F.greatest(down, fell([first]), fell([first, second]))})
+    rows = rows.select(*by, "ts", "_r", "_gap", "_down", F.posexplode_outer("made").alias("_i", "t"))
+    once = F.coalesce(F.col("_i") == 0, F.lit(True))
+    pnl = F.col("t.pnl")
+    win, loss = pnl > 0, pnl < 0
+    rate = F.when(once, F.col("_r"))
+    agg = rows.groupBy(*by).agg(
+        S.floor_days(F.min("ts"), F.max("ts")).alias("days"),
+        F.max("_down").alias("max_drawdown"),
+        F.sum(F.when(once, F.col("_gap"))).alias("_n"),
+        F.sum(rate).alias("_s"),
+        F.sum(rate * rate).alias("_q"),
+        (F.max_by("t.capital_after", "t.trade") / terms.capital - 1).alias("growth"),
         F.avg(win.cast("double")).alias("win_rate"),
-        F.count("*").alias("total_trades"),
+        F.count("t").alias("total_trades"),
         F.sum(win.cast("long")).alias("profitable_trades"),
-        F.coalesce(F.avg(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("avg_profit_trade"),
-        F.coalesce(F.avg(F.when(loss, F.col("pnl"))), F.lit(0.0)).alias("avg_loss_trade"),
-        F.coalesce(F.max(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("largest_win"),
-        F.coalesce(F.min(F.when(loss, F.col("pnl"))), F.lit(0.0)).alias("largest_loss"),
-        F.avg(S.hours("entry_time", "exit_time")).alias("avg_trade_duration_hours"),
-        (F.sum(F.when(win, F.col("pnl")).otherwise(0.0)) / F.sum(F.when(loss, -F.col("pnl")))).alias("profit_factor"),
+        F.coalesce(F.avg(F.when(win, pnl)), F.lit(0.0)).alias("avg_profit_trade"),
+        F.coalesce(F.avg(F.when(loss, pnl)), F.lit(0.0)).alias("avg_loss_trade"),
+        F.coalesce(F.max(F.when(win, pnl)), F.lit(0.0)).alias("largest_win"),
+        F.coalesce(F.min(F.when(loss, pnl)), F.lit(0.0)).alias("largest_loss"),
+        F.avg(S.hours("t.entry_time", "t.exit_time")).alias("avg_trade_duration_hours"),
+        (F.sum(F.when(win, pnl).otherwise(0.0)) / F.sum(F.when(loss, -pnl))).alias("profit_factor"),
     )
-    out = span.join(agg, list(by), "left").join(marked, list(by), "left").join(daily_sharpe(marks, by), list(by), "left")
+    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
+    # a day without a mark is a return of 0: it counts in the moments and adds nothing to the sums
+    std = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
+    out = agg.withColumn("sharpe_ratio", F.when((n > 1) & (std > 1e-12), F.sqrt(F.lit(252.0)) * (s / n) / std).otherwise(0.0))
     traded = F.col("total_trades") > 0
     out = out.withColumn("total_return_pct", F.col("growth") * 100).withColumn("annualized_return_pct", F.when(F.col("days") > 0, (F.pow(1 + F.col("growth"), 365 / F.col("days")) - 1) * 100).otherwise(0.0))
     zero = ["total_return_pct", "annualized_return_pct", "win_rate", "max_drawdown", "sharpe_ratio", "total_trades", "profitable_trades", "avg_profit_trade", "avg_loss_trade", "largest_win", "largest_loss", "avg_trade_duration_hours"]

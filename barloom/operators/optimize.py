@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -65,18 +64,29 @@ def windows(bars: DataFrame, train: int, test: int, step: int, by=BY) -> DataFra
 def walk_forward(bars: DataFrame, grid: DataFrame, signals: Callable[[DataFrame, tuple], DataFrame], metric: str, train: int = 180, test: int = 60, step: int = 30, terms: Terms = Terms(), by=BY) -> DataFrame:
     """Per window the best parameter set on the training part and its figure there and on the test part.
 
-    A bar is repeated for each window that holds it, (train + test) / step times at most.
+    A bar is repeated for each window that holds it, (train + test) / step times at most; the test part is played
+    with the chosen set alone.
     """
     spans = windows(bars, train, test, step, by)
     day = F.to_date("ts")
-    placed = bars.join(F.broadcast(spans), list(by)).filter((day >= F.col("train_from")) & (day < F.col("test_to")))
+    placed = bars.join(spans, list(by)).filter((day >= F.col("train_from")) & (day < F.col("test_to")))
     keys = (*by, "window_id")
     early, late = (placed.filter(c).drop("train_from", "test_from", "test_to") for c in (day < F.col("test_from"), day >= F.col("test_from")))
     chosen = best(search(early, grid, signals, terms, keys), metric, True, keys).select(*keys, "param_id", F.col(metric).alias("train_metric"))
-    tested = search(late, grid, signals, terms, keys).select(*keys, "param_id", F.col(metric).alias("test_metric"))
-    out = chosen.join(tested, [*keys, "param_id"], "left").join(spans, list(keys))
+    own = late.join(chosen.select(*keys, "param_id"), list(keys)).join(F.broadcast(grid), "param_id")
+    both = (*keys, "param_id")
+    tested = metrics(signals(own, both), terms, both).select(*both, F.col(metric).alias("test_metric"))
+    out = chosen.join(tested, list(both), "left").join(spans, list(keys))
     return out.withColumn("decay", F.col("test_metric") - F.col("train_metric"))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def stability(walked: DataFrame, grid: DataFrame, by=BY) -> DataFrame:
+    """Spread of each parameter over a walk-forward's windows: by, param, mean, population deviation, least, greatest,
+    share of windows that change it, and the range over the mean."""
+    params = [c for c in grid.columns if c != "param_id"]
+    rows = walked.select(*by, "window_id", "param_id").join(F.broadcast(grid), "param_id")
+    rows = rows.select(*by, "window_id", F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).cast("double").alias("value")) for c in params])).alias("x")).select(*by, "window_id", "x.*")
+    before = F.lag("value").over(Window.partitionBy(*by, "param").orderBy("window_id"))
+    rows = rows.withColumn("_moved", (F.col("value") != before).cast("int"))
+    out = rows.groupBy(*by, "param").agg(F.count("*").alias("n_windows"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.coalesce(F.avg("_moved"), F.lit(0.0)).alias("share_changed"))
+    return out.withColumn("relative_range", F.try_divide(F.col("max") - F.col("min"), F.abs("mean")))

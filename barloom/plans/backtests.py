@@ -38,8 +38,7 @@ def backtest_trades(spark, sf):
 
 @query(f"{EQ} SELECT market, ts, {Q.rounded('equity unrealized_pnl')} FROM eq")
 def backtest_equity(spark, sf):
-    rows = signalled(spark, sf)
-    return rounded(K.equity(rows, K.trades(rows, TERMS), TERMS), "market", "ts", "equity", "unrealized_pnl")
+    return rounded(K.equity(signalled(spark, sf), TERMS), "market", "ts", "equity", "unrealized_pnl")
 
 
 _METRICS = "total_return_pct annualized_return_pct win_rate max_drawdown sharpe_ratio total_trades profitable_trades avg_profit_trade avg_loss_trade largest_win largest_loss avg_trade_duration_hours profit_factor"
@@ -191,10 +190,11 @@ def _grid_sql(src: str, keys: str) -> str:
 
 
 def grid_signals(rows, keys):
-    """Bollinger signals where window and width are columns."""
-    made_ = {n: (S.sma("close", n, keys), S.rolling(F.stddev_pop, "close", n, keys)) for n in GRID["n"]}
-    mean = F.when(F.col("n") == 10, made_[10][0]).otherwise(made_[20][0])
-    dev = F.when(F.col("n") == 10, made_[10][1]).otherwise(made_[20][1])
+    """Bollinger signals where window and width are columns; windows that the grid doesn't have give no signal."""
+    mean, dev = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for n in GRID["n"]:
+        mean = F.when(F.col("n") == n, S.sma("close", n, keys)).otherwise(mean)
+        dev = F.when(F.col("n") == n, S.rolling(F.stddev_pop, "close", n, keys)).otherwise(dev)
     rows = rows.withColumn("_m", mean).withColumn("_s", dev)
     return rows.withColumn("signal", F.when(F.col("close") < F.col("_m") - F.col("k") * F.col("_s"), 1).when(F.col("close") > F.col("_m") + F.col("k") * F.col("_s"), -1).otherwise(0)).drop("_m", "_s")
 

@@ -87,12 +87,12 @@ def test_against_a_loop(spark, stop, target):
         want[str(m)] = loop(bars, terms)
     df = spark.createDataFrame(rows, SCHEMA)
     made = K.trades(df, terms).cache()
-    marks = K.equity(df, made, terms)
+    marks = K.equity(df, terms)
     for m, (done, values, worst) in want.items():
         got = made.filter(F.col("market") == m).orderBy("trade").collect()
         assert [(r.exit_reason, pytest.approx(r.exit_price), pytest.approx(r.capital_after)) for r in got] == done
         assert [r.equity for r in marks.filter(F.col("market") == m).orderBy("idx").collect()] == pytest.approx(values)
-    deepest = {r.market: r.d for r in K.drawdown_marks(marks, made, terms).groupBy("market").agg(F.max("drawdown").alias("d")).collect()}
+    deepest = {r.market: r.d for r in K.drawdown_marks(df, terms).groupBy("market").agg(F.max("drawdown").alias("d")).collect()}
     assert deepest == {m: pytest.approx(w) for m, (_, _, w) in want.items()}
 
 

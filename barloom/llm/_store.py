@@ -24,8 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """A folder of its own in the shared folder. ``keep`` cuts a frame's lineage by a written table."""
 
+    #: all that the driver has opened and not cleared
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.uri, self.n = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}", 0
+        Scratch.opened.append(self)
         atexit.register(_quiet_delete, spark, self.uri)
 
     def path(self, name: str) -> str:
@@ -38,6 +42,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """Delete the folder and all its tables."""
+        _quiet_delete(self.spark, self.uri)
+        Scratch.opened.remove(self)
+
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete kept tables that nothing reads any more."""
         for df in frames:
@@ -64,14 +73,22 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def write_whole(uri: str, data: bytes) -> None:
-    """Write a file so that it appears at once; a repeated task replaces it by the same bytes."""
-    out, path = file_system(uri)
-    out.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with out.open_output_stream(part) as f:
-        f.write(data)
-    out.move(part, path)
+def replace(fs, part: str, path: str) -> None:
+    """Move a finished file to its name; what an earlier run of the task left there goes, as some stores move onto
+    nothing."""
+    from pyarrow import fs as kinds
+
+    if fs.get_file_info(path).type != kinds.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(part, path)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many _ before it as make it none of the taken ones (names differ by more than case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, alone: Column, hot: Column) -> DataFrame:

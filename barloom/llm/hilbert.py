@@ -1,9 +1,10 @@
 """Sharding along a Hilbert curve.
 
-Several metadata dimensions are quantised at their quantiles, a row's cell has a place on the Hilbert curve, and
-rows in the order of that place are cut into runs of equal length. Neighbours on the curve are neighbours in every
-dimension, so each run covers a small box and files can be skipped by bounds on any of the dimensions. Everything is
-DataFrame functions.
+Several metadata dimensions are quantised by rank, a row's cell has a place on the Hilbert curve, and rows in the
+order of that place are cut into runs of equal length. Neighbours on the curve are neighbours in every dimension, so
+each run covers a small box and files can be skipped by bounds on any of the dimensions. A value's coordinate is the
+middle of its ranks on the whole grid, so that a dimension of few values, too, spreads over the curve's upper levels.
+Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from ._store import Scratch
 
 BITS = 6
 SHARDS = 16
-#: parts into which the rows of a cell are dealt before they are numbered
+#: parts into which the rows of a cell are dealt before they are numbered, at least; else one for so many rows of all
 PARTS = 64
+PART_ROWS = 200_000
 
 
 def curve_table(dims: int) -> list[int]:
@@ -76,6 +78,18 @@ def text_key(column: Column, prefix: bytes) -> Column:
     return F.conv(F.rpad(hexed, 14, "0"), 16, 10).cast("long")
 
 
+def coordinates(quantiles: list[int]) -> tuple[list[int], list[int]]:
+    """Bounds of value ranges and each range's coordinate, from the quantiles that part a dimension's ranks in cells.
+
+    The range behind a bound that is several quantiles lies in the middle of them.
+    """
+    bounds = sorted(set(quantiles) - {LEAST})
+    low = sum(q == LEAST for q in quantiles)
+    below = [sum(q < b for q in quantiles) for b in bounds]
+    equal = [sum(q == b for q in quantiles) for b in bounds]
+    return bounds, [(low + 1) // 2 if low else 0, *((2 * x + y + 1) // 2 for x, y in zip(below, equal, strict=True))]
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     """A cell coordinate for each dimension, from approximate quantiles; null is in the lowest cell."""
     kinds = dict(df.dtypes)
@@ -87,30 +101,45 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     keys = [F.coalesce(text_key(F.col(d), prefix[d]) if d in prefix else F.col(d).cast("long"), F.lit(LEAST)) for d in dims]
     at = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
     found = df.agg(*[F.percentile_approx(k, at, 10_000).alias(str(i)) for i, k in enumerate(keys)]).first()
-    return [Ranges(sorted(set(found[str(i)] or []) - {LEAST})).pick(k) for i, k in enumerate(keys)]
+    out = []
+    for i, k in enumerate(keys):
+        bounds, cells = coordinates(found[str(i)] or [])
+        out.append(Ranges(bounds).pick(k, [F.lit(c) for c in cells]))
+    return out
 
 
 def shards(df: DataFrame, dims: list[str], order: list[str], scratch: Scratch, n: int = SHARDS, bits: int = BITS) -> DataFrame:
     """df with ``curve``, ``shard`` (0 to n - 1) and ``slot`` (from 0 in each shard); shards differ by a row at most.
 
-    Rows are in the order of the curve, in a cell by a hash of ``order`` and then ``order``. A cell with any share
-    of the rows is numbered in PARTS parts; only counts are summed up across cells, by cells of the curve's upper
-    levels first. Repeated rows take neighbouring slots.
+    The three take the place of columns of those names. Rows are in the order of the curve, in a cell by a hash of
+    the first column of ``order`` and then by ``order``, so rows of a cell that are equal in the first lie together.
+    A cell with any share of the rows is numbered in parts, and so is a value of the first column with a thousandth
+    of all rows; only counts are summed up across cells, by cells of the curve's upper levels first. Repeated rows
+    take neighbouring slots.
     """
-    rows = df.withColumn("curve", curve_index(quantised(df, dims, bits), bits)).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
-    counts = scratch.keep(rows.groupBy("curve", "_part").agg(F.count("*").alias("n")), "counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    df = df.drop("curve", "shard", "slot")
+    rows = scratch.keep(df.withColumn("curve", curve_index(quantised(df, dims, bits), bits)).withColumn("_own", F.xxhash64(order[0])), "cells")
+    total = rows.count()
+    # at most a thousand rows
+    hot = rows.groupBy("_own").agg(F.count("*").alias("_times")).filter(F.col("_times") >= max(1000, total // 1000)).select("_own", F.lit(True).alias("_hot"))
+    rows = rows.join(F.broadcast(hot), "_own", "left")
+    parts = max(PARTS, total // PART_ROWS)
+    rows = rows.withColumns({"_part": F.pmod("_own", F.lit(parts)), "_own": F.when(F.col("_hot"), F.col("_own"))}).withColumn("_sub", F.when(F.col("_hot"), F.pmod(F.xxhash64(*order), F.lit(parts))))
+    place = ["curve", "_part", "_own", "_sub"]
+    counts = scratch.keep(rows.groupBy(*place).agg(F.count("*").alias("n")), "counts")
     block = F.shiftright("curve", max(0, bits * len(dims) - 12))
     counts = counts.withColumn("_block", block)
-    inside = Window.partitionBy("_block").orderBy("curve", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_block").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     # at most 2 ** 12 rows
     ahead = counts.groupBy("_block").agg(F.sum("n").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     offsets = counts.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ahead.select("_block", "ahead")), "_block")
-    offsets = offsets.select(F.col("curve").alias("_c"), F.col("_part").alias("_p"), (F.col("within") + F.col("ahead")).alias("_first"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("curve", "_part").orderBy(*order)))
-    joined = numbered.join(offsets, (F.col("curve") == F.col("_c")) & (F.col("_part") == F.col("_p")))
+    offsets = offsets.select(*[F.col(c).alias(f"_at{c}") for c in place], (F.col("within") + F.col("ahead")).alias("_first"))
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy(*order)))
+    same = F.lit(True)
+    for c in place:
+        same = same & F.col(c).eqNullSafe(F.col(f"_at{c}"))
     rank = F.col("_first") + F.col("_n") - 1
-    placed = joined.withColumn("_rank", rank).withColumn("shard", F.expr(f"cast(_rank * {n} div {max(1, total)} as int)"))
+    placed = numbered.join(offsets, same).withColumn("_rank", rank).withColumn("shard", F.expr(f"cast(_rank * {n} div {max(1, total)} as int)"))
     slot = F.col("_rank") - F.expr(f"(cast(shard as bigint) * {total} + {n - 1}) div {n}")
     return placed.withColumn("slot", slot.cast("int")).select(*df.columns, "curve", "shard", "slot")
 
@@ -145,7 +174,8 @@ def document_shards(docs: DataFrame, scratch: Scratch, n: int = SHARDS) -> DataF
     """Shards of documents by source, language and size, under the law that shards have equal counts.
 
     A null text has no bytes, so size 1 and the checksum 0. Null dimensions lie in the lowest cell. Rows that
-    repeat, or share a doc_id, are placed one by one. Equal texts of one cell lie together only by chance.
+    repeat, or share a doc_id, are placed one by one. Equal texts of one source and language are neighbours; those
+    of other sources lie where their source does, as a filter on it would else skip no shard.
     """
     rows = described(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "size", "text_crc32")
-    return shards(rows, ["source", "lang", "size"], ["doc_id", "text_crc32", "size"], scratch, n)
+    return shards(rows, ["source", "lang", "size"], ["text_crc32", "size", "doc_id"], scratch, n)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, free_name
 from ._text import NON_SPACE, Words, mix, word_runs, words_of
 
 #: word features; behind them 32 for each statistic, then 64 for each metadata column
@@ -176,15 +176,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled rows outside the held-out fold; without any, every score is 0.5.
 
-    Labels that are null, or that say different things of one doc_id, teach nothing.
+    Labels that are null, or that say different things of one doc_id, teach nothing. Of documents that share a
+    labelled doc_id one is learnt from, that with the least hash, so the driver never gets more than ``sample`` rows
+    of at most a feature for each of WORDS and a few hundred others.
     """
     names = (doc_id, label)
     known = labels.select(*names).filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).filter("_y = _z")
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id", F.col("_y").cast("int").alias("_y"))
     metadata = tuple(m for m in metadata if m in docs.columns)
+    values = ["_text", *(f"_m{i}" for i in range(len(metadata)))]
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *[F.col(m).alias(f"_m{i}") for i, m in enumerate(metadata)])
-    rows = rows.join(F.broadcast(chosen), "_id").select("_y", "_text", *[f"_m{i}" for i in range(len(metadata))], F.xxhash64("_id").alias("_order"))
+    rows = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min_by(F.struct(*values), F.xxhash64(*values)).alias("_x"))
+    rows = rows.select("_y", *[F.col("_x")[v].alias(v) for v in values], F.xxhash64("_id").alias("_order"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(2 + len(metadata)).slice(first, n), *lists], ["y", "order", "numbers", "values"])
 
     made = scratch.keep(rows.mapInArrow(extract, "y int, order long, numbers array<int>, values array<float>"), "sample")
-    table = made.orderBy("order", "y").toArrow().combine_chunks()  # at most sample rows of at most a few thousand features
+    table = made.orderBy("order", "y").toArrow().combine_chunks()
     scratch.drop(made)
     size = WORDS + N_STATS * BINS + META * len(metadata)
     if not table.num_rows:
@@ -247,21 +251,25 @@ def fit(bounds: np.ndarray, numbers: np.ndarray, values: np.ndarray, y: np.ndarr
     return Machine(bias, theta[:, 0].astype(np.float64), theta[:, 1:].astype(np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns ``keep`` (all if not given) with ``score`` and ``predicted`` in place of any of those names.
+def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs' columns ``keep`` (all if not given) with the score and the prediction, in place of any columns of those
+    two ``names``.
 
     A null text is an empty one and scored as such.
     """
-    keep = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
+    keep = [c for c in (keep or docs.columns) if c not in names]
     held = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"), *[F.col(m).alias(f"_m{i}") for i, m in enumerate(machine.metadata)])
-    schema = rows.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).cast("double").alias("score"), F.lit(0).cast("int").alias("predicted")).schema
+    own = docs.select(*[F.col(f"`{c}`") for c in keep])
+    # inputs go by place, under names that the documents don't have
+    inputs = [F.col(text), *[F.col(m) for m in machine.metadata]]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(free_name(f"_in{i}", keep)) for i, c in enumerate(inputs)])
+    schema = own.select("*", F.lit(0.0).cast("double").alias(names[0]), F.lit(0).cast("int").alias(names[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for b in batches:
             found = [sigmoid(own.logits(bounds, numbers, values)) for _, bounds, numbers, values in features(b.column(len(keep)), [b.column(len(keep) + 1 + i) for i in range(len(own.metadata))])]
             x = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(x), pa.array((x >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(x), pa.array((x >= THRESHOLD).astype(np.int32))], [*keep, *names])
 
     return rows.mapInArrow(run, schema)

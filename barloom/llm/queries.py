@@ -39,7 +39,7 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return surrogates.replace_entities(docs, Scratch(spark, "op6")).select("doc_id", "text", "n_entities")
+    return surrogates.replace_entities(docs, Scratch(spark, "op6"), surrogates.key_of(spark)).select("doc_id", "text", "n_entities")
 
 
 def op7_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,24 +4,31 @@ An entity is found by its shape and brought to a canonical form, so that the sam
 address in capitals is the same entity. A surrogate of the same kind is made from a keyed hash: numbers keep their
 layout and check digits, names their script and gender, secrets their alphabet. No two entities get one surrogate,
 and no surrogate is an entity of the corpus: whoever loses such a collision is hashed again.
+
+A name is found behind a title, behind words that announce one, or by a given name of the lists; a family name that a
+document has in one of these ways is found wherever else it stands in that document. A person's gender in a document
+is what any title there says of the name, else what the lists say.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import Scratch, join_hot
+from ._store import Scratch, free_name, join_hot
 
-KEY = "barloom"
-ROUNDS = 40
+#: the session's setting with the key of surrogates
+KEY_SETTING = "spark.barloom.surrogates.key"
 
 # fixed values: words before names, and given names, by gender
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
 OTHER_TITLES = ["Dr", "Prof"]
+#: words that announce a given and a family name
+CONTEXTS = ["name is", "Name:", "Author:", "Signed:", "signed by", "Regards,", "Sincerely,", "heiße", "Autor:", "m'appelle", "Nom :", "me llamo", "Nombre:", "Имя:"]
 GIVEN = {
     "m_l": ["Albert", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Bernard", "Carlos", "Christian", "Charles", "Daniel", "David", "Diego", "Edward", "Etienne", "Fernando", "Francisco", "Frederic", "George", "Gerhard", "Guillaume", "Heinrich", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "Johannes", "John", "Jorge", "Joseph", "Juan", "Klaus", "Karl", "Laurent", "Leonard", "Louis", "Luis", "Manuel", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Pablo", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Rafael", "Richard", "Robert", "Stefan", "Thomas", "Vincent", "William", "Wolfgang"],
     "f_l": ["Adele", "Alexandra", "Alice", "Amelie", "Andrea", "Angela", "Anna", "Barbara", "Beatrice", "Camille", "Carmen", "Caroline", "Catherine", "Charlotte", "Christine", "Claudia", "Dorothea", "Eleanor", "Elena", "Elizabeth", "Emilia", "Emily", "Emma", "Florence", "Francesca", "Gabriela", "Helene", "Isabel", "Jacqueline", "Jane", "Jennifer", "Johanna", "Julia", "Juliette", "Katharina", "Leonora", "Laura", "Linda", "Lisa", "Louise", "Lucia", "Margaret", "Maria", "Marie", "Marta", "Mary", "Mathilde", "Patricia", "Rosalind", "Sabine", "Sarah", "Sofia", "Sophie", "Stephanie", "Susan", "Theresa", "Victoria"],
@@ -35,11 +42,14 @@ SYLLABLES = {
 }
 
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
+_CONTEXTS = "|".join(CONTEXTS)
 _GIVEN = "|".join(sorted({*GIVEN["n_l"], *GIVEN["n_c"]}))
 _NAME_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_FIRST = "".join(sorted({x[0] for x in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *GIVEN["n_l"], *GIVEN["n_c"]]}))
+_FIRST = "".join(sorted({x[0] for x in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *CONTEXTS, *GIVEN["n_l"], *GIVEN["n_c"]]}))
 # each pattern looks at the one sign at hand before it looks around
-NAME = rf"(?=[{_FIRST}])(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD})?|(?:{_GIVEN}) {_NAME_WORD})(?!\p{{L}})"
+NAME = rf"(?=[{_FIRST}])(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD})?|(?:{_CONTEXTS})\s(?!(?:{_TITLES})\b){_NAME_WORD} {_NAME_WORD}|(?:{_GIVEN}) {_NAME_WORD})(?!\p{{L}})"
+#: what stands before the words of a name
+_LEAD = rf"(?:(?:{_TITLES})\.? |(?:{_CONTEXTS})\s)"
 EMAIL = r"(?=[\p{L}\p{N}._%+\-])(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IPV4 = rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
@@ -96,15 +106,17 @@ def mod97(s: Column) -> Column:
     return F.aggregate(_chars(moved), F.lit(0), step)
 
 
-def kind_of(m: Column) -> Column:
-    """What a found string is; null if its check digits say that it is none."""
+def kind_of(m: Column, families: Column | None = None) -> Column:
+    """What a found string is; null if its check digits say that it is none. ``families`` are the document's known
+    family names in lower case."""
+    known = F.lit(False) if families is None else F.array_contains(families, F.lower(m))
     n = F.length(_digits(m))
     return (
         F.when(m.rlike(r"^[^@\s]+@[^@\s]+\.\p{L}+$"), "email")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
         .when(m.rlike(rf"^(?:{IPV6})$"), "ipv6")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(rf"^(?:(?:{_TITLES})\.?|{_GIVEN}) \p{{Lu}}"), "name")
+        .when(known | m.rlike(rf"^(?:{_LEAD}|(?:{_GIVEN}) )\p{{Lu}}"), "name")
         .when(m.rlike(r"^[A-Z]{2}\d{2} ?[A-Z0-9]{4}[ A-Z0-9]+$"), F.when(mod97(_alnum(m)) == 1, "iban"))
         .when(m.rlike(r"^[2-6]\d{3}[\d \-]+$") & n.between(13, 19), F.when(luhn_sum(_digits(m)) == 0, "card"))
         .when(m.rlike(r"^[+(\d][\d ().\-]+$") & m.rlike(r"[^\d]"), F.when(n >= 7, "phone"))
@@ -128,22 +140,42 @@ def whole_ipv6(m: Column) -> Column:
     return F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), ":")
 
 
-def entities_of(m: Column, kind: Column) -> Column:
+def _words(m: Column) -> Column:
+    """The words of a found name: given and family name, or the family name alone."""
+    return F.split(F.regexp_replace(m, rf"^{_LEAD}", ""), " ")
+
+
+def _title_gender(m: Column) -> Column:
+    return F.when(m.rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? "), "m").when(m.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? "), "f")
+
+
+def families_of(names: Column) -> Column:
+    """The family names of found names, in lower case."""
+    return F.array_distinct(F.transform(names, lambda m: F.lower(F.element_at(_words(m), -1))))
+
+
+def gender_of(m: Column, names: Column) -> Column:
+    """m, f or n for a found name: by its own title, by a title that the document gives the same full name, then the
+    same given name, elsewhere, at last by the lists."""
+
+    def told(key) -> Column:
+        said = lambda g: F.exists(names, lambda x: _title_gender(x).eqNullSafe(F.lit(g)) & key(x).eqNullSafe(key(m)))
+        return F.when(said("m") & ~said("f"), "m").when(said("f") & ~said("m"), "f")
+
+    first = lambda x: F.when(F.size(_words(x)) > 1, F.lower(_words(x)[0]))
+    given = F.initcap(_words(m)[0])
+    listed = F.when(given.isin(GIVEN["m_l"] + GIVEN["m_c"]), "m").when(given.isin(GIVEN["f_l"] + GIVEN["f_c"]), "f")
+    return F.coalesce(_title_gender(m), told(lambda x: F.lower(F.array_join(_words(x), " "))), told(first), listed, F.lit("n"))
+
+
+def entities_of(m: Column, kind: Column, gender: Column) -> Column:
     """The entities of a found string as an array of (kind, canonical form); a name has one for each word."""
 
     def one(k: str | Column, canon: Column) -> Column:
         return F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), canon.alias("canon"))
 
     script = F.when(m.rlike(r"\p{IsCyrillic}{2}"), "c").otherwise("l")
-    words = F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")
-    given = F.initcap(words[0])
-    gender = (
-        F.when(m.rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? "), "m")
-        .when(m.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? "), "f")
-        .when(given.isin(GIVEN["m_l"] + GIVEN["m_c"]), "m")
-        .when(given.isin(GIVEN["f_l"] + GIVEN["f_c"]), "f")
-        .otherwise("n")
-    )
+    words = _words(m)
     family = F.concat(F.lit("family_"), script)
     name = F.when(F.size(words) > 1, F.array(one(F.concat(F.lit("given_"), gender, F.lit("_"), script), F.lower(words[0])), one(family, F.lower(words[1])))).otherwise(F.array(one(family, F.lower(words[0]))))
     phone = F.regexp_replace(_digits(m), r"^1(?=\d{10}$)", "")
@@ -168,7 +200,7 @@ def _mapped(canon: Column, digest: Column, letters: Column | int = 26, kept: Col
     return F.array_join(F.transform(F.split(canon, ""), change), "")
 
 
-def surrogate(kind: Column, canon: Column, attempt: int, key: str = KEY) -> Column:
+def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     """The surrogate of an entity in its canonical form."""
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, canon, F.lit(str(attempt))), 512)
 
@@ -178,8 +210,8 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str = KEY) -> Colu
     def chosen(words: list[str], i: int) -> Column:
         return F.element_at(F.array(*[F.lit(w) for w in words]), number(i) % len(words) + 1)
 
-    names = {f"given_{g}": F.concat_ws("-", *[chosen(ws, i) for i in range(1 + min(attempt, 6) // 2)]) for g, ws in GIVEN.items()}
-    names |= {f"family_{s}": F.initcap(F.concat(*[chosen(ws, i) for i in range(2 + min(attempt, 10) // 3)])) for s, ws in SYLLABLES.items()}
+    names = {f"given_{g}": F.concat_ws("-", *[chosen(ws, i) for i in range(min(1 + attempt // 2, 8))]) for g, ws in GIVEN.items()}
+    names |= {f"family_{s}": F.initcap(F.concat(*[chosen(ws, i) for i in range(min(2 + attempt // 3, 12))])) for s, ws in SYLLABLES.items()}
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     rest = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
@@ -210,7 +242,7 @@ def laid_out(m: Column, kind: Column, cores: Column) -> Column:
 
         return F.aggregate(_chars(F.reverse(m)), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda a: a["out"])
 
-    title = F.regexp_extract(m, rf"^((?:{_TITLES})\.? )?", 0)
+    title = F.regexp_extract(m, rf"^{_LEAD}?", 0)
     return (
         F.when(kind == "name", F.concat(title, F.array_join(cores, " ")))
         .when(kind.isin("phone", "card", "ssn", "iban"), refill(cores[0]))
@@ -224,13 +256,17 @@ def _space(kind: Column) -> Column:
     return F.regexp_replace(kind, "^given_[mfn]_", "given_")
 
 
-def assign(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
-    """(kind, canon, core): a surrogate for each entity, unlike all other surrogates and all entities of its space."""
-    left, done = entities.select("kind", "canon"), None
+def assign(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """(kind, canon, core): a surrogate for each entity, unlike all other surrogates and all entities of its space.
+
+    Names grow with the rounds, numbers keep their length: where a kind has more entities than its numbers, a few
+    rounds without a winner end in an error.
+    """
+    left, done, idle, attempt = entities.select("kind", "canon"), None, 0, 0
     same = (F.col("space") == F.col("_k")) & (F.col("low") == F.col("_c"))
-    for attempt in range(ROUNDS):
+    taken = entities.select(_space(F.col("kind")).alias("_k"), F.lower("canon").alias("_c")).distinct()
+    while True:
         made = left.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, key)).withColumns({"low": F.lower("core"), "space": _space(F.col("kind"))})
-        taken = entities.select(_space(F.col("kind")).alias("_k"), F.lower("canon").alias("_c")).distinct()
         free = made.join(taken, same, "left_anti")
         if done is not None:
             free = free.join(done.select(_space(F.col("kind")).alias("_k"), F.lower("core").alias("_c")), same, "left_anti")
@@ -240,24 +276,51 @@ def assign(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
         left = scratch.keep(left.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "left")
         if left.isEmpty():
             return done
-    raise RuntimeError(f"{left.count()} entities have no surrogate after {ROUNDS} attempts")
+        attempt, idle = attempt + 1, idle + 1 if won.isEmpty() else 0
+        if idle > 8:
+            raise RuntimeError(f"no surrogates are left for {left.count()} entities of the kinds {sorted(r.kind for r in left.select('kind').distinct().collect())}")
+
+
+def key_of(spark: SparkSession) -> str:
+    """The session's key of surrogates; a key of this call alone where none is set, so that nobody can repeat it."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
 
-def replace_entities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with surrogates in ``text`` and a column ``n_entities`` (replaced strings) in place of one of that name.
+def replace_entities(docs: DataFrame, scratch: Scratch, key: str, doc_id: str = "doc_id", text: str = "text", count: str = "n_entities") -> DataFrame:
+    """docs with surrogates in ``text`` and the number of replaced strings in ``count``, in place of a column of that
+    name.
 
     Texts without entities pass as they are, null ones too. Rows that repeat get the same surrogates. An entity
     that holds a share of all finds is joined by broadcast, which has at most a thousand rows.
     """
-    docs = docs.drop("n_entities")
-    body = F.col(text)
+    if not key:
+        raise ValueError("surrogates need a key")
+    docs = docs.drop(count)
+    found_, key_, of_, cores_, text_, known_ = (free_name(x, docs.columns) for x in ("_found", "_key", "_of", "_cores", "_text", "_known"))
+    body = F.col(f"`{text}`")
     found = F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0))
-    tagged = docs.withColumn("_found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    tagged = tagged.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(text).cast("string")))
-    tagged = scratch.keep(tagged, "tagged")  # the patterns run once over the texts
-    has = F.coalesce(F.exists("_found", lambda x: x["kind"].isNotNull()), F.lit(False))
-    finds = tagged.filter(has).select("_key", F.posexplode("_found").alias("pos", "x")).filter("x.kind is not null")
-    finds = finds.select("_key", "pos", F.posexplode(entities_of(F.col("x.m"), F.col("x.kind"))).alias("part", "e"))
+    tagged = docs.withColumn(found_, found)
+    # family names that the document has with a title, a context or a given name
+    names = F.filter(found_, lambda m: kind_of(m) == "name")
+    tagged = tagged.withColumn(known_, F.when(F.exists(found_, lambda m: m.rlike(rf"^(?:{_LEAD}|(?:{_GIVEN}) )\p{{Lu}}")), families_of(names)))
+    base = scratch.keep(tagged.withColumn(key_, F.concat_ws(":", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"))), "found")
+    # the patterns run once over the texts, and once more over those with names
+    alone = F.array_join(F.transform(known_, lambda w: F.initcap(F.replace(w, F.lit("-"), F.lit(" ")))), "|")
+    alone = F.replace(alone, F.lit(" "), F.lit("-"))
+    pattern = F.concat(F.lit(ENTITY + r"|(?<!\p{L}|\p{L}-)(?:"), alone, F.lit(r")(?!\p{L}|-\p{L})"))
+    more = F.size(known_) > 0
+    found = F.when(more, F.regexp_extract_all(body, pattern, F.lit(0))).otherwise(F.col(found_))
+    tagged = base.filter(F.size(found_) > 0).withColumn(found_, found)
+    names = F.filter(found_, lambda m: kind_of(m, F.col(known_)) == "name")
+
+    def told(m: Column) -> Column:
+        kind = F.when(more, kind_of(m, F.col(known_))).otherwise(kind_of(m))
+        return F.struct(m.alias("m"), kind.alias("kind"), F.when(more & (kind == "name"), gender_of(m, names)).alias("gender"))
+
+    has = F.coalesce(F.exists(found_, lambda x: x["kind"].isNotNull()), F.lit(False))
+    some = scratch.keep(tagged.withColumn(found_, F.transform(found_, told)), "some")
+    finds = some.filter(has).select(F.col(key_).alias("_key"), F.posexplode(found_).alias("pos", "x")).filter("x.kind is not null")
+    finds = finds.select("_key", "pos", F.posexplode(entities_of(F.col("x.m"), F.col("x.kind"), F.col("x.gender"))).alias("part", "e"))
     finds = scratch.keep(finds.select("_key", "pos", "part", "e.kind", "e.canon"), "finds")
     entities = scratch.keep(finds.groupBy("kind", "canon").agg(F.count("*").alias("n")), "entities")
     total = entities.agg(F.sum("n")).first()[0] or 0
@@ -265,17 +328,18 @@ def replace_entities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     name = F.concat_ws("\x01", "kind", "canon")
     joined = join_hot(finds.select("_key", "pos", "part", name.alias("_e")), cores.select(name.alias("_e"), "core", "n"), "_e", F.concat_ws(":", "_key", "pos", "part"), F.col("n") >= max(100, total // 1000))
     words = joined.groupBy("_key", "pos").agg(F.sort_array(F.collect_set(F.struct("part", "core"))).alias("c"))
-    lists = words.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("c.core")))).alias("_cores"))
-    lists = lists.withColumnRenamed("_key", "_of")
+    lists = words.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("c.core")))).alias(cores_))
+    lists = lists.withColumnRenamed("_key", of_)
 
-    both = tagged.filter(has).join(lists, F.col("_key") == F.col("_of"))
-    pieces = F.split(body, ENTITY, -1)
+    both = some.filter(has).join(lists, F.col(key_) == F.col(of_))
+    pieces = F.when(more, F.split(body, pattern, -1)).otherwise(F.split(body, ENTITY, -1))
 
     def put(piece: Column, i: Column) -> Column:
-        x, own = F.get("_found", i), F.element_at("_cores", i)
+        x, own = F.get(found_, i), F.element_at(cores_, i)
         return F.concat(piece, F.coalesce(F.when(own.isNotNull(), laid_out(x["m"], x["kind"], own)), x["m"], F.lit("")))
 
-    out = both.withColumn("_text", F.array_join(F.transform(pieces, put), "")).withColumn("n_entities", F.size("_cores").cast("long"))
-    changed = out.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "n_entities")
-    same = tagged.filter(~has).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_entities"))
-    return same.unionByName(changed)
+    out = both.withColumn(text_, F.array_join(F.transform(pieces, put), "")).withColumn(count, F.size(cores_).cast("long"))
+    changed = out.select(*[F.col(text_).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], count)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    same = base.filter(F.coalesce(F.size(found_) <= 0, F.lit(True))).select(*own).unionByName(some.filter(~has).select(*own))
+    return same.select(*own, F.lit(0).cast("long").alias(count)).unionByName(changed)

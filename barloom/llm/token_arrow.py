@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._ranges import id_key, id_ranges
-from ._store import Scratch, file_system
+from ._store import Scratch, file_system, replace
 
 LENGTH = 2048
 #: sequences in a record batch
@@ -170,7 +170,7 @@ class _File:
             self._write(-(-self.held // self.length) * self.length)
         self.writer.close()
         self.out.close()
-        self.fs.move(self.part, self.path)
+        replace(self.fs, self.part, self.path)
         return self.uri, self.tokens, self.docs
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import Scratch, file_system, join_hot
+from ._store import Scratch, file_system, join_hot, replace
 
 #: payloads of fewer bytes are always written in full
 LEAST_BYTES = 1000
@@ -106,7 +106,7 @@ class _Archive:
 
     def close(self) -> tuple[str, int, int]:
         self.out.close()
-        self.fs.move(self.part, self.path)
+        replace(self.fs, self.part, self.path)
         return self.uri, self.records, self.bytes
 
 

@@ -20,7 +20,9 @@ def folder(spark, tmp_path_factory):
     bad = [cases.row(1000 + r[0], r[1].upper().replace(" ", "!! ")) for r in good]
     item = " ".join(good[3][1].split()[:20])
     rows = [*good, *bad, *(cases.row(5000 + i, t + " " + good[5][1]) for i, t in PRIVATE), cases.row(6000, f"{item} {item}"), cases.row(None, good[0][1])]
-    spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    # columns of names that the stages use themselves
+    schema = cases.SCHEMA + ", predicted int, n_entities long, component_id long, _text string, _x string"
+    spark.createDataFrame([(*r, 7, 8, 9, "t", "x") for r in rows], schema).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in good + bad], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
@@ -50,6 +52,7 @@ def test_stages_in_turn(spark, folder):
             assert not any("555-2485" in r.text or "4041894974608795" in r.text for r in after.values())
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
+            assert {(r.node, r.score, r.path, r.n, r.predicted, r.n_entities, r.component_id, r["_text"], r["_x"]) for r in after.values()} == {(1, 0.5, "p", 2, 7, 8, 9, "t", "x")}
     library = Tokenizer.from_file(bpe.default_path())
     library.no_truncation()
     for i, r in found["BPE encoding and decoding"].items():

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: quote assets, asset names that differ, and words for perpetual contracts
-QUOTES = ["USDT", "USDC", "BUSD", "USD", "DAI"]
+QUOTES = ["USD", "USDT", "USDC", "BUSD", "DAI"]  # the longest that fits is taken
+PERPETUAL = ["PERP", "PERPETUAL", "-P", "-PERP", "SWAP"]
 ALIASES = {"XBT": "BTC"}
 # resolution in minutes (or D, W) to the providers' names
 INTERVALS = {
@@ -33,7 +34,8 @@ def split_pair(s: Column) -> Column:
 def to_standard(exchange: Column, symbol: Column) -> Column:
     """An exchange's symbol in the form BASE-QUOTE or BASE-PERP."""
     s = F.upper(symbol)
-    perp = F.regexp_extract(s, "^([A-Z0-9]+?)(?:USDT?)?[_\\-]?PERP$", 1)
+    words = "|".join(sorted({p.strip("-") for p in PERPETUAL if len(p) > 2}))
+    perp = F.regexp_extract(s, f"^([A-Z0-9]+?)(?:USDT?)?(?:[_\\-]?(?:{words})|-P)$", 1)
     return F.when(perp != "", F.concat(standard_asset(perp), F.lit("-PERP"))).when(s.contains("-"), s).when(F.length(s) <= 4, standard_asset(s)).otherwise(split_pair(s))
 
 

@@ -35,7 +35,7 @@ def _value(x: float | str | None) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x).cast("double")
 
 
-def _played(bars: DataFrame, terms: Terms, by=BY) -> DataFrame:
+def _played(bars: DataFrame, terms: Terms, by=BY, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every bar with its mark and the trades that end on it.
 
     Columns: by, idx, ts, close, ``equity`` and ``unrealized_pnl`` before the bar's trading, ``made`` (one trade that
@@ -95,7 +95,7 @@ def _played(bars: DataFrame, terms: Terms, by=BY) -> DataFrame:
     rows = rows.withColumn("made", F.array_compact(F.array(closed, ended)))
     top = F.greatest(F.when(F.col("idx") >= 1, F.col("equity")), F.array_max(F.transform("made", lambda t: t["capital_after"])))
     peak = F.max(top).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("peak", F.greatest(peak, F.lit(terms.capital))).select(*by, "idx", "ts", "close", "equity", "unrealized_pnl", "made", "peak")
+    return rows.withColumn("peak", F.greatest(peak, F.lit(terms.capital))).select(*by, "idx", "ts", "close", "equity", "unrealized_pnl", "made", "peak", *keep)
 
 
 def trades(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
@@ -176,3 +176,15 @@ def metrics(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     zero = ["total_return_pct", "annualized_return_pct", "win_rate", "max_drawdown", "sharpe_ratio", "total_trades", "profitable_trades", "avg_profit_trade", "avg_loss_trade", "largest_win", "largest_loss", "avg_trade_duration_hours"]
     kinds = {"total_trades": "long", "profitable_trades": "long"}
     return out.select(*by, *[F.when(traded, F.col(c)).otherwise(0).cast(kinds.get(c, "double")).alias(c) for c in zero], F.when(traded, F.col("profit_factor")).otherwise(0.0).alias("profit_factor"))
+
+
+def excursions(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
+    """trades with the deepest adverse and the largest favourable excursion of the bars that held them, in percent of
+    the effective entry price; 0 where no bar went that way."""
+    rows = _played(bars, terms, by, keep=("high", "low", "_open", "_held"))
+    e = F.col("_held._entry.e")
+    lower, upper = (e["entry_eff"] - F.col("low")) / e["entry_eff"] * 100, (F.col("high") - e["entry_eff"]) / e["entry_eff"] * 100
+    long = e["direction"] == 1
+    worst, best = F.max(F.when(long, lower).otherwise(upper)), F.max(F.when(long, upper).otherwise(lower))
+    found = rows.filter("_open").groupBy(*by, F.col("_held._entry.run").alias("run")).agg(F.greatest(worst, F.lit(0.0)).alias("mae_pct"), F.greatest(best, F.lit(0.0)).alias("mfe_pct"))
+    return trades(bars, terms, by).join(found, [*by, "run"], "left").fillna(0.0, ["mae_pct", "mfe_pct"])

@@ -16,6 +16,12 @@ def returns(df: DataFrame, value: str = "close", by=BY) -> DataFrame:
     return filled.withColumn("r", S.change("_v", 1, by)).filter("r is not null").select(*by, "ts", "r")
 
 
+def log_returns(df: DataFrame, value: str = "close", by=BY) -> DataFrame:
+    """by, ts, r: the logarithm of each value over the one before; a missing value counts as the one before it."""
+    filled = df.withColumn("_v", S.padded(value, by))
+    return filled.withColumn("r", F.log(F.try_divide(F.col("_v"), S.lag("_v", 1, by)))).filter("r is not null").select(*by, "ts", "r")
+
+
 def underwater(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
     """df with ``peak`` so far and ``drawdown`` in percent, 0 or below."""
     df = df.withColumn("peak", F.max(value).over(S.so_far(by)))
@@ -38,30 +44,54 @@ def drawdown_periods(df: DataFrame, value: str = "equity", deeper_than: float =
 
 
 def drawdown_summary(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
-    """Depth and length figures over all spells deeper than 1 %, ulcer and pain index, Sterling and Burke ratios."""
-    rows = underwater(df, value, by)
+    """Depth and length figures over all spells deeper than 1 %, ulcer and pain index, Sterling and Burke ratios.
+
+    The current drawdown's days are those since the latest peak. Time to recovery (days) and recovery factor (yearly
+    return over depth) are of the deepest spell, 0 if it has not ended.
+    """
+    rows = underwater(df, value, by).withColumn("_top", F.when(F.col("drawdown") >= 0, F.col("ts")))
     years = S.floor_days(F.min("ts"), F.max("ts")) / 365
     growth = F.max_by(value, "ts") / F.min_by(value, "ts")
     base = rows.groupBy(*by).agg(
         F.sqrt(F.avg(F.pow(F.col("drawdown") / 100, 2))).alias("_u"),
         F.coalesce(F.avg(F.when(F.col("drawdown") < 0, -F.col("drawdown"))), F.lit(0.0)).alias("pain_index"),
         F.max_by("drawdown", "ts").alias("_now"),
+        S.floor_days(F.max("_top"), F.max("ts")).alias("_days"),
         F.when(years > 0, (F.pow(growth, 1 / years) - 1) * 100).otherwise(0.0).alias("annual_return_pct"),
     )
     spells = drawdown_periods(df, value, 1.0, by)
     ranked = spells.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("max_drawdown_pct", "start_ts")))
     found = ranked.groupBy(*by).agg(
         F.count("*").alias("n_periods"), (-F.min("max_drawdown_pct")).alias("max_drawdown_pct"), F.avg("max_drawdown_pct").alias("avg_drawdown_pct"), F.max("duration_days").alias("max_duration_days"), F.avg("duration_days").alias("avg_duration_days"),
+        F.max(F.when(F.col("_rank") == 1, F.col("recovery_days"))).alias("_recovered"),
         F.avg(F.when(F.col("_rank") <= 3, -F.col("max_drawdown_pct"))).alias("_worst"), F.sqrt(F.sum(F.pow("max_drawdown_pct", F.lit(2)))).alias("_square"),
     )
     out = base.join(found, list(by), "left").fillna(0, ["n_periods"])
     ratio = lambda x: F.when(x > 0, F.col("annual_return_pct") / x)
     return out.select(
         *by, "n_periods", "max_drawdown_pct", "avg_drawdown_pct", "max_duration_days", "avg_duration_days", (100 * F.col("_u")).alias("ulcer_index"), "pain_index", (-F.col("_now")).alias("current_drawdown_pct"),
+        F.when(F.col("_now") < 0, F.col("_days")).otherwise(0).alias("current_duration_days"), F.coalesce("_recovered", F.lit(0)).cast("long").alias("time_to_recovery_days"),
+        F.when(F.col("_recovered").isNotNull(), ratio(F.col("max_drawdown_pct"))).otherwise(0.0).alias("recovery_factor"),
         ratio(F.col("max_drawdown_pct")).alias("calmar_ratio"), ratio(F.col("_worst")).alias("sterling_ratio"), ratio(F.col("_square")).alias("burke_ratio"),
     )
 
 
+def drawdown_table(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
+    """All spells under water however shallow, the worst as number 1, with the columns of drawdown_periods."""
+    spells = drawdown_periods(df, value, 0.0, by)
+    return spells.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("max_drawdown_pct", "start_ts")).cast("long"))
+
+
+def drawdown_totals(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
+    """Over all spells however shallow: number, depth (deepest, mean, median), length, and the bars under water."""
+    rows = underwater(df, value, by).groupBy(*by).agg(F.sum((F.col("drawdown") < 0).cast("long")).alias("underwater_days"), (F.avg((F.col("drawdown") < 0).cast("double")) * 100).alias("underwater_pct"))
+    depth, length = F.col("max_drawdown_pct"), F.col("duration_days")
+    spells = drawdown_periods(df, value, 0.0, by).groupBy(*by).agg(
+        F.count("*").alias("total_drawdowns"), F.min(depth).alias("max_drawdown_pct"), F.avg(depth).alias("avg_drawdown_pct"), F.median(depth).alias("median_drawdown_pct"), F.avg(length).alias("avg_duration_days"), F.max(length).alias("max_duration_days"),
+    )
+    return rows.join(spells, list(by), "left").fillna(0, [c for c in spells.columns if c not in by])
+
+
 def monthly(r: DataFrame, by=BY) -> DataFrame:
     """Sums of simple returns by month, empty months 0: by, month (its first day), r."""
     sums = r.groupBy(*by, F.to_date(F.date_trunc("month", "ts")).alias("month")).agg(F.sum("r").alias("r"))
@@ -129,7 +159,10 @@ def trade_breakdown(made: DataFrame, by=BY) -> DataFrame:
 
 
 def rolling(df: DataFrame, value: str = "close", window: int = 60, by=BY) -> DataFrame:
-    """Return, volatility, Sharpe (annualised) and deepest drawdown of each full window of returns."""
+    """Return, volatility, Sharpe (annualised) and deepest drawdown of each full window of returns.
+
+    The drawdown is a fold over the window's values, so work and memory go with rows times window.
+    """
     r = df.withColumn("r", S.change(value, 1, by))
     w = S.last_rows(window, by)
     enough = F.count("r").over(w) >= window

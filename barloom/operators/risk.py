@@ -14,6 +14,18 @@ BY = S.BY
 YEAR = 252.0
 
 
+def _deepest(window: Column) -> Column:
+    """The deepest fall (0 to 1) of the equity that an array of returns makes, from its first value on."""
+    start = F.struct(F.lit(1.0).alias("v"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("low"))
+
+    def step(acc: Column, x: Column) -> Column:
+        v = acc["v"] * (1 + x)
+        peak = F.greatest(acc["peak"], v)
+        return F.struct(v.alias("v"), peak.alias("peak"), F.least(acc["low"], v / peak - 1).alias("low"))
+
+    return F.aggregate(window, start, step, lambda acc: -acc["low"])
+
+
 def daily_rate(annual: float = 0.0) -> float:
     return (1 + annual) ** (1 / YEAR) - 1
 
@@ -43,6 +55,36 @@ def risk_metrics(r: DataFrame, annual_rate: float = 0.0, by=BY) -> DataFrame:
     )
 
 
+def risk_report(r: DataFrame, b: DataFrame | None = None, annual_rate: float = 0.0, by=BY) -> DataFrame:
+    """Eighteen figures of a return series, percentages but for the ratios; only series of five returns and more.
+
+    Against a benchmark (ts, b): alpha, beta, R squared, tracking error, information ratio; 0 without one.
+    """
+    rf, year = daily_rate(annual_rate), F.sqrt(F.lit(YEAR))
+    w = S.so_far(by)
+    x = r.withColumn("_v", F.product(1 + F.col("r")).over(w))
+    x = x.withColumn("_fall", (F.max("_v").over(w) - F.col("_v")) / F.max("_v").over(w))
+    cut = x.groupBy(*by).agg(F.percentile("r", F.array(F.lit(0.05), F.lit(0.01))).alias("_p"))
+    x = x.join(cut, list(by)).join(b, "ts", "left") if b is not None else x.join(cut, list(by)).withColumn("b", F.lit(None).cast("double"))
+    mean, std, down = F.avg("r"), F.stddev_samp("r"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r")))
+    win, loss = F.avg(F.when(F.col("r") > 0, F.col("r"))), F.abs(F.avg(F.when(F.col("r") < 0, F.col("r"))))
+    with_b = F.when(F.col("b").isNotNull(), F.col("r"))
+    beta = F.when(F.var_samp("b") > 0, F.covar_samp(with_b, "b") / F.var_samp("b")).otherwise(0.0)
+    track = F.stddev_samp(F.col("r") - F.col("b")) * year
+    n, fall = F.count("r").cast("double"), F.max("_fall")
+    matched = F.count("b") > 1
+    told = {
+        "annual_return": mean * YEAR * 100, "annual_volatility": std * year * 100, "sharpe_ratio": F.when(std > 0, (mean - rf) / std * year), "sortino_ratio": F.when(down > 0, (mean - rf) / down * year),
+        "calmar_ratio": F.when(fall > 0, mean * YEAR / fall), "max_drawdown": fall * 100, "var_95": F.abs(F.max(F.col("_p")[0])) * 100, "var_99": F.abs(F.max(F.col("_p")[1])) * 100,
+        "cvar_95": F.abs(F.avg(F.when(F.col("r") <= F.col("_p")[0], F.col("r")))) * 100, "win_rate": F.avg((F.col("r") > 0).cast("double")) * 100, "win_loss_ratio": F.when(loss > 0, win / loss),
+        "skewness": F.when(std > 1e-12, unbiased_skew(F.skewness("r"), n)), "kurtosis": F.when(std > 1e-12, unbiased_kurtosis(F.kurtosis("r"), n)),
+        "alpha": F.when(matched, ((mean - rf) - beta * (F.avg("b") - rf)) * YEAR * 100), "beta": F.when(matched, beta), "r_squared": F.when(matched, F.pow(S.corr(with_b, F.col("b")), 2)),
+        "tracking_error": F.when(matched, track * 100), "information_ratio": F.when(matched & (track > 0), (mean - F.avg("b")) * YEAR / track),
+    }
+    out = x.groupBy(*by).agg(F.count("r").alias("_n"), *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in told.items()])
+    return out.filter("_n >= 5").drop("_n")
+
+
 def benchmark_metrics(r: DataFrame, b: DataFrame, annual_rate: float = 0.0, by=BY) -> DataFrame:
     """Beta, alpha, Treynor, information ratio, R squared and captures against a benchmark (ts, b)."""
     rf = daily_rate(annual_rate)
@@ -109,14 +151,24 @@ def position_sizing(made: DataFrame, capital: float = 10_000.0, risk_pct: float
 
 
 def pairs(r: DataFrame, name: str = "market") -> DataFrame:
-    """Pairwise rows of long-form returns on common times: a, b, x, y."""
-    left = r.select(F.col(name).alias("a"), "ts", F.col("r").alias("x"))
-    right = r.select(F.col(name).alias("b"), "ts", F.col("r").alias("y"))
-    return left.join(right, "ts")
+    """Rows of two different series at a time, each pair once: a below b, x and y.
+
+    The series of a time meet in one array, so returns are shuffled once, by time.
+    """
+    at = r.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), F.col("r").alias("v")))).alias("s"))
+    rows = at.select("s", F.posexplode("s").alias("i", "l"))
+    rows = rows.select("l", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("h"))
+    return rows.select(F.col("l.k").alias("a"), F.col("h.k").alias("b"), F.col("l.v").alias("x"), F.col("h.v").alias("y"))
 
 
 def correlation_matrix(r: DataFrame, name: str = "market") -> DataFrame:
-    return pairs(r, name).groupBy("a", "b").agg(S.corr("x", "y").alias("corr"), F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
+    """corr, cov and n of all ordered pairs of series, and of each with itself; a pair is counted once and mirrored."""
+    figures = lambda x, y: [S.corr(x, y).alias("corr"), F.covar_samp(x, y).alias("cov"), F.count("*").alias("n")]
+    two = pairs(r, name).groupBy("a", "b").agg(*figures("x", "y"))
+    sides = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = two.select(sides.alias("s"), "corr", "cov", "n").select("s.a", "s.b", "corr", "cov", "n")
+    own = r.groupBy(F.col(name).alias("a")).agg(*figures("r", "r")).select("a", F.col("a").alias("b"), "corr", "cov", "n")
+    return both.unionByName(own)
 
 
 def risk_contribution(r: DataFrame, name: str = "market") -> DataFrame:
@@ -134,7 +186,7 @@ def risk_contribution(r: DataFrame, name: str = "market") -> DataFrame:
 
 
 def rolling_risk(r: DataFrame, b: DataFrame, window: int = 60, by=BY) -> DataFrame:
-    """Return, volatility, Sharpe, Sortino, beta, alpha, R squared, VaR and win rate of every full window."""
+    """Return, volatility, Sharpe, Sortino, deepest drawdown, beta, alpha, R squared, VaR and win rate of every full window."""
     x = r.join(b, "ts")
     w = S.last_rows(window, by)
     mean, std = F.avg("r").over(w), F.stddev_samp("r").over(w)
@@ -143,7 +195,7 @@ def rolling_risk(r: DataFrame, b: DataFrame, window: int = 60, by=BY) -> DataFra
     root = F.sqrt(F.lit(YEAR))
     out = x.select(
         *by, "ts", (F.count("r").over(w) >= window).alias("_full"), (mean * YEAR).alias("annual_return"), (std * root).alias("volatility"), F.when(std > 0, mean / std * root).alias("sharpe"), F.when(down > 0, mean / down * root).alias("sortino"),
-        beta.alias("beta"), ((mean - beta * F.avg("b").over(w)) * YEAR).alias("alpha"), F.pow(S.corr("r", "b", w), 2).alias("r_squared"), F.percentile("r", F.lit(0.05)).over(w).alias("var_95"), F.avg((F.col("r") > 0).cast("double")).over(w).alias("win_rate"),
+        (_deepest(F.collect_list("r").over(w)) * 100).alias("max_drawdown"), beta.alias("beta"), ((mean - beta * F.avg("b").over(w)) * YEAR).alias("alpha"), F.pow(S.corr("r", "b", w), 2).alias("r_squared"), F.percentile("r", F.lit(0.05)).over(w).alias("var_95"), F.avg((F.col("r") > 0).cast("double")).over(w).alias("win_rate"),
     )
     return out.filter("_full").drop("_full")
 

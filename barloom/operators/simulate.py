@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BY = ("market",)
+YEAR = 252.0
 # fixed values of the generator
 _A, _B, _P = 1_103_515_245, 12_345, 2_147_483_647
 
@@ -37,6 +38,56 @@ def bootstrap(values: DataFrame, value: str, order: str, sims: int, steps: int |
     return paths.join(rows.select(*by, "_i", F.col(value).alias("x")), [*by, "_i"]).select(*by, "sim", "step", "x")
 
 
+def _sequence(n: Column | int) -> Column:
+    return F.sequence(F.lit(1).cast("long"), (n if isinstance(n, Column) else F.lit(n)).cast("long"))
+
+
+def drawn(values: DataFrame, value: str, order: str, sims: int, steps: int | None, seed: int = 7, by=BY, share: float = 1.0, parts: int = 16) -> DataFrame:
+    """A row a path: by, sim, xs (draws with replacement in the order of steps).
+
+    A series is one array, sent to as many tasks as there are parts of the simulations; draws look up places in it.
+    """
+    arrays = values.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_s"))
+    arrays = arrays.select(*by, F.col("_s.v").alias("_xs"), F.explode(F.sequence(F.lit(0), F.lit(min(parts, sims) - 1))).alias("_part")).repartition(*by, "_part")
+    rows = arrays.withColumn("sim", F.explode(F.sequence(F.col("_part"), F.lit(sims - 1), F.lit(min(parts, sims))).cast("array<bigint>")))
+    n = F.size("_xs").cast("long")
+    count = F.lit(steps) if steps else F.greatest(F.lit(1), F.floor(n * share))
+    return rows.select(*by, "sim", F.transform(_sequence(count), lambda s: F.element_at("_xs", (draw(F.col("sim"), s, n, seed) + 1).cast("int"))).alias("xs"))
+
+
+def path_outcomes(paths: DataFrame, start: float, compounded: bool, by=BY) -> DataFrame:
+    """Each drawn path's final value, return and deepest drawdown (percent), by a fold over its draws."""
+    first = F.struct(F.lit(float(start)).alias("v"), F.lit(float(start)).alias("peak"), F.lit(0.0).alias("fall"))
+
+    def step(acc: Column, x: Column) -> Column:
+        v = acc["v"] * (1 + x) if compounded else acc["v"] + x
+        peak = F.greatest(acc["peak"], v)
+        return F.struct(v.alias("v"), peak.alias("peak"), F.greatest(acc["fall"], (peak - v) / peak * 100).alias("fall"))
+
+    out = paths.withColumn("_e", F.aggregate("xs", first, step))
+    return out.select(*by, "sim", F.col("_e.v").alias("final"), F.col("_e.fall").alias("max_drawdown"), ((F.col("_e.v") / start - 1) * 100).alias("return_pct"))
+
+
+def path_values(paths: DataFrame, start: float, compounded: bool, by=BY) -> DataFrame:
+    """by, sim, step, value of drawn paths."""
+    place = F.posexplode("xs")
+    rows = paths.select(*by, "sim", place.alias("step", "x")).withColumn("step", (F.col("step") + 1).cast("long"))
+    return compounded_paths(rows, start, by) if compounded else summed_paths(rows, start, by)
+
+
+def return_summary(ends: DataFrame, start: float, periods: int, confidence: float = 0.95, by=BY) -> DataFrame:
+    """Final values, yearly growth and drawdowns of simulated paths: means, medians, deviations and percentiles, the
+    interval of the confidence among them, and the share of paths that end above the start."""
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    levels = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "low": low, "p50": 0.5, "high": high, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    rows = ends.withColumn("cagr", (F.pow(F.col("final") / start, YEAR / periods) - 1) * 100)
+    told = []
+    for name, c in (("final", "final"), ("cagr", "cagr"), ("drawdown", "max_drawdown")):
+        q = F.percentile(c, F.array(*[F.lit(x) for x in levels.values()]))
+        told += [F.avg(c).alias(f"{name}_mean"), F.median(c).alias(f"{name}_median"), F.stddev_pop(c).alias(f"{name}_std"), *[q[i].alias(f"{name}_{k}") for i, k in enumerate(levels)]]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *told, F.avg((F.col("final") > start).cast("double")).alias("profit_probability"))
+
+
 def shuffled(values: DataFrame, value: str, order: str, sims: int, seed: int = 7, by=BY) -> DataFrame:
     """Each series in another order for every simulation."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -64,12 +64,12 @@ def drawdown_periods(spark, sf):
 
 
 @query(f"""WITH {Q.BARS_1D}, {SPELLS},
-    a AS (SELECT market, sqrt(avg(pow(dd / 100, 2))) * 100 AS ulcer_index, coalesce(-avg(dd) FILTER (dd < 0), 0) AS pain_index, -arg_max(dd, ts) AS current_drawdown_pct,
+    a AS (SELECT market, sqrt(avg(pow(dd / 100, 2))) * 100 AS ulcer_index, coalesce(-avg(dd) FILTER (dd < 0), 0) AS pain_index, -arg_max(dd, ts) AS current_drawdown_pct, CASE WHEN arg_max(dd, ts) < 0 THEN floor((epoch_us(max(ts)) - epoch_us(max(ts) FILTER (dd >= 0))) / 86400000000)::BIGINT ELSE 0 END AS current_duration_days,
       (pow(arg_max(close, ts) / arg_min(close, ts), 1 / (floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) / 365)) - 1) * 100 AS y FROM v GROUP BY market),
     rk AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY max_drawdown_pct, start_ts) AS n FROM dp),
-    z AS (SELECT market, count(*) AS n_periods, -min(max_drawdown_pct) AS max_drawdown_pct, avg(max_drawdown_pct) AS avg_drawdown_pct, max(duration_days) AS max_duration_days, avg(duration_days) AS avg_duration_days, -avg(max_drawdown_pct) FILTER (n <= 3) AS w, sqrt(sum(pow(max_drawdown_pct, 2))) AS q FROM rk GROUP BY market)
+    z AS (SELECT market, count(*) AS n_periods, -min(max_drawdown_pct) AS max_drawdown_pct, avg(max_drawdown_pct) AS avg_drawdown_pct, max(duration_days) AS max_duration_days, avg(duration_days) AS avg_duration_days, max(recovery_days) FILTER (n = 1) AS rd, -avg(max_drawdown_pct) FILTER (n <= 3) AS w, sqrt(sum(pow(max_drawdown_pct, 2))) AS q FROM rk GROUP BY market)
     SELECT market, n_periods, round(max_drawdown_pct, 4) AS max_drawdown_pct, round(avg_drawdown_pct, 4) AS avg_drawdown_pct, max_duration_days, round(avg_duration_days, 4) AS avg_duration_days, round(ulcer_index, 4) AS ulcer_index, round(pain_index, 4) AS pain_index,
-      round(current_drawdown_pct, 4) + 0.0 AS current_drawdown_pct, round(y / max_drawdown_pct, 4) + 0.0 AS calmar_ratio, round(y / w, 4) + 0.0 AS sterling_ratio, round(y / q, 4) + 0.0 AS burke_ratio FROM a JOIN z USING (market)""")
+      round(current_drawdown_pct, 4) + 0.0 AS current_drawdown_pct, current_duration_days, coalesce(rd, 0)::BIGINT AS time_to_recovery_days, round(CASE WHEN rd IS NOT NULL THEN y / max_drawdown_pct ELSE 0 END, 4) + 0.0 AS recovery_factor, round(y / max_drawdown_pct, 4) + 0.0 AS calmar_ratio, round(y / w, 4) + 0.0 AS sterling_ratio, round(y / q, 4) + 0.0 AS burke_ratio FROM a JOIN z USING (market)""")
 def drawdown_summary(spark, sf):
     return rounded(P.drawdown_summary(bars_1d(spark, sf), "close"))
 
@@ -132,7 +132,7 @@ def _draw(sim: str, step: str, n: str, seed: int = 7) -> str:
 
 
 PATHS = f"""n AS (SELECT market, pnl, trade - 1 AS i, count(*) OVER (PARTITION BY market) AS n FROM tr), z AS (SELECT market, max(n) AS n FROM n GROUP BY market),
-    d AS (SELECT market, sim, step, {_draw('sim', 'step', 'n')} AS i FROM z, (SELECT unnest(range(0, 200))::BIGINT AS sim), LATERAL (SELECT unnest(range(1, greatest(1, floor(n * 0.8::DOUBLE))::BIGINT + 1))::BIGINT AS step)),
+    d AS (SELECT market, sim, step, {_draw('sim', 'step', 'n')} AS i FROM z, (SELECT unnest(range(0, 1000))::BIGINT AS sim), LATERAL (SELECT unnest(range(1, greatest(1, floor(n * 0.8::DOUBLE))::BIGINT + 1))::BIGINT AS step)),
     p AS (SELECT d.market, sim, step, 10000 + sum(pnl) OVER (PARTITION BY d.market, sim ORDER BY step) AS value FROM d JOIN n ON n.market = d.market AND n.i = d.i),
     pk AS (SELECT *, greatest(10000, max(value) OVER (PARTITION BY market, sim ORDER BY step)) AS pk FROM p), o AS (SELECT market, sim, arg_max(value, step) AS final, max((pk - value) / pk * 100) AS dd FROM pk GROUP BY ALL)"""
 SUMMARY = f"""SELECT market, count(*) AS n, round(avg(final), 4) AS mean_final, round(median(final), 4) AS median_final, round(stddev_pop(final), 4) AS std_final, {', '.join(f'round(quantile_cont(final, {p / 100}), 4) AS p{p}' for p in M.PERCENTILES)},
@@ -141,30 +141,30 @@ SUMMARY = f"""SELECT market, count(*) AS n, round(avg(final), 4) AS mean_final,
 
 @query(f"{TR}, {PATHS} {SUMMARY.replace('START', '10000')}")
 def mc_trades(spark, sf):
-    draws = M.bootstrap(made(spark, sf), "pnl", "trade", 200, None, share=0.8)
-    return rounded(M.summary(M.outcomes(M.summed_paths(draws, 10_000.0), 10_000.0), 10_000.0))
+    paths = M.drawn(made(spark, sf), "pnl", "trade", 1000, None, share=0.8)
+    return rounded(M.summary(M.path_outcomes(paths, 10_000.0, False), 10_000.0))
 
 
 RPATHS = f"""n AS (SELECT market, r, row_number() OVER (PARTITION BY market ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY market) AS n FROM r), z AS (SELECT market, max(n) AS n FROM n GROUP BY market),
-    d AS (SELECT market, sim, step, {_draw('sim', 'step', 'n')} AS i FROM z, (SELECT unnest(range(0, 100))::BIGINT AS sim), (SELECT unnest(range(1, 61))::BIGINT AS step)),
+    d AS (SELECT market, sim, step, {_draw('sim', 'step', 'n')} AS i FROM z, (SELECT unnest(range(0, 1000))::BIGINT AS sim), (SELECT unnest(range(1, 253))::BIGINT AS step)),
     p AS (SELECT d.market, sim, step, exp(sum(ln(1 + r)) OVER (PARTITION BY d.market, sim ORDER BY step)) AS value FROM d JOIN n ON n.market = d.market AND n.i = d.i),
     pk AS (SELECT *, greatest(1, max(value) OVER (PARTITION BY market, sim ORDER BY step)) AS pk FROM p), o AS (SELECT market, sim, arg_max(value, step) AS final, max((pk - value) / pk * 100) AS dd FROM pk GROUP BY ALL)"""
 
 
 def _return_paths(spark, sf):
-    # daily closes of single orders jump by orders of magnitude: a tenth of each return keeps paths in range
+    # daily closes of single orders jump by orders of magnitude: a hundredth of each return keeps paths in range
     r = P.returns(bars_1d(spark, sf)).withColumn("r", F.col("r") / 100)
-    return M.compounded_paths(M.bootstrap(r, "r", "ts", 100, 60))
+    return M.drawn(r, "r", "ts", 1000, 252)
 
 
 @query(f"WITH {Q.RETURNS_1D.replace('SELECT market, ts, idx, r FROM', 'SELECT market, ts, idx, r / 100 AS r FROM')}, {RPATHS} {SUMMARY.replace('START', '1')}")
 def mc_returns(spark, sf):
-    return rounded(M.summary(M.outcomes(_return_paths(spark, sf), 1.0), 1.0))
+    return rounded(M.summary(M.path_outcomes(_return_paths(spark, sf), 1.0, True), 1.0))
 
 
 @query(f"WITH {Q.RETURNS_1D.replace('SELECT market, ts, idx, r FROM', 'SELECT market, ts, idx, r / 100 AS r FROM')}, {RPATHS} SELECT market, step, {', '.join(f'round(quantile_cont(value, {q}), 4) AS p{round(100 * q)}' for q in (0.05, 0.5, 0.95))} FROM p GROUP BY market, step")
 def mc_fan(spark, sf):
-    return rounded(M.fan(_return_paths(spark, sf)))
+    return rounded(M.fan(M.path_values(_return_paths(spark, sf), 1.0, True)))
 
 
 @query(f"{TR}, z AS (SELECT sim, market, trade, pnl, {_draw('sim', '(trade - 1)', '2147483647')} AS k FROM tr, (SELECT unnest(range(0, 50))::BIGINT AS sim)), s AS (SELECT market, sim, row_number() OVER (PARTITION BY market, sim ORDER BY k, trade) AS step, pnl FROM z), p AS (SELECT market, sim, step, 10000 + sum(pnl) OVER (PARTITION BY market, sim ORDER BY step) AS value FROM s), q AS (SELECT *, greatest(10000, max(value) OVER (PARTITION BY market, sim ORDER BY step)) AS pk FROM p) SELECT market, sim, round(arg_max(value, step), 4) AS final, round(max((pk - value) / pk * 100), 4) AS max_drawdown FROM q GROUP BY ALL")

@@ -156,12 +156,6 @@ def lorentzian_neighbors(spark, sf):
     return rounded(L.lorentzian(rows, ["f1", "f2", "f3"], back=400), "market", "ts", "distance")
 
 
-@query()
-def lorentzian_signal(spark, sf):
-    """All five features, gated by the kernel's rise and by volatility."""
-    return L.lorentzian_signal(bars_1h(spark, sf), back=400).select("market", "ts", "signal")
-
-
 @query(f"""{H1}, w AS (SELECT market, ts, list(close) OVER {Q.rows(10)} AS xs, list(ln(abs(close * close - 1) + 0.5)) OVER {Q.rows(10)} AS ys FROM b),
     s AS (SELECT market, ts, CASE WHEN list_max(xs) > list_min(xs) THEN [(x - list_min(xs)) / (list_max(xs) - list_min(xs)) for x in xs] ELSE xs END AS x, CASE WHEN list_max(ys) > list_min(ys) THEN [(y - list_min(ys)) / (list_max(ys) - list_min(ys)) for y in ys] ELSE ys END AS y FROM w WHERE len(xs) = 10),
     it(k, market, ts, x, y, w, loss) AS (SELECT 0, market, ts, x, y, 0.0::DOUBLE, 0.0::DOUBLE FROM s UNION ALL

@@ -113,3 +113,38 @@ def test_report_and_draws(spark):
     got = L.neighbour_label(bars.withColumn("f", F.col("equity")), ["f"]).filter("prediction is not null")
     assert got.select("prediction").distinct().collect()[0][0] == 1.0
     assert L.adaptive_threshold(bars.withColumn("distance", F.lit(2.0))).first().threshold == 2.0
+
+
+def test_time_ranges(spark):
+    from barloom.functions.times import TimeRange
+
+    r = TimeRange("2024-01-01T00:00:00Z", "2024-02-01T00:00:00+01:00")
+    assert TimeRange.from_dict(r.to_dict()) == r and r.checked("2024-03-01T00:00:00Z") is r
+    assert r.clamped("2024-01-15T00:00:00Z").end == dt.datetime(2024, 1, 15, tzinfo=dt.UTC)
+    for bad in (("2024-01-01T00:00:00", "2024-02-01T00:00:00Z"), ("2024-02-01T00:00:00Z", "2024-01-01T00:00:00Z"), (None, "2024-01-01T00:00:00Z"), ("soon", "later")):
+        with pytest.raises(ValueError):
+            TimeRange(*bad)
+    with pytest.raises(ValueError):
+        r.checked("2024-01-15T00:00:00Z")
+    with pytest.raises(ValueError):
+        TimeRange.from_dict({"start": "2024-01-01T00:00:00Z"})
+    rows = spark.createDataFrame([(DAY,), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 31, 23),), (dt.datetime(2024, 1, 31, 23, 1),), (None,)], "ts timestamp_ntz")
+    assert [x.i for x in rows.select(r.contains(F.col("ts")).alias("i")).collect()][1:] == [True, True, False, None]
+
+
+def test_drawn_paths_are_those_of_the_joined_form(spark):
+    from barloom.operators import simulate as M
+
+    rows = spark.createDataFrame([(m, i, 0.01 * ((i * 7919) % 13 - 6)) for m in "ab" for i in range(20 + 10 * (m == "b"))], "market string, ts int, r double")
+    joined = M.outcomes(M.compounded_paths(M.bootstrap(rows, "r", "ts", 7, 12), 1.0), 1.0)
+    drawn = M.path_outcomes(M.drawn(rows, "r", "ts", 7, 12, parts=3), 1.0, True)
+    key = lambda df: {(r.market, r.sim): (pytest.approx(r.final), pytest.approx(r.max_drawdown)) for r in df.collect()}
+    assert {k: v for k, v in key(joined).items()} == {(r.market, r.sim): (r.final, r.max_drawdown) for r in drawn.collect()} and drawn.count() == 14
+
+
+def test_self_metrics_of_short_series(spark):
+    from barloom.operators import strategy as T
+
+    df = spark.createDataFrame([("m", DAY + dt.timedelta(days=i), 100.0 + i, 1, -1) for i in range(5)], "market string, ts timestamp_ntz, close double, a int, b int")
+    assert {r.weight for r in T.adaptation(df, ["a", "b"], [3.0, 1.0]).collect()} == {3.0, 1.0}
+    assert [r.signal for r in T.adapted(df, ["a", "b"], [3.0, 1.0]).collect()] == [1] * 5 and T.self_metrics(df, ["a", "b"]).count() == 0

@@ -83,6 +83,16 @@ def replace(fs, part: str, path: str) -> None:
     fs.move(part, path)
 
 
+def write_whole(uri: str, data: bytes) -> None:
+    """Write a file so that it appears at once; a repeated task replaces it by the same bytes."""
+    out, path = file_system(uri)
+    out.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with out.open_output_stream(part) as f:
+        f.write(data)
+    replace(out, part, path)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """The name, with as many _ before it as make it none of the taken ones (names differ by more than case)."""
     lower = {t.lower() for t in taken}

@@ -142,14 +142,6 @@ def window_hash(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def row_hash(rows: np.ndarray) -> np.ndarray:
-    """Hash of every row of a matrix as a sequence, equal to its entry in window_hash."""
-    out = np.full(len(rows), _length_seed(rows.shape[1]), np.uint64)
-    for i in range(rows.shape[1]):
-        out += rows[:, i] * _ODD[i % 100] if i < 100 else mix(rows[:, i] + np.uint64(i))
-    return mix(out)
-
-
 def sequence_hash(h: np.ndarray) -> np.uint64:
     """Hash of one whole sequence, equal to its entry in window_hash."""
     return window_hash(h, len(h))[0]

@@ -51,6 +51,40 @@ def test_contamination(spark, block):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len(bad)
 
 
+@pytest.mark.parametrize("block", [16 << 20, 300])
+def test_contamination_with_clashing_names_and_long_texts(spark, block):
+    """Both tables with columns named like the operator's own; a document of more than a run, an item in many copies."""
+    own = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    long = ("x%d " * 400_000) % tuple(range(400_000))
+    assert len(long) > 2 << 20
+    docs = spark.createDataFrame([(1, f"{long} {own} {long}", 3, "b", 4), (2, own.upper(), 3, "b", 4), (3, "short", 3, "b", 4), (4, None, 3, "b", 4)], "doc_id long, text string, n_hit int, block string, shingle int")
+    items = spark.createDataFrame([(7, own, "b", 1)] * 50 + [(8, "short", "b", 1), (9, own + " more", "b", 1)] + [(100 + i, f"other words {i} " * 5, "b", 1) for i in range(40)], "item_id long, text string, block string, name int")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, [tuple(s) for s in r.spans]) for r in D.find_contamination(docs, items, cases.scratch(spark), block_bytes=block).collect()}
+    assert got == {1: (800_014, 14, ["7", "9"], [(400_000, 400_013)]), 2: (14, 14, ["7", "9"], [(0, 13)]), 3: (1, 1, ["8"], [(0, 0)]), 4: (0, 0, [], [])}
+    kept = D.keep_clean(docs, items, cases.scratch(spark), block_bytes=block)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and kept.columns == docs.columns
+
+
+def test_each_block_is_read_once_a_turn(tmp_path, monkeypatch):
+    """Twenty blocks, of which a worker can keep one: reads go with the documents' bytes over HELD_BYTES."""
+    texts = [[f"item {k} " + " ".join(f"w{k}x{j}" for j in range(20))] for k in range(20)]
+    for k, t in enumerate(texts):
+        found = D.windows_of(t)
+        shingles = D.distinct_shingles(found)
+        D._save(f"{tmp_path}/{k}.npz", vars(D.make_block([str(k)], found, shingles, np.zeros(len(shingles), np.int64))))
+    loads, load = [], D._load
+    monkeypatch.setattr(D, "_load", lambda uri: loads.append(uri) or load(uri))
+    monkeypatch.setattr(D, "KEPT_BYTES", 1)
+    monkeypatch.setattr(D, "_kept", {})
+    batch = pa.RecordBatch.from_arrays([pa.array([f"before {texts[k][0]} after" for k in range(20)])], ["text"])
+    for held, turns in ((batch.nbytes * 4, 2), (1 << 30, 1)):
+        monkeypatch.setattr(D, "HELD_BYTES", held)
+        loads.clear()
+        out = list(D._hits(iter([batch] * 10), 0, [f"{tmp_path}/{k}.npz" for k in range(20)], 3))
+        assert len(loads) == 20 * turns and len(out) == 10
+        assert all(x.names == {d: {str(d)} for d in range(20)} for _, hits in out for x in hits)
+
+
 def test_contamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = cases.documents(spark)

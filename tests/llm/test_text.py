@@ -35,8 +35,3 @@ def test_words_and_sets(texts, run):
 def test_letters_keep_digits():
     w = next(X.word_runs(pa.array(["Ab9-c_d é!"]), X.LETTERS))
     assert w.counts.tolist() == [4]
-
-
-def test_row_hash_is_window_hash():
-    h = X.mix(np.arange(20, dtype=np.uint64))
-    assert (X.row_hash(np.lib.stride_tricks.sliding_window_view(h, 4)) == X.window_hash(h, 4)).all()

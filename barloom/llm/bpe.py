@@ -66,8 +66,9 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order].astype(self._key_type()), order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.shown = [t.encode() for t in self.token]
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.forget()
 
     def _key_type(self) -> type:
@@ -77,7 +78,7 @@ class WordBpe:
         self.words.clear()
         self.known.clear()
         # a special token stands behind a space, which no piece has
-        self.known.update((" " + t, (np.uint32(i).astype("<u4").tobytes(), t.encode())) for t, i in self.special.items())
+        self.known.update((" " + t, np.uint32(i).astype("<u4").tobytes()) for t, i in self.special.items())
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words (none of them empty) in one array, and each word's bounds in it."""
@@ -114,18 +115,17 @@ class WordBpe:
         return ids[order], np.searchsorted(word[order], np.arange(len(words) + 1))
 
     def learn(self, pieces: set[str]) -> None:
-        """Remember the ids and the decoded form of pieces of text without white space."""
+        """Remember the ids of pieces of text without white space."""
         split = {p: self.word.findall(p) for p in pieces}
         words = list(set().union(*split.values()).difference(self.words))
         for i in range(0, len(words), WORDS_A_BATCH):
             some = words[i : i + WORDS_A_BATCH]
             flat, at = self.merge_words([w.encode() for w in some])
-            tokens, data = [self.token[i] for i in flat.tolist()], flat.astype("<u4").tobytes()
-            bounds = at.tolist()
-            self.words.update((w, (data[4 * a : 4 * b], " ".join(tokens[a:b]).encode())) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
+            data, bounds = flat.astype("<u4").tobytes(), at.tolist()
+            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
         known, word = self.known, self.words
         for p, ws in split.items():
-            known[p] = word[ws[0]] if len(ws) == 1 else (b"".join([word[w][0] for w in ws]), b" ".join([word[w][1] for w in ws]))
+            known[p] = word[ws[0]] if len(ws) == 1 else b"".join([word[w] for w in ws])
 
     def pieces(self, text: str) -> list[str]:
         """Pieces between white space, normalised; a special token has a space before it."""
@@ -145,8 +145,8 @@ class WordBpe:
             return [p for p in regex.split(_SPACE + "+", text) if p]
         return text.split()
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Per text: ids as little-endian 32-bit integers, and the decoded text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text: ids as little-endian 32-bit integers."""
         out = []
         for i in range(0, len(texts), TEXTS_A_BATCH):
             split = [self.pieces(t) for t in texts[i : i + TEXTS_A_BATCH]]
@@ -154,14 +154,16 @@ class WordBpe:
                 self.forget()
             self.learn(set().union(*split).difference(self.known))
             known = self.known
-            for ps in split:
-                found = [known[p] for p in ps]
-                out.append((b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[1]])))
+            out += [b"".join([known[p] for p in ps]) for ps in split]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, as the file names no decoder."""
-        return " ".join(self.token[i] for i in ids if i < self.size and self.token[i])
+    def decode(self, ids: bytes) -> bytes:
+        """The text of ids as ``encode`` gives them, in UTF-8: tokens joined by spaces, as the file names no decoder."""
+        shown = self.shown
+        try:
+            return b" ".join([shown[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        except IndexError:  # ids beyond the vocabulary stand for nothing
+            return b" ".join([shown[i] for i in np.frombuffer(ids, "<u4").tolist() if i < self.size])
 
 
 @lru_cache(2)
@@ -192,13 +194,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, doc_id: str = "do
                 found = bpe.encode([x or "" for x in part.column(1).to_pylist()])
                 columns = [
                     part.column(0).cast(pa.int64()),
-                    pa.array([len(x) // 4 for x, _ in found], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x, _ in found], pa.string()),
-                    pa.array([hashlib.sha256(y).hexdigest() for _, y in found], pa.string()),
+                    pa.array([len(x) // 4 for x in found], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in found], pa.string()),
                 ]
                 if ids:
-                    flat = np.frombuffer(b"".join([x for x, _ in found]), "<u4").astype(np.int32)
-                    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x, _ in found])]).astype(np.int32)
+                    flat = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
+                    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names)
         bpe.forget()  # the worker goes on to other stages

@@ -107,19 +107,16 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ranges = id_ranges(docs, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), id_key(doc_id).alias("key"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    firsts = rows.groupBy(ranges.pick(F.col("key")).alias("p")).agg(F.max(F.struct("key", "tie")).alias("top")).collect()
-    top = {r["p"]: r["top"] for r in firsts}
-    full = sorted(top)
-    gives = {p: full[(i + 1) % len(full)] for i, p in enumerate(full)}  # the first row of p follows the last of the next higher range
-
-    def leaf(p: int):
-        place = F.struct(F.lit(p).alias("p"), F.lit(0).alias("given"))
-        if p not in top:
-            return F.array(place)
-        first = (F.col("key") == F.lit(top[p]["key"])) & (F.col("tie") == F.lit(top[p]["tie"]))
-        return F.when(first, F.array(place, F.struct(F.lit(gives[p]).alias("p"), F.lit(1).alias("given")))).otherwise(F.array(place))
-
-    dealt = rows.withColumn("place", F.explode(ranges.pick(F.col("key"), [leaf(p) for p in range(ranges.n)])))
+    rows = rows.withColumn("p", ranges.pick(F.col("key")))
+    # a row a range
+    firsts = sorted(rows.groupBy("p").agg(F.max(F.struct("key", "tie")).alias("top")).select("p", "top.key", "top.tie").collect())
+    # the first row of a range follows the last one of the next higher range
+    gives = [(p, key, tie, firsts[(i + 1) % len(firsts)][0]) for i, (p, key, tie) in enumerate(firsts)]
+    tops = docs.sparkSession.createDataFrame(gives, "_p int, _key long, _tie long, _to int")
+    first = (F.col("key") == F.col("_key")) & (F.col("tie") == F.col("_tie"))
+    place = lambda p, given: F.struct(F.col(p).alias("p"), F.lit(given).alias("given"))
+    both = F.when(first, F.array(place("p", 0), place("_to", 1))).otherwise(F.array(place("p", 0)))
+    dealt = rows.join(F.broadcast(tops), rows.p == tops["_p"]).withColumn("place", F.explode(both))
     dealt = dealt.select("doc_id", "text", "key", "tie", F.col("place.p").alias("p"), F.col("place.given").alias("given"))
     dealt = dealt.repartitionById(ranges.n, F.col("p")).sortWithinPartitions("p", "given", F.desc("key"), F.desc("tie"))
     return dealt.select("doc_id", "text", "p", "given").mapInArrow(_edit, SCHEMA)

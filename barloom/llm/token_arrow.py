@@ -7,6 +7,7 @@ file is read in place. ``docs`` lists the documents that end in the row.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -37,12 +38,21 @@ _ONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """The tokenizers library, asked once for every piece of text between two single spaces.
 
-    The file's pattern begins a token at each such space, so a text's ids are its pieces' ids one after another.
+    Where the file's pattern begins a token at each such space, a text's ids are its pieces' ids one after another;
+    with any other file the library is asked for whole texts. A worker remembers up to REMEMBERED pieces, some 400 MB.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        #: does the file's pattern begin a token at each single space, and is nothing else done to the text?
+        self.by_pieces = (
+            spec["normalizer"] is None and spec["post_processor"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in spec["added_tokens"])
+        )
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -90,6 +100,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids, one after another as integers of ``kind``."""
+        if not self.by_pieces:
+            return self._ask(texts)
         if len(self.later) > REMEMBERED:
             self.later, self.signs, self.odd = {}, {}, {""}
         split = [t.split(" ") for t in texts]

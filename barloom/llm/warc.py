@@ -37,10 +37,12 @@ def payload_headers(pages: DataFrame, page_id: str = "page_id", html: str = "htm
 def originals(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(payload_digest, response, n) of digests that several records have; the largest page_id is the response.
 
-    Records that are revisits already count as any other: digest and size are of the full payload.
+    Where headers have a column has_payload, the response is the largest page_id among the records with a payload, as
+    revisits that were read from an archive have none; digests without such a record have no response.
     """
     large = headers.filter(F.col("payload_bytes") >= least)
-    return large.groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null")
+    able = F.when(F.col("has_payload"), F.col("page_id")) if "has_payload" in headers.columns else F.col("page_id")
+    return large.groupBy("payload_digest").agg(F.max(able).alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null")
 
 
 def resolve_revisits(records: DataFrame, headers: DataFrame, scratch: Scratch, least: int = LEAST_BYTES) -> DataFrame:
@@ -204,3 +206,23 @@ def with_payload_bytes(records: DataFrame) -> DataFrame:
     wanted = sizes.drop("n").join(counts, "to").withColumnRenamed("to", "refers_to_record").withColumnRenamed("bytes", "payload_bytes")
     joined = join_hot(revisits, wanted, "refers_to_record", F.col("record_id"), F.col("n") >= max(100, total // 1000)).drop("n")
     return known.unionByName(joined)
+
+
+def rewritten_archives(records: DataFrame, scratch: Scratch, least: int = LEAST_BYTES) -> DataFrame:
+    """Write records read from archives (``read_archives`` with payloads), revisits among them, as archives without
+    repeated payloads and with fresh headers; the files written.
+
+    A revisit is joined to the response that it refers to. Of records with one large payload the response is one that
+    brings the payload, whatever the others' ids; a small revisit gets its payload back. A revisit whose response is
+    in none of the archives stays one.
+    """
+    # a response without a page_id could be referred to by nobody
+    full = with_payload_bytes(records).withColumns({"has_payload": (F.col("record_type") == "response") & F.col("page_id").isNotNull(), "_told": F.col("refers_to")})
+    small = full.filter(F.col("has_payload") & (F.col("payload_bytes") < least)).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("html").alias("_html"))
+    lacks = (F.col("record_type") == "revisit") & (F.col("payload_bytes") < least)
+    full = full.join(small, lacks & (F.col("payload_digest") == F.col("_digest")), "left").withColumn("html", F.coalesce("html", "_html")).drop("refers_to", "_html", "_digest")
+    headers = full.select("page_id", "payload_bytes", "payload_digest", "has_payload")
+    found = resolve_revisits(full, headers, scratch, least)
+    alone = (F.col("record_type") == "revisit") & F.col("refers_to").isNull() & ~(F.col("payload_bytes") < least).eqNullSafe(F.lit(True))
+    found = found.withColumn("refers_to", F.when(alone, F.coalesce("_told", "page_id")).otherwise(F.col("refers_to")))
+    return scratch.keep(write_archives(found, scratch.path("archives")), "files")

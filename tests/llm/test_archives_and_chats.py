@@ -3,6 +3,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barloom.llm import chat_tree as C
 from barloom.llm import warc as W
@@ -33,6 +34,39 @@ def test_revisits(spark):
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
 
 
+def test_archives_that_hold_revisits(spark):
+    """Written again, every record has the payload that it had, also where a revisit has the larger id."""
+    big, small = "é" * 700, "short"
+    rows = [(1, "a", big, None), (2, "b", big, 1), (3, "c", big, 1), (4, "d", small, None), (5, "e", small, 4), (6, "f", "z" * 3000, None)]
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    scratch = cases.scratch(spark)
+    old = spark.createDataFrame([(p, u, digest(t), t, to) for p, u, t, to in rows], "page_id long, url string, payload_digest string, html string, refers_to long")
+    files = scratch.keep(W.write_archives(old, scratch.path("old")), "files")
+    again = W.rewritten_archives(W.read_archives(spark, files, payloads=True), scratch)
+    got = {r.page_id: r for r in W.with_payload_bytes(W.read_archives(spark, again, payloads=True)).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    assert {i: r.html for i, r in got.items() if r.record_type == "response"} == {1: big, 4: small, 5: small, 6: "z" * 3000}
+    assert all(r.payload_digest == digest(t) and r.payload_bytes == len(t.encode()) for (i, _, t, _), r in ((x, got[x[0]]) for x in rows))
+
+
+def test_long_payloads_and_several_files(spark, monkeypatch):
+    """Members of more than one read, and archives that roll over."""
+    monkeypatch.setattr(W, "FILE_BYTES", 1000)
+    import random
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(3_000_000)), "q" * 2_500_000, *(f"page {i} " * 200 for i in range(30))]
+    df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    body = W.payload_headers(df)
+    records = df.join(body, "page_id").withColumn("refers_to", F.lit(None).cast("long"))
+    scratch = cases.scratch(spark)
+    written = scratch.keep(W.write_archives(records, scratch.path("archives")), "files").collect()
+    assert sum(r.records for r in written) == 32 and len({r.file for r in written}) == len(written) >= 1
+    files = spark.createDataFrame([(r.file,) for r in written], "file string")
+    got = {r.page_id: r.html for r in W.read_archives(spark, files, payloads=True).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_no_pages(spark):
     empty = pages(spark).filter("page_id > 100")
     files = W.deduplicated_archives(empty, cases.scratch(spark))

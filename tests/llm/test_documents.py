@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate as D
 from barloom.llm import fingerprint as P
@@ -124,6 +125,33 @@ def test_sketches_merge_and_estimate():
     assert len({P.to_string(x) for x in P.sketches(pa.array(["Same text", "Same text"]))}) == 1
 
 
+def test_likeness_against_true_sets(spark):
+    """Estimates against the sets of all shingles of generated documents: within five deviations of a sample of a
+    quarter, exact where the sets are equal or apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy(F.desc("doc_id")).collect()
+    texts = [r.text or "" for r in docs]
+    sets, prints = [cases.shingle_set(t) for t in texts], P.sketches(pa.array(texts))
+    edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]
+    pairs = [(sets[i], cases.shingle_set(e), prints[i], p) for (i, e), p in zip(enumerate(edited), P.sketches(pa.array(edited)), strict=True)]
+    pairs += [(sets[i], sets[i + 1], prints[i], prints[i + 1]) for i in range(len(sets) - 1)]
+    off, n = 0, 0
+    for a, b, x, y in pairs:
+        union = len(a | b)
+        if not union or not (len(x[0]) + len(y[0])):
+            continue
+        true = len(a & b) / union
+        got = P.likeness(x, y)
+        if true in (0.0, 1.0):
+            assert got == true
+        elif union >= 40:
+            assert abs(got - true) <= 5 * np.sqrt(true * (1 - true) * 3 / union) + 3 / union, (true, got, union)
+        off, n = off + abs(got - true), n + 1
+    assert n > 1000 and off / n < 0.02
+    # a kept hash is a shingle's, and a quarter of all shingles is kept
+    kept, every = sum(len(p[0]) for p in prints), sum(map(len, sets))
+    assert abs(kept / every - 0.25) < 0.01
+
+
 def test_fingerprint_column(spark):
     out = P.fingerprints(cases.documents(spark).withColumnRenamed("path", "fingerprint"))
     assert out.columns.count("fingerprint") == 1 and out.filter("fingerprint is null").count() == 0
@@ -181,6 +209,16 @@ def test_the_curve_is_the_published_one(spark):
         assert dims != 2 or got in turned
 
 
+def test_ranges_by_search_and_by_tree(spark, monkeypatch):
+    from barloom.llm import _ranges as G
+
+    for bounds in ([], [5], list(range(-50, 900, 3)), [G.LEAST + 1, 0, 1 << 62]):
+        ranges = G.Ranges(bounds)
+        df = spark.createDataFrame([(x,) for x in [G.LEAST, -51, -50, -49, 0, 4, 5, 6, 897, 898, 1 << 62, (1 << 63) - 1]], "k long")
+        rows = df.select(ranges.pick(F.col("k"), [F.lit(p) for p in range(ranges.n)]).alias("a"), ranges._searched(F.col("k")).alias("b")).collect()
+        assert all(r.a == r.b for r in rows)
+
+
 def test_coordinates_spread_over_the_grid():
     four = sorted([1] * 16 + [2] * 16 + [3] * 16 + [4] * 15)
     assert H.coordinates(four) == ([1, 2, 3, 4], [0, 8, 24, 40, 56])

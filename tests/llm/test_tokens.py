@@ -28,11 +28,12 @@ WORD, BYTE = library(bpe.default_path()), library(token_arrow.default_path())
 @given(TEXTS)
 def test_as_the_library(texts):
     own = bpe.load(bpe.default_path())
-    for text, (ids, decoded) in zip(texts, own.encode(texts), strict=True):
+    for text, ids in zip(texts, own.encode(texts), strict=True):
         want = WORD.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert decoded.decode() == WORD.decode(want, skip_special_tokens=False) == own.decode(want)
+        assert own.decode(ids).decode() == WORD.decode(want, skip_special_tokens=False)
     encoder = token_arrow.encoder(token_arrow.default_path())
+    assert encoder.by_pieces
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(ids, encoder.kind).tolist() == BYTE.encode(text, add_special_tokens=False).ids
 
@@ -42,7 +43,21 @@ def test_forgetting(monkeypatch):
     monkeypatch.setattr(bpe, "TEXTS_A_BATCH", 2)
     own = bpe.WordBpe(bpe.default_path())
     texts = ["one two three", "four five", "one six", "", "aaaa" * 50]
-    assert [np.frombuffer(i, "<u4").tolist() for i, _ in own.encode(texts)] == [WORD.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)] == [WORD.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_beyond_the_vocabulary():
+    own = bpe.load(bpe.default_path())
+    ids = own.encode(["two words"])[0]
+    assert own.decode(ids + np.array([1 << 31], "<u4").tobytes()) == own.decode(ids) != b""
+
+
+def test_another_file_is_asked_for_whole_texts():
+    """A file whose pattern is not that of single spaces: the pieces are not taken apart."""
+    own = token_arrow.Encoder(bpe.default_path())
+    assert not own.by_pieces
+    texts = ["One  two <|endoftext|>", "", " Three "]
+    assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == [WORD.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_bpe_documents(spark):
@@ -57,6 +72,18 @@ def test_bpe_documents(spark):
     assert bpe.encode_documents(cases.empty(spark)).count() == 0
 
 
+def test_very_long_texts(spark):
+    """A text of more than two million bytes goes the same way."""
+    long = "Some words, 123 numbers; and Ünïcode! " * 60_000
+    assert len(long) > 2 << 20
+    docs = spark.createDataFrame([cases.row(1, long), cases.row(2, "x" * 30_000)], cases.SCHEMA)
+    want = {r.doc_id: WORD.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(docs).collect()} == {i: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for i, x in want.items()}
+    files = token_arrow.write_tokens(docs, cases.scratch(spark))
+    whole = {r.doc_id: np.array([*BYTE.encode(r.text, add_special_tokens=False).ids, token_arrow.END], "<u4") for r in docs.collect()}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_arrow.read_tokens(spark, files).collect()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in whole.items()}
+
+
 def test_token_files(spark):
     docs = cases.documents(spark)
     scratch = cases.scratch(spark)

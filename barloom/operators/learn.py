@@ -6,8 +6,11 @@ blocks so that memory is a block times the series' length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -138,33 +141,39 @@ def lorentzian_signal(
 def logistic(df: DataFrame, lookback: int = 10, rate: float = 0.0009, iterations: int = 1000, by=BY) -> DataFrame:
     """loss and pred of a one-weight logistic fit on each full window of prices, ln(abs(p * p - 1) + 0.5) being the target.
 
-    Both are brought to 0 to 1 within the window unless constant. All in the JVM: a fold over the iterations.
+    Both are brought to 0 to 1 within the window unless constant. Rows carry their windows, so that any rows can be
+    fitted together: an iteration is a few array operations over a batch.
     """
     return _fitted(df, S.last_rows(lookback, by), lookback, rate, iterations).filter(F.col("loss").isNotNull())
 
 
 def _fitted(df: DataFrame, w: WindowSpec, lookback: int, rate: float, iterations: int, least: float = 0.0, share: float = 0.0) -> DataFrame:
     """loss and pred of the window's fit, null unless it is full; it is constant if its span is at most least + share * low."""
-    rows = df.withColumn("_y0", F.log(F.abs(F.col("close") * F.col("close") - 1) + 0.5))
-    rows = rows.withColumns({"_x": F.collect_list("close").over(w), "_y": F.collect_list("_y0").over(w)})
-
-    def scaled(a: str) -> Column:
-        low, high = F.array_min(a), F.array_max(a)
-        return F.when(high - low > least + share * F.abs(low), F.transform(a, lambda v: (v - low) / (high - low))).otherwise(F.col(a))
-
-    rows = rows.withColumns({"_x": scaled("_x"), "_y": scaled("_y")})
-
-    def step(acc: Column, _: Column) -> Column:
-        h = F.transform("_x", lambda v: S.sigmoid(acc["w"] * v))
-        safe = F.transform(h, lambda v: F.least(F.greatest(v, F.lit(1e-10)), F.lit(1 - 1e-10)))
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-        loss = total(F.zip_with("_y", safe, lambda y, p: -(y * F.log(p) + (1 - y) * F.log(1 - p)))) / lookback
-        grad = total(F.zip_with(F.zip_with(h, "_y", lambda p, y: p - y), "_x", lambda e, v: e * v)) / lookback
-        return F.struct((acc["w"] - rate * grad).alias("w"), loss.alias("loss"))
-
-    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("loss")), step)
-    rows = rows.withColumn("_f", F.when(F.size("_x") >= lookback, fitted))
-    return rows.withColumn("loss", F.col("_f.loss")).withColumn("pred", S.sigmoid(F.col("_f.w") * F.element_at("_x", -1))).drop("_x", "_y", "_y0", "_f")
+    schema = R.widened(df, [("loss", "double"), ("pred", "double")])
+    names = df.columns
+
+    def scaled(m: np.ndarray) -> np.ndarray:
+        low, high = m.min(axis=1, keepdims=True), m.max(axis=1, keepdims=True)
+        wide = high - low > least + share * np.abs(low)
+        return np.where(wide, (m - low) / np.where(wide, high - low, 1), m)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(names))
+            full = lists.value_lengths().to_numpy(zero_copy_only=False) >= lookback
+            raw = lists.filter(pa.array(full)).flatten().to_numpy().reshape(-1, lookback)
+            x, y = scaled(raw), scaled(np.log(np.abs(raw * raw - 1) + 0.5))
+            weight, h = np.zeros(len(x)), np.zeros(x.shape)
+            for _ in range(iterations):
+                h = 1 / (1 + np.exp(-weight[:, None] * x))
+                weight = weight - rate * ((h - y) * x).sum(axis=1) / lookback
+            safe = np.clip(h, 1e-10, 1 - 1e-10)
+            found = np.full((2, b.num_rows), np.nan)
+            found[0, full] = -(y * np.log(safe) + (1 - y) * np.log(1 - safe)).sum(axis=1) / lookback
+            found[1, full] = 1 / (1 + np.exp(-weight * x[:, -1]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v, mask=~full) for v in found)], [*names, "loss", "pred"])
+
+    return df.withColumn("_x", F.collect_list(F.col("close").cast("double")).over(w)).mapInArrow(fit, schema)
 
 
 def logistic_signal(

@@ -159,11 +159,11 @@ def lorentzian_neighbors(spark, sf):
 @query(f"""{H1}, w AS (SELECT market, ts, list(close) OVER {Q.rows(10)} AS xs, list(ln(abs(close * close - 1) + 0.5)) OVER {Q.rows(10)} AS ys FROM b),
     s AS (SELECT market, ts, CASE WHEN list_max(xs) > list_min(xs) THEN [(x - list_min(xs)) / (list_max(xs) - list_min(xs)) for x in xs] ELSE xs END AS x, CASE WHEN list_max(ys) > list_min(ys) THEN [(y - list_min(ys)) / (list_max(ys) - list_min(ys)) for y in ys] ELSE ys END AS y FROM w WHERE len(xs) = 10),
     it(k, market, ts, x, y, w, loss) AS (SELECT 0, market, ts, x, y, 0.0::DOUBLE, 0.0::DOUBLE FROM s UNION ALL
-      SELECT k + 1, market, ts, x, y, w - 0.05::DOUBLE * list_sum([(1 / (1 + exp(-w * x[i])) - y[i]) * x[i] for i in range(1, 11)]) / 10,
-        list_sum([-(y[i] * ln(least(greatest(1 / (1 + exp(-w * x[i])), 1e-10), 1 - 1e-10)) + (1 - y[i]) * ln(1 - least(greatest(1 / (1 + exp(-w * x[i])), 1e-10), 1 - 1e-10))) for i in range(1, 11)]) / 10 FROM it WHERE k < 20)
-    SELECT market, ts, round(loss, 4) AS loss, round(1 / (1 + exp(-w * x[10])), 4) AS pred FROM it WHERE k = 20""".replace("WITH", "WITH RECURSIVE", 1))
+      SELECT k + 1, market, ts, x, y, w - 0.0009::DOUBLE * list_sum([(1 / (1 + exp(-w * x[i])) - y[i]) * x[i] for i in range(1, 11)]) / 10,
+        list_sum([-(y[i] * ln(least(greatest(1 / (1 + exp(-w * x[i])), 1e-10), 1 - 1e-10)) + (1 - y[i]) * ln(1 - least(greatest(1 / (1 + exp(-w * x[i])), 1e-10), 1 - 1e-10))) for i in range(1, 11)]) / 10 FROM it WHERE k < 1000)
+    SELECT market, ts, round(loss, 4) AS loss, round(1 / (1 + exp(-w * x[10])), 4) AS pred FROM it WHERE k = 1000""".replace("WITH", "WITH RECURSIVE", 1))
 def logistic_gd(spark, sf):
-    return rounded(L.logistic(bars_1h(spark, sf), rate=0.05, iterations=20), "market", "ts", "loss", "pred")
+    return rounded(L.logistic(bars_1h(spark, sf)), "market", "ts", "loss", "pred")
 
 
 @query(f"{H1}, {WAVE}, l AS (SELECT *, lead(close, 4) OVER {Q.W} AS nx FROM b) SELECT market, ts, CASE WHEN nx IS NULL THEN 0 WHEN nx > close THEN 1 ELSE -1 END AS label FROM l")

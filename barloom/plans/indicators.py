@@ -12,6 +12,8 @@ from . import sql as Q
 
 H1 = f"WITH {Q.BARS_1H}"
 HLC = ("high", "low", "close")
+#: bars in a block of the smoothed indicators: small, so that the tables' short series have several
+BLOCK = 200
 
 
 def _np(p, *names):
@@ -57,20 +59,16 @@ def ema(spark, sf):
 
 @query(f"{H1}, {Q.ema('e', 'b', 'close', 14)} SELECT market, ts, round(y, 4) AS ema FROM e JOIN b USING (market, idx)")
 def ema_blocks(spark, sf):
-    """The same average by affine blocks, for series of any length: the seed is a step that forgets what was before."""
-    n = 14
-    rows = S.numbered(bars_1h(spark, sf)).withColumn("_mean", S.sma("close", n))
-    k = 2 / (n + 1)
-    rows = rows.withColumn("a", F.when(F.col("idx") < n, 0.0).otherwise(1 - k)).withColumn("x", F.when(F.col("idx") < n - 1, 0.0).when(F.col("idx") == n - 1, F.col("_mean")).otherwise(k * F.col("close")))
-    out = R.affine_scan(rows.select("market", "ts", "idx", "a", "x"), "a", "x", "ema", block=200)
-    return rounded(out.filter(F.col("idx") >= n - 1), "market", "ts", "ema")
+    """The same average by affine blocks, for series of any length."""
+    out = R.with_ema(bars_1h(spark, sf), 14, block=BLOCK)
+    return rounded(out.filter(F.col("ema").isNotNull()).select("market", "ts", "ema"))
 
 
 @query(f"""{H1}, c AS (SELECT *, close - lag(close) OVER {Q.W} AS d FROM b), g AS (SELECT *, greatest(d, 0) AS up, greatest(-d, 0) AS dn FROM c WHERE d IS NOT NULL),
     {Q.wilder('u', 'g', 'up', 14)}, {Q.wilder('v', 'g', 'dn', 14)}
     SELECT market, ts, round(CASE WHEN u.y IS NOT NULL THEN CASE WHEN u.y + v.y = 0 THEN 0 ELSE 100 * u.y / (u.y + v.y) END END, 4) AS rsi FROM b LEFT JOIN u USING (market, idx) LEFT JOIN v USING (market, idx)""")
 def rsi(spark, sf):
-    return rounded(R.by_series(bars_1h(spark, sf), {"rsi": lambda p: R.rsi(_np(p, "close")[0], 14)}), "market", "ts", "rsi")
+    return rounded(R.with_rsi(bars_1h(spark, sf), 14, block=BLOCK), "market", "ts", "rsi")
 
 
 MACD = f"""late AS (SELECT * FROM b WHERE idx >= 14), {Q.ema('f', 'late', 'close', 12)}, {Q.ema('s', 'b', 'close', 26)},
@@ -79,8 +77,7 @@ MACD = f"""late AS (SELECT * FROM b WHERE idx >= 14), {Q.ema('f', 'late', 'close
 
 @query(f"{H1}, {MACD} SELECT b.market, b.ts, round(line, 4) + 0.0 AS macd, round(g.y, 4) + 0.0 AS macd_signal FROM b LEFT JOIN l USING (market, idx) LEFT JOIN g USING (market, idx)")
 def macd(spark, sf):
-    made = {"macd": lambda p: R.macd(_np(p, "close")[0], 12, 26, 9)[0], "macd_signal": lambda p: R.macd(_np(p, "close")[0], 12, 26, 9)[1]}
-    return rounded(R.by_series(bars_1h(spark, sf), made), "market", "ts", "macd", "macd_signal")
+    return rounded(R.with_macd(bars_1h(spark, sf), 12, 26, 9, block=BLOCK), "market", "ts", "macd", "macd_signal")
 
 
 @query(f"{H1}, {Q.BOLLINGER} SELECT market, ts, {Q.rounded('middle upper lower')} FROM boll")
@@ -136,13 +133,12 @@ ADX = f"""mv AS (SELECT *, high - lag(high) OVER {Q.W} AS u, lag(low) OVER {Q.W}
 
 @query(f"{H1}, {Q.TRUE_RANGE}, {ADX} SELECT b.market, b.ts, {Q.rounded('plus_di minus_di')}, round(ax.y, 4) AS adx FROM b LEFT JOIN di USING (market, idx) LEFT JOIN ax USING (market, idx)")
 def adx_di(spark, sf):
-    made = {n: lambda p, k=k: R.directional(*_np(p, *HLC), 14)[k] for k, n in enumerate(("plus_di", "minus_di", "adx"))}
-    return rounded(R.by_series(bars_1h(spark, sf), made), "market", "ts", "plus_di", "minus_di", "adx")
+    return rounded(R.with_directional(bars_1h(spark, sf), 14, block=BLOCK), "market", "ts", "plus_di", "minus_di", "adx")
 
 
 @query(f"{H1}, {Q.TRUE_RANGE}, {Q.wilder('a', 't', 'tr', 14)} SELECT market, ts, round(a.y, 4) AS atr FROM b LEFT JOIN a USING (market, idx)")
 def atr_wilder(spark, sf):
-    return rounded(R.by_series(bars_1h(spark, sf), {"atr": lambda p: R.atr(*_np(p, *HLC), 14)}), "market", "ts", "atr")
+    return rounded(R.with_atr(bars_1h(spark, sf), 14, block=BLOCK), "market", "ts", "atr")
 
 
 ATR_SIMPLE = f"{Q.TRUE_RANGE}, ats AS (SELECT *, CASE WHEN count(tr) OVER {Q.rows(10)} >= 10 THEN avg(tr) OVER {Q.rows(10)} END AS atr FROM t)"
@@ -183,7 +179,7 @@ WAVE = f"""wh AS (SELECT *, (high + low + close) / 3 AS h3 FROM b), {Q.ema('wa',
 
 @query(f"{H1}, {WAVE} SELECT market, ts, round(wt.y, 4) + 0.0 AS wavetrend FROM b LEFT JOIN wt USING (market, idx)")
 def wavetrend(spark, sf):
-    return rounded(R.by_series(bars_1h(spark, sf), {"wavetrend": lambda p: R.wave_trend(*_np(p, *HLC), 10, 11)}), "market", "ts", "wavetrend")
+    return rounded(R.with_wave_trend(bars_1h(spark, sf), 10, 11, block=BLOCK), "market", "ts", "wavetrend")
 
 
 @query(f"""{H1}, w AS (SELECT unnest(range(1, 9)) AS d), k AS (SELECT d, pow(1 + d * d / (2 * 8.0::DOUBLE * 25), -8) AS w FROM w)

@@ -51,13 +51,54 @@ def test_affine_scan_over_blocks(spark):
     rnd = random.Random(2)
     rows = [("a", i, rnd.random(), rnd.random()) for i in range(57)] + [("b", i, 0.5, 1.0) for i in range(3)]
     df = spark.createDataFrame(rows, "market string, idx long, a double, b double")
-    got = {(r.market, r.idx): r.y for r in R.affine_scan(df, "a", "b", "y", block=10).collect()}
+    got = {(r.market, r.idx): r.y for r in R.affine_scan(df, {"y": ("a", "b")}, block=10).collect()}
     last = {}
     for m, i, a, b in rows:
         last[m] = a * last.get(m, 0.0) + b
         assert got[m, i] == pytest.approx(last[m])
 
 
+def test_smoothed_by_blocks_as_over_whole_series(spark):
+    """Every smoothed indicator, in blocks of 7 bars, against its kernel: a short series and constant bars first."""
+    rnd = random.Random(9)
+    rows = []
+    for m, n in (("a", 90), ("b", 12), ("c", 60), ("d", 1)):
+        px = 100.0
+        for i in range(n):
+            px = px if m == "c" and i < 20 else px * (1 + rnd.gauss(0, 0.02))
+            hi, lo = (px, px) if m == "c" and i < 20 else (px * (1 + rnd.random() / 50), px * (1 - rnd.random() / 50))
+            rows.append((m, DAY + dt.timedelta(hours=i), hi, lo, px))
+    df = spark.createDataFrame(rows, "market string, ts timestamp_ntz, high double, low double, close double")
+    hlc = lambda p: [p[c].to_numpy(float) for c in ("high", "low", "close")]
+    kernels = {
+        "ema": lambda p: R.ema(hlc(p)[2], 5), "rsi": lambda p: R.rsi(hlc(p)[2], 5), "macd": lambda p: R.macd(hlc(p)[2], 4, 9, 3)[0], "macd_signal": lambda p: R.macd(hlc(p)[2], 4, 9, 3)[1], "atr": lambda p: R.atr(*hlc(p), 5),
+        "plus_di": lambda p: R.directional(*hlc(p), 5)[0], "minus_di": lambda p: R.directional(*hlc(p), 5)[1], "adx": lambda p: R.directional(*hlc(p), 5)[2], "wavetrend": lambda p: R.wave_trend(*hlc(p), 4, 5),
+    }
+    want = {(r.market, r.ts): r for r in R.by_series(df, kernels).collect()}
+    blocks = {("ema",): lambda d: R.with_ema(d, 5, block=7), ("rsi",): lambda d: R.with_rsi(d, 5, block=7), ("macd", "macd_signal"): lambda d: R.with_macd(d, 4, 9, 3, block=7), ("atr",): lambda d: R.with_atr(d, 5, block=7), ("plus_di", "minus_di", "adx"): lambda d: R.with_directional(d, 5, block=7), ("wavetrend",): lambda d: R.with_wave_trend(d, 4, 5, block=7)}
+    for names, run in blocks.items():
+        got = run(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            for n in names:
+                w = want[r.market, r.ts][n]
+                assert r[n] is None if w is None else r[n] == pytest.approx(w, abs=1e-9), (n, r.market, r.ts)
+    assert R.with_rsi(df.filter("market = 'z'"), 5).count() == 0
+
+
+def test_one_long_series_goes_to_many_tasks(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'m' market", "id idx", "cast(0.999 as double) a", "cast(id % 7 as double) b")
+    out = R.affine_scan(df, {"y": ("a", "b")}, block=n // 8).select("idx", "y")
+    x, last = np.arange(n) % 7, 0.0
+    got = dict(out.filter("idx in (0, 124999, 125000, 500001, 999999)").collect())
+    for i in range(n):
+        last = 0.999 * last + x[i]
+        if i in got:
+            assert got[i] == pytest.approx(last)
+    assert len(got) == 5
+
+
 def test_cross_is_strict(spark):
     df = spark.createDataFrame([("m", DAY + dt.timedelta(days=i), x) for i, x in enumerate([-1.0, 1.0, 0.0, -1.0, 1.0, -1.0])], "market string, ts timestamp_ntz, x double")
     assert [r.c for r in df.select("ts", S.cross("x", F.lit(0.0)).alias("c")).orderBy("ts").collect()] == [0, 1, 0, 0, 1, -1]

@@ -32,4 +32,4 @@ def rounded(df: DataFrame, *keep: str, digits: int = 4) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in names])
 
 
-from . import backtests, indicators, risk, scalars, signals, studies  # noqa: E402,F401  register their queries
+from . import backtests, indicators, layers, risk, scalars, signals, studies  # noqa: E402,F401  register their queries

@@ -19,10 +19,11 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from .shared import read_text
+
 COLUMNS = "timestamp timestamp, open double, high double, low double, close double, volume double, source string, resolution string, market string, raw_data string"
 
 # fixed values: minutes of a resolution, rows of a page, requests a second and hosts
@@ -172,17 +173,23 @@ class Http:
         raise RateLimitError(p.exchange)
 
 
+def latest_rows(rows: Iterator[tuple]) -> list[tuple]:
+    """Of a payload's candles the one with the latest time; none of an empty one."""
+    rows = sorted(rows, key=lambda r: r[0])
+    return rows[-1:]
+
+
 class Replay:
-    """Recorded payloads: <folder>/<market>-<first second>.json or .csv; a page without one is empty."""
+    """Recorded payloads: <folder>/<market>-<first second>.json or .csv, also of a shared store; a page without one is
+    empty."""
 
     def __init__(self, folder: str):
-        self.folder = Path(folder)
+        self.folder = folder.rstrip("/")
 
     def __call__(self, p: Page) -> str:
-        for kind in ("json", "csv"):
-            if (f := self.folder / f"{p.market}-{p.first}.{kind}").exists():
-                return f.read_text()
-        return "" if p.exchange == "drift" else "[]"
+        kind, empty = ("csv", "") if p.exchange == "drift" else ("json", "[]")
+        found = read_text(f"{self.folder}/{p.market}-{p.first}.{kind}")
+        return empty if found is None else found
 
 
 def read_page(p: Page, transport: Callable[[Page], str]) -> Iterator[tuple]:

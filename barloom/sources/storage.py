@@ -29,7 +29,10 @@ def store_processed(candles: DataFrame, path: str, format: str = "parquet") -> N
 
 
 def upsert_processed(candles: DataFrame, path: str, arrival: str | None = None) -> None:
-    """Merge bars into the days that they touch; of one time the last arrival stays, a new row before a stored one."""
+    """Merge bars into the days that they touch; of one time the last arrival stays, a new row before a stored one.
+
+    A layer has one writer at a time: of two that merge into the same day, the last one's days stay.
+    """
     spark = candles.sparkSession
     new = _stamped(candles, "timestamp").withColumn("_at", F.col(arrival) if arrival else F.lit(0)).withColumn("_new", F.lit(1))
     names = [f.name for f in PROCESSED]
@@ -43,7 +46,7 @@ def upsert_processed(candles: DataFrame, path: str, arrival: str | None = None)
     if old is not None:
         kind = new.schema["_order"].dataType
         days = new.select(*KEYS, "date").distinct()
-        held = old.join(F.broadcast(days) if days.count() < 100_000 else days, [*KEYS, "date"], "left_semi")
+        held = old.join(days, [*KEYS, "date"], "left_semi")
         held = held.select(*KEYS, "date", *names, F.struct(F.lit(0).alias("_new"), F.lit(None).cast(kind["_at"].dataType).alias("_at")).alias("_order"))
         new = held.unionByName(new)
     merged = latest(new, [*KEYS, "timestamp"], "_order").drop("date", "_order")
@@ -96,6 +99,24 @@ def load_raw(spark: SparkSession, path: str, start: datetime, end: datetime, exc
     return df.filter(ts.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
+def append_raw_live(candles: DataFrame, path: str) -> None:
+    """Append live bars (KEYS, timestamp, open to volume) to the raw layer as they come; repeated times stay."""
+    values = ["open", "high", "low", "close", "volume"]
+    store_raw(candles.select(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), *KEYS, F.to_json(F.struct(*values)).alias("raw_data"), *values), path)
+
+
+def store_text(records: DataFrame, path: str, text: str = "text", ts: str = "timestamp") -> None:
+    """Append text records (KEYS, a time and a text) to files by month, a line a record."""
+    months = records.withColumns({"year": F.year(ts), "month": F.month(ts)}).select(*KEYS, "year", "month", F.to_json(F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), F.col(text).alias("text"))).alias("value"))
+    months.write.partitionBy(*KEYS, "year", "month").mode("append").option("compression", "gzip").text(path)
+
+
+def load_text(spark: SparkSession, path: str) -> DataFrame:
+    """KEYS, timestamp and text of the records of ``store_text``."""
+    row = F.from_json("value", "timestamp string, text string")
+    return spark.read.text(path).select(*KEYS, row["timestamp"].cast("timestamp_ntz").alias("timestamp"), row["text"].alias("text"))
+
+
 def load_day_files(spark: SparkSession, path: str, layer: str = "processed") -> DataFrame:
     """Files as the file-per-day layout has them: CSV with a header, or JSON arrays (gzip by name)."""
     if layer == "processed":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import recurrences as R
-from ..sources.storage import upsert_processed
+from ..sources.storage import append_raw_live, upsert_processed
 
 BY = ("market",)
 
@@ -25,6 +25,25 @@ def bars(ticks: DataFrame, width: str, late: str, by=BY) -> DataFrame:
     return out.select(*by, F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def sliding(ticks: DataFrame, width: str, slide: str, late: str, by=BY) -> DataFrame:
+    """Ticks, size and mean price of windows that begin every ``slide``."""
+    out = ticks.withWatermark("ts", late).groupBy(*by, F.window("ts", width, slide).alias("w")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.avg("price").alias("mean_price"))
+    return out.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "volume", "mean_price")
+
+
+def joined(left: DataFrame, right: DataFrame, within: str, late: str, by=BY) -> DataFrame:
+    """Ticks of two streams (by, ts, price): each left one with the right ones up to ``within`` behind it.
+
+    Both sides are kept as long as the watermarks allow a partner.
+    """
+    a = left.withWatermark("ts", late).select(*by, "ts", "price")
+    b = right.withWatermark("ts", late).select(*[F.col(c).alias(f"right_{c}") for c in (*by, "ts", "price")])
+    same = (F.col("right_ts") >= F.col("ts")) & (F.col("right_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+    for c in by:
+        same = same & (F.col(c) == F.col(f"right_{c}"))
+    return a.join(b, same).drop(*[f"right_{c}" for c in by])
+
+
 def without_repeats(candles: DataFrame, late: str, ts: str = "timestamp", by=BY) -> DataFrame:
     """The first arrival of each time within the watermark."""
     return candles.withWatermark(ts, late).dropDuplicatesWithinWatermark([*by, ts])
@@ -36,11 +55,14 @@ def sessions(ticks: DataFrame, gap: str, late: str, by=BY) -> DataFrame:
     return out.select(*by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "volume")
 
 
-def store(candles: DataFrame, path: str, checkpoint: str, every: str = "60 seconds", once: bool = False) -> StreamingQuery:
-    """Upsert candles into the processed layer; of one time the last arrival stays."""
+def store(candles: DataFrame, path: str, checkpoint: str, every: str = "60 seconds", once: bool = False, raw: str | None = None) -> StreamingQuery:
+    """Upsert candles into the processed layer, where of one time the last arrival stays, and append them to a raw layer
+    if one is named. A batch that is tried again replaces its processed bars and repeats its raw ones."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         if not df.isEmpty():
+            if raw:
+                append_raw_live(df, raw)
             upsert_processed(df.withColumn("_epoch", F.lit(epoch)), path, "_epoch")
 
     writer = candles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

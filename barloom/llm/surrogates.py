@@ -45,9 +45,18 @@ _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _CONTEXTS = "|".join(CONTEXTS)
 _GIVEN = "|".join(sorted({*GIVEN["n_l"], *GIVEN["n_c"]}))
 _NAME_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_FIRST = "".join(sorted({x[0] for x in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *CONTEXTS, *GIVEN["n_l"], *GIVEN["n_c"]]}))
+#: contexts in lower case: a text has one of them, or a pattern without them does
+_WORDS = [c for c in CONTEXTS if c[0].islower()]
+
+
 # each pattern looks at the one sign at hand before it looks around
-NAME = rf"(?=[{_FIRST}])(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD})?|(?:{_CONTEXTS})\s(?!(?:{_TITLES})\b){_NAME_WORD} {_NAME_WORD}|(?:{_GIVEN}) {_NAME_WORD})(?!\p{{L}})"
+def _name(contexts: list[str]) -> str:
+    first = "".join(sorted({x[0] for x in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *contexts, *GIVEN["n_l"], *GIVEN["n_c"]]}))
+    return (
+        rf"(?=[{first}])(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD})?|(?:{'|'.join(contexts)})\s(?!(?:{_TITLES})\b){_NAME_WORD} {_NAME_WORD}|(?:{_GIVEN}) {_NAME_WORD})(?!\p{{L}})"
+    )
+
+
 #: what stands before the words of a name
 _LEAD = rf"(?:(?:{_TITLES})\.? |(?:{_CONTEXTS})\s)"
 EMAIL = r"(?=[\p{L}\p{N}._%+\-])(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
@@ -70,7 +79,9 @@ _BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{
 IBAN = rf"(?=[A-Z]{{2}}\d)(?<!\w)(?:(?:{_BY_COUNTRY})(?!\w)|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
 PHONE = r"(?=[+(\d])(?<![\w+])(?:(?:\+?1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|(?:\+?1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:(?:[ .\-]?\d{3,4}){1,3}|(?:[ .\-]?\d{2}){2,5}))(?!\w|\.\d)"
 SECRET = r"(?=[Ags])(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)|(?<=[=:][\"' ]{0,3})(?=[^\s\"',;]{6})(?<=(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']{0,1} {0,2}[=:] {0,2}[\"']{0,1})[^\s\"',;]{6,}+"
-ENTITY = "|".join([EMAIL, IPV4, IPV6, SSN, CARD, IBAN, PHONE, SECRET, NAME])
+ENTITY = "|".join([EMAIL, IPV4, IPV6, SSN, CARD, IBAN, PHONE, SECRET, _name(CONTEXTS)])
+#: the same for texts without one of _WORDS
+PLAIN = "|".join([EMAIL, IPV4, IPV6, SSN, CARD, IBAN, PHONE, SECRET, _name([c for c in CONTEXTS if c not in _WORDS])])
 
 
 def _digits(c: Column) -> Column:
@@ -298,7 +309,8 @@ def replace_entities(docs: DataFrame, scratch: Scratch, key: str, doc_id: str =
     docs = docs.drop(count)
     found_, key_, of_, cores_, text_, known_ = (free_name(x, docs.columns) for x in ("_found", "_key", "_of", "_cores", "_text", "_known"))
     body = F.col(f"`{text}`")
-    found = F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0))
+    wordy = reduce(lambda a, b: a | b, [F.contains(body, F.lit(c)) for c in _WORDS])
+    found = F.when(wordy, F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(PLAIN), F.lit(0)))
     tagged = docs.withColumn(found_, found)
     # family names that the document has with a title, a context or a given name
     names = F.filter(found_, lambda m: kind_of(m) == "name")
@@ -332,7 +344,7 @@ def replace_entities(docs: DataFrame, scratch: Scratch, key: str, doc_id: str =
     lists = lists.withColumnRenamed("_key", of_)
 
     both = some.filter(has).join(lists, F.col(key_) == F.col(of_))
-    pieces = F.when(more, F.split(body, pattern, -1)).otherwise(F.split(body, ENTITY, -1))
+    pieces = F.when(more, F.split(body, pattern, -1)).when(wordy, F.split(body, ENTITY, -1)).otherwise(F.split(body, PLAIN, -1))
 
     def put(piece: Column, i: Column) -> Column:
         x, own = F.get(found_, i), F.element_at(cores_, i)

@@ -71,6 +71,16 @@ def valid_markets(wanted: DataFrame, mapped: DataFrame, name: str = "symbol") ->
     return wanted.join(known, name, "left_semi")
 
 
+# fixed value: seconds of a candle where the resolution is not known
+DEFAULT_SECONDS = 60
+SECONDS = {"1": 60, "5": 300, "15": 900, "30": 1800, "60": 3600, "120": 7200, "240": 14400, "360": 21600, "1D": 86400}
+
+
+def granularity(resolution: Column) -> Column:
+    """Seconds of a resolution."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in SECONDS.items() for x in kv])[resolution], F.lit(DEFAULT_SECONDS))
+
+
 def interval(exchange: str, resolution: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in INTERVALS[exchange].items() for x in kv])[resolution]
 

@@ -188,3 +188,14 @@ def excursions(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     worst, best = F.max(F.when(long, lower).otherwise(upper)), F.max(F.when(long, upper).otherwise(lower))
     found = rows.filter("_open").groupBy(*by, F.col("_held._entry.run").alias("run")).agg(F.greatest(worst, F.lit(0.0)).alias("mae_pct"), F.greatest(best, F.lit(0.0)).alias("mfe_pct"))
     return trades(bars, terms, by).join(found, [*by, "run"], "left").fillna(0.0, ["mae_pct", "mfe_pct"])
+
+
+def panel(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
+    """A frame to draw a backtest from: every bar's close, the trades that open and close on it (direction and reason,
+    null if none), equity, peak and drawdown in percent."""
+    rows = _played(bars, terms, by)
+    closes = F.get("made", F.lit(0))
+    rows = rows.withColumn("peak", F.greatest("peak", "equity"))
+    marks = rows.select(*by, "idx", "ts", "close", F.when(F.col("idx") >= 1, F.col("equity")).alias("equity"), F.when(F.col("idx") >= 1, (F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("drawdown"), closes["exit_reason"].alias("exit_reason"))
+    opened = rows.select(*by, F.explode("made").alias("t")).select(*by, F.col("t.entry_idx").alias("idx"), F.col("t.direction").alias("entry"))
+    return marks.join(opened, [*by, "idx"], "left")

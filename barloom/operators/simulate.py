@@ -137,3 +137,14 @@ def sampled(paths: DataFrame, n: int = 100, seed: int = 7, by=BY) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.xxhash64("sim", F.lit(seed)), "sim")
     chosen = sims.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
     return paths.join(chosen, [*by, "sim"], "left_semi")
+
+
+def histogram(ends: DataFrame, value: str = "final", bins: int = 50, by=BY) -> DataFrame:
+    """Counts of a value in equal bins between its least and greatest: by, bin (from 0), low, high, n; empty bins are
+    left out, and a constant value is one bin."""
+    span = ends.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    rows = ends.join(span, list(by))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    place = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    out = rows.groupBy(*by, place.alias("bin"), "_lo", "_hi").agg(F.count("*").alias("n"))
+    return out.select(*by, "bin", (F.col("_lo") + F.col("bin") * width).alias("low"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"), "n")

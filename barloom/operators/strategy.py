@@ -178,3 +178,13 @@ def self_metrics(df: DataFrame, signals: list[str], threshold: float = 1.0, look
     played = played.withColumn("_q", F.col("signal") * (F.try_divide(F.lead("close").over(S.order(by)), F.col("close")) - 1))
     quality = played.groupBy(*by).agg(F.avg("_q").alias("avg_signal_quality"))
     return spread.fillna(0.0, ["avg_correlation", "correlation_stability"]).join(quality, list(by))
+
+
+def aligned(frames: dict[str, DataFrame], value: str = "signal", by=BY) -> DataFrame:
+    """One frame of several ones' values by series and time, a column each, null where a frame has no row.
+
+    The frames' rows meet in one aggregate instead of a chain of outer joins; of rows that repeat a time the greatest
+    value stays.
+    """
+    rows = reduce(DataFrame.unionByName, [f.select(*by, "ts", F.lit(n).alias("_n"), F.col(value).cast("double").alias("_v")) for n, f in frames.items()])
+    return rows.groupBy(*by, "ts").agg(*[F.max(F.when(F.col("_n") == n, F.col("_v"))).alias(n) for n in frames])

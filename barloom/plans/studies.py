@@ -10,14 +10,16 @@ from ..operators import learn as L
 from ..operators import optimize as O
 from ..operators import performance as P
 from ..operators import risk as RK
+from ..operators import signals as G
 from ..operators import simulate as M
 from ..operators import strategy as T
 from ..sources.bars import bars_1d, bars_1h, returns_1d
 from . import query, rounded
 from . import sql as Q
 from .backtests import GRID, PATHS, RPATHS, SPELLS, TERMS, TERMS0, TR, WALK, _draw, _grid_sql, grid_signals, made, signalled
-from .indicators import ADX, CCI, H1, STOCH, SUPERTREND, WAVE
+from .indicators import ADX, CCI, H1, SUPERTREND, WAVE
 from .risk import BENCH, R1
+from .signals import GATE, RSI
 
 KERNEL = """kw AS (SELECT d, pow(1 + d * d / (2 * 8.0::DOUBLE * 25), -8) AS w FROM (SELECT unnest(range(1, 9)) AS d)),
     kr AS (SELECT b.market, b.idx, coalesce(CASE WHEN b.idx >= 8 THEN sum(kw.w * p.close) / sum(kw.w) END, 0) AS kernel FROM b CROSS JOIN kw LEFT JOIN b p ON p.market = b.market AND p.idx = b.idx - kw.d GROUP BY b.market, b.idx),
@@ -209,3 +211,55 @@ def time_range(spark, sf):
     span = TimeRange("1995-01-01T00:00:00+00:00", "1997-01-01T00:00:00+00:00").clamped("1996-06-30T00:00:00+00:00")
     o = spark.read.parquet(f"{sf}/orders.parquet")
     return o.select("o_orderkey", span.contains(F.col("o_orderdate")).alias("inside"))
+
+
+@query(f"""{H1}, {RSI}, {GATE}, s AS (SELECT b.market, b.ts, b.idx, CASE WHEN NOT gate THEN 0 WHEN rsi > 70 THEN -1 WHEN rsi < 30 THEN 1 ELSE 0 END AS s0 FROM b LEFT JOIN rs USING (market, idx) JOIN gt USING (market, idx)),
+    c AS (SELECT *, CASE WHEN idx = 0 OR s0 <> lag(s0) OVER {Q.W} THEN 1 ELSE 0 END AS c FROM s), g AS (SELECT *, sum(c) OVER {Q.W} AS g FROM c)
+    SELECT market, ts, CASE WHEN row_number() OVER (PARTITION BY market, g ORDER BY ts) % 4 = 0 THEN 0 ELSE s0 END AS signal FROM g""")
+def configured_signal(spark, sf):
+    """The RSI's signal by its settings: gated by volatility and volume, held for three bars."""
+    return G.signal(bars_1h(spark, sf), "rsi").select("market", "ts", "signal")
+
+
+@query(f"""WITH {Q.BARS_1D}, {Q.BOLL_SIGNAL}
+    SELECT market, ts, CASE WHEN volume > 2 THEN s.signal::DOUBLE END AS bands, CASE WHEN idx % 3 = 0 THEN (close > open)::INT::DOUBLE END AS rises FROM sig s WHERE volume > 2 OR idx % 3 = 0""")
+def aligned_signals(spark, sf):
+    """Two signals that are not on the same bars."""
+    rows = S.numbered(signalled(spark, sf))
+    rises = rows.filter("idx % 3 = 0").withColumn("signal", (F.col("close") > F.col("open")).cast("int"))
+    return T.aligned({"bands": rows.filter("volume > 2"), "rises": rises})
+
+
+@query(f"""{TR}, {Q.equity()}, x AS (SELECT market, idx, ts, equity, greatest(10000, max(equity) OVER (PARTITION BY market ORDER BY idx), max(after) OVER (PARTITION BY market ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS pk FROM eq LEFT JOIN (SELECT market, exit_idx AS idx, max(capital_after) AS after FROM tr GROUP BY ALL) USING (market, idx)),
+    c AS (SELECT market, exit_idx AS idx, arg_min(exit_reason, trade) AS exit_reason FROM tr GROUP BY ALL), e AS (SELECT market, entry_idx AS idx, direction AS entry FROM tr)
+    SELECT b.market, b.ts, b.close, round(equity, 4) AS equity, round((pk - equity) / pk * 100, 4) + 0.0 AS drawdown, exit_reason, entry FROM b LEFT JOIN x USING (market, idx) LEFT JOIN c USING (market, idx) LEFT JOIN e USING (market, idx)""")
+def backtest_panel(spark, sf):
+    return rounded(K.panel(signalled(spark, sf), TERMS).select("market", "ts", "close", "equity", "drawdown", "exit_reason", "entry"), "market", "ts", "close", "equity", "drawdown", "exit_reason", "entry")
+
+
+@query(f"""{TR}, {PATHS}, hs AS (SELECT market, min(final) AS lo, max(final) AS hi FROM o GROUP BY market), hz AS (SELECT o.market, lo, (hi - lo) / 20 AS w, final FROM o JOIN hs USING (market)),
+    hk AS (SELECT market, lo, w, CASE WHEN w > 0 THEN least(floor((final - lo) / w), 19)::INT ELSE 0 END AS bin FROM hz) SELECT market, bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, count(*) AS n FROM hk GROUP BY market, bin, lo, w""")
+def mc_histogram(spark, sf):
+    paths = M.drawn(made(spark, sf), "pnl", "trade", 1000, None, share=0.8)
+    return rounded(M.histogram(M.path_outcomes(paths, 10_000.0, False), bins=20))
+
+
+@query(f"WITH {Q.BARS_1D}, {_grid_sql('b', 'market')} SELECT market, param_id, round(total_return_pct, 4) + 0.0 AS total_return_pct, row_number() OVER (PARTITION BY market ORDER BY total_return_pct DESC, param_id) AS rank FROM gm")
+def parameter_ranking(spark, sf):
+    """All parameter sets of each series, the best first."""
+    found = O.search(bars_1d(spark, sf), O.parameters(spark, GRID), grid_signals, TERMS0)
+    return rounded(O.ranking(found, "total_return_pct").select("market", F.col("param_id").cast("int").alias("param_id"), "total_return_pct", F.col("rank").cast("long").alias("rank")))
+
+
+@query(f"WITH {Q.BARS_1D} SELECT market, ts, round(CASE WHEN max(close) OVER z = min(close) OVER z THEN 0 ELSE (close - min(close) OVER z) / (max(close) OVER z - min(close) OVER z) END, 4) + 0.0 AS scaled, epoch_us(ts) // 1000000 AS seconds FROM b WINDOW z AS (PARTITION BY market)")
+def scaled_prices(spark, sf):
+    """Prices between 0 and 1 over a whole series, and times as epoch seconds."""
+    return rounded(bars_1d(spark, sf).select("market", "ts", S.min_max("close").alias("scaled"), F.floor(S.micros(F.col("ts")) / 1_000_000).cast("long").alias("seconds")))
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '1m' WHEN 1 THEN '1h' WHEN 2 THEN '4h' WHEN 3 THEN '1d' END AS interval, CASE p_size % 5 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 14400 WHEN 3 THEN 86400 ELSE 60 END AS seconds FROM part")
+def resolution_map(spark, sf):
+    """Resolutions as a provider's intervals and in seconds, over a table; an unknown one has no interval and 60 seconds."""
+    names = F.element_at(F.array(*[F.lit(x) for x in ("1", "60", "240", "1D", "7")]), (F.col("p_size") % 5 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", names.alias("r"))
+    return rows.select("p_partkey", Y.interval("binance", F.col("r")).alias("interval"), Y.granularity(F.col("r")).alias("seconds"))

@@ -1,4 +1,4 @@
-"""Settings: defaults, overlaid by a JSON or INI file, overlaid by the environment."""
+"""Settings: defaults, overlaid by a JSON, INI or .env file, overlaid by the environment."""
 
 from __future__ import annotations
 
@@ -9,19 +9,19 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
-# fixed values: parameters of the indicators
+# fixed values: parameters of the indicators by the names that settings files have
 INDICATORS: dict[str, dict[str, Any]] = {
-    "rsi": {"period": 14, "overbought": 70, "oversold": 30, "filter": "None", "holding_period": 3},
-    "macd": {"fast": 12, "slow": 26, "signal": 9, "filter": "None", "holding_period": 3},
-    "stochastic": {"k": 14, "slow": 3, "d": 3, "low": 20, "high": 80},
-    "cci": {"period": 20, "level": 100},
-    "adx": {"period": 14, "least": 25, "use_crossover": True},
-    "bollinger_bands": {"period": 20, "deviations": 2.0},
-    "williams_r": {"period": 14, "low": -80, "high": -20},
-    "supertrend": {"atr_length": 10, "factor": 3.0},
-    "logistic": {"lookback": 3, "learning_rate": 0.0009, "iterations": 1000},
-    "knn": {"short": 14, "long": 28, "neighbors": 252},
-    "lorentzian": {"max_bars_back": 2000, "neighbors": 8, "every": 4},
+    "supertrend": {"atr_length": 10, "factor": 3, "training_length": 100, "kmeans_settings": {"high_volatility_percentile": 0.75, "medium_volatility_percentile": 0.50, "low_volatility_percentile": 0.25}},
+    "logistic_regression": {"lookback": 10, "norm_lookback": 10, "learning_rate": 0.0009, "iterations": 1000, "filter_signals_by": "None", "use_price_data": True, "holding_period": 5},
+    "rsi": {"period": 14, "overbought": 70, "oversold": 30, "filter_signals_by": "Both", "holding_period": 3},
+    "macd": {"fast_period": 12, "slow_period": 26, "signal_period": 9, "filter_signals_by": "Volatility", "holding_period": 5},
+    "stochastic": {"k_period": 14, "d_period": 3, "overbought": 80, "oversold": 20, "smoothing": 3, "filter_signals_by": "None", "holding_period": 3},
+    "cci": {"period": 20, "overbought": 100, "oversold": -100, "filter_signals_by": "None", "holding_period": 3},
+    "adx": {"period": 14, "threshold": 25, "filter_signals_by": "None", "holding_period": 3},
+    "bollinger_bands": {"period": 20, "deviations": 2, "filter_signals_by": "None", "holding_period": 3},
+    "williams_r": {"period": 14, "overbought": -20, "oversold": -80, "filter_signals_by": "None", "holding_period": 3},
+    "knn": {"short_period": 14, "long_period": 28, "base_neighbors": 252},
+    "lorentzian": {"general_settings": {"neighbors_count": 8, "max_bars_back": 2000}},
 }
 
 
@@ -61,6 +61,18 @@ def environment(prefix: str = "BARLOOM_", env: Mapping[str, str] | None = None)
     return out
 
 
+def dotenv(text: str) -> dict[str, str]:
+    """NAME=value lines, quoted or not; comments, empty lines and a leading "export" are passed over."""
+    out = {}
+    for line in text.splitlines():
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and not name.startswith("#"):
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+            out[name.strip()] = value[1:-1] if quoted else value.partition(" #")[0].strip()
+    return out
+
+
 def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Settings:
     values: dict = {"indicators": INDICATORS}
     if path and Path(path).exists():
@@ -68,6 +80,8 @@ def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Setti
             ini = configparser.ConfigParser()
             ini.read(path)
             found: dict = {s: dict(ini[s]) for s in ini.sections()}
+        elif Path(path).name.endswith(".env"):
+            found = environment(env=dotenv(Path(path).read_text()))
         else:
             found = json.loads(Path(path).read_text())
         values = merged(values, found)

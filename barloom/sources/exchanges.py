@@ -167,10 +167,16 @@ class Http:
                 with urllib.request.urlopen(url(p), timeout=30) as r:
                     return r.read().decode()
             except urllib.error.HTTPError as e:
-                if e.code != 429 or k + 1 == self.tries:
+                if e.code == 429 and k + 1 == self.tries:
+                    raise RateLimitError(p.exchange) from e
+                if (e.code != 429 and e.code < 500) or k + 1 == self.tries:
                     raise ExchangeError(str(e)) from e
                 time.sleep(5)
-        raise RateLimitError(p.exchange)
+            except OSError as e:
+                if k + 1 == self.tries:
+                    raise ExchangeError(str(e)) from e
+                time.sleep(2**k)
+        raise ExchangeError("no tries")
 
 
 def latest_rows(rows: Iterator[tuple]) -> list[tuple]:
@@ -202,6 +208,13 @@ def read_page(p: Page, transport: Callable[[Page], str]) -> Iterator[tuple]:
             yield row
 
 
+def latest(exchange: str, market: str, resolution: str, transport: Callable[[Page], str], now: float | None = None) -> list[tuple]:
+    """The newest candle of a market: of the last page that a range up to now would have; none if that is empty."""
+    now = int(now or time.time())
+    first = int(datetime(moment(now).year, 1, 1, tzinfo=UTC).timestamp()) if exchange == "drift" else now - MINUTES[resolution] * 60 * PAGE[exchange] + 1
+    return latest_rows(read_page(Page(exchange, market, resolution, first, now), transport))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options

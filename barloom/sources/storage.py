@@ -157,6 +157,20 @@ def save_result(metrics: DataFrame, path: str) -> None:
     metrics.select(*flat).coalesce(1).write.mode("overwrite").json(path)
 
 
+def save_backtest(spark: SparkSession, root: str, at: datetime, **frames: DataFrame) -> str:
+    """Frames of a backtest (metrics, trades, equity or others) as JSON lines in a folder named by the time; its path."""
+    folder = f"{root.rstrip('/')}/{at:%Y%m%d_%H%M%S}"
+    for name, df in frames.items():
+        save_result(df, f"{folder}/{name}")
+    return folder
+
+
+def save_search(found: DataFrame, best: DataFrame, path: str) -> None:
+    """A search's figures and, beside them, each series' best parameters."""
+    save_result(found, f"{path}/results")
+    save_result(best, f"{path}/best")
+
+
 def summary_text(row) -> str:
     """A line for each figure of one row."""
     return "\n".join(f"{k.replace('_', ' '):<28}{v:>16,.4f}" if isinstance(v, float) else f"{k.replace('_', ' '):<28}{v!s:>16}" for k, v in row.asDict().items())

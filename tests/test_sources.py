@@ -167,5 +167,41 @@ def test_settings(tmp_path):
     (tmp_path / "s.json").write_text('{"indicators": {"rsi": {"period": 7}}}')
     s = settings.load(str(tmp_path / "s.json"), {"BARLOOM_INDICATORS__RSI__OVERSOLD": "25", "OTHER": "1"})
     assert (s.get("indicators", "rsi", "period"), s.get("indicators", "rsi", "oversold"), s.get("indicators", "rsi", "overbought"), s.get("x", "y", default=3)) == (7, 25, 70, 3)
+    (tmp_path / ".env").write_text("# a comment\nexport BARLOOM_STORAGE__RAW='here or there'\nBARLOOM_N=3 # three\n\nOTHER=x\n")
+    s = settings.load(str(tmp_path / ".env"), {})
+    assert (s.get("storage", "raw"), s.get("n"), s.get("other")) == ("here or there", 3, None)
     (tmp_path / "s.ini").write_text("[storage]\nraw = here\n")
     assert settings.load(str(tmp_path / "s.ini"), {}).get("storage", "raw") == "here"
+
+
+def test_signals_by_name(spark, tmp_path):
+    """Every indicator by its settings, one of them changed by a file; several as one signal."""
+    from barloom import settings
+    from barloom.operators import signals as G
+
+    rows = [(m, DAY + dt.timedelta(hours=i), 100.0 + (i * 7919) % 23 + k, 103.0 + (i * 7919) % 23 + k, 97.0 + (i * 31) % 7, 100.0 + (i * 104729) % 19, 10.0 + (i * 17) % 5) for k, m in enumerate("ab") for i in range(80)]
+    df = spark.createDataFrame(rows, "market string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    (tmp_path / "s.json").write_text('{"indicators": {"knn": {"short_period": 3, "long_period": 5}, "logistic_regression": {"iterations": 5}, "rsi": {"period": 5}}}')
+    own = settings.load(str(tmp_path / "s.json"), {})
+    for name in G.INDICATORS:
+        out = G.signal(df, name, own)
+        assert out.columns == [*df.columns, "signal"] and out.count() == len(rows), name
+        assert {r.signal for r in out.select("signal").distinct().collect()} <= {-1, 0, 1}, name
+    both = G.multi(df, ["rsi", "bollinger_bands"], [2.0, 1.0], 1.0, own)
+    assert both.columns == [*df.columns, "signal"] and both.count() == len(rows)
+    with pytest.raises(ValueError):
+        G.signal(df, "none")
+
+
+def test_results_and_latest_candles(spark, tmp_path):
+    df = spark.sql("select 'm' market, 1 param_id, 2.0D sharpe")
+    folder = S.save_backtest(spark, str(tmp_path), dt.datetime(2024, 5, 6, 7, 8, 9), metrics=df, equity=df)
+    assert folder.endswith("20240506_070809") and spark.read.json(f"{folder}/equity").count() == 1
+    S.save_search(df, df, f"{tmp_path}/search")
+    assert spark.read.json(f"{tmp_path}/search/best").first().sharpe == 2.0
+    now = 1672538400
+    pay = lambda p: json.dumps([[1000 * (now - 3600 * k), "1", "2", "0.5", str(k), "10"] for k in range(3)])
+    assert [r[4] for r in X.latest("binance", "BTCUSDT", "60", pay, now)] == [0.0]
+    assert X.latest("binance", "BTCUSDT", "60", lambda p: "[]", now) == []
+    csv = "start,open,high,low,close,volume\n1672531200000,9,9,9,1.5,10\n1672534800000,9,9,9,2.5,10\n"
+    assert [r[4] for r in X.latest("drift", "SOL-PERP", "60", lambda p: csv, now)] == [2.5]

@@ -1,8 +1,9 @@
 """Chat formatting on a prefix tree.
 
 Conversations that share their first turns share the nodes of a tree. The nodes' texts are laid out once, depth
-first, in one long row of tokens (code points). A node knows where its tokens begin, the position id of the first
-(tokens of its ancestors), the intervals that it may attend to (its ancestors and itself) and its loss mask.
+first, in one long row of tokens: code points, or the ids of a tokenizer file. A node knows where its tokens begin,
+the position id of the first (tokens of its ancestors), the intervals that it may attend to (its ancestors and itself)
+and its loss mask.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,7 +64,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _TURNS = "conv_id long, node string, parent string, depth int, leaf boolean, role string, text string"
-_KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -70,10 +72,27 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
-_LAID = "node string, parent string, part int, begin long, chain_begin long, above string, length long, tokens string, loss_from long, loss_to long"
+_LAID = "node string, parent string, part int, begin long, chain_begin long, above string, length long, tokens string, loss_from long, loss_to long, ids array<int>, learnt_from long, learnt_to long"
 
 
-def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lru_cache(2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+def segment_ids(made: str, first: int, last: int, path: str) -> tuple[list[int], int, int]:
+    """A segment's ids, and where those of its text begin and end: what stands before the text, the text and what
+    stands behind it are encoded apart, so that no token reaches over."""
+    parts = [e.ids for e in _tokenizer(path).encode_batch([made[:first], made[first:last], made[last:]], add_special_tokens=False)]
+    return [*parts[0], *parts[1], *parts[2]], len(parts[0]), len(parts[0]) + len(parts[1])
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
     """The segments of a sorted partition, where each begins in it, and its chain: the run of nodes, each the first
     child of the one before, that it ends. A chain begins anew with each partition and after CHAIN nodes."""
     from pyspark import TaskContext
@@ -87,8 +106,11 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chain, above, run = at, parent, 0
             made, first, last = segment(role, text)
             learnt = role == LEARNT
-            rows.append((node, parent, part, at, chain, above, len(made), made, first if learnt else None, last if learnt else None))
-            at, run, before = at + len(made), run + 1, node
+            ids, a, z = segment_ids(made, first, last, path) if path else (None, None, None)
+            length = len(made if ids is None else ids)
+            loss = (first, last, ids, a, z) if learnt else (None, None, ids, None, None)
+            rows.append((node, parent, part, at, chain, above, length, made, *loss))
+            at, run, before = at + length, run + 1, node
         yield _batch(rows, _LAID)
 
 
@@ -105,18 +127,21 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, alone: Column, count
     return (joined if within is None else joined.filter(within)).drop("_salt")
 
 
-def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, leaves) of the conversations' prefix tree.
 
     segments, a row a node in depth-first order of ``start``: node, parent, chain (where its chain begins), start,
     length, position, intervals (of its ancestors and itself, as (start, end), the root first; neighbours that follow
     each other are one, up to CHAIN of them), tokens (the text), loss_from and loss_to (inside the segment, null if
     nothing is learnt from it). leaves: conv_id and its last node.
-    A conversation's turns are ordered by turn, role and text, null first; a null role or text is empty; rows with a
-    null conv_id are one conversation; repeated rows are turns of their own.
+    With a tokenizer file start, length, position and intervals count its ids, which are in ``ids``, and learnt_from
+    and learnt_to are the learnt ones inside the segment; else they count code points and these three are null.
+    A conversation's turns are ordered by turn, role and text, null first; a null role or text is empty; each row with
+    a null conv_id is a conversation of one turn; repeated rows are turns of their own.
     """
-    rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), alone.alias("alone"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
+    grouped = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
     turns = scratch.keep(grouped.mapInArrow(_nodes, _TURNS), "turns")
     leaves = turns.filter("leaf").select("conv_id", "node")
     nodes = turns.groupBy("node").agg(*[F.min(c).alias(c) for c in ("parent", "depth", "role", "text")])
@@ -124,7 +149,7 @@ def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id",
     paths = _paths(turns, scratch).withColumnRenamed("node", "_n")
     dealt = nodes.join(paths, F.col("node") == F.col("_n")).select("node", "parent", "role", "text", "path", "depth")
     dealt = dealt.repartitionByRange(parts, "path", "depth").sortWithinPartitions("path", "depth").select("node", "parent", "role", "text")
-    laid = scratch.keep(dealt.mapInArrow(_laid_out, _LAID), "laid")
+    laid = scratch.keep(dealt.mapInArrow(lambda batches: _laid_out(batches, tokenizer), _LAID), "laid")
     ends = laid.groupBy("part").agg(F.max(F.col("begin") + F.col("length")).alias("size")).collect()  # a row a partition
     bases, at = [], 0
     for part, size in sorted(tuple(r) for r in ends):
@@ -139,7 +164,7 @@ def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id",
     segments = segments.withColumn("intervals", F.concat("above", F.array(own)))
     before = F.aggregate("above", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     segments = segments.withColumn("position", before + F.col("start") - F.col("chain"))
-    return scratch.keep(segments.select("node", "parent", "chain", "start", "length", "position", "intervals", "tokens", "loss_from", "loss_to"), "segments"), scratch.keep(leaves, "leaves")
+    return scratch.keep(segments.select("node", "parent", "chain", "start", "length", "position", "intervals", "tokens", "loss_from", "loss_to", "ids", "learnt_from", "learnt_to"), "segments"), scratch.keep(leaves, "leaves")
 
 
 _SPANS = "array<struct<start:bigint,end:bigint>>"

@@ -82,16 +82,19 @@ def test_template_round_trip(turns):
 
 
 def conversations(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (2, 1, "user", "hi"), (2, 0, "system", "be kind"), (2, 2, "assistant", "what?"), (3, 0, "system", "be kind"), (3, 1, "user", "hi"), (3, 2, "assistant", "hello"), (4, 0, "user", None), (4, 1, None, "x"), (4, None, "assistant", C.END + "\\<|"), (5, 0, "assistant", "twice"), (5, 0, "assistant", "twice"), (None, 0, "user", "lost"), (6, 0, "us\ner", "é🙂\n")]
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (2, 1, "user", "hi"), (2, 0, "system", "be kind"), (2, 2, "assistant", "what?"), (3, 0, "system", "be kind"), (3, 1, "user", "hi"), (3, 2, "assistant", "hello"), (4, 0, "user", None), (4, 1, None, "x"), (4, None, "assistant", C.END + "\\<|"), (5, 0, "assistant", "twice"), (5, 0, "assistant", "twice"), (None, 0, "user", "lost"), (None, 0, "user", "lost"), (None, 1, "user", "too"), (6, 0, "us\ner", "é🙂\n")]
     return spark.createDataFrame([(*r, "n", 1) for r in rows], "conv_id long, turn long, role string, text string, node string, path int")
 
 
 def test_tree(spark):
     df = conversations(spark)
     segments, leaves = C.build(df, cases.scratch(spark))
-    got = {r.conv_id: r for r in C.read_back(segments, leaves).collect()}
+    every = C.read_back(segments, leaves).collect()
+    assert sorted((r.n_turns, r.formatted_chars) for r in every if r.conv_id is None) == sorted((1, len(C.segment("user", t)[0])) for t in ("lost", "lost", "too"))
+    got = {r.conv_id: r for r in every if r.conv_id is not None}
+    assert len(every) == len(got) + 3
     by_conv = {}
-    for r in df.collect():
+    for r in df.filter("conv_id is not null").collect():
         by_conv.setdefault(r.conv_id, []).append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
     assert got.keys() == by_conv.keys()
     for i, turns in by_conv.items():
@@ -121,6 +124,30 @@ def test_tree(spark):
     assert C.read_back(*C.build(df.filter("conv_id > 99"), cases.scratch(spark))).count() == 0
 
 
+def test_tree_of_token_ids(spark):
+    """Lengths, positions and intervals in ids of a public tokenizer; the learnt ids are the assistant's text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    long = "many words, " * 200_000
+    df = conversations(spark).union(spark.createDataFrame([(7, 0, "user", long, "n", 1), (7, 1, "assistant", long + "é", "n", 1)], "conv_id long, turn long, role string, text string, node string, path int"))
+    segments, leaves = C.build(df, cases.scratch(spark), tokenizer=path)
+    rows = segments.orderBy("start").collect()
+    at = 0
+    for r in rows:
+        assert r.start == at and r.length == len(r.ids) and library.decode(r.ids, skip_special_tokens=False) == r.tokens
+        at += r.length
+        assert r.position + r.length == sum(b - a for a, b in r.intervals)
+        if r.loss_from is not None:
+            assert library.decode(r.ids[r.learnt_from : r.learnt_to], skip_special_tokens=False) == r.tokens[r.loss_from : r.loss_to]
+        else:
+            assert r.learnt_from is None
+    plain = {r.conv_id: r for r in C.read_back(*C.build(df, cases.scratch(spark))).collect() if r.conv_id is not None}
+    assert {r.conv_id: r for r in C.read_back(segments, leaves).collect() if r.conv_id is not None} == plain
+
+
 def test_long_and_forked(spark, monkeypatch):
     rows = []
     for c in range(12):  # forks at turn 10 * c of a long one

@@ -1,4 +1,4 @@
-"""Queries of symbols, times and listings, on literal tables."""
+"""Queries of symbols, times and listings; the part table's keys pick from the symbols and times below."""
 
 from pyspark.sql import functions as F
 
@@ -12,40 +12,45 @@ TIMES = [("2023-01-01T12:00:00Z", "2023-01-01 12:00:00"), ("2023-01-01T12:00:00+
 DATES = [("2024-02-03", "2024-02-03 00:00:00"), ("2024-02-03 04:05", "2024-02-03 04:05:00"), ("now", "2024-03-10 15:30:00"), ("today", "2024-03-10 00:00:00"), ("yesterday", "2024-03-09 00:00:00"), ("3d", "2024-03-07 15:30:00"), ("12h", "2024-03-10 03:30:00"), ("soon", None)]
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    text = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in rows)
-    return f"(VALUES {text}) t({names})"
+def _sql(rows: list[tuple], *columns: str) -> str:
+    """A row of the part table a row, with the values that its key picks."""
+    lists = ["[" + ", ".join("NULL" if r[k] is None else f"'{r[k]}'" for r in rows) + "]" for k in range(len(columns))]
+    return "SELECT p_partkey, " + ", ".join(f"{x}[p_partkey % {len(rows)} + 1] AS {c}" for x, c in zip(lists, columns, strict=True)) + " FROM part"
 
 
-@query(f"SELECT exchange, symbol, standard FROM {_values(PAIRS, 'exchange, symbol, standard')}")
+def _picked(spark, sf, rows: list[tuple], *columns: str):
+    """The part table's keys with values that they pick; an unnamed column is left out."""
+    at = (F.col("p_partkey") % len(rows) + 1).cast("int")
+    picked = [F.element_at(F.array(*[F.lit(r[k]) for r in rows]), at).alias(c) for k, c in enumerate(columns) if c]
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", *picked)
+
+
+@query(_sql(PAIRS, "exchange", "symbol", "standard"))
 def symbol_map(spark, sf):
-    df = spark.createDataFrame([r[:2] for r in PAIRS], "exchange string, symbol string")
+    df = _picked(spark, sf, PAIRS, "exchange", "symbol")
     return df.withColumn("standard", Y.to_standard(F.col("exchange"), F.col("symbol")))
 
 
-@query(f"SELECT exchange, standard, symbol FROM {_values(BACK, 'exchange, standard, symbol')}")
+@query(_sql(BACK, "exchange", "standard", "symbol"))
 def symbol_to_exchange(spark, sf):
-    df = spark.createDataFrame([r[:2] for r in BACK], "exchange string, standard string")
+    df = _picked(spark, sf, BACK, "exchange", "standard")
     return df.withColumn("symbol", Y.to_exchange(F.col("exchange"), F.col("standard")))
 
 
-@query(f"SELECT standard AS standard_symbol, array_to_string(list_sort(list(DISTINCT exchange)), ',') AS exchanges FROM {_values(PAIRS, 'exchange, symbol, standard')} GROUP BY 1")
+@query(f"SELECT standard AS standard_symbol, array_to_string(list_sort(list(DISTINCT exchange)), ',') AS exchanges FROM ({_sql(PAIRS, 'exchange', 'symbol', 'standard')}) GROUP BY 1")
 def supported_exchanges(spark, sf):
-    listed: dict[str, list[str]] = {}
-    for e, s, _ in PAIRS:
-        listed.setdefault(e, []).append(s)
-    return Y.supported_exchanges(Y.symbol_map(spark, listed)).select("standard_symbol", F.array_join("exchanges", ",").alias("exchanges"))
+    mapped = symbol_map(spark, sf).withColumnRenamed("standard", "standard_symbol")
+    return Y.supported_exchanges(mapped).select("standard_symbol", F.array_join("exchanges", ",").alias("exchanges"))
 
 
-@query(f"SELECT raw, CAST(ts AS TIMESTAMP) AS ts FROM {_values(TIMES, 'raw, ts')}")
+@query(f"SELECT p_partkey, raw, CAST(ts AS TIMESTAMP) AS ts FROM ({_sql(TIMES, 'raw', 'ts')})")
 def timestamp_normalize(spark, sf):
-    df = spark.createDataFrame([(r,) for r, _ in TIMES], "raw string")
-    return df.withColumn("ts", Y.normalised_time(F.col("raw")))
+    return _picked(spark, sf, TIMES, "raw").withColumn("ts", Y.normalised_time(F.col("raw")))
 
 
-@query(f"SELECT raw, CAST(ts AS TIMESTAMP) AS ts FROM {_values(DATES, 'raw, ts')}")
+@query(f"SELECT p_partkey, raw, CAST(ts AS TIMESTAMP) AS ts FROM ({_sql(DATES, 'raw', 'ts')})")
 def date_parser(spark, sf):
-    df = spark.createDataFrame([(r,) for r, _ in DATES], "raw string")
+    df = _picked(spark, sf, DATES, "raw")
     return df.withColumn("ts", Y.parsed_date(F.col("raw"), F.to_timestamp(F.lit("2024-03-10 15:30:00"))).cast("timestamp_ntz"))
 
 

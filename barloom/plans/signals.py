@@ -146,14 +146,14 @@ def knn_signal(spark, sf):
 
 @query(f"""{H1}, {STOCH}, {CCI}, f AS (SELECT st.market, st.ts, st.idx, CASE WHEN hh = ll THEN 0 ELSE -100 * (hh - close) / (hh - ll) END AS f1, CASE WHEN slow_d IS NOT NULL THEN k END AS f2, tt.cci AS f3
       FROM st LEFT JOIN (SELECT market, idx, CASE WHEN dev < 1e-12 THEN 0 ELSE (tp - m) / (0.015::DOUBLE * dev) END AS cci FROM tc) tt USING (market, idx)),
-    d AS (SELECT x.market, x.idx, y.idx AS j, ln(1 + abs(x.f1 - y.f1)) + ln(1 + abs(x.f2 - y.f2)) + ln(1 + abs(x.f3 - y.f3)) AS far FROM f x JOIN f y ON x.market = y.market AND y.idx < x.idx AND y.idx >= x.idx - 400 AND y.idx % 4 = 0),
+    d AS (SELECT x.market, x.idx, y.idx AS j, ln(1 + abs(x.f1 - y.f1)) + ln(1 + abs(x.f2 - y.f2)) + ln(1 + abs(x.f3 - y.f3)) AS far FROM f x JOIN f y ON x.market = y.market AND y.idx < x.idx AND y.idx >= x.idx - 2000 AND y.idx % 4 = 0),
     k AS (SELECT *, row_number() OVER (PARTITION BY market, idx ORDER BY far) AS n FROM d WHERE far IS NOT NULL),
     v AS (SELECT market, idx, avg(far) AS distance FROM k WHERE n <= 8 GROUP BY market, idx HAVING count(*) = 8)
     SELECT market, ts, round(distance, 4) AS distance FROM f LEFT JOIN v USING (market, idx)""")
 def lorentzian_neighbors(spark, sf):
     rows = S.numbered(I.cci(I.stochastic(bars_1h(spark, sf)))).withColumn("f1", I.williams_r())
     rows = rows.select("market", "ts", "idx", "f1", F.col("slow_k").alias("f2"), F.col("cci").alias("f3"))
-    return rounded(L.lorentzian(rows, ["f1", "f2", "f3"], back=400), "market", "ts", "distance")
+    return rounded(L.lorentzian(rows, ["f1", "f2", "f3"]), "market", "ts", "distance")
 
 
 @query(f"""{H1}, w AS (SELECT market, ts, list(close) OVER {Q.rows(10)} AS xs, list(ln(abs(close * close - 1) + 0.5)) OVER {Q.rows(10)} AS ys FROM b),

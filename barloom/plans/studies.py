@@ -190,7 +190,8 @@ ADX20 = ADX.replace("/ 14", "/ 20").replace("[14:i]", "[20:i]").replace("[1:13]"
     ls AS (SELECT market, idx, far FROM ld WHERE j = idx - 1)
     SELECT lf.market, lf.ts, CASE WHEN ok AND lf.idx >= 400 THEN CASE WHEN ls.far < m - s THEN 1 WHEN ls.far > m + s THEN -1 ELSE 0 END ELSE 0 END AS signal FROM lf LEFT JOIN lv USING (market, idx) LEFT JOIN ls USING (market, idx)""")
 def lorentzian_signal(spark, sf):
-    """All five features, gated by the kernel's rise and by volatility."""
+    """All five features, gated by the kernel's rise and by volatility; 400 bars back, as the tables' series are shorter
+    than the 2000 bars within which a signal is 0."""
     return L.lorentzian_signal(bars_1h(spark, sf), back=400).select("market", "ts", "signal")
 
 

@@ -34,7 +34,9 @@ def stochastic(df: DataFrame, k: int = 14, slow: int = 3, d: int = 3, by=BY) ->
     """slow_k and slow_d, both from the bar on which slow_d has its window."""
     hh, ll = S.rolling(F.max, "high", k, by), S.rolling(F.min, "low", k, by)
     df = df.withColumn("_hh", hh).withColumn("_ll", ll)
-    df = df.withColumn("_raw", F.when(F.col("_hh") == F.col("_ll"), 0.0).otherwise(100 * (F.col("close") - F.col("_ll")) / (F.col("_hh") - F.col("_ll"))))
+    df = df.withColumn(
+        "_raw", F.when(F.col("_hh") == F.col("_ll"), 0.0).otherwise(100 * (F.col("close") - F.col("_ll")) / (F.col("_hh") - F.col("_ll")))
+    )
     df = df.withColumn("_k", S.sma("_raw", slow, by)).withColumn("slow_d", S.sma("_k", d, by))
     return df.withColumn("slow_k", F.when(F.col("slow_d").isNotNull(), F.col("_k"))).drop("_hh", "_ll", "_raw", "_k")
 
@@ -100,7 +102,11 @@ def features(df: DataFrame, by=BY) -> DataFrame:
     out |= {f"volatility_{n}": S.rolling(F.stddev_samp, "ret", n, by) for n in (5, 20)}
     out |= {f"price_to_sma_{n}": F.try_divide(F.col("close"), S.sma("close", n, by)) - 1 for n in (10, 20)}
     hi, lo = S.rolling(F.max, "high", 20, by), S.rolling(F.min, "low", 20, by)
-    out |= {"high_low_range": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "to_high": F.try_divide(F.col("close"), hi) - 1, "to_low": F.try_divide(F.col("close"), lo) - 1}
+    out |= {
+        "high_low_range": F.try_divide(F.col("high") - F.col("low"), F.col("close")),
+        "to_high": F.try_divide(F.col("close"), hi) - 1,
+        "to_low": F.try_divide(F.col("close"), lo) - 1,
+    }
     out |= {"volume_change": S.change("volume", 1, by), "volume_ratio": F.try_divide(F.col("volume"), S.sma("volume", 20, by))}
     out |= {"price_volume_corr": F.when(F.count("ret").over(S.last_rows(20, by)) >= 20, S.corr("ret", "volume", S.last_rows(20, by)))}
     return df.withColumns(out)

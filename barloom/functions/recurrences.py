@@ -232,17 +232,29 @@ def with_directional(df: DataFrame, n: int, by=BY, block: int = BLOCK) -> DataFr
     rows, idx = S.numbered(df, by), F.col("idx")
     up, down = F.col("high") - S.lag("high", 1, by), S.lag("low", 1, by) - F.col("low")
     rows = rows.withColumns({"_up": up, "_down": down, "_tr": S.true_range(by)})
-    rows = rows.withColumns({"_p": F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0), "_m": F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)})
+    rows = rows.withColumns(
+        {
+            "_p": F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0),
+            "_m": F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0),
+        }
+    )
     steps = {}
     for k in ("_p", "_m", "_tr"):
         seed = F.sum(F.when(idx.between(1, n - 1), F.col(k))).over(S.whole(by))
-        rows = rows.withColumns({f"_x{k}": F.when(idx < n, 0.0).otherwise(1 - 1 / n), f"_y{k}": F.when(idx < n - 1, 0.0).when(idx == n - 1, F.coalesce(seed, F.lit(0.0))).otherwise(F.col(k))})
+        rows = rows.withColumns(
+            {
+                f"_x{k}": F.when(idx < n, 0.0).otherwise(1 - 1 / n),
+                f"_y{k}": F.when(idx < n - 1, 0.0).when(idx == n - 1, F.coalesce(seed, F.lit(0.0))).otherwise(F.col(k)),
+            }
+        )
         steps[f"_s{k}"] = (f"_x{k}", f"_y{k}")
     rows = affine_scan(rows, steps, by, block)
     share = lambda k: F.when(idx >= n, F.when(F.col("_s_tr") == 0, 0.0).otherwise(100 * F.col(f"_s{k}") / F.col("_s_tr")))
     rows = rows.withColumns({"plus_di": share("_p"), "minus_di": share("_m")})
     total = F.col("plus_di") + F.col("minus_di")
-    rows = rows.withColumn("_dx", F.when(total == 0, 0.0).otherwise(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total)).drop("_up", "_down", "_tr", "_p", "_m", "_s_p", "_s_m", "_s_tr")
+    rows = rows.withColumn("_dx", F.when(total == 0, 0.0).otherwise(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total)).drop(
+        "_up", "_down", "_tr", "_p", "_m", "_s_p", "_s_m", "_s_tr"
+    )
     return smoothed(rows, {"adx": ("_dx", n, 1 / n)}, by, block).drop("_dx")
 
 

@@ -36,7 +36,12 @@ def to_standard(exchange: Column, symbol: Column) -> Column:
     s = F.upper(symbol)
     words = "|".join(sorted({p.strip("-") for p in PERPETUAL if len(p) > 2}))
     perp = F.regexp_extract(s, f"^([A-Z0-9]+?)(?:USDT?)?(?:[_\\-]?(?:{words})|-P)$", 1)
-    return F.when(perp != "", F.concat(standard_asset(perp), F.lit("-PERP"))).when(s.contains("-"), s).when(F.length(s) <= 4, standard_asset(s)).otherwise(split_pair(s))
+    return (
+        F.when(perp != "", F.concat(standard_asset(perp), F.lit("-PERP")))
+        .when(s.contains("-"), s)
+        .when(F.length(s) <= 4, standard_asset(s))
+        .otherwise(split_pair(s))
+    )
 
 
 def to_exchange(exchange: Column, symbol: Column) -> Column:
@@ -44,10 +49,19 @@ def to_exchange(exchange: Column, symbol: Column) -> Column:
     s = F.upper(symbol)
     base, quote = F.substring_index(s, "-", 1), F.substring_index(s, "-", -1)
     bare = ~s.contains("-")
-    binance = F.when(bare, F.concat(s, F.lit("USDT"))).when(quote == "PERP", F.concat(base, F.lit("USDT_PERP"))).otherwise(F.concat(base, quote))
+    binance = (
+        F.when(bare, F.concat(s, F.lit("USDT")))
+        .when(quote == "PERP", F.concat(base, F.lit("USDT_PERP")))
+        .otherwise(F.concat(base, quote))
+    )
     coinbase = F.when(bare, F.concat(s, F.lit("-USD"))).otherwise(s)
     drift = F.when(bare, F.concat(s, F.lit("-PERP"))).otherwise(s)
-    return F.when(exchange == "binance", binance).when(exchange == "coinbase", coinbase).when(exchange == "drift", drift).when(exchange == "bitget", F.when(bare, F.concat(s, F.lit("USDT"))).otherwise(F.concat(base, quote)))
+    return (
+        F.when(exchange == "binance", binance)
+        .when(exchange == "coinbase", coinbase)
+        .when(exchange == "drift", drift)
+        .when(exchange == "bitget", F.when(bare, F.concat(s, F.lit("USDT"))).otherwise(F.concat(base, quote)))
+    )
 
 
 def symbol_map(spark: SparkSession, symbols: dict[str, list[str]]) -> DataFrame:
@@ -105,7 +119,9 @@ def normalised_time(x: Column) -> Column:
 def parsed_date(x: Column, now: Column) -> Column:
     """A day, a day and time, "today", "yesterday", "now", or "3d" and "12h" before now; else null."""
     ago = F.regexp_extract(x, r"^(\d+)[dh]$", 1)
-    back = F.when(x.endswith("d"), F.make_dt_interval(days=F.try_to_number(ago, F.lit("999999")).cast("int"))).otherwise(F.make_dt_interval(hours=F.try_to_number(ago, F.lit("999999")).cast("int")))
+    back = F.when(x.endswith("d"), F.make_dt_interval(days=F.try_to_number(ago, F.lit("999999")).cast("int"))).otherwise(
+        F.make_dt_interval(hours=F.try_to_number(ago, F.lit("999999")).cast("int"))
+    )
     day = F.date_trunc("day", now)
     return (
         F.when(x == "now", now).when(x == "today", day).when(x == "yesterday", day - F.expr("interval 1 day")).when(ago != "", now - back)

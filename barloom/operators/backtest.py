@@ -50,24 +50,58 @@ def _played(bars: DataFrame, terms: Terms, by=BY, keep: tuple[str, ...] = ()) ->
     way = F.col("signal")
     price = F.col("close") * (1 + slip * way)
     enters = F.col("_start") & (F.col("idx") >= 1) & (way != 0)
-    entry = F.struct(F.col("idx").alias("entry_idx"), F.col("ts").alias("entry_time"), way.alias("direction"), price.alias("entry_price"), (price * (1 + comm * way)).alias("entry_eff"), _value(terms.size_pct).alias("_size_pct"))
-    rows = rows.withColumns({"_new": F.when(enters, entry), "_runs": F.sum(F.col("_start").cast("long")).over(so_far), "_trades": F.sum(enters.cast("long")).over(so_far), "_last": F.lead("idx").over(w).isNull()})
+    entry = F.struct(
+        F.col("idx").alias("entry_idx"),
+        F.col("ts").alias("entry_time"),
+        way.alias("direction"),
+        price.alias("entry_price"),
+        (price * (1 + comm * way)).alias("entry_eff"),
+        _value(terms.size_pct).alias("_size_pct"),
+    )
+    rows = rows.withColumns(
+        {
+            "_new": F.when(enters, entry),
+            "_runs": F.sum(F.col("_start").cast("long")).over(so_far),
+            "_trades": F.sum(enters.cast("long")).over(so_far),
+            "_last": F.lead("idx").over(w).isNull(),
+        }
+    )
     # the entry of the bar's run, null if the run opens no trade
-    rows = rows.withColumn("_entry", F.last(F.when(F.col("_start"), F.struct(F.col("_new").alias("e"), F.col("_trades").alias("trade"), F.col("_runs").alias("run"))), ignorenulls=True).over(so_far))
+    rows = rows.withColumn(
+        "_entry",
+        F.last(F.when(F.col("_start"), F.struct(F.col("_new").alias("e"), F.col("_trades").alias("trade"), F.col("_runs").alias("run"))), ignorenulls=True).over(so_far),
+    )
     eff = F.col("_entry.e.entry_eff")
-    rows = rows.withColumn("_levels", F.when(F.col("_entry.e").isNotNull(), F.struct(F.col("_entry"), (eff * (1 - _value(terms.stop_pct) / 100 * way)).alias("stop"), (eff * (1 + _value(terms.target_pct) / 100 * way)).alias("target"))))
+    rows = rows.withColumn(
+        "_levels",
+        F.when(
+            F.col("_entry.e").isNotNull(),
+            F.struct(
+                F.col("_entry"),
+                (eff * (1 - _value(terms.stop_pct) / 100 * way)).alias("stop"),
+                (eff * (1 + _value(terms.target_pct) / 100 * way)).alias("target"),
+            ),
+        ),
+    )
     # each bar may close the trade of the bar before it
     rows = rows.withColumn("_held", before("_levels"))
     long = F.col("_held._entry.e.direction") == 1
     stopped = F.when(long, F.col("low") <= F.col("_held.stop")).otherwise(F.col("high") >= F.col("_held.stop"))
     reached = F.when(long, F.col("high") >= F.col("_held.target")).otherwise(F.col("low") <= F.col("_held.target"))
-    rows = rows.withColumn("_why", F.when(F.col("_held").isNotNull(), F.when(stopped, "STOP_LOSS").when(reached, "TAKE_PROFIT").when(F.col("_start"), "SIGNAL")))
+    rows = rows.withColumn(
+        "_why",
+        F.when(F.col("_held").isNotNull(), F.when(stopped, "STOP_LOSS").when(reached, "TAKE_PROFIT").when(F.col("_start"), "SIGNAL")),
+    )
     # closes up to the bar, and up to the start of its run: the first one behind the start counts
     rows = rows.withColumn("_n", F.count("_why").over(so_far))
     rows = rows.withColumn("_n0", F.last(F.when(F.col("_start"), F.col("_n")), ignorenulls=True).over(so_far))
     rows = rows.withColumn("_open", F.col("_held").isNotNull() & (before("_n") == before("_n0")))
     rows = rows.withColumn("_why", F.when(F.col("_open"), F.col("_why")))
-    level = F.when(F.col("_why") == "STOP_LOSS", F.col("_held.stop")).when(F.col("_why") == "TAKE_PROFIT", F.col("_held.target")).otherwise(F.col("close"))
+    level = (
+        F.when(F.col("_why") == "STOP_LOSS", F.col("_held.stop"))
+        .when(F.col("_why") == "TAKE_PROFIT", F.col("_held.target"))
+        .otherwise(F.col("close"))
+    )
 
     def growth(e: Column, exit_price: Column) -> Column:
         return 1 + e["_size_pct"] / 100 * e["direction"] * (exit_price - e["entry_eff"]) / e["entry_price"]
@@ -85,17 +119,45 @@ def _played(bars: DataFrame, terms: Terms, by=BY, keep: tuple[str, ...] = ()) ->
         e = own["e"]
         n = cash * e["_size_pct"] / 100 / e["entry_price"]
         pnl = (at - e["entry_eff"]) * e["direction"] * n
-        figures = [own["run"].alias("run"), *[e[c].alias(c) for c in ("entry_idx", "entry_time", "direction", "entry_price", "entry_eff", "_size_pct")], F.col("idx").alias("exit_idx"), F.col("ts").alias("exit_time"), why.alias("exit_reason"), at.alias("exit_price")]
-        return F.struct(*figures, own["trade"].alias("trade"), after.alias("capital_after"), cash.alias("capital_before"), n.alias("size"), pnl.alias("pnl"), ((at / e["entry_eff"] - 1) * 100 * e["direction"]).alias("pnl_pct"))
-
-    closed = F.when(F.col("_why").isNotNull(), trade(F.col("_held._entry"), F.col("_why"), F.col("_exit"), F.col("_before"), F.col("_after")))
+        figures = [
+            own["run"].alias("run"),
+            *[e[c].alias(c) for c in ("entry_idx", "entry_time", "direction", "entry_price", "entry_eff", "_size_pct")],
+            F.col("idx").alias("exit_idx"),
+            F.col("ts").alias("exit_time"),
+            why.alias("exit_reason"),
+            at.alias("exit_price"),
+        ]
+        return F.struct(
+            *figures,
+            own["trade"].alias("trade"),
+            after.alias("capital_after"),
+            cash.alias("capital_before"),
+            n.alias("size"),
+            pnl.alias("pnl"),
+            ((at / e["entry_eff"] - 1) * 100 * e["direction"]).alias("pnl_pct"),
+        )
+
+    closed = F.when(
+        F.col("_why").isNotNull(), trade(F.col("_held._entry"), F.col("_why"), F.col("_exit"), F.col("_before"), F.col("_after"))
+    )
     # a trade that nothing closes ends at the last close without costs
     still = F.col("_last") & F.col("_entry.e").isNotNull() & (F.col("_n") == F.col("_n0"))
-    ended = F.when(still, trade(F.col("_entry"), F.lit("END_OF_BACKTEST"), F.col("close"), F.col("_after"), F.col("_after") * growth(F.col("_entry.e"), F.col("close"))))
+    ended = F.when(
+        still,
+        trade(
+            F.col("_entry"),
+            F.lit("END_OF_BACKTEST"),
+            F.col("close"),
+            F.col("_after"),
+            F.col("_after") * growth(F.col("_entry.e"), F.col("close")),
+        ),
+    )
     rows = rows.withColumn("made", F.array_compact(F.array(closed, ended)))
     top = F.greatest(F.when(F.col("idx") >= 1, F.col("equity")), F.array_max(F.transform("made", lambda t: t["capital_after"])))
     peak = F.max(top).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("peak", F.greatest(peak, F.lit(terms.capital))).select(*by, "idx", "ts", "close", "equity", "unrealized_pnl", "made", "peak", *keep)
+    return rows.withColumn("peak", F.greatest(peak, F.lit(terms.capital))).select(
+        *by, "idx", "ts", "close", "equity", "unrealized_pnl", "made", "peak", *keep
+    )
 
 
 def trades(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
@@ -105,7 +167,9 @@ def trades(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     both before the signal. A trade that nothing closes ends at the last close without costs.
     """
     out = _played(bars, terms, by).select(*by, F.explode("made").alias("t")).select(*by, "t.*")
-    return out.withColumnRenamed("_size_pct", terms.size_pct) if isinstance(terms.size_pct, str) and terms.size_pct not in by else out.drop("_size_pct")
+    return out.withColumnRenamed("_size_pct", terms.size_pct) if isinstance(terms.size_pct, str) and terms.size_pct not in by else out.drop(
+        "_size_pct"
+    )
 
 
 def equity(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
@@ -118,7 +182,9 @@ def equity(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
 
 def drawdown_marks(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     """Equity marks and capital after each close in the order in which they happen, with peak and drawdown percent."""
-    own = F.when(F.col("idx") >= 1, F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("trade"), F.col("equity").alias("value"))))
+    own = F.when(
+        F.col("idx") >= 1, F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("trade"), F.col("equity").alias("value")))
+    )
     closes = F.transform("made", lambda t: F.struct(F.lit(1).alias("kind"), t["trade"].alias("trade"), t["capital_after"].alias("value")))
     rows = _played(bars, terms, by).withColumn("_x", F.concat(F.coalesce(own, F.filter(closes, lambda x: F.lit(False))), closes))
     rows = rows.select(*by, "idx", "ts", "peak", "_x", F.posexplode("_x").alias("_i", "x"))
@@ -136,7 +202,12 @@ def metrics(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     rows = _played(bars, terms, by).filter("idx >= 1")
     # the day's last mark against that of the day with marks before it
     rows = rows.withColumn("_ends", F.coalesce(F.lead(day).over(w) != day, F.lit(True)))
-    rows = rows.withColumn("_prev", F.last(F.when(F.col("_ends"), F.struct("equity", day.alias("day"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn(
+        "_prev",
+        F.last(F.when(F.col("_ends"), F.struct("equity", day.alias("day"))), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)
+        ),
+    )
     r = F.when(F.col("_ends"), F.col("equity") / F.col("_prev.equity") - 1)
     gap = F.when(F.col("_ends"), F.coalesce(F.datediff(day, F.col("_prev.day")), F.lit(0)))
     down = (F.greatest("peak", "equity") - F.col("equity")) / F.greatest("peak", "equity") * 100
@@ -172,10 +243,29 @@ def metrics(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     std = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
     out = agg.withColumn("sharpe_ratio", F.when((n > 1) & (std > 1e-12), F.sqrt(F.lit(252.0)) * (s / n) / std).otherwise(0.0))
     traded = F.col("total_trades") > 0
-    out = out.withColumn("total_return_pct", F.col("growth") * 100).withColumn("annualized_return_pct", F.when(F.col("days") > 0, (F.pow(1 + F.col("growth"), 365 / F.col("days")) - 1) * 100).otherwise(0.0))
-    zero = ["total_return_pct", "annualized_return_pct", "win_rate", "max_drawdown", "sharpe_ratio", "total_trades", "profitable_trades", "avg_profit_trade", "avg_loss_trade", "largest_win", "largest_loss", "avg_trade_duration_hours"]
+    out = out.withColumn("total_return_pct", F.col("growth") * 100).withColumn(
+        "annualized_return_pct", F.when(F.col("days") > 0, (F.pow(1 + F.col("growth"), 365 / F.col("days")) - 1) * 100).otherwise(0.0)
+    )
+    zero = [
+        "total_return_pct",
+        "annualized_return_pct",
+        "win_rate",
+        "max_drawdown",
+        "sharpe_ratio",
+        "total_trades",
+        "profitable_trades",
+        "avg_profit_trade",
+        "avg_loss_trade",
+        "largest_win",
+        "largest_loss",
+        "avg_trade_duration_hours",
+    ]
     kinds = {"total_trades": "long", "profitable_trades": "long"}
-    return out.select(*by, *[F.when(traded, F.col(c)).otherwise(0).cast(kinds.get(c, "double")).alias(c) for c in zero], F.when(traded, F.col("profit_factor")).otherwise(0.0).alias("profit_factor"))
+    return out.select(
+        *by,
+        *[F.when(traded, F.col(c)).otherwise(0).cast(kinds.get(c, "double")).alias(c) for c in zero],
+        F.when(traded, F.col("profit_factor")).otherwise(0.0).alias("profit_factor"),
+    )
 
 
 def excursions(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
@@ -186,7 +276,9 @@ def excursions(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     lower, upper = (e["entry_eff"] - F.col("low")) / e["entry_eff"] * 100, (F.col("high") - e["entry_eff"]) / e["entry_eff"] * 100
     long = e["direction"] == 1
     worst, best = F.max(F.when(long, lower).otherwise(upper)), F.max(F.when(long, upper).otherwise(lower))
-    found = rows.filter("_open").groupBy(*by, F.col("_held._entry.run").alias("run")).agg(F.greatest(worst, F.lit(0.0)).alias("mae_pct"), F.greatest(best, F.lit(0.0)).alias("mfe_pct"))
+    found = rows.filter("_open").groupBy(*by, F.col("_held._entry.run").alias("run")).agg(
+        F.greatest(worst, F.lit(0.0)).alias("mae_pct"), F.greatest(best, F.lit(0.0)).alias("mfe_pct")
+    )
     return trades(bars, terms, by).join(found, [*by, "run"], "left").fillna(0.0, ["mae_pct", "mfe_pct"])
 
 
@@ -196,6 +288,16 @@ def panel(bars: DataFrame, terms: Terms = Terms(), by=BY) -> DataFrame:
     rows = _played(bars, terms, by)
     closes = F.get("made", F.lit(0))
     rows = rows.withColumn("peak", F.greatest("peak", "equity"))
-    marks = rows.select(*by, "idx", "ts", "close", F.when(F.col("idx") >= 1, F.col("equity")).alias("equity"), F.when(F.col("idx") >= 1, (F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("drawdown"), closes["exit_reason"].alias("exit_reason"))
-    opened = rows.select(*by, F.explode("made").alias("t")).select(*by, F.col("t.entry_idx").alias("idx"), F.col("t.direction").alias("entry"))
+    marks = rows.select(
+        *by,
+        "idx",
+        "ts",
+        "close",
+        F.when(F.col("idx") >= 1, F.col("equity")).alias("equity"),
+        F.when(F.col("idx") >= 1, (F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("drawdown"),
+        closes["exit_reason"].alias("exit_reason"),
+    )
+    opened = rows.select(*by, F.explode("made").alias("t")).select(
+        *by, F.col("t.entry_idx").alias("idx"), F.col("t.direction").alias("entry")
+    )
     return marks.join(opened, [*by, "idx"], "left")

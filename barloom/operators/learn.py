@@ -196,7 +196,9 @@ def logistic_signal(
 
     def run(pdf: pd.DataFrame) -> np.ndarray:
         out, last, n = np.zeros(len(pdf)), 0, 0
-        for i, (x, loss, ok) in enumerate(zip(pdf["_value"].to_numpy(float), pdf["_loss"].to_numpy(float), pdf["gate"].to_numpy(bool), strict=True)):
+        for i, (x, loss, ok) in enumerate(
+            zip(pdf["_value"].to_numpy(float), pdf["_loss"].to_numpy(float), pdf["gate"].to_numpy(bool), strict=True)
+        ):
             if i < lookback:
                 n += 1
                 continue
@@ -216,7 +218,9 @@ def direction_label(ahead: int = 4, by=BY) -> Column:
     return F.when(later.isNull(), 0).when(later > F.col("close"), 1).otherwise(-1)
 
 
-def neighbour_label(df: DataFrame, features: list[str], label: str = "label", back: int = 2000, k: int = 8, every: int = 4, by=BY) -> DataFrame:
+def neighbour_label(
+    df: DataFrame, features: list[str], label: str = "label", back: int = 2000, k: int = 8, every: int = 4, by=BY
+) -> DataFrame:
     """prediction: the mean label of the k nearest among every fourth of the bars before; null for fewer."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

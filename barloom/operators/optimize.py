@@ -34,7 +34,11 @@ def search(bars: DataFrame, grid: DataFrame, signals: Callable[[DataFrame, tuple
 def best(found: DataFrame, metric: str, higher: bool = True, by=BY) -> DataFrame:
     """The best parameter set of each series, the first of equals."""
     order = F.desc_nulls_last(metric) if higher else F.asc_nulls_last(metric)
-    return found.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "param_id"))).filter("_rank = 1").drop("_rank")
+    return (
+        found.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "param_id")))
+        .filter("_rank = 1")
+        .drop("_rank")
+    )
 
 
 def ranking(found: DataFrame, metric: str, higher: bool = True, by=BY) -> DataFrame:
@@ -56,12 +60,30 @@ def windows(bars: DataFrame, train: int, test: int, step: int, by=BY) -> DataFra
     """Windows of days that lie wholly inside a series: by, window_id, train_from, test_from, test_to (half open)."""
     ends = bars.groupBy(*by).agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
     last = F.date_sub("b", train + test)
-    rows = ends.filter(last >= F.col("a")).withColumn("train_from", F.explode(F.sequence(F.col("a"), last, F.expr(f"interval {step} days"))))
+    rows = ends.filter(last >= F.col("a")).withColumn(
+        "train_from", F.explode(F.sequence(F.col("a"), last, F.expr(f"interval {step} days")))
+    )
     rows = rows.withColumn("window_id", F.row_number().over(Window.partitionBy(*by).orderBy("train_from")) - 1)
-    return rows.select(*by, "window_id", "train_from", F.date_add("train_from", train).alias("test_from"), F.date_add("train_from", train + test).alias("test_to"))
-
-
-def walk_forward(bars: DataFrame, grid: DataFrame, signals: Callable[[DataFrame, tuple], DataFrame], metric: str, train: int = 180, test: int = 60, step: int = 30, terms: Terms = Terms(), by=BY) -> DataFrame:
+    return rows.select(
+        *by,
+        "window_id",
+        "train_from",
+        F.date_add("train_from", train).alias("test_from"),
+        F.date_add("train_from", train + test).alias("test_to"),
+    )
+
+
+def walk_forward(
+    bars: DataFrame,
+    grid: DataFrame,
+    signals: Callable[[DataFrame, tuple], DataFrame],
+    metric: str,
+    train: int = 180,
+    test: int = 60,
+    step: int = 30,
+    terms: Terms = Terms(),
+    by=BY,
+) -> DataFrame:
     """Per window the best parameter set on the training part and its figure there and on the test part.
 
     A bar is repeated for each window that holds it, (train + test) / step times at most; the test part is played
@@ -71,8 +93,12 @@ def walk_forward(bars: DataFrame, grid: DataFrame, signals: Callable[[DataFrame,
     day = F.to_date("ts")
     placed = bars.join(spans, list(by)).filter((day >= F.col("train_from")) & (day < F.col("test_to")))
     keys = (*by, "window_id")
-    early, late = (placed.filter(c).drop("train_from", "test_from", "test_to") for c in (day < F.col("test_from"), day >= F.col("test_from")))
-    chosen = best(search(early, grid, signals, terms, keys), metric, True, keys).select(*keys, "param_id", F.col(metric).alias("train_metric"))
+    early, late = (
+        placed.filter(c).drop("train_from", "test_from", "test_to") for c in (day < F.col("test_from"), day >= F.col("test_from"))
+    )
+    chosen = best(search(early, grid, signals, terms, keys), metric, True, keys).select(
+        *keys, "param_id", F.col(metric).alias("train_metric")
+    )
     own = late.join(chosen.select(*keys, "param_id"), list(keys)).join(F.broadcast(grid), "param_id")
     both = (*keys, "param_id")
     tested = metrics(signals(own, both), terms, both).select(*both, F.col(metric).alias("test_metric"))
@@ -88,5 +114,12 @@ def stability(walked: DataFrame, grid: DataFrame, by=BY) -> DataFrame:
     rows = rows.select(*by, "window_id", F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).cast("double").alias("value")) for c in params])).alias("x")).select(*by, "window_id", "x.*")
     before = F.lag("value").over(Window.partitionBy(*by, "param").orderBy("window_id"))
     rows = rows.withColumn("_moved", (F.col("value") != before).cast("int"))
-    out = rows.groupBy(*by, "param").agg(F.count("*").alias("n_windows"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.coalesce(F.avg("_moved"), F.lit(0.0)).alias("share_changed"))
+    out = rows.groupBy(*by, "param").agg(
+        F.count("*").alias("n_windows"),
+        F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.coalesce(F.avg("_moved"), F.lit(0.0)).alias("share_changed"),
+    )
     return out.withColumn("relative_range", F.try_divide(F.col("max") - F.col("min"), F.abs("mean")))

@@ -34,7 +34,12 @@ def drawdown_periods(df: DataFrame, value: str = "equity", deeper_than: float =
     rows = S.runs(rows.withColumn("_under", F.col("drawdown") < 0), "_under", "_spell", by)
     last = F.max("ts").over(S.whole(by))
     rows = rows.withColumn("_last", last)
-    spells = rows.groupBy(*by, "_spell", "_under").agg(F.min("ts").alias("start_ts"), F.min("drawdown").alias("max_drawdown_pct"), F.min_by("ts", F.struct("drawdown", "ts")).alias("trough_ts"), F.max("_last").alias("_last"))
+    spells = rows.groupBy(*by, "_spell", "_under").agg(
+        F.min("ts").alias("start_ts"),
+        F.min("drawdown").alias("max_drawdown_pct"),
+        F.min_by("ts", F.struct("drawdown", "ts")).alias("trough_ts"),
+        F.max("_last").alias("_last"),
+    )
     # the spell behind one under water begins on its bar of recovery
     spells = spells.withColumn("end_ts", F.lead("start_ts").over(Window.partitionBy(*by).orderBy("_spell")))
     spells = spells.filter(F.col("_under") & (F.col("max_drawdown_pct") < -deeper_than))
@@ -62,17 +67,33 @@ def drawdown_summary(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
     spells = drawdown_periods(df, value, 1.0, by)
     ranked = spells.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("max_drawdown_pct", "start_ts")))
     found = ranked.groupBy(*by).agg(
-        F.count("*").alias("n_periods"), (-F.min("max_drawdown_pct")).alias("max_drawdown_pct"), F.avg("max_drawdown_pct").alias("avg_drawdown_pct"), F.max("duration_days").alias("max_duration_days"), F.avg("duration_days").alias("avg_duration_days"),
+        F.count("*").alias("n_periods"),
+        (-F.min("max_drawdown_pct")).alias("max_drawdown_pct"),
+        F.avg("max_drawdown_pct").alias("avg_drawdown_pct"),
+        F.max("duration_days").alias("max_duration_days"),
+        F.avg("duration_days").alias("avg_duration_days"),
         F.max(F.when(F.col("_rank") == 1, F.col("recovery_days"))).alias("_recovered"),
-        F.avg(F.when(F.col("_rank") <= 3, -F.col("max_drawdown_pct"))).alias("_worst"), F.sqrt(F.sum(F.pow("max_drawdown_pct", F.lit(2)))).alias("_square"),
+        F.avg(F.when(F.col("_rank") <= 3, -F.col("max_drawdown_pct"))).alias("_worst"),
+        F.sqrt(F.sum(F.pow("max_drawdown_pct", F.lit(2)))).alias("_square"),
     )
     out = base.join(found, list(by), "left").fillna(0, ["n_periods"])
     ratio = lambda x: F.when(x > 0, F.col("annual_return_pct") / x)
     return out.select(
-        *by, "n_periods", "max_drawdown_pct", "avg_drawdown_pct", "max_duration_days", "avg_duration_days", (100 * F.col("_u")).alias("ulcer_index"), "pain_index", (-F.col("_now")).alias("current_drawdown_pct"),
-        F.when(F.col("_now") < 0, F.col("_days")).otherwise(0).alias("current_duration_days"), F.coalesce("_recovered", F.lit(0)).cast("long").alias("time_to_recovery_days"),
+        *by,
+        "n_periods",
+        "max_drawdown_pct",
+        "avg_drawdown_pct",
+        "max_duration_days",
+        "avg_duration_days",
+        (100 * F.col("_u")).alias("ulcer_index"),
+        "pain_index",
+        (-F.col("_now")).alias("current_drawdown_pct"),
+        F.when(F.col("_now") < 0, F.col("_days")).otherwise(0).alias("current_duration_days"),
+        F.coalesce("_recovered", F.lit(0)).cast("long").alias("time_to_recovery_days"),
         F.when(F.col("_recovered").isNotNull(), ratio(F.col("max_drawdown_pct"))).otherwise(0.0).alias("recovery_factor"),
-        ratio(F.col("max_drawdown_pct")).alias("calmar_ratio"), ratio(F.col("_worst")).alias("sterling_ratio"), ratio(F.col("_square")).alias("burke_ratio"),
+        ratio(F.col("max_drawdown_pct")).alias("calmar_ratio"),
+        ratio(F.col("_worst")).alias("sterling_ratio"),
+        ratio(F.col("_square")).alias("burke_ratio"),
     )
 
 
@@ -84,10 +105,18 @@ def drawdown_table(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
 
 def drawdown_totals(df: DataFrame, value: str = "equity", by=BY) -> DataFrame:
     """Over all spells however shallow: number, depth (deepest, mean, median), length, and the bars under water."""
-    rows = underwater(df, value, by).groupBy(*by).agg(F.sum((F.col("drawdown") < 0).cast("long")).alias("underwater_days"), (F.avg((F.col("drawdown") < 0).cast("double")) * 100).alias("underwater_pct"))
+    rows = underwater(df, value, by).groupBy(*by).agg(
+        F.sum((F.col("drawdown") < 0).cast("long")).alias("underwater_days"),
+        (F.avg((F.col("drawdown") < 0).cast("double")) * 100).alias("underwater_pct"),
+    )
     depth, length = F.col("max_drawdown_pct"), F.col("duration_days")
     spells = drawdown_periods(df, value, 0.0, by).groupBy(*by).agg(
-        F.count("*").alias("total_drawdowns"), F.min(depth).alias("max_drawdown_pct"), F.avg(depth).alias("avg_drawdown_pct"), F.median(depth).alias("median_drawdown_pct"), F.avg(length).alias("avg_duration_days"), F.max(length).alias("max_duration_days"),
+        F.count("*").alias("total_drawdowns"),
+        F.min(depth).alias("max_drawdown_pct"),
+        F.avg(depth).alias("avg_drawdown_pct"),
+        F.median(depth).alias("median_drawdown_pct"),
+        F.avg(length).alias("avg_duration_days"),
+        F.max(length).alias("max_duration_days"),
     )
     return rows.join(spells, list(by), "left").fillna(0, [c for c in spells.columns if c not in by])
 
@@ -105,15 +134,30 @@ def return_stats(df: DataFrame, value: str = "close", by=BY) -> DataFrame:
     r = returns(df, value, by)
     years = S.floor_days(F.min("ts"), F.max("ts")) / 365
     total = F.max_by(value, "ts") / F.min_by(value, "ts")
-    base = df.groupBy(*by).agg(((total - 1) * 100).alias("total_return_pct"), F.when(years > 0, (F.pow(total, 1 / years) - 1) * 100).otherwise(0.0).alias("annual_return_pct"))
+    base = df.groupBy(*by).agg(
+        ((total - 1) * 100).alias("total_return_pct"),
+        F.when(years > 0, (F.pow(total, 1 / years) - 1) * 100).otherwise(0.0).alias("annual_return_pct"),
+    )
     d = r.groupBy(*by).agg(
-        (F.avg("r") * 100).alias("daily_return_pct"), (F.stddev_samp("r") * 100).alias("volatility_daily_pct"), (F.stddev_samp("r") * 100 * F.sqrt(F.lit(252.0))).alias("volatility_annual_pct"),
-        F.coalesce(F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * 100 * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("downside_volatility_pct"),
-        (F.max("r") * 100).alias("best_day_pct"), (F.min("r") * 100).alias("worst_day_pct"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("pct_profitable_days"), F.count("*").alias("trading_days"),
+        (F.avg("r") * 100).alias("daily_return_pct"),
+        (F.stddev_samp("r") * 100).alias("volatility_daily_pct"),
+        (F.stddev_samp("r") * 100 * F.sqrt(F.lit(252.0))).alias("volatility_annual_pct"),
+        F.coalesce(F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * 100 * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias(
+            "downside_volatility_pct"
+        ),
+        (F.max("r") * 100).alias("best_day_pct"),
+        (F.min("r") * 100).alias("worst_day_pct"),
+        (F.avg((F.col("r") > 0).cast("double")) * 100).alias("pct_profitable_days"),
+        F.count("*").alias("trading_days"),
     )
     m = monthly(r, by).groupBy(*by).agg(
-        (F.avg("r") * 100).alias("monthly_return_pct"), (F.stddev_samp("r") * 100).alias("volatility_monthly_pct"), (F.max("r") * 100).alias("best_month_pct"), (F.min("r") * 100).alias("worst_month_pct"),
-        (F.avg((F.col("r") > 0).cast("double")) * 100).alias("pct_profitable_months"), F.coalesce(F.avg(F.when(F.col("r") > 0, F.col("r"))) * 100, F.lit(0.0)).alias("avg_up_month_pct"), F.coalesce(F.avg(F.when(F.col("r") < 0, F.col("r"))) * 100, F.lit(0.0)).alias("avg_down_month_pct"),
+        (F.avg("r") * 100).alias("monthly_return_pct"),
+        (F.stddev_samp("r") * 100).alias("volatility_monthly_pct"),
+        (F.max("r") * 100).alias("best_month_pct"),
+        (F.min("r") * 100).alias("worst_month_pct"),
+        (F.avg((F.col("r") > 0).cast("double")) * 100).alias("pct_profitable_months"),
+        F.coalesce(F.avg(F.when(F.col("r") > 0, F.col("r"))) * 100, F.lit(0.0)).alias("avg_up_month_pct"),
+        F.coalesce(F.avg(F.when(F.col("r") < 0, F.col("r"))) * 100, F.lit(0.0)).alias("avg_down_month_pct"),
     )
     return base.join(d, list(by)).join(m, list(by))
 
@@ -136,12 +180,19 @@ def trade_stats(made: DataFrame, by=BY) -> DataFrame:
     part = lambda c, x: F.coalesce(F.avg(F.when(c, x)), F.lit(0.0))
     way = lambda d, c=F.lit(True): F.sum(((F.col("direction") == d) & c).cast("long"))
     out = made.groupBy(*by).agg(
-        F.count("*").alias("total_trades"), F.sum(win.cast("long")).alias("winning_trades"), F.sum(loss.cast("long")).alias("losing_trades"), F.sum((F.col("pnl") == 0).cast("long")).alias("breakeven_trades"),
-        (F.avg(win.cast("double")) * 100).alias("win_rate"), (F.sum(F.when(win, F.col("pnl")).otherwise(0.0)) / F.sum(F.when(loss, -F.col("pnl")))).alias("profit_factor"),
+        F.count("*").alias("total_trades"),
+        F.sum(win.cast("long")).alias("winning_trades"),
+        F.sum(loss.cast("long")).alias("losing_trades"),
+        F.sum((F.col("pnl") == 0).cast("long")).alias("breakeven_trades"),
+        (F.avg(win.cast("double")) * 100).alias("win_rate"),
+        (F.sum(F.when(win, F.col("pnl")).otherwise(0.0)) / F.sum(F.when(loss, -F.col("pnl")))).alias("profit_factor"),
         part(win, F.col("pnl")).alias("avg_profit"), part(loss, -F.col("pnl")).alias("avg_loss"),
-        F.coalesce(F.max(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("largest_profit"), F.coalesce(F.max(F.when(loss, -F.col("pnl"))), F.lit(0.0)).alias("largest_loss"),
+        F.coalesce(F.max(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("largest_profit"),
+        F.coalesce(F.max(F.when(loss, -F.col("pnl"))), F.lit(0.0)).alias("largest_loss"),
         F.avg(held).alias("avg_holding_hours"), part(win, held).alias("avg_profit_hours"), part(loss, held).alias("avg_loss_hours"),
-        way(1).alias("long_trades"), way(-1).alias("short_trades"), way(1, win).alias("_lw"), way(-1, win).alias("_sw"), F.sum("pnl").alias("total_profit"),
+        way(1).alias("long_trades"), way(-1).alias("short_trades"), way(1, win).alias("_lw"), way(-1, win).alias("_sw"), F.sum("pnl").alias(
+            "total_profit"
+        ),
     )
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b) * 100).otherwise(0.0)
     out = out.withColumns({"long_win_rate": rate("_lw", "long_trades"), "short_win_rate": rate("_sw", "short_trades")}).drop("_lw", "_sw")
@@ -170,7 +221,15 @@ def rolling(df: DataFrame, value: str = "close", window: int = 60, by=BY) -> Dat
     values = F.collect_list(F.col(value)).over(S.last_rows(window + 1, by))
     step = lambda acc, x: F.struct(F.greatest(acc["peak"], x).alias("peak"), F.least(acc["low"], x / F.greatest(acc["peak"], x) - 1).alias("low"))
     deepest = F.aggregate(values, F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("low")), step, lambda acc: -acc["low"] * 100)
-    out = r.select(*by, "ts", enough.alias("_full"), (F.col(value) / S.lag(value, window, by) - 1).alias("rolling_return"), (std * F.sqrt(F.lit(252.0))).alias("rolling_volatility"), F.when(std > 0, mean / std * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("rolling_sharpe"), deepest.alias("rolling_max_drawdown"))
+    out = r.select(
+        *by,
+        "ts",
+        enough.alias("_full"),
+        (F.col(value) / S.lag(value, window, by) - 1).alias("rolling_return"),
+        (std * F.sqrt(F.lit(252.0))).alias("rolling_volatility"),
+        F.when(std > 0, mean / std * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("rolling_sharpe"),
+        deepest.alias("rolling_max_drawdown"),
+    )
     return out.filter("_full").drop("_full")
 
 
@@ -189,7 +248,11 @@ def report(df: DataFrame, made: DataFrame | None = None, value: str = "equity",
     """
     from . import risk
 
-    parts = {"returns": return_stats(df, value, by), "drawdowns": drawdown_summary(df, value, by), "risk": risk.risk_metrics(returns(df, value, by), by=by)}
+    parts = {
+        "returns": return_stats(df, value, by),
+        "drawdowns": drawdown_summary(df, value, by),
+        "risk": risk.risk_metrics(returns(df, value, by), by=by),
+    }
     if made is not None:
         parts |= {"trades": trade_stats(made, by), "streaks": streaks(made, by)}
     out = df.select(*by).distinct()

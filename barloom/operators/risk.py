@@ -46,7 +46,9 @@ def risk_metrics(r: DataFrame, annual_rate: float = 0.0, by=BY) -> DataFrame:
         F.count("r").alias("n"),
         zero(F.when(std > 0, excess / std * root)).alias("sharpe_ratio"),
         zero(F.when(down > 0, excess / down * root)).alias("sortino_ratio"),
-        zero(F.try_divide(F.sum(F.when(F.col("r") > rf, F.col("r"))), F.abs(F.sum(F.when(F.col("r") < rf, F.col("r")))))).alias("omega_ratio"),
+        zero(F.try_divide(F.sum(F.when(F.col("r") > rf, F.col("r"))), F.abs(F.sum(F.when(F.col("r") < rf, F.col("r")))))).alias(
+            "omega_ratio"
+        ),
         zero(p5).alias("var_95"),
         zero(F.avg(F.when(F.col("r") <= F.col("_p")[0], F.col("r")))).alias("cvar_95"),
         zero(F.when(std > 1e-12, unbiased_skew(F.skewness("r"), n))).alias("skewness"),
@@ -95,8 +97,15 @@ def benchmark_metrics(r: DataFrame, b: DataFrame, annual_rate: float = 0.0, by=B
     capture = lambda c: F.try_divide(F.avg(F.when(c, F.col("r"))), F.avg(F.when(c, F.col("b")))) * 100
     up, low = capture(F.col("b") > 0), capture(F.col("b") < 0)
     return x.groupBy(*by).agg(
-        F.count("*").alias("n"), beta.alias("beta"), ((mean - (F.lit(rf) + beta * (bench - rf))) * YEAR).alias("alpha"), F.when(beta > 0, (mean - rf) / beta * YEAR).otherwise(0.0).alias("treynor_ratio"),
-        F.when(track > 0, (mean - bench) * YEAR / track).otherwise(0.0).alias("information_ratio"), F.pow(S.corr("r", "b"), 2).alias("r_squared"), up.alias("upside_capture"), low.alias("downside_capture"), F.when(low != 0, up / low).alias("capture_ratio"),
+        F.count("*").alias("n"),
+        beta.alias("beta"),
+        ((mean - (F.lit(rf) + beta * (bench - rf))) * YEAR).alias("alpha"),
+        F.when(beta > 0, (mean - rf) / beta * YEAR).otherwise(0.0).alias("treynor_ratio"),
+        F.when(track > 0, (mean - bench) * YEAR / track).otherwise(0.0).alias("information_ratio"),
+        F.pow(S.corr("r", "b"), 2).alias("r_squared"),
+        up.alias("upside_capture"),
+        low.alias("downside_capture"),
+        F.when(low != 0, up / low).alias("capture_ratio"),
     )
 
 
@@ -120,7 +129,14 @@ def value_at_risk(r: DataFrame, level: float = 0.95, by=BY) -> DataFrame:
 
 
 # fixed values: falls of markets
-SCENARIOS = {"2008 financial crisis": -0.50, "2020 pandemic": -0.35, "dot-com bubble": -0.45, "flash crash": -0.10, "moderate correction": -0.15, "severe correction": -0.25}
+SCENARIOS = {
+    "2008 financial crisis": -0.50,
+    "2020 pandemic": -0.35,
+    "dot-com bubble": -0.45,
+    "flash crash": -0.10,
+    "moderate correction": -0.15,
+    "severe correction": -0.25,
+}
 
 
 def stress_test(r: DataFrame, scenarios: dict[str, float] = SCENARIOS, by=BY) -> DataFrame:
@@ -128,7 +144,15 @@ def stress_test(r: DataFrame, scenarios: dict[str, float] = SCENARIOS, by=BY) ->
     mean = r.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(F.col("r") > 0, F.col("r"))).alias("gain"))
     falls = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(v).alias("drop")) for k, v in scenarios.items()]))
     x = mean.withColumn("s", falls).select(*by, "s.scenario", "s.drop", "n", "gain")
-    return x.select(*by, "scenario", "drop", (1 + F.col("drop")).alias("new_value"), F.when((F.col("n") > 20) & (F.col("gain") > 0), -F.col("drop") / (1 + F.col("drop")) / F.col("gain") / YEAR).alias("recovery_years"))
+    return x.select(
+        *by,
+        "scenario",
+        "drop",
+        (1 + F.col("drop")).alias("new_value"),
+        F.when((F.col("n") > 20) & (F.col("gain") > 0), -F.col("drop") / (1 + F.col("drop")) / F.col("gain") / YEAR).alias(
+            "recovery_years"
+        ),
+    )
 
 
 def kelly(win_rate: Column, ratio: Column, adjust: float = 0.5) -> Column:
@@ -143,11 +167,22 @@ def position_sizing(made: DataFrame, capital: float = 10_000.0, risk_pct: float
 
     w = Window.partitionBy(*by).orderBy("trade")
     rows = made.withColumn("_g", 1 + F.lit(risk_pct / 100) * F.col("pnl_pct") / 100)
-    rows = rows.withColumn("after", capital * F.product("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(capital)))
-    rows = rows.withColumn("stake", F.col("before") * risk_pct / 100).withColumn("peak", F.greatest(F.max("after").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(capital)))
+    rows = rows.withColumn("after", capital * F.product("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "before", F.coalesce(F.lag("after").over(w), F.lit(capital))
+    )
+    rows = rows.withColumn("stake", F.col("before") * risk_pct / 100).withColumn(
+        "peak", F.greatest(F.max("after").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(capital))
+    )
     win = F.avg((F.col("pnl") > 0).cast("double"))
     ratio = F.avg(F.when(F.col("pnl") > 0, F.col("pnl_pct"))) / -F.avg(F.when(F.col("pnl") < 0, F.col("pnl_pct")))
-    return rows.groupBy(*by).agg(F.avg("stake").alias("avg_size"), F.max("stake").alias("max_size"), F.min("stake").alias("min_size"), ((F.max_by("after", "trade") / capital - 1) * 100).alias("roi_pct"), F.max((F.col("peak") - F.col("after")) / F.col("peak") * 100).alias("max_drawdown_pct"), F.coalesce(kelly(win, ratio), F.lit(0.0)).alias("kelly"))
+    return rows.groupBy(*by).agg(
+        F.avg("stake").alias("avg_size"),
+        F.max("stake").alias("max_size"),
+        F.min("stake").alias("min_size"),
+        ((F.max_by("after", "trade") / capital - 1) * 100).alias("roi_pct"),
+        F.max((F.col("peak") - F.col("after")) / F.col("peak") * 100).alias("max_drawdown_pct"),
+        F.coalesce(kelly(win, ratio), F.lit(0.0)).alias("kelly"),
+    )
 
 
 def pairs(r: DataFrame, name: str = "market") -> DataFrame:
@@ -182,7 +217,13 @@ def risk_contribution(r: DataFrame, name: str = "market") -> DataFrame:
     total = marginal.agg(F.sqrt(F.sum("m") / k).alias("vol"))
     out = marginal.join(F.broadcast(total))  # one row
     mcr = F.col("m") / F.col("vol")
-    return out.select(F.col("a").alias(name), F.col("vol").alias("portfolio_volatility"), mcr.alias("marginal"), (mcr / k).alias("component"), (mcr / k / F.col("vol") * 100).alias("percentage"))
+    return out.select(
+        F.col("a").alias(name),
+        F.col("vol").alias("portfolio_volatility"),
+        mcr.alias("marginal"),
+        (mcr / k).alias("component"),
+        (mcr / k / F.col("vol") * 100).alias("percentage"),
+    )
 
 
 def rolling_risk(r: DataFrame, b: DataFrame, window: int = 60, by=BY) -> DataFrame:
@@ -194,8 +235,19 @@ def rolling_risk(r: DataFrame, b: DataFrame, window: int = 60, by=BY) -> DataFra
     beta = F.try_divide(F.covar_samp("r", "b").over(w), F.var_samp("b").over(w))
     root = F.sqrt(F.lit(YEAR))
     out = x.select(
-        *by, "ts", (F.count("r").over(w) >= window).alias("_full"), (mean * YEAR).alias("annual_return"), (std * root).alias("volatility"), F.when(std > 0, mean / std * root).alias("sharpe"), F.when(down > 0, mean / down * root).alias("sortino"),
-        (_deepest(F.collect_list("r").over(w)) * 100).alias("max_drawdown"), beta.alias("beta"), ((mean - beta * F.avg("b").over(w)) * YEAR).alias("alpha"), F.pow(S.corr("r", "b", w), 2).alias("r_squared"), F.percentile("r", F.lit(0.05)).over(w).alias("var_95"), F.avg((F.col("r") > 0).cast("double")).over(w).alias("win_rate"),
+        *by,
+        "ts",
+        (F.count("r").over(w) >= window).alias("_full"),
+        (mean * YEAR).alias("annual_return"),
+        (std * root).alias("volatility"),
+        F.when(std > 0, mean / std * root).alias("sharpe"),
+        F.when(down > 0, mean / down * root).alias("sortino"),
+        (_deepest(F.collect_list("r").over(w)) * 100).alias("max_drawdown"),
+        beta.alias("beta"),
+        ((mean - beta * F.avg("b").over(w)) * YEAR).alias("alpha"),
+        F.pow(S.corr("r", "b", w), 2).alias("r_squared"),
+        F.percentile("r", F.lit(0.05)).over(w).alias("var_95"),
+        F.avg((F.col("r") > 0).cast("double")).over(w).alias("win_rate"),
     )
     return out.filter("_full").drop("_full")
 

@@ -30,7 +30,10 @@ def _rsi(df: DataFrame, p: Mapping, by) -> DataFrame:
 
 
 def _macd(df: DataFrame, p: Mapping, by) -> DataFrame:
-    made = {n: lambda x, k=k: R.macd(x["close"].to_numpy(float), p["fast_period"], p["slow_period"], p["signal_period"])[k] for k, n in enumerate(("_line", "_trigger"))}
+    made = {
+        n: lambda x, k=k: R.macd(x["close"].to_numpy(float), p["fast_period"], p["slow_period"], p["signal_period"])[k]
+        for k, n in enumerate(("_line", "_trigger"))
+    }
     return R.by_series(df, made, by).withColumn("signal", S.cross("_line", "_trigger", by)).drop(*made)
 
 
@@ -55,7 +58,11 @@ def _bollinger(df: DataFrame, p: Mapping, by) -> DataFrame:
 
 
 def _williams(df: DataFrame, p: Mapping, by) -> DataFrame:
-    return df.withColumn("williams_r", I.williams_r(p["period"], by)).withColumn("signal", T.williams_signal(by, p["oversold"], p["overbought"])).drop("williams_r")
+    return (
+        df.withColumn("williams_r", I.williams_r(p["period"], by))
+        .withColumn("signal", T.williams_signal(by, p["oversold"], p["overbought"]))
+        .drop("williams_r")
+    )
 
 
 def _supertrend(df: DataFrame, p: Mapping, by) -> DataFrame:
@@ -64,7 +71,18 @@ def _supertrend(df: DataFrame, p: Mapping, by) -> DataFrame:
 
 def _logistic(df: DataFrame, p: Mapping, by) -> DataFrame:
     gate = p["filter_signals_by"]
-    rows = L.logistic_signal(df, p["lookback"], p["norm_lookback"], p["learning_rate"], p["iterations"], p["use_price_data"], gate in ("Volatility", "Both"), gate in ("Volume", "Both"), p["holding_period"], by)
+    rows = L.logistic_signal(
+        df,
+        p["lookback"],
+        p["norm_lookback"],
+        p["learning_rate"],
+        p["iterations"],
+        p["use_price_data"],
+        gate in ("Volatility", "Both"),
+        gate in ("Volume", "Both"),
+        p["holding_period"],
+        by,
+    )
     return rows.drop("loss", "pred")
 
 
@@ -97,11 +115,24 @@ def signal(df: DataFrame, name: str, values: settings.Settings | None = None, by
         return out
     gate = p.get("filter_signals_by", "None")
     if gate != "None":
-        out = T.gate(out, gate in ("Volatility", "Both"), gate in ("Volume", "Both"), by).withColumn("signal", S.gated("signal", F.col("gate"))).drop("gate")
-    return S.held(out.withColumnRenamed("signal", "_raw"), "_raw", p["holding_period"], "signal", by).drop("_raw") if p.get("holding_period") else out
-
-
-def multi(df: DataFrame, names: list[str], weights: list[float] | None = None, threshold: float = 1.0, values: settings.Settings | None = None, by=BY) -> DataFrame:
+        out = (
+            T.gate(out, gate in ("Volatility", "Both"), gate in ("Volume", "Both"), by)
+            .withColumn("signal", S.gated("signal", F.col("gate")))
+            .drop("gate")
+        )
+    return S.held(out.withColumnRenamed("signal", "_raw"), "_raw", p["holding_period"], "signal", by).drop("_raw") if p.get(
+        "holding_period"
+    ) else out
+
+
+def multi(
+    df: DataFrame,
+    names: list[str],
+    weights: list[float] | None = None,
+    threshold: float = 1.0,
+    values: settings.Settings | None = None,
+    by=BY,
+) -> DataFrame:
     """df with one ``signal`` of several indicators, aligned by time and weighted (see strategy.weighted)."""
     frames = {n: signal(df, n, values, by) for n in names}
     both = T.aligned(frames, by=by).withColumn("signal", T.weighted(names, weights, threshold))

@@ -23,10 +23,14 @@ def draw(sim: Column, step: Column, n: Column | int, seed: int = 7) -> Column:
 
 def grid(spark: SparkSession, sims: int, steps: int) -> DataFrame:
     """(sim, step) of all simulations, dealt by simulation."""
-    return spark.range(sims).withColumnRenamed("id", "sim").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)).cast("array<bigint>")))
+    return spark.range(sims).withColumnRenamed("id", "sim").withColumn(
+        "step", F.explode(F.sequence(F.lit(1), F.lit(steps)).cast("array<bigint>"))
+    )
 
 
-def bootstrap(values: DataFrame, value: str, order: str, sims: int, steps: int | None, seed: int = 7, by=BY, share: float = 1.0) -> DataFrame:
+def bootstrap(
+    values: DataFrame, value: str, order: str, sims: int, steps: int | None, seed: int = 7, by=BY, share: float = 1.0
+) -> DataFrame:
     """Draws with replacement from each series: by, sim, step, x. steps: a number, or a share of the series' length."""
     w = Window.partitionBy(*by).orderBy(order)
     rows = values.withColumn("_i", F.row_number().over(w) - 1)
@@ -42,7 +46,9 @@ def _sequence(n: Column | int) -> Column:
     return F.sequence(F.lit(1).cast("long"), (n if isinstance(n, Column) else F.lit(n)).cast("long"))
 
 
-def drawn(values: DataFrame, value: str, order: str, sims: int, steps: int | None, seed: int = 7, by=BY, share: float = 1.0, parts: int = 16) -> DataFrame:
+def drawn(
+    values: DataFrame, value: str, order: str, sims: int, steps: int | None, seed: int = 7, by=BY, share: float = 1.0, parts: int = 16
+) -> DataFrame:
     """A row a path: by, sim, xs (draws with replacement in the order of steps).
 
     A series is one array, sent to as many tasks as there are parts of the simulations; draws look up places in it.
@@ -52,7 +58,11 @@ def drawn(values: DataFrame, value: str, order: str, sims: int, steps: int | Non
     rows = arrays.withColumn("sim", F.explode(F.sequence(F.col("_part"), F.lit(sims - 1), F.lit(min(parts, sims))).cast("array<bigint>")))
     n = F.size("_xs").cast("long")
     count = F.lit(steps) if steps else F.greatest(F.lit(1), F.floor(n * share))
-    return rows.select(*by, "sim", F.transform(_sequence(count), lambda s: F.element_at("_xs", (draw(F.col("sim"), s, n, seed) + 1).cast("int"))).alias("xs"))
+    return rows.select(
+        *by,
+        "sim",
+        F.transform(_sequence(count), lambda s: F.element_at("_xs", (draw(F.col("sim"), s, n, seed) + 1).cast("int"))).alias("xs"),
+    )
 
 
 def path_outcomes(paths: DataFrame, start: float, compounded: bool, by=BY) -> DataFrame:
@@ -65,7 +75,13 @@ def path_outcomes(paths: DataFrame, start: float, compounded: bool, by=BY) -> Da
         return F.struct(v.alias("v"), peak.alias("peak"), F.greatest(acc["fall"], (peak - v) / peak * 100).alias("fall"))
 
     out = paths.withColumn("_e", F.aggregate("xs", first, step))
-    return out.select(*by, "sim", F.col("_e.v").alias("final"), F.col("_e.fall").alias("max_drawdown"), ((F.col("_e.v") / start - 1) * 100).alias("return_pct"))
+    return out.select(
+        *by,
+        "sim",
+        F.col("_e.v").alias("final"),
+        F.col("_e.fall").alias("max_drawdown"),
+        ((F.col("_e.v") / start - 1) * 100).alias("return_pct"),
+    )
 
 
 def path_values(paths: DataFrame, start: float, compounded: bool, by=BY) -> DataFrame:
@@ -84,14 +100,21 @@ def return_summary(ends: DataFrame, start: float, periods: int, confidence: floa
     told = []
     for name, c in (("final", "final"), ("cagr", "cagr"), ("drawdown", "max_drawdown")):
         q = F.percentile(c, F.array(*[F.lit(x) for x in levels.values()]))
-        told += [F.avg(c).alias(f"{name}_mean"), F.median(c).alias(f"{name}_median"), F.stddev_pop(c).alias(f"{name}_std"), *[q[i].alias(f"{name}_{k}") for i, k in enumerate(levels)]]
+        told += [
+            F.avg(c).alias(f"{name}_mean"),
+            F.median(c).alias(f"{name}_median"),
+            F.stddev_pop(c).alias(f"{name}_std"),
+            *[q[i].alias(f"{name}_{k}") for i, k in enumerate(levels)],
+        ]
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *told, F.avg((F.col("final") > start).cast("double")).alias("profit_probability"))
 
 
 def shuffled(values: DataFrame, value: str, order: str, sims: int, seed: int = 7, by=BY) -> DataFrame:
     """Each series in another order for every simulation."""
     w = Window.partitionBy(*by).orderBy(order)
-    rows = values.withColumn("_i", (F.row_number().over(w) - 1).cast("long")).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)).cast("array<bigint>")))
+    rows = values.withColumn("_i", (F.row_number().over(w) - 1).cast("long")).withColumn(
+        "sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)).cast("array<bigint>"))
+    )
     mixed = Window.partitionBy(*by, "sim").orderBy(draw(F.col("sim"), F.col("_i"), _P, seed), "_i")
     return rows.withColumn("step", F.row_number().over(mixed).cast("long")).select(*by, "sim", "step", F.col(value).alias("x"))
 
@@ -110,7 +133,11 @@ def outcomes(paths: DataFrame, start: float, by=BY) -> DataFrame:
     """Each path's final value, return and deepest drawdown (percent)."""
     w = Window.partitionBy(*by, "sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     x = paths.withColumn("peak", F.greatest(F.max("value").over(w), F.lit(start)))
-    return x.groupBy(*by, "sim").agg(F.max_by("value", "step").alias("final"), F.max((F.col("peak") - F.col("value")) / F.col("peak") * 100).alias("max_drawdown")).withColumn("return_pct", (F.col("final") / start - 1) * 100)
+    return (
+        x.groupBy(*by, "sim")
+        .agg(F.max_by("value", "step").alias("final"), F.max((F.col("peak") - F.col("value")) / F.col("peak") * 100).alias("max_drawdown"))
+        .withColumn("return_pct", (F.col("final") / start - 1) * 100)
+    )
 
 
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -120,8 +147,14 @@ def summary(ends: DataFrame, start: float, by=BY) -> DataFrame:
     """Mean, median, population deviation, percentiles of final values, drawdown percentiles and win probability."""
     q = F.percentile("final", F.array(*[F.lit(p / 100) for p in PERCENTILES]))
     return ends.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("final").alias("mean_final"), F.median("final").alias("median_final"), F.stddev_pop("final").alias("std_final"), *[q[i].alias(f"p{p}") for i, p in enumerate(PERCENTILES)],
-        F.avg((F.col("final") > start).cast("double")).alias("win_probability"), F.avg("max_drawdown").alias("mean_drawdown"), F.percentile("max_drawdown", F.lit(0.95)).alias("drawdown_p95"),
+        F.count("*").alias("n"),
+        F.avg("final").alias("mean_final"),
+        F.median("final").alias("median_final"),
+        F.stddev_pop("final").alias("std_final"),
+        *[q[i].alias(f"p{p}") for i, p in enumerate(PERCENTILES)],
+        F.avg((F.col("final") > start).cast("double")).alias("win_probability"),
+        F.avg("max_drawdown").alias("mean_drawdown"),
+        F.percentile("max_drawdown", F.lit(0.95)).alias("drawdown_p95"),
     )
 
 
@@ -147,4 +180,6 @@ def histogram(ends: DataFrame, value: str = "final", bins: int = 50, by=BY) -> D
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     out = rows.groupBy(*by, place.alias("bin"), "_lo", "_hi").agg(F.count("*").alias("n"))
-    return out.select(*by, "bin", (F.col("_lo") + F.col("bin") * width).alias("low"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"), "n")
+    return out.select(
+        *by, "bin", (F.col("_lo") + F.col("bin") * width).alias("low"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"), "n"
+    )

@@ -17,7 +17,8 @@ from . import sql as Q
 
 FROM, TO, EVER = dt.datetime(1996, 1, 1), dt.datetime(1999, 6, 30), (dt.datetime(1900, 1, 1), dt.datetime(2100, 1, 1))
 MONTHS = f"""{Q.BARS_1D}, k AS (SELECT *, date_trunc('month', ts)::TIMESTAMP AS month FROM b),
-    wk AS (SELECT market, month AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM k GROUP BY market, month)"""
+    wk AS (SELECT market, month AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close,
+      sum(volume) AS volume FROM k GROUP BY market, month)"""
 _BAR = ["market", "timestamp", "open", "high", "low", "close", "volume"]
 _IN = "ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1999-06-30'"
 
@@ -42,7 +43,9 @@ def raw_layer(spark, sf):
     S.append_raw_live(_months(spark, sf), path)
     rows = S.load(spark, path, "raw", FROM, TO, exchange="drift")
     parsed = F.from_json("raw_data", "open double, high double, low double, close double, volume double")
-    return rows.select("market", F.to_timestamp("timestamp").cast("timestamp_ntz").alias("timestamp"), parsed.alias("r")).select("market", "timestamp", "r.*")
+    return rows.select("market", F.to_timestamp("timestamp").cast("timestamp_ntz").alias("timestamp"), parsed.alias("r")).select(
+        "market", "timestamp", "r.*"
+    )
 
 
 @query(f"WITH {MONTHS} SELECT market, ts AS timestamp, open, high, low, CASE WHEN month(ts) % 2 = 0 THEN close ELSE -1 END AS close, volume FROM wk")
@@ -61,7 +64,11 @@ def dual_write(spark, sf):
     return B.reconcile(S.load(spark, raw, "raw", *EVER), S.load(spark, done, "processed", *EVER))
 
 
-@query(f"WITH {MONTHS}, z AS (SELECT market, count(*) AS n_backup, count(*) FILTER (ts >= TIMESTAMP '1997-01-01') AS n_kept FROM wk GROUP BY market) SELECT * FROM z")
+@query(f"""
+    WITH {MONTHS},
+    z AS (SELECT market, count(*) AS n_backup, count(*) FILTER (ts >= TIMESTAMP '1997-01-01') AS n_kept FROM wk GROUP BY market)
+    SELECT * FROM z
+""")
 def backup_and_prune(spark, sf):
     path, copy = shared.folder(spark, "pruned"), shared.folder(spark, "copy")
     S.store_processed(_months(spark, sf), path)
@@ -85,8 +92,13 @@ START, END = int(dt.datetime(1992, 1, 1, tzinfo=dt.UTC).timestamp()), int(dt.dat
 def _payload(exchange: str, rows: pd.DataFrame) -> str:
     """A page of bars as the exchange writes it."""
     if exchange == "drift":
-        return "start,fillOpen,fillHigh,fillLow,fillClose,baseVolume\n" + "".join(f"{r.s * 1000},{r.open!r},{r.high!r},{r.low!r},{r.close!r},{r.volume!r}\n" for r in rows.itertuples())
-    listed = [[r.s * (1 if exchange == "coinbase" else 1000), *(str(x) for x in (r.open, r.high, r.low, r.close, r.volume))] for r in rows.itertuples()]
+        return "start,fillOpen,fillHigh,fillLow,fillClose,baseVolume\n" + "".join(
+            f"{r.s * 1000},{r.open!r},{r.high!r},{r.low!r},{r.close!r},{r.volume!r}\n" for r in rows.itertuples()
+        )
+    listed = [
+        [r.s * (1 if exchange == "coinbase" else 1000), *(str(x) for x in (r.open, r.high, r.low, r.close, r.volume))]
+        for r in rows.itertuples()
+    ]
     return json.dumps({"data": listed} if exchange == "bitget" else {"candles": listed} if exchange == "coinbase" else listed)
 
 
@@ -108,7 +120,9 @@ def _replayed(spark, sf, exchange):
     pages = bars.withColumn("first", first.cast("long")).groupBy("market", "first").applyInPandas(record, "market string")
     markets = [r.market for r in pages.distinct().collect()]  # a row a market
     spark.dataSource.register(X.ExchangeSource)
-    options = {"exchange": exchange, "markets": ",".join(markets), "resolution": "1D", "start": str(START), "end": str(END), "replay": folder}
+    options = {
+        "exchange": exchange, "markets": ",".join(markets), "resolution": "1D", "start": str(START), "end": str(END), "replay": folder
+    }
     rows = spark.read.format("exchange").options(**options).load()
     return rows.select("market", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", "volume")
 
@@ -149,39 +163,61 @@ def _ticks(spark, sf):
 def _drained(spark, stream):
     """What a stream appends until its input ends, without the last tick's series."""
     out, checkpoint = shared.folder(spark, "out"), shared.folder(spark, "checkpoint")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q = (
+        stream.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).filter("market <> '~'")
 
 
-@query("""SELECT event_type AS market, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2""")
+@query("""
+    SELECT event_type AS market, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low,
+      arg_max(value, (ts, value)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2
+""")
 def stream_bars(spark, sf):
     out = _drained(spark, L.bars(_ticks(spark, sf), "1 hour", "0 seconds"))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("""WITH w AS (SELECT event_type AS market, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR])::TIMESTAMP AS start FROM events)
-    SELECT market, start, start + INTERVAL 2 HOUR AS "end", count(*) AS n, CAST(count(*) AS DOUBLE) AS volume, round(avg(value), 7) AS mean_price FROM w GROUP BY market, start""")
+@query("""
+    WITH w AS (SELECT event_type AS market, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR])::TIMESTAMP AS start
+      FROM events)
+    SELECT market, start, start + INTERVAL 2 HOUR AS "end", count(*) AS n, CAST(count(*) AS DOUBLE) AS volume, round(avg(value), 7) AS mean_price
+      FROM w GROUP BY market, start""")
 def stream_sliding(spark, sf):
     out = _drained(spark, L.sliding(_ticks(spark, sf), "2 hours", "1 hour", "0 seconds"))
     return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}), digits=7)
 
 
-@query("""WITH e AS (SELECT event_type AS market, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL '37 minutes' THEN 0 ELSE 1 END AS c FROM events), g AS (SELECT *, sum(c) OVER (PARTITION BY market ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
-    SELECT market, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL '37 minutes')::TIMESTAMP AS "end", count(*) AS n, CAST(count(*) AS DOUBLE) AS volume FROM g GROUP BY market, g""")
+@query("""
+    WITH e AS (SELECT event_type AS market, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL '37 minutes' THEN 0
+      ELSE 1 END AS c FROM events),
+    g AS (SELECT *, sum(c) OVER (PARTITION BY market ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+    SELECT market, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL '37 minutes')::TIMESTAMP AS "end", count(*) AS n,
+      CAST(count(*) AS DOUBLE) AS volume FROM g GROUP BY market, g""")
 def stream_sessions(spark, sf):
     out = _drained(spark, L.sessions(_ticks(spark, sf), "37 minutes", "0 seconds"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("""WITH a AS (SELECT event_type AS market, ts, value FROM events WHERE event_id % 2 = 0), b AS (SELECT event_type AS market, ts, value FROM events WHERE event_id % 2 = 1)
-    SELECT a.market, a.ts::TIMESTAMP AS ts, a.value AS price, b.ts::TIMESTAMP AS right_ts, b.value AS right_price FROM a JOIN b ON a.market = b.market AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE""")
+@query("""
+    WITH a AS (SELECT event_type AS market, ts, value FROM events WHERE event_id % 2 = 0),
+    b AS (SELECT event_type AS market, ts, value FROM events WHERE event_id % 2 = 1)
+    SELECT a.market, a.ts::TIMESTAMP AS ts, a.value AS price, b.ts::TIMESTAMP AS right_ts, b.value AS right_price FROM a
+      JOIN b ON a.market = b.market AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE""")
 def stream_joined(spark, sf):
     """Two streams, the events of even and of odd numbers."""
     sides = []
     for odd in (0, 1):
         path = shared.folder(spark, "side")
-        rows = ticks_events(spark, sf).filter(F.col("event_id") % 2 == odd).select("market", F.col("ts").cast("timestamp").alias("ts"), "price")
+        rows = ticks_events(spark, sf).filter(F.col("event_id") % 2 == odd).select(
+            "market", F.col("ts").cast("timestamp").alias("ts"), "price"
+        )
         rows.write.parquet(path)
         sides.append(spark.readStream.schema(rows.schema).parquet(path))
     out = _drained(spark, L.joined(*sides, "30 minutes", "1 hour"))

@@ -6,16 +6,51 @@ from ..functions import symbols as Y
 from . import query
 
 # exchange symbols with their standard form, and standard ones with an exchange's form
-PAIRS = [("binance", "BTCUSDT", "BTC-USDT"), ("binance", "BTCUSDT_PERP", "BTC-PERP"), ("coinbase", "BTC-USD", "BTC-USD"), ("drift", "SOL-PERP", "SOL-PERP"), ("binance", "BTCBUSD", "BTC-BUSD"), ("binance", "ETHBTC", "ETH-BTC"), ("kraken", "XBT", "BTC"), ("bitget", "SOLUSDC", "SOL-USDC"), ("binance", "DAIUSDT", "DAI-USDT")]
-BACK = [("binance", "BTC-PERP", "BTCUSDT_PERP"), ("binance", "BTC-USDT", "BTCUSDT"), ("binance", "ETH", "ETHUSDT"), ("coinbase", "ETH", "ETH-USD"), ("drift", "SOL", "SOL-PERP"), ("coinbase", "BTC-USD", "BTC-USD"), ("bitget", "BTC-USDT", "BTCUSDT")]
-TIMES = [("2023-01-01T12:00:00Z", "2023-01-01 12:00:00"), ("2023-01-01T12:00:00+02:00", "2023-01-01 10:00:00"), ("1672574400", "2023-01-01 12:00:00"), ("1672574400500", "2023-01-01 12:00:00.5"), ("nonsense", None)]
-DATES = [("2024-02-03", "2024-02-03 00:00:00"), ("2024-02-03 04:05", "2024-02-03 04:05:00"), ("now", "2024-03-10 15:30:00"), ("today", "2024-03-10 00:00:00"), ("yesterday", "2024-03-09 00:00:00"), ("3d", "2024-03-07 15:30:00"), ("12h", "2024-03-10 03:30:00"), ("soon", None)]
+PAIRS = [
+    ("binance", "BTCUSDT", "BTC-USDT"),
+    ("binance", "BTCUSDT_PERP", "BTC-PERP"),
+    ("coinbase", "BTC-USD", "BTC-USD"),
+    ("drift", "SOL-PERP", "SOL-PERP"),
+    ("binance", "BTCBUSD", "BTC-BUSD"),
+    ("binance", "ETHBTC", "ETH-BTC"),
+    ("kraken", "XBT", "BTC"),
+    ("bitget", "SOLUSDC", "SOL-USDC"),
+    ("binance", "DAIUSDT", "DAI-USDT"),
+]
+BACK = [
+    ("binance", "BTC-PERP", "BTCUSDT_PERP"),
+    ("binance", "BTC-USDT", "BTCUSDT"),
+    ("binance", "ETH", "ETHUSDT"),
+    ("coinbase", "ETH", "ETH-USD"),
+    ("drift", "SOL", "SOL-PERP"),
+    ("coinbase", "BTC-USD", "BTC-USD"),
+    ("bitget", "BTC-USDT", "BTCUSDT"),
+]
+TIMES = [
+    ("2023-01-01T12:00:00Z", "2023-01-01 12:00:00"),
+    ("2023-01-01T12:00:00+02:00", "2023-01-01 10:00:00"),
+    ("1672574400", "2023-01-01 12:00:00"),
+    ("1672574400500", "2023-01-01 12:00:00.5"),
+    ("nonsense", None),
+]
+DATES = [
+    ("2024-02-03", "2024-02-03 00:00:00"),
+    ("2024-02-03 04:05", "2024-02-03 04:05:00"),
+    ("now", "2024-03-10 15:30:00"),
+    ("today", "2024-03-10 00:00:00"),
+    ("yesterday", "2024-03-09 00:00:00"),
+    ("3d", "2024-03-07 15:30:00"),
+    ("12h", "2024-03-10 03:30:00"),
+    ("soon", None),
+]
 
 
 def _sql(rows: list[tuple], *columns: str) -> str:
     """A row of the part table a row, with the values that its key picks."""
     lists = ["[" + ", ".join("NULL" if r[k] is None else f"'{r[k]}'" for r in rows) + "]" for k in range(len(columns))]
-    return "SELECT p_partkey, " + ", ".join(f"{x}[p_partkey % {len(rows)} + 1] AS {c}" for x, c in zip(lists, columns, strict=True)) + " FROM part"
+    return "SELECT p_partkey, " + ", ".join(
+        f"{x}[p_partkey % {len(rows)} + 1] AS {c}" for x, c in zip(lists, columns, strict=True)
+    ) + " FROM part"
 
 
 def _picked(spark, sf, rows: list[tuple], *columns: str):
@@ -37,7 +72,10 @@ def symbol_to_exchange(spark, sf):
     return df.withColumn("symbol", Y.to_exchange(F.col("exchange"), F.col("standard")))
 
 
-@query(f"SELECT standard AS standard_symbol, array_to_string(list_sort(list(DISTINCT exchange)), ',') AS exchanges FROM ({_sql(PAIRS, 'exchange', 'symbol', 'standard')}) GROUP BY 1")
+@query(f"""
+    SELECT standard AS standard_symbol, array_to_string(list_sort(list(DISTINCT exchange)), ',') AS exchanges
+      FROM ({_sql(PAIRS, 'exchange', 'symbol', 'standard')}) GROUP BY 1
+""")
 def supported_exchanges(spark, sf):
     mapped = symbol_map(spark, sf).withColumnRenamed("standard", "standard_symbol")
     return Y.supported_exchanges(mapped).select("standard_symbol", F.array_join("exchanges", ",").alias("exchanges"))

@@ -20,7 +20,13 @@ def bars_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    ticks = o.select(F.col("o_orderpriority").alias("market"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("price"), F.lit(1.0).alias("size"), "o_orderkey")
+    ticks = o.select(
+        F.col("o_orderpriority").alias("market"),
+        F.col("o_orderdate").alias("ts"),
+        F.col("o_totalprice").alias("price"),
+        F.lit(1.0).alias("size"),
+        "o_orderkey",
+    )
     return B.from_ticks(ticks, "1D", tie="o_orderkey")
 
 

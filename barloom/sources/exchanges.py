@@ -30,7 +30,12 @@ COLUMNS = "timestamp timestamp, open double, high double, low double, close doub
 MINUTES = {"1": 1, "5": 5, "15": 15, "30": 30, "60": 60, "120": 120, "240": 240, "360": 360, "1D": 1440}
 PAGE = {"binance": 1000, "bitget": 1000, "coinbase": 300, "drift": 100_000}
 RATE = {"drift": 10, "binance": 20, "coinbase": 15, "bitget": 20}
-HOSTS = {"binance": "https://api.binance.com", "coinbase": "https://api.exchange.coinbase.com", "bitget": "https://api.bitget.com", "drift": "https://drift-historical-data-v2.s3.eu-west-1.amazonaws.com"}
+HOSTS = {
+    "binance": "https://api.binance.com",
+    "coinbase": "https://api.exchange.coinbase.com",
+    "bitget": "https://api.bitget.com",
+    "drift": "https://drift-historical-data-v2.s3.eu-west-1.amazonaws.com",
+}
 # fixed values: Drift's market keys
 DRIFT_KEYS = {"SOL-PERP": "perp_0", "BTC-PERP": "perp_1", "ETH-PERP": "perp_2", "SOL": "spot_0"}
 
@@ -85,7 +90,9 @@ def parse_drift(payload: str, market: str, resolution: str) -> Iterator[tuple]:
         yield _row("drift", market, resolution, float(first("start", "ts")), values, r)
 
 
-PARSERS: dict[str, Callable[[str, str, str], Iterator[tuple]]] = {"binance": parse_binance, "coinbase": parse_coinbase, "bitget": parse_bitget, "drift": parse_drift}
+PARSERS: dict[str, Callable[[str, str, str], Iterator[tuple]]] = {
+    "binance": parse_binance, "coinbase": parse_coinbase, "bitget": parse_bitget, "drift": parse_drift
+}
 
 
 def parse_ticker(payload: str, market: str, resolution: str, now: float) -> tuple:
@@ -144,11 +151,29 @@ def pages(exchange: str, markets: list[str], resolution: str, start: int, end: i
 def url(p: Page) -> str:
     query = urllib.parse.urlencode
     if p.exchange == "binance":
-        return f"{HOSTS['binance']}/api/v3/klines?" + query({"symbol": p.market, "interval": f"{MINUTES[p.resolution]}m", "startTime": p.first * 1000, "endTime": p.last * 1000, "limit": PAGE["binance"]})
+        return f"{HOSTS['binance']}/api/v3/klines?" + query(
+            {
+                "symbol": p.market,
+                "interval": f"{MINUTES[p.resolution]}m",
+                "startTime": p.first * 1000,
+                "endTime": p.last * 1000,
+                "limit": PAGE["binance"],
+            }
+        )
     if p.exchange == "coinbase":
-        return f"{HOSTS['coinbase']}/products/{p.market}/candles?" + query({"granularity": MINUTES[p.resolution] * 60, "start": p.first, "end": p.last})
+        return f"{HOSTS['coinbase']}/products/{p.market}/candles?" + query(
+            {"granularity": MINUTES[p.resolution] * 60, "start": p.first, "end": p.last}
+        )
     if p.exchange == "bitget":
-        return f"{HOSTS['bitget']}/api/v2/spot/market/candles?" + query({"symbol": p.market, "granularity": f"{MINUTES[p.resolution]}min", "startTime": p.first * 1000, "endTime": p.last * 1000, "limit": PAGE["bitget"]})
+        return f"{HOSTS['bitget']}/api/v2/spot/market/candles?" + query(
+            {
+                "symbol": p.market,
+                "granularity": f"{MINUTES[p.resolution]}min",
+                "startTime": p.first * 1000,
+                "endTime": p.last * 1000,
+                "limit": PAGE["bitget"],
+            }
+        )
     key = DRIFT_KEYS.get(p.market, "perp_0")
     return f"{HOSTS['drift']}/market/{key}/candles/{p.resolution}/{moment(p.first).year}.csv"
 
@@ -211,7 +236,9 @@ def read_page(p: Page, transport: Callable[[Page], str]) -> Iterator[tuple]:
 def latest(exchange: str, market: str, resolution: str, transport: Callable[[Page], str], now: float | None = None) -> list[tuple]:
     """The newest candle of a market: of the last page that a range up to now would have; none if that is empty."""
     now = int(now or time.time())
-    first = int(datetime(moment(now).year, 1, 1, tzinfo=UTC).timestamp()) if exchange == "drift" else now - MINUTES[resolution] * 60 * PAGE[exchange] + 1
+    first = int(datetime(moment(now).year, 1, 1, tzinfo=UTC).timestamp()) if exchange == "drift" else now - MINUTES[resolution] * 60 * PAGE[
+        exchange
+    ] + 1
     return latest_rows(read_page(Page(exchange, market, resolution, first, now), transport))
 
 

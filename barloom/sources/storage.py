@@ -47,7 +47,9 @@ def upsert_processed(candles: DataFrame, path: str, arrival: str | None = None)
         kind = new.schema["_order"].dataType
         days = new.select(*KEYS, "date").distinct()
         held = old.join(days, [*KEYS, "date"], "left_semi")
-        held = held.select(*KEYS, "date", *names, F.struct(F.lit(0).alias("_new"), F.lit(None).cast(kind["_at"].dataType).alias("_at")).alias("_order"))
+        held = held.select(
+            *KEYS, "date", *names, F.struct(F.lit(0).alias("_new"), F.lit(None).cast(kind["_at"].dataType).alias("_at")).alias("_order")
+        )
         new = held.unionByName(new)
     merged = latest(new, [*KEYS, "timestamp"], "_order").drop("date", "_order")
     # a frame can't replace the files that it reads: the merged days lie beside the layer for a moment
@@ -71,7 +73,12 @@ def store_both(candles: DataFrame, raw_path: str, processed_path: str) -> None:
     candles = candles.persist()
     try:
         values = ["open", "high", "low", "close", "volume"]
-        raw = candles.select(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), *KEYS, F.to_json(F.struct(*values)).alias("raw_data"), *values)
+        raw = candles.select(
+            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"),
+            *KEYS,
+            F.to_json(F.struct(*values)).alias("raw_data"),
+            *values,
+        )
         store_raw(raw, raw_path)
         store_processed(candles, processed_path)
     finally:
@@ -85,13 +92,30 @@ def _only(df: DataFrame, exchange: str | None, market: str | None, resolution: s
     return df
 
 
-def load_processed(spark: SparkSession, path: str, start: datetime, end: datetime, exchange: str | None = None, market: str | None = None, resolution: str | None = None, whole_days: bool = True) -> DataFrame:
+def load_processed(
+    spark: SparkSession,
+    path: str,
+    start: datetime,
+    end: datetime,
+    exchange: str | None = None,
+    market: str | None = None,
+    resolution: str | None = None,
+    whole_days: bool = True,
+) -> DataFrame:
     """Bars from start to end: by days, or to the moment."""
     df = _only(spark.read.parquet(path), exchange, market, resolution).filter(F.col("date").between(start.date(), end.date()))
     return df if whole_days else df.filter(F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
-def load_raw(spark: SparkSession, path: str, start: datetime, end: datetime, exchange: str | None = None, market: str | None = None, resolution: str | None = None) -> DataFrame:
+def load_raw(
+    spark: SparkSession,
+    path: str,
+    start: datetime,
+    end: datetime,
+    exchange: str | None = None,
+    market: str | None = None,
+    resolution: str | None = None,
+) -> DataFrame:
     """Raw records from start to end; each is read once."""
     schema = RAW
     df = _only(spark.read.schema(schema).option("recursiveFileLookup", "false").json(path), exchange, market, resolution)
@@ -102,12 +126,25 @@ def load_raw(spark: SparkSession, path: str, start: datetime, end: datetime, exc
 def append_raw_live(candles: DataFrame, path: str) -> None:
     """Append live bars (KEYS, timestamp, open to volume) to the raw layer as they come; repeated times stay."""
     values = ["open", "high", "low", "close", "volume"]
-    store_raw(candles.select(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), *KEYS, F.to_json(F.struct(*values)).alias("raw_data"), *values), path)
+    store_raw(
+        candles.select(
+            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"),
+            *KEYS,
+            F.to_json(F.struct(*values)).alias("raw_data"),
+            *values,
+        ),
+        path,
+    )
 
 
 def store_text(records: DataFrame, path: str, text: str = "text", ts: str = "timestamp") -> None:
     """Append text records (KEYS, a time and a text) to files by month, a line a record."""
-    months = records.withColumns({"year": F.year(ts), "month": F.month(ts)}).select(*KEYS, "year", "month", F.to_json(F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), F.col(text).alias("text"))).alias("value"))
+    months = records.withColumns({"year": F.year(ts), "month": F.month(ts)}).select(
+        *KEYS,
+        "year",
+        "month",
+        F.to_json(F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), F.col(text).alias("text"))).alias("value"),
+    )
     months.write.partitionBy(*KEYS, "year", "month").mode("append").option("compression", "gzip").text(path)
 
 
@@ -120,8 +157,20 @@ def load_text(spark: SparkSession, path: str) -> DataFrame:
 def load_day_files(spark: SparkSession, path: str, layer: str = "processed") -> DataFrame:
     """Files as the file-per-day layout has them: CSV with a header, or JSON arrays (gzip by name)."""
     if layer == "processed":
-        return spark.read.schema(PROCESSED).option("header", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv*").csv(path)
-    return spark.read.schema(RAW).option("multiLine", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.raw*").json(path)
+        return (
+            spark.read.schema(PROCESSED)
+            .option("header", True)
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.csv*")
+            .csv(path)
+        )
+    return (
+        spark.read.schema(RAW)
+        .option("multiLine", True)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.raw*")
+        .json(path)
+    )
 
 
 def load(spark: SparkSession, path: str, layer: str, start: datetime, end: datetime, **series: str) -> DataFrame:
@@ -153,7 +202,11 @@ def copy_layer(spark: SparkSession, source: str, target: str) -> None:
 
 def save_result(metrics: DataFrame, path: str) -> None:
     """Figures as JSON lines, nested ones flattened a level."""
-    flat = [F.col(f"{f.name}.{g.name}").alias(f"{f.name}.{g.name}") if hasattr(f.dataType, "fields") else F.col(f"`{f.name}`") for f in metrics.schema for g in (getattr(f.dataType, "fields", None) or [f])]
+    flat = [
+        F.col(f"{f.name}.{g.name}").alias(f"{f.name}.{g.name}") if hasattr(f.dataType, "fields") else F.col(f"`{f.name}`")
+        for f in metrics.schema
+        for g in (getattr(f.dataType, "fields", None) or [f])
+    ]
     metrics.select(*flat).coalesce(1).write.mode("overwrite").json(path)
 
 

@@ -27,7 +27,9 @@ def bars(ticks: DataFrame, width: str, late: str, by=BY) -> DataFrame:
 
 def sliding(ticks: DataFrame, width: str, slide: str, late: str, by=BY) -> DataFrame:
     """Ticks, size and mean price of windows that begin every ``slide``."""
-    out = ticks.withWatermark("ts", late).groupBy(*by, F.window("ts", width, slide).alias("w")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.avg("price").alias("mean_price"))
+    out = ticks.withWatermark("ts", late).groupBy(*by, F.window("ts", width, slide).alias("w")).agg(
+        F.count("*").alias("n"), F.sum("size").alias("volume"), F.avg("price").alias("mean_price")
+    )
     return out.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "volume", "mean_price")
 
 
@@ -51,11 +53,15 @@ def without_repeats(candles: DataFrame, late: str, ts: str = "timestamp", by=BY)
 
 def sessions(ticks: DataFrame, gap: str, late: str, by=BY) -> DataFrame:
     """Spells of ticks that no gap parts."""
-    out = ticks.withWatermark("ts", late).groupBy(*by, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
+    out = ticks.withWatermark("ts", late).groupBy(*by, F.session_window("ts", gap).alias("s")).agg(
+        F.count("*").alias("n"), F.sum("size").alias("volume")
+    )
     return out.select(*by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "volume")
 
 
-def store(candles: DataFrame, path: str, checkpoint: str, every: str = "60 seconds", once: bool = False, raw: str | None = None) -> StreamingQuery:
+def store(
+    candles: DataFrame, path: str, checkpoint: str, every: str = "60 seconds", once: bool = False, raw: str | None = None
+) -> StreamingQuery:
     """Upsert candles into the processed layer, where of one time the last arrival stays, and append them to a raw layer
     if one is named. A batch that is tried again replaces its processed bars and repeats its raw ones."""
 
@@ -127,4 +133,6 @@ class _Indicator(StatefulProcessor):
 def incremental(stream: DataFrame, kernel: str, n: int) -> DataFrame:
     """An indicator of KERNELS on the last 3 * n bars for every bar of a stream (market, ts, high, low, close); null
     until it has enough. Needs the RocksDB state store."""
-    return stream.groupBy("market").transformWithStateInPandas(_Indicator(kernel, n), "market string, ts timestamp, close double, value double", "Append", "None")
+    return stream.groupBy("market").transformWithStateInPandas(
+        _Indicator(kernel, n), "market string, ts timestamp, close double, value double", "Append", "None"
+    )

@@ -63,7 +63,13 @@ def loop(bars, terms):
         if not open_ and signal != 0 and signal != prev:
             px = close * (1 + slip * signal)
             eff = px * (1 + comm * signal)
-            open_ = {"d": signal, "eff": eff, "size": cash * terms.size_pct / 100 / px, "stop": eff * (1 - (terms.stop_pct or 0) / 100 * signal), "target": eff * (1 + (terms.target_pct or 0) / 100 * signal)}
+            open_ = {
+                "d": signal,
+                "eff": eff,
+                "size": cash * terms.size_pct / 100 / px,
+                "stop": eff * (1 - (terms.stop_pct or 0) / 100 * signal),
+                "target": eff * (1 + (terms.target_pct or 0) / 100 * signal),
+            }
         prev = signal
     if open_:
         cash += (close - open_["eff"]) * open_["d"] * open_["size"]
@@ -108,7 +114,10 @@ def test_drawdown_spells(spark):
 
 
 def test_returns_fill_gaps(spark):
-    df = spark.createDataFrame([("m", DAY, 100.0), ("m", DAY + dt.timedelta(days=1), None), ("m", DAY + dt.timedelta(days=2), 110.0)], "market string, ts timestamp_ntz, close double")
+    df = spark.createDataFrame(
+        [("m", DAY, 100.0), ("m", DAY + dt.timedelta(days=1), None), ("m", DAY + dt.timedelta(days=2), 110.0)],
+        "market string, ts timestamp_ntz, close double",
+    )
     assert [round(r.r, 6) for r in P.returns(df).orderBy("ts").collect()] == [0.0, 0.1]
 
 
@@ -116,7 +125,10 @@ def test_kelly_and_var(spark):
     one = spark.range(1)
     assert one.select(R.kelly(F.lit(0.6), F.lit(2.0))).first()[0] == pytest.approx(0.2)
     assert one.select(R.kelly(F.lit(0.5), F.lit(1.0))).first()[0] == 0
-    r = spark.createDataFrame([("m", DAY + dt.timedelta(days=i), 0.01 * ((i * 7919) % 13 - 6) / 6) for i in range(252)], "market string, ts timestamp_ntz, r double")
+    r = spark.createDataFrame(
+        [("m", DAY + dt.timedelta(days=i), 0.01 * ((i * 7919) % 13 - 6) / 6) for i in range(252)],
+        "market string, ts timestamp_ntz, r double",
+    )
     v = R.value_at_risk(r).first()
     assert 0 < v.var_historical < 5 and 0 < v.var_parametric < 5 and v.cvar >= v.var_historical
 

@@ -75,7 +75,9 @@ def test_smoothed_by_blocks_as_over_whole_series(spark):
         "plus_di": lambda p: R.directional(*hlc(p), 5)[0], "minus_di": lambda p: R.directional(*hlc(p), 5)[1], "adx": lambda p: R.directional(*hlc(p), 5)[2], "wavetrend": lambda p: R.wave_trend(*hlc(p), 4, 5),
     }
     want = {(r.market, r.ts): r for r in R.by_series(df, kernels).collect()}
-    blocks = {("ema",): lambda d: R.with_ema(d, 5, block=7), ("rsi",): lambda d: R.with_rsi(d, 5, block=7), ("macd", "macd_signal"): lambda d: R.with_macd(d, 4, 9, 3, block=7), ("atr",): lambda d: R.with_atr(d, 5, block=7), ("plus_di", "minus_di", "adx"): lambda d: R.with_directional(d, 5, block=7), ("wavetrend",): lambda d: R.with_wave_trend(d, 4, 5, block=7)}
+    blocks = {
+        ("ema",): lambda d: R.with_ema(d, 5, block=7), ("rsi",): lambda d: R.with_rsi(d, 5, block=7), ("macd", "macd_signal"): lambda d: R.with_macd(d, 4, 9, 3, block=7), ("atr",): lambda d: R.with_atr(d, 5, block=7), ("plus_di", "minus_di", "adx"): lambda d: R.with_directional(d, 5, block=7), ("wavetrend",): lambda d: R.with_wave_trend(d, 4, 5, block=7)
+    }
     for names, run in blocks.items():
         got = run(df).collect()
         assert len(got) == len(rows)
@@ -100,7 +102,10 @@ def test_one_long_series_goes_to_many_tasks(spark):
 
 
 def test_cross_is_strict(spark):
-    df = spark.createDataFrame([("m", DAY + dt.timedelta(days=i), x) for i, x in enumerate([-1.0, 1.0, 0.0, -1.0, 1.0, -1.0])], "market string, ts timestamp_ntz, x double")
+    df = spark.createDataFrame(
+        [("m", DAY + dt.timedelta(days=i), x) for i, x in enumerate([-1.0, 1.0, 0.0, -1.0, 1.0, -1.0])],
+        "market string, ts timestamp_ntz, x double",
+    )
     assert [r.c for r in df.select("ts", S.cross("x", F.lit(0.0)).alias("c")).orderBy("ts").collect()] == [0, 1, 0, 0, 1, -1]
 
 
@@ -110,7 +115,9 @@ def test_grid():
 
 
 def test_constant_series_have_no_correlation(spark):
-    r = spark.createDataFrame([(m, DAY + dt.timedelta(days=i), 0.0) for m in "ab" for i in range(6)], "market string, ts timestamp_ntz, r double")
+    r = spark.createDataFrame(
+        [(m, DAY + dt.timedelta(days=i), 0.0) for m in "ab" for i in range(6)], "market string, ts timestamp_ntz, r double"
+    )
     assert {x.corr for x in RK.correlation_matrix(r).collect()} == {None}
     row = RK.risk_metrics(r).first()
     assert row.sharpe_ratio == 0 and row.skewness == 0
@@ -141,7 +148,9 @@ def test_report_and_draws(spark):
     from barloom.operators import performance as P
     from barloom.operators import simulate as M
 
-    rows = [(s, DAY + dt.timedelta(days=i), 100.0 * (1 + 0.001 * i * k) + (i * 7919) % 5) for s, k in (("a", 1), ("b", 2)) for i in range(90)]
+    rows = [
+        (s, DAY + dt.timedelta(days=i), 100.0 * (1 + 0.001 * i * k) + (i * 7919) % 5) for s, k in (("a", 1), ("b", 2)) for i in range(90)
+    ]
     curve = spark.createDataFrame(rows, "strategy string, ts timestamp_ntz, equity double")
     out = {r.strategy: r for r in P.report(curve, by=("strategy",)).collect()}
     assert out["b"].returns.total_return_pct > out["a"].returns.total_return_pct and out["a"].risk.n == 89
@@ -162,21 +171,31 @@ def test_time_ranges(spark):
     r = TimeRange("2024-01-01T00:00:00Z", "2024-02-01T00:00:00+01:00")
     assert TimeRange.from_dict(r.to_dict()) == r and r.checked("2024-03-01T00:00:00Z") is r
     assert r.clamped("2024-01-15T00:00:00Z").end == dt.datetime(2024, 1, 15, tzinfo=dt.UTC)
-    for bad in (("2024-01-01T00:00:00", "2024-02-01T00:00:00Z"), ("2024-02-01T00:00:00Z", "2024-01-01T00:00:00Z"), (None, "2024-01-01T00:00:00Z"), ("soon", "later")):
+    for bad in (
+        ("2024-01-01T00:00:00", "2024-02-01T00:00:00Z"),
+        ("2024-02-01T00:00:00Z", "2024-01-01T00:00:00Z"),
+        (None, "2024-01-01T00:00:00Z"),
+        ("soon", "later"),
+    ):
         with pytest.raises(ValueError):
             TimeRange(*bad)
     with pytest.raises(ValueError):
         r.checked("2024-01-15T00:00:00Z")
     with pytest.raises(ValueError):
         TimeRange.from_dict({"start": "2024-01-01T00:00:00Z"})
-    rows = spark.createDataFrame([(DAY,), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 31, 23),), (dt.datetime(2024, 1, 31, 23, 1),), (None,)], "ts timestamp_ntz")
+    rows = spark.createDataFrame(
+        [(DAY,), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 31, 23),), (dt.datetime(2024, 1, 31, 23, 1),), (None,)],
+        "ts timestamp_ntz",
+    )
     assert [x.i for x in rows.select(r.contains(F.col("ts")).alias("i")).collect()][1:] == [True, True, False, None]
 
 
 def test_drawn_paths_are_those_of_the_joined_form(spark):
     from barloom.operators import simulate as M
 
-    rows = spark.createDataFrame([(m, i, 0.01 * ((i * 7919) % 13 - 6)) for m in "ab" for i in range(20 + 10 * (m == "b"))], "market string, ts int, r double")
+    rows = spark.createDataFrame(
+        [(m, i, 0.01 * ((i * 7919) % 13 - 6)) for m in "ab" for i in range(20 + 10 * (m == "b"))], "market string, ts int, r double"
+    )
     joined = M.outcomes(M.compounded_paths(M.bootstrap(rows, "r", "ts", 7, 12), 1.0), 1.0)
     drawn = M.path_outcomes(M.drawn(rows, "r", "ts", 7, 12, parts=3), 1.0, True)
     key = lambda df: {(r.market, r.sim): (pytest.approx(r.final), pytest.approx(r.max_drawdown)) for r in df.collect()}
@@ -186,6 +205,9 @@ def test_drawn_paths_are_those_of_the_joined_form(spark):
 def test_self_metrics_of_short_series(spark):
     from barloom.operators import strategy as T
 
-    df = spark.createDataFrame([("m", DAY + dt.timedelta(days=i), 100.0 + i, 1, -1) for i in range(5)], "market string, ts timestamp_ntz, close double, a int, b int")
+    df = spark.createDataFrame(
+        [("m", DAY + dt.timedelta(days=i), 100.0 + i, 1, -1) for i in range(5)],
+        "market string, ts timestamp_ntz, close double, a int, b int",
+    )
     assert {r.weight for r in T.adaptation(df, ["a", "b"], [3.0, 1.0]).collect()} == {3.0, 1.0}
     assert [r.signal for r in T.adapted(df, ["a", "b"], [3.0, 1.0]).collect()] == [1] * 5 and T.self_metrics(df, ["a", "b"]).count() == 0

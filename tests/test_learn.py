@@ -31,7 +31,9 @@ def test_lorentzian_filters(spark, options):
     if options.get("volatility", True):
         ok &= R.atr(high, low, close, 14) > R.atr(high, low, close, 28)
     if "slope" in options:
-        ok &= np.concatenate([np.zeros(5, bool), close[5:] - close[:-5] > -0.1]) & (R.directional(high, low, close, 14)[2] >= 12) & (close > R.ema(close, 30))
+        ok &= np.concatenate([np.zeros(5, bool), close[5:] - close[:-5] > -0.1]) & (R.directional(high, low, close, 14)[2] >= 12) & (
+            close > R.ema(close, 30)
+        )
         ok &= np.array([i >= 19 and close[i] > close[i - 19 : i + 1].mean() for i in range(260)])
     want = np.where(ok, raw, 0)
     got = [r.signal for r in L.lorentzian_signal(df, back=80, **options).orderBy("ts").collect()]
@@ -67,5 +69,8 @@ def test_logistic_signal(spark, price, gated):
             new, n = 0, 0
         last = new
         want.append(new)
-    got = [r.signal for r in L.logistic_signal(df, rate=0.05, iterations=50, price=price, volatility=gated, volume=gated).orderBy("ts").collect()]
+    got = [
+        r.signal
+        for r in L.logistic_signal(df, rate=0.05, iterations=50, price=price, volatility=gated, volume=gated).orderBy("ts").collect()
+    ]
     assert got == want and len(set(want)) > 1

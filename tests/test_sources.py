@@ -17,7 +17,10 @@ CANDLES = "exchange string, market string, resolution string, timestamp timestam
 
 
 def candles(spark, n=10, close=102.0):
-    rows = [("drift", "BTC-PERP", "15", DAY + dt.timedelta(minutes=15 * i), 100.0 + i, 105.0 + i, 95.0 + i, close + i, 1000.0 + 100 * i) for i in range(n)]
+    rows = [
+        ("drift", "BTC-PERP", "15", DAY + dt.timedelta(minutes=15 * i), 100.0 + i, 105.0 + i, 95.0 + i, close + i, 1000.0 + 100 * i)
+        for i in range(n)
+    ]
     return spark.createDataFrame(rows, CANDLES)
 
 
@@ -57,7 +60,9 @@ def test_day_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "2023-01-01.csv").write_text("timestamp,open,high,low,close,volume\n2023-01-01 00:00:00,1,2,0.5,1.5,10\n")
     assert S.load_day_files(spark, str(tmp_path)).first().close == 1.5
-    (tmp_path / "a" / "2023-01-01.raw").write_text(json.dumps([{"timestamp": "2023-01-01T00:00:00", "market": "M", "resolution": "1", "exchange": "e", "raw_data": "[1]"}]))
+    (tmp_path / "a" / "2023-01-01.raw").write_text(
+        json.dumps([{"timestamp": "2023-01-01T00:00:00", "market": "M", "resolution": "1", "exchange": "e", "raw_data": "[1]"}])
+    )
     assert S.load_day_files(spark, str(tmp_path), "raw").first().market == "M"
 
 
@@ -82,7 +87,13 @@ def test_payloads():
         next(X.parse_bitget(json.dumps([["1672531200000", "1", "2", "0.5", "1.5", "-1"]]), "M", "60"))
     t = X.parse_ticker(json.dumps({"price": "5", "size": "2", "time": "2023-01-01T00:00:00Z"}), "BTC-USD", "1", 0)
     assert t[:6] == (DAY, 5.0, 5.0, 5.0, 5.0, 2.0)
-    info = json.dumps({"symbols": [{"baseAsset": "BTC", "quoteAsset": "USDT", "status": "TRADING"}, {"baseAsset": "X", "quoteAsset": "Y", "status": "BREAK"}]})
+    info = json.dumps(
+        {
+            "symbols": [
+                {"baseAsset": "BTC", "quoteAsset": "USDT", "status": "TRADING"}, {"baseAsset": "X", "quoteAsset": "Y", "status": "BREAK"}
+            ]
+        }
+    )
     assert X.market_info("binance", info) == [("BTC-USDT", "BTC", "USDT")]
 
 
@@ -97,23 +108,38 @@ def test_exchange_source(spark, tmp_path):
     rows = [[1672531200000 + 3_600_000 * i, "1", "2", "0.5", str(i), "10"] for i in range(3)]
     (tmp_path / "BTCUSDT-1672531200.json").write_text(json.dumps([*rows, rows[0]]))
     spark.dataSource.register(X.ExchangeSource)
-    options = {"exchange": "binance", "markets": "BTCUSDT", "resolution": "60", "start": "1672531200", "end": "1672538400", "replay": str(tmp_path)}
+    options = {
+        "exchange": "binance", "markets": "BTCUSDT", "resolution": "60", "start": "1672531200", "end": "1672538400", "replay": str(tmp_path)
+    }
     df = spark.read.format("exchange").options(**options).load()
     assert sorted(r.close for r in df.collect()) == [0.0, 1.0, 2.0]
-    q = spark.readStream.format("exchange").options(**options).load().writeStream.format("memory").queryName("live").option("checkpointLocation", f"{tmp_path}/c").start()
+    q = (
+        spark.readStream.format("exchange")
+        .options(**options)
+        .load().writeStream.format("memory")
+        .queryName("live")
+        .option("checkpointLocation", f"{tmp_path}/c")
+        .start()
+    )
     q.processAllAvailable()
     q.stop()
     assert spark.table("live").count() == 3
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    ticks = spark.createDataFrame([("m", DAY + dt.timedelta(seconds=37 * i), float((i * 7919) % 101), 1.0) for i in range(400)], "market string, ts timestamp, price double, size double")
+    ticks = spark.createDataFrame(
+        [("m", DAY + dt.timedelta(seconds=37 * i), float((i * 7919) % 101), 1.0) for i in range(400)],
+        "market string, ts timestamp, price double, size double",
+    )
     ticks.repartition(3).write.parquet(f"{tmp_path}/t")
     stream = spark.readStream.schema(ticks.schema).parquet(f"{tmp_path}/t")
     q = L.bars(stream, "10 minutes", "0 seconds").writeStream.format("memory").queryName("bars").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    batch = {(r.ts, r.open, r.high, r.low, r.close, r.volume) for r in B.from_ticks(ticks.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "10min").collect()}
+    batch = {
+        (r.ts, r.open, r.high, r.low, r.close, r.volume)
+        for r in B.from_ticks(ticks.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "10min").collect()
+    }
     found = {(r.ts, r.open, r.high, r.low, r.close, r.volume) for r in spark.table("bars").collect()}
     assert found and found <= batch and len(found) >= len(batch) - 2
 
@@ -126,7 +152,14 @@ def test_live_store(spark, tmp_path):
 
 
 def test_quarantine_and_spine(spark):
-    df = spark.createDataFrame([("m", DAY, 1.0, 1.0, 1.0, 1.0, 1.0), ("m", DAY + dt.timedelta(hours=3), 1.0, None, 1.0, 2.0, 1.0), ("m", DAY, 1.0, 1.0, 1.0, 1.0, -1.0)], "market string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    df = spark.createDataFrame(
+        [
+            ("m", DAY, 1.0, 1.0, 1.0, 1.0, 1.0),
+            ("m", DAY + dt.timedelta(hours=3), 1.0, None, 1.0, 2.0, 1.0),
+            ("m", DAY, 1.0, 1.0, 1.0, 1.0, -1.0),
+        ],
+        "market string, ts timestamp_ntz, open double, high double, low double, close double, volume double",
+    )
     good, bad = B.quarantined(df)
     assert (good.count(), bad.count()) == (1, 2)
     rows = B.filled(B.spine(df.filter("volume > 0"), "1 hour")).orderBy("ts").collect()
@@ -145,12 +178,20 @@ def test_listing(spark):
 def test_incremental_indicators(spark, tmp_path):
     from barloom.functions import recurrences as R
 
-    rows = [("m", DAY + dt.timedelta(minutes=i), 102.0 + (i * 7919) % 13, 98.0 - (i * 31) % 7, 100.0 + (i * 104729) % 9 - 4) for i in range(30)]
+    rows = [
+        ("m", DAY + dt.timedelta(minutes=i), 102.0 + (i * 7919) % 13, 98.0 - (i * 31) % 7, 100.0 + (i * 104729) % 9 - 4) for i in range(30)
+    ]
     df = spark.createDataFrame(rows, "market string, ts timestamp, high double, low double, close double")
     df.coalesce(1).write.parquet(f"{tmp_path}/t")
     for kernel in L.KERNELS:
         stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/t")
-        q = L.incremental(stream, kernel, 5).writeStream.format("memory").queryName(f"i_{kernel}").outputMode("append").option("checkpointLocation", f"{tmp_path}/{kernel}").start()
+        q = (
+            L.incremental(stream, kernel, 5).writeStream.format("memory")
+            .queryName(f"i_{kernel}")
+            .outputMode("append")
+            .option("checkpointLocation", f"{tmp_path}/{kernel}")
+            .start()
+        )
         q.processAllAvailable()
         q.stop()
         got = {r.ts: r.value for r in spark.table(f"i_{kernel}").collect()}
@@ -181,7 +222,9 @@ def test_signals_by_name(spark, tmp_path):
 
     rows = [(m, DAY + dt.timedelta(hours=i), 100.0 + (i * 7919) % 23 + k, 103.0 + (i * 7919) % 23 + k, 97.0 + (i * 31) % 7, 100.0 + (i * 104729) % 19, 10.0 + (i * 17) % 5) for k, m in enumerate("ab") for i in range(80)]
     df = spark.createDataFrame(rows, "market string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
-    (tmp_path / "s.json").write_text('{"indicators": {"knn": {"short_period": 3, "long_period": 5}, "logistic_regression": {"iterations": 5}, "rsi": {"period": 5}}}')
+    (tmp_path / "s.json").write_text(
+        '{"indicators": {"knn": {"short_period": 3, "long_period": 5}, "logistic_regression": {"iterations": 5}, "rsi": {"period": 5}}}'
+    )
     own = settings.load(str(tmp_path / "s.json"), {})
     for name in G.INDICATORS:
         out = G.signal(df, name, own)

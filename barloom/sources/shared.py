@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import SparkSession
 
@@ -39,7 +40,8 @@ def file_system(uri: str):
     """pyarrow's file system and path for a URI or a plain path."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    # signs that a URI must not have, as the spaces of a market's name, are escaped, and read as they were
+    return fs.FileSystem.from_uri(quote(uri, safe=":/?=&@+,%")) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 def read_text(uri: str) -> str | None:

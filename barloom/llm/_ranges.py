@@ -45,7 +45,10 @@ class Ranges:
         def halve(acc: Column, _: Column) -> Column:
             mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
             right = (acc["lo"] < acc["hi"]) & (key >= F.element_at(bounds, mid + 1))
-            return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
+            return F.struct(
+                F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                F.when(right | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"),
+            )
 
         start = F.struct(F.lit(0).alias("lo"), F.lit(len(self.bounds)).alias("hi"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(len(self.bounds).bit_length())), start, halve, lambda acc: acc["lo"])

@@ -110,8 +110,15 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, alone: Column, hot: Col
     """
     names = [c for c in small.columns if c != key]
     top = small.filter(hot).select(F.col(key).alias("_k"), F.struct(*names).alias("_hot"))
-    rest = small.filter(~F.coalesce(hot, F.lit(False))).select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_s"), F.struct(*names).alias("_cold"))
+    rest = small.filter(~F.coalesce(hot, F.lit(False))).select(
+        F.concat(F.lit("k"), F.col(key).cast("string")).alias("_s"), F.struct(*names).alias("_cold")
+    )
     out = big.join(F.broadcast(top), F.col(key) == F.col("_k"), "left").drop("_k")
-    out = out.withColumn("_s", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("a"), alone)))
+    out = out.withColumn(
+        "_s",
+        F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(
+            F.concat(F.lit("a"), alone)
+        ),
+    )
     out = out.join(rest, "_s", "left").withColumn("_small", F.coalesce("_hot", "_cold"))
     return out.select(*[F.col(f"`{c}`") for c in big.columns], *[F.col("_small")[c].alias(c) for c in names])

@@ -69,7 +69,9 @@ _KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in rows], _KINDS[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields]
+    )
 
 
 _LAID = "node string, parent string, part int, begin long, chain_begin long, above string, length long, tokens string, loss_from long, loss_to long, ids array<int>, learnt_from long, learnt_to long"
@@ -114,14 +116,22 @@ def _laid_out(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[p
         yield _batch(rows, _LAID)
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, alone: Column, count: str, total: int, parts: int = 200, within: Column | None = None) -> DataFrame:
+def spread_join(
+    big: DataFrame, small: DataFrame, key: str, alone: Column, count: str, total: int, parts: int = 200, within: Column | None = None
+) -> DataFrame:
     """Join on key where one key may have most of big's rows: such a key's row of small is repeated, and its rows
     of big are dealt over the repeats. ``count`` has the rows of big by key; at most ``parts`` keys are repeated.
     ``within`` is one more condition."""
     most = max(1000, total // parts)
     copies = F.ceil(F.col(count) / most).cast("int")
-    hot = small.filter(F.col(count) > most).groupBy(key).agg(F.first(count).alias(count)).select(F.col(key).alias("_hot"), copies.alias("_copies"))
-    dealt = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(alone), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_hot", "_copies")
+    hot = small.filter(F.col(count) > most).groupBy(key).agg(F.first(count).alias(count)).select(
+        F.col(key).alias("_hot"), copies.alias("_copies")
+    )
+    dealt = (
+        big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(alone), F.coalesce("_copies", F.lit(1))).cast("int"))
+        .drop("_hot", "_copies")
+    )
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     joined = dealt.join(repeated, [key, "_salt"])
     return (joined if within is None else joined.filter(within)).drop("_salt")
@@ -140,7 +150,11 @@ def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id",
     a null conv_id is a conversation of one turn; repeated rows are turns of their own.
     """
     alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
-    rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), alone.alias("alone"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
+    rows = conversations.select(
+        F.col(conv_id).cast("long").alias("conv_id"),
+        alone.alias("alone"),
+        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
+    )
     grouped = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
     turns = scratch.keep(grouped.mapInArrow(_nodes, _TURNS), "turns")
     leaves = turns.filter("leaf").select("conv_id", "node")
@@ -156,7 +170,11 @@ def build(conversations: DataFrame, scratch: Scratch, conv_id: str = "conv_id",
         bases.append((part, at))
         at += size
     offsets = conversations.sparkSession.createDataFrame(bases or [(0, 0)], "part int, base long")
-    placed = laid.join(F.broadcast(offsets), "part").withColumns({"start": F.col("base") + F.col("begin"), "chain": F.col("base") + F.col("chain_begin")}).drop("part", "base", "begin", "chain_begin")
+    placed = (
+        laid.join(F.broadcast(offsets), "part")
+        .withColumns({"start": F.col("base") + F.col("begin"), "chain": F.col("base") + F.col("chain_begin")})
+        .drop("part", "base", "begin", "chain_begin")
+    )
 
     above = _ancestors(placed, scratch).withColumnRenamed("chain", "_c")
     segments = placed.join(above, F.col("chain") == F.col("_c"), "left").withColumn("above", F.coalesce("spans", F.array().cast(_SPANS)))
@@ -179,7 +197,9 @@ def _paths(turns: DataFrame, scratch: Scratch) -> DataFrame:
     light = turns.select("conv_id", "node", "parent", "depth")
     children = light.select("parent", "node").distinct().groupBy("parent").agg(F.count("*").alias("n"))
     uses = light.filter("parent <> ''").groupBy("parent").agg(F.count("*").alias("uses"))
-    forks = scratch.keep(children.filter("n > 1 and parent <> ''").join(uses, "parent").select("parent", F.lit(True).alias("fork"), "uses"), "forks")
+    forks = scratch.keep(
+        children.filter("n > 1 and parent <> ''").join(uses, "parent").select("parent", F.lit(True).alias("fork"), "uses"), "forks"
+    )
     total = uses.agg(F.sum("uses")).first()[0] or 0
     alone = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), "depth")
     marked = join_hot(light, forks, "parent", alone, F.col("uses") >= max(100, total // 1000))
@@ -210,7 +230,9 @@ def _ancestors(placed: DataFrame, scratch: Scratch) -> DataFrame:
     spots = placed.select("node", F.col("chain").alias("next"), (F.col("start") + F.col("length")).alias("end")).join(counts, "node")
     total = counts.agg(F.sum("n")).first()[0] or 0
     links = spread_join(heads, spots, "node", F.col("chain").cast("string"), "n", total)
-    links = scratch.keep(links.select("chain", F.array(F.struct(F.col("next").alias("start"), "end")).cast(_SPANS).alias("spans"), "next"), "links")
+    links = scratch.keep(
+        links.select("chain", F.array(F.struct(F.col("next").alias("start"), "end")).cast(_SPANS).alias("spans"), "next"), "links"
+    )
     while True:
         open_ = links.filter("next is not null")
         counts = open_.groupBy("next").agg(F.count("*").alias("n"))
@@ -226,14 +248,18 @@ def _ancestors(placed: DataFrame, scratch: Scratch) -> DataFrame:
 def read_back(segments: DataFrame, leaves: DataFrame) -> DataFrame:
     """Digests of every conversation, from the laid-out tokens, intervals and loss masks alone."""
     ends = leaves.groupBy("node").agg(F.count("*").alias("copies"))
-    lines = segments.join(ends, "node").select(F.col("node").alias("leaf"), F.explode("intervals").alias("i")).select("leaf", F.col("i.start").alias("chain"), F.col("i.end").alias("end"))
+    lines = segments.join(ends, "node").select(F.col("node").alias("leaf"), F.explode("intervals").alias("i")).select(
+        "leaf", F.col("i.start").alias("chain"), F.col("i.end").alias("end")
+    )
     counts = lines.groupBy("chain").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     bodies = segments.select("chain", "start", "tokens", "loss_from", "loss_to").join(counts, "chain")
     # a chain has at most CHAIN segments
     joined = spread_join(lines, bodies, "chain", F.col("leaf"), "n", total, within=F.col("start") < F.col("end"))
     grouped = joined.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("start", "tokens", "loss_from", "loss_to"))).alias("parts"))
-    digests = grouped.mapInArrow(_digests, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    digests = grouped.mapInArrow(
+        _digests, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
     found = digests.join(ends, digests.leaf == ends.node).drop("node").withColumnRenamed("leaf", "node")
     all_ = leaves.count()
     return spread_join(leaves, found, "node", F.coalesce(F.col("conv_id"), F.lit(-1)), "copies", all_).drop("copies", "node")
@@ -248,7 +274,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             learnt = [unescape(p["tokens"][p["loss_from"] : p["loss_to"]]) for p in parts if p["loss_from"] is not None]
             turns = parse(whole)
             said = "".join(f"{r}\n{t}\n" for r, t in turns)
-            rows.append((leaf, len(turns), hashlib.sha256(said.encode()).hexdigest(), sum(map(len, learnt)), hashlib.sha256("".join(learnt).encode()).hexdigest(), len(whole)))
+            rows.append(
+                (
+                    leaf,
+                    len(turns),
+                    hashlib.sha256(said.encode()).hexdigest(),
+                    sum(map(len, learnt)),
+                    hashlib.sha256("".join(learnt).encode()).hexdigest(),
+                    len(whole),
+                )
+            )
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 

@@ -20,7 +20,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
         # large star: the larger neighbours of u go to u's smallest
-        large = both.join(least, both.a == least.u).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = (
+            both.join(least, both.a == least.u)
+            .filter("b > a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .filter("a <> b")
+            .distinct()
+        )
         # small star: u and its smaller neighbours go to the smallest of them
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(down, large.a == down.u).select("a", "b", "m")

@@ -123,7 +123,17 @@ def make_block(names: list[str], found: _Windows, shingles: np.ndarray, counts:
     at = np.concatenate([[0], np.cumsum(sizes)])
     owner = found.owner[np.repeat(found.at[:-1][order] - at[:-1], sizes) + np.arange(at[-1])] if len(order) else found.owner
     data = [x.encode() for x in names]
-    return Block(found.words, found.start[order], found.length[order], key[order], place[order], at, owner, np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data], dtype=np.int64)]))
+    return Block(
+        found.words,
+        found.start[order],
+        found.length[order],
+        key[order],
+        place[order],
+        at,
+        owner,
+        np.frombuffer(b"".join(data), np.uint8),
+        np.concatenate([[0], np.cumsum([len(x) for x in data], dtype=np.int64)]),
+    )
 
 
 def _doc_shingles(words: Words, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,14 +174,27 @@ def matches(words: Words, block: Block, shingle: int = SHINGLE) -> tuple[np.ndar
         fits = (start >= words.bounds[own]) & (start + block.length[w] <= words.bounds[own + 1])
         start, w = start[fits], w[fits]
         for j in range(int(block.length.max())):
-            same = (j >= block.length[w]) | (words.hash[np.minimum(start + j, len(words.hash) - 1)] == block.words[np.minimum(block.start[w] + j, len(block.words) - 1)])
+            same = (j >= block.length[w]) | (
+                words.hash[np.minimum(start + j, len(words.hash) - 1)] == block.words[np.minimum(block.start[w] + j, len(block.words) - 1)]
+            )
             start, w = start[same], w[same]
         starts.append(start)
         windows.append(w)
     return np.concatenate(starts), np.concatenate(windows)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(
+    docs: DataFrame,
+    items: DataFrame,
+    scratch: Scratch,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shingle: int = SHINGLE,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """Per document: words, words inside an occurring window, items with occurring windows, and the hit spans.
 
     Words are runs of ASCII letters, digits and everything beyond ASCII, with A-Z in lower case. Null texts have
@@ -192,7 +215,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, doc_
 def _prepared(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str, item_id: str, item_text: str, window: int, shingle: int, block_bytes: int) -> list[str]:
     """The benchmark's blocks as files: items dealt by a hash, their shingles, how many documents have each, blocks."""
     spark = docs.sparkSession
-    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    rows = items.select(
+        F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
+    )
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     dealt = rows.distinct().withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n))).repartition("block")
@@ -262,7 +287,9 @@ def _read_items(uri: str) -> tuple[list[str], list[str]]:
 
 def _read_counts(uri: str) -> tuple[np.ndarray, np.ndarray]:
     t = _read_folder(uri, ["shingle", "n"])
-    return (t.column("shingle").to_numpy().view(np.uint64), t.column("n").to_numpy()) if t is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (t.column("shingle").to_numpy().view(np.uint64), t.column("n").to_numpy()) if t is not None else (
+        np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    )
 
 
 _kept: dict[str, object] = {}
@@ -303,7 +330,10 @@ def _rarity(texts: DataFrame, files: list[str], shingle: int) -> DataFrame:
 
     def rows(k: int, total: np.ndarray) -> pa.RecordBatch:
         some = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(_block(files[k])[some].view(np.int64)), pa.array(total[some])], ["block", "shingle", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), k)), pa.array(_block(files[k])[some].view(np.int64)), pa.array(total[some])],
+            ["block", "shingle", "n"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -324,7 +354,12 @@ def _rarity(texts: DataFrame, files: list[str], shingle: int) -> DataFrame:
         if len(files) == 1 and total is not None:
             yield rows(0, total)
 
-    return texts.mapInArrow(count, "block long, shingle long, n long").groupBy("block", "shingle").agg(F.sum("n").alias("n")).repartition("block")
+    return (
+        texts.mapInArrow(count, "block long, shingle long, n long")
+        .groupBy("block", "shingle")
+        .agg(F.sum("n").alias("n"))
+        .repartition("block")
+    )
 
 
 @dataclass
@@ -371,7 +406,9 @@ def _report(ids: pa.Array, hits: list[_Hits]) -> pa.RecordBatch:
                 spans.append([])
                 continue
             turn = np.diff(np.concatenate([[0], hit[x.words.bounds[d] : x.words.bounds[d + 1]].astype(np.int8), [0]]))
-            spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)])
+            spans.append(
+                [{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
+            )
     none = np.zeros(0, np.int64)
     columns = [
         ids.cast(pa.int64()),
@@ -384,7 +421,17 @@ def _report(ids: pa.Array, hits: list[_Hits]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_clean(
+    docs: DataFrame,
+    items: DataFrame,
+    scratch: Scratch,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shingle: int = SHINGLE,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The rows of docs that are not contaminated: without a hit, or with fewer than one word in twenty hit."""
     blocks = _prepared(docs, items, scratch, text, item_id, item_text, window, shingle, block_bytes)
     place = docs.columns.index(text)
@@ -392,7 +439,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str =
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, hits in _hits(batches, place, blocks, shingle):
             none = np.zeros(0, np.int64)
-            n, hit = (np.concatenate([none, *x]) for x in zip(*((x.words.counts, x.counts()) for x in hits), strict=True)) if hits else (none, none)
+            n, hit = (np.concatenate([none, *x]) for x in zip(*((x.words.counts, x.counts()) for x in hits), strict=True)) if hits else (
+                none, none
+            )
             yield b.filter(pa.array(~((hit > 0) & (20 * hit >= n)), pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

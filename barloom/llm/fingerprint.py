@@ -105,7 +105,9 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     as well, so that every row meets its next one.
     """
     ranges = id_ranges(docs, doc_id)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), id_key(doc_id).alias("key"))
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), id_key(doc_id).alias("key")
+    )
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.withColumn("p", ranges.pick(F.col("key")))
     # a row a range

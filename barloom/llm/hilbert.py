@@ -118,28 +118,43 @@ def shards(df: DataFrame, dims: list[str], order: list[str], scratch: Scratch, n
     take neighbouring slots.
     """
     df = df.drop("curve", "shard", "slot")
-    rows = scratch.keep(df.withColumn("curve", curve_index(quantised(df, dims, bits), bits)).withColumn("_own", F.xxhash64(order[0])), "cells")
+    rows = scratch.keep(
+        df.withColumn("curve", curve_index(quantised(df, dims, bits), bits)).withColumn("_own", F.xxhash64(order[0])), "cells"
+    )
     total = rows.count()
     # at most a thousand rows
-    hot = rows.groupBy("_own").agg(F.count("*").alias("_times")).filter(F.col("_times") >= max(1000, total // 1000)).select("_own", F.lit(True).alias("_hot"))
+    hot = (
+        rows.groupBy("_own")
+        .agg(F.count("*").alias("_times"))
+        .filter(F.col("_times") >= max(1000, total // 1000))
+        .select("_own", F.lit(True).alias("_hot"))
+    )
     rows = rows.join(F.broadcast(hot), "_own", "left")
     parts = max(PARTS, total // PART_ROWS)
-    rows = rows.withColumns({"_part": F.pmod("_own", F.lit(parts)), "_own": F.when(F.col("_hot"), F.col("_own"))}).withColumn("_sub", F.when(F.col("_hot"), F.pmod(F.xxhash64(*order), F.lit(parts))))
+    rows = rows.withColumns({"_part": F.pmod("_own", F.lit(parts)), "_own": F.when(F.col("_hot"), F.col("_own"))}).withColumn(
+        "_sub", F.when(F.col("_hot"), F.pmod(F.xxhash64(*order), F.lit(parts)))
+    )
     place = ["curve", "_part", "_own", "_sub"]
     counts = scratch.keep(rows.groupBy(*place).agg(F.count("*").alias("n")), "counts")
     block = F.shiftright("curve", max(0, bits * len(dims) - 12))
     counts = counts.withColumn("_block", block)
     inside = Window.partitionBy("_block").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     # at most 2 ** 12 rows
-    ahead = counts.groupBy("_block").agg(F.sum("n").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = counts.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ahead.select("_block", "ahead")), "_block")
+    ahead = counts.groupBy("_block").agg(F.sum("n").alias("n")).withColumn(
+        "ahead", F.coalesce(F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    offsets = counts.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
+        F.broadcast(ahead.select("_block", "ahead")), "_block"
+    )
     offsets = offsets.select(*[F.col(c).alias(f"_at{c}") for c in place], (F.col("within") + F.col("ahead")).alias("_first"))
     numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy(*order)))
     same = F.lit(True)
     for c in place:
         same = same & F.col(c).eqNullSafe(F.col(f"_at{c}"))
     rank = F.col("_first") + F.col("_n") - 1
-    placed = numbered.join(offsets, same).withColumn("_rank", rank).withColumn("shard", F.expr(f"cast(_rank * {n} div {max(1, total)} as int)"))
+    placed = numbered.join(offsets, same).withColumn("_rank", rank).withColumn(
+        "shard", F.expr(f"cast(_rank * {n} div {max(1, total)} as int)")
+    )
     slot = F.col("_rank") - F.expr(f"(cast(shard as bigint) * {total} + {n - 1}) div {n}")
     return placed.withColumn("slot", slot.cast("int")).select(*df.columns, "curve", "shard", "slot")
 
@@ -156,7 +171,9 @@ def write_shards(df: DataFrame, placed: DataFrame, key: str, path: str) -> None:
     A row meets its place by all columns that both have, for documents by size and checksum too; rows equal in
     these take the places one each, so that null and repeated keys stay as many as they are.
     """
-    rows = described(df) if {"size", "text_crc32"} <= set(placed.columns) and "text" in df.columns and not {"size", "text_crc32"} & set(df.columns) else df
+    rows = described(df) if {"size", "text_crc32"} <= set(placed.columns) and "text" in df.columns and not {"size", "text_crc32"} & set(
+        df.columns
+    ) else df
     if key not in df.columns or key not in placed.columns:
         raise ValueError(f"{key} must be a column of both frames")
     both = [c for c in rows.columns if c in placed.columns and c not in ("shard", "slot")]

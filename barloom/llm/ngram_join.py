@@ -84,7 +84,9 @@ def _is_low(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(61)) < LOW
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, level: np.ndarray, alone: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(doc: np.ndarray, h: np.ndarray, level: np.ndarray, alone: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[
+    np.ndarray, np.ndarray, np.ndarray
+]:
     """(document, index entry, lead) for the prefixes of documents of n shingles, of which ``alone`` are in no other.
 
     doc, h and level are the other shingles, by document and then in the order of all. Two documents whose first
@@ -154,7 +156,17 @@ def _keys(docs: DataFrame, shingle: int) -> DataFrame:
                 hashes, at = shingle_sets(words, shingle)
                 n, none = np.diff(at), pa.nulls(words.n_docs, pa.int64())
                 nodes = _set_keys(hashes, at)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, words.n_docs).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_low_counts(hashes, at)), pa.array(nodes), none, none], names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(words.first, words.n_docs).cast(pa.int64()),
+                        pa.array(n.astype(np.int64)),
+                        pa.array(_low_counts(hashes, at)),
+                        pa.array(nodes),
+                        none,
+                        none,
+                    ],
+                    names,
+                )
                 new = _unseen(nodes, n, 1, seen)
                 waiting.append(hashes[np.repeat(new, n)])
                 held, sets = held + len(waiting[-1]), sets + int(new.sum())
@@ -190,7 +202,13 @@ def _hot(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     the sum shows it. As documents have a mean size, there are at most HOT times as many hot ones.
     """
     total = keys.filter("shingle is null").count()
-    found = keys.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(FREQUENT + 1, total // HOT)).toArrow()
+    found = (
+        keys.filter("shingle is not null")
+        .groupBy("shingle")
+        .agg(F.sum("times").alias("times"))
+        .filter(F.col("times") >= max(FREQUENT + 1, total // HOT))
+        .toArrow()
+    )
     h, times = found.column("shingle").to_numpy().view(np.uint64), found.column("times").to_numpy()
     order = np.argsort(h)
     return h[order], times[order]
@@ -241,7 +259,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             times[0] = MOST
         times = np.minimum(times, MOST)[group]
         keep = new & ((level > 0) | (times > 1))
-        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(np.where(level > 0, level, times)[keep].astype(np.int32)), pa.array(h[keep])], ["node", "level", "hash"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node[keep]), pa.array(np.where(level > 0, level, times)[keep].astype(np.int32)), pa.array(h[keep])],
+            ["node", "level", "hash"],
+        )
 
     for b in batches:
         if not b.num_rows:
@@ -320,7 +341,9 @@ def _entries(rows: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in ENTRIES.split(", ")])
 
 
-def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def ngram_components(
+    docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; a text of fewer words than a shingle is
@@ -335,16 +358,26 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
 
     linked = scan.filter("doc_id is not null")
     sent = _sent(linked.select("text"), _hot(keys), shingle, least, percent)
-    counted = sent.repartition(F.when(F.col("level") == 0, F.col("hash")).otherwise(F.col("node"))).sortWithinPartitions("hash", "node").mapInArrow(_counted, "node long, level int, hash long")
-    sizes = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") >= least)).groupBy("node").agg(F.first("n").alias("n"), F.first("low").alias("low"))
+    counted = (
+        sent.repartition(F.when(F.col("level") == 0, F.col("hash")).otherwise(F.col("node")))
+        .sortWithinPartitions("hash", "node")
+        .mapInArrow(_counted, "node long, level int, hash long")
+    )
+    sizes = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") >= least)).groupBy("node").agg(
+        F.first("n").alias("n"), F.first("low").alias("low")
+    )
     sizes = sizes.select("node", F.lit(-1).alias("level"), (F.shiftleft("n", 32) + F.col("low")).alias("hash"))
-    prefixes = counted.union(sizes).repartition("node").sortWithinPartitions("node", "level").mapInArrow(lambda batches: _index(batches, percent), ENTRIES)
+    prefixes = counted.union(sizes).repartition("node").sortWithinPartitions("node", "level").mapInArrow(
+        lambda batches: _index(batches, percent), ENTRIES
+    )
     dealt = prefixes.repartition("entry").sortWithinPartitions("entry", "lead", "n", "node")
     groups = scratch.keep(dealt.mapInArrow(lambda batches: _useful(batches, percent), GROUPS), "index")
     sets = _indexed_sets(linked, rows, groups, scratch, shingle)
 
     # each node with the hub that it shares most entries with
-    stars = groups.filter("hub is not null").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    stars = groups.filter("hub is not null").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(
+        F.max_by("hub", F.struct("c", "hub")).alias("hub")
+    )
     links = _verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent)
     labels, done, hubs = scratch.keep(components(links, scratch), "labels"), 0, HUBS
     apart = groups.drop("hub")
@@ -353,22 +386,32 @@ def ngram_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
         each = named.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("most"))
         still = each.filter((F.col("lo") != F.col("hi")) & (F.col("most") > done + 1)).select("entry")
         named = named.join(still, "entry", "left_semi")
-        apart = scratch.keep(named if done else named.join(sets.select("node", *[F.col("map")[k].alias(f"w{k}") for k in range(MAP)]), "node"), "apart")
+        apart = scratch.keep(
+            named if done else named.join(sets.select("node", *[F.col("map")[k].alias(f"w{k}") for k in range(MAP)]), "node"), "apart"
+        )
         if apart.isEmpty():
             break
         more = _verified(_across(apart, done, done + hubs, percent), sets, percent)
         # components of the components
         name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_of"))
-        more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+        more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+            F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")
+        )
         new = scratch.keep(components(more, scratch), "joined")
-        moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+        moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select(
+            "node", F.coalesce("new", "label").alias("label")
+        )
         labels = scratch.keep(moved.unionByName(new.join(labels, "node", "left_anti")), "labels")
         done, hubs = done + hubs, 4 * hubs
     first = rows.filter("doc_id is not null and n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_id = first.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = first.groupBy("node").agg(F.first("label").alias("label")).join(least_id, "label").select("node", "component_id")
     out = rows.join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
 
 
 def _parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -381,7 +424,14 @@ def _parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _indexed_sets(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
     """(node, hashes, map) of the nodes in groups, from the texts of one document each."""
     nodes = scratch.keep(groups.select("node").distinct(), "nodes")
-    ids = rows.filter("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    ids = (
+        rows.filter("doc_id is not null")
+        .join(nodes, "node", "left_semi")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("doc_id"))
+        .select("doc_id")
+        .distinct()
+    )
     texts = docs.join(ids, "doc_id", "left_semi").select("text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +439,9 @@ def _indexed_sets(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch:
             for words in word_runs(b.column(0), NON_SPACE):
                 hashes, at = shingle_sets(words, shingle)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, MAP * len(at), MAP, dtype=np.int32)), pa.array(_parities(hashes, at).ravel()))
+                maps = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, MAP * len(at), MAP, dtype=np.int32)), pa.array(_parities(hashes, at).ravel())
+                )
                 yield pa.RecordBatch.from_arrays([pa.array(_set_keys(hashes, at)), lists, maps], ["node", "hashes", "map"])
 
     made = texts.mapInArrow(make, "node long, hashes array<long>, map array<long>")
@@ -460,7 +512,10 @@ def _useful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _rows(columns: list[np.ndarray], r: np.ndarray, place: np.ndarray, hub: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(c[r]) for c in columns), pa.array(place.astype(np.int32)), pa.array(hub, mask=~has)], [x.split()[0] for x in GROUPS.split(", ")])
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c[r]) for c in columns), pa.array(place.astype(np.int32)), pa.array(hub, mask=~has)],
+        [x.split()[0] for x in GROUPS.split(", ")],
+    )
 
 
 def _checked(columns: list[np.ndarray], rows: np.ndarray, percent: int) -> pa.RecordBatch:
@@ -483,7 +538,9 @@ def _across(apart: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     hubs = rows.filter(F.col("place") <= high)
     hubs = hubs.select("entry", *[F.col(c).alias(f"_{c}") for c in apart.columns if c not in ("entry", "place")])
     most = F.least(F.col("n") - F.col("lead"), F.col("_n") - F.col("_lead"))
-    may = (100 * most >= percent * (F.col("n") + F.col("_n") - most)) & (F.col("label") != F.col("_label")) & (F.col("node") != F.col("_node"))
+    may = (100 * most >= percent * (F.col("n") + F.col("_n") - most)) & (F.col("label") != F.col("_label")) & (
+        F.col("node") != F.col("_node")
+    )
     for k in range(BEFORE):
         may = may & ~F.col(f"p{k}").isin([F.col(f"_p{j}") for j in range(BEFORE)])
     # linked sets differ in as many shingles as these at most, and their maps in no more places

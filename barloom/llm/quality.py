@@ -135,7 +135,9 @@ def features(texts: pa.Array, meta: list[pa.Array]) -> Iterator[tuple[int, np.nd
 
 def _category(column: pa.Array) -> np.ndarray:
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        w = [int(mix(np.array([hash_bytes(x)], np.uint64))[0] % np.uint64(META - 1)) + 1 if x is not None else 0 for x in column.to_pylist()]
+        w = [
+            int(mix(np.array([hash_bytes(x)], np.uint64))[0] % np.uint64(META - 1)) + 1 if x is not None else 0 for x in column.to_pylist()
+        ]
         return np.array(w, np.int64)
     x = np.array([np.nan if v is None else float(v) for v in column.to_pylist()])
     return np.where(np.isnan(x), 0, 1 + np.minimum(2 * np.log2(1 + np.maximum(np.nan_to_num(x), 0)), META - 2)).astype(np.int64)
@@ -173,7 +175,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE) -> Machine:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    scratch: Scratch,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    metadata: tuple[str, ...] = ("n_chars",),
+    sample: int = SAMPLE,
+) -> Machine:
     """Fit on at most ``sample`` labelled rows outside the held-out fold; without any, every score is 0.5.
 
     Labels that are null, or that say different things of one doc_id, teach nothing. Of documents that share a
@@ -195,8 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "d
             meta = [b.column(2 + i) for i in range(len(metadata))]
             for first, bounds, numbers, values in features(b.column(1), meta):
                 n = len(bounds) - 1
-                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)) for x in (numbers.astype(np.int32), values)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(2 + len(metadata)).slice(first, n), *lists], ["y", "order", "numbers", "values"])
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)) for x in (numbers.astype(np.int32), values)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, n), b.column(2 + len(metadata)).slice(first, n), *lists], ["y", "order", "numbers", "values"]
+                )
 
     made = scratch.keep(rows.mapInArrow(extract, "y int, order long, numbers array<int>, values array<float>"), "sample")
     table = made.orderBy("order", "y").toArrow().combine_chunks()
@@ -251,7 +266,9 @@ def fit(bounds: np.ndarray, numbers: np.ndarray, values: np.ndarray, y: np.ndarr
     return Machine(bias, theta[:, 0].astype(np.float64), theta[:, 1:].astype(np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+def score(
+    docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
     """docs' columns ``keep`` (all if not given) with the score and the prediction, in place of any columns of those
     two ``names``.
 
@@ -270,6 +287,8 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str]
         for b in batches:
             found = [sigmoid(own.logits(bounds, numbers, values)) for _, bounds, numbers, values in features(b.column(len(keep)), [b.column(len(keep) + 1 + i) for i in range(len(own.metadata))])]
             x = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(x), pa.array((x >= THRESHOLD).astype(np.int32))], [*keep, *names])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in range(len(keep))), pa.array(x), pa.array((x >= THRESHOLD).astype(np.int32))], [*keep, *names]
+            )
 
     return rows.mapInArrow(run, schema)

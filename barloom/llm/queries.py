@@ -34,7 +34,9 @@ def op4_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.document_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op5"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_ngram_jaccard_join, op3_quality_machine, op4_token_arrow, op5_hilbert_shards, op6_surrogates, op7_chat_tree, op8_bpe, op9_decontamination, op10_fingerprint)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_revisits,
+        op2_ngram_jaccard_join,
+        op3_quality_machine,
+        op4_token_arrow,
+        op5_hilbert_shards,
+        op6_surrogates,
+        op7_chat_tree,
+        op8_bpe,
+        op9_decontamination,
+        op10_fingerprint,
+    )
+}
 ORACLE = {
     "op1_warc_revisits": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),

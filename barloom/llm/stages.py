@@ -51,7 +51,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data, and n_chars of the new text; all other columns stay."""
-    out = surrogates.replace_entities(docs, Scratch(spark, "surrogates"), surrogates.key_of(spark), count=free_name("n_entities", docs.columns))
+    out = surrogates.replace_entities(
+        docs, Scratch(spark, "surrogates"), surrogates.key_of(spark), count=free_name("n_entities", docs.columns)
+    )
     out = out.select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

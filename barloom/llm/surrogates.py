@@ -28,7 +28,22 @@ MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
 OTHER_TITLES = ["Dr", "Prof"]
 #: words that announce a given and a family name
-CONTEXTS = ["name is", "Name:", "Author:", "Signed:", "signed by", "Regards,", "Sincerely,", "heiße", "Autor:", "m'appelle", "Nom :", "me llamo", "Nombre:", "Имя:"]
+CONTEXTS = [
+    "name is",
+    "Name:",
+    "Author:",
+    "Signed:",
+    "signed by",
+    "Regards,",
+    "Sincerely,",
+    "heiße",
+    "Autor:",
+    "m'appelle",
+    "Nom :",
+    "me llamo",
+    "Nombre:",
+    "Имя:",
+]
 GIVEN = {
     "m_l": ["Albert", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Bernard", "Carlos", "Christian", "Charles", "Daniel", "David", "Diego", "Edward", "Etienne", "Fernando", "Francisco", "Frederic", "George", "Gerhard", "Guillaume", "Heinrich", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "Johannes", "John", "Jorge", "Joseph", "Juan", "Klaus", "Karl", "Laurent", "Leonard", "Louis", "Luis", "Manuel", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Pablo", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Rafael", "Richard", "Robert", "Stefan", "Thomas", "Vincent", "William", "Wolfgang"],
     "f_l": ["Adele", "Alexandra", "Alice", "Amelie", "Andrea", "Angela", "Anna", "Barbara", "Beatrice", "Camille", "Carmen", "Caroline", "Catherine", "Charlotte", "Christine", "Claudia", "Dorothea", "Eleanor", "Elena", "Elizabeth", "Emilia", "Emily", "Emma", "Florence", "Francesca", "Gabriela", "Helene", "Isabel", "Jacqueline", "Jane", "Jennifer", "Johanna", "Julia", "Juliette", "Katharina", "Leonora", "Laura", "Linda", "Lisa", "Louise", "Lucia", "Margaret", "Maria", "Marie", "Marta", "Mary", "Mathilde", "Patricia", "Rosalind", "Sabine", "Sarah", "Sofia", "Sophie", "Stephanie", "Susan", "Theresa", "Victoria"],
@@ -65,7 +80,13 @@ IPV4 = rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 # a dotted end belongs to the address, but behind ::ffff: it is an IPv4 address by itself
 _END = rf"(?:(?:{_OCTET}\.){{3}}{_OCTET}|{_HEX})(?!\w|:|\.\d)"
-_SHORT = "|".join([*[rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{0,{6 - n}}}:{_END}" for n in range(1, 7)], rf":(?::{_HEX}){{0,6}}:{_END}", rf"(?:{_HEX}:){{1,7}}:(?![\w:])"])
+_SHORT = "|".join(
+    [
+        *[rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{0,{6 - n}}}:{_END}" for n in range(1, 7)],
+        rf":(?::{_HEX}){{0,6}}:{_END}",
+        rf"(?:{_HEX}:){{1,7}}:(?![\w:])",
+    ]
+)
 # short forms have a digit or are of the local networks (other words around '::' are code), and are no steps of a slice
 IPV6 = rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}(?![\w:])|(?:{_HEX}:){{6}}(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)|(?<![\w)\]]\[)(?=[0-9A-Fa-f:]{{0,38}}::)(?=[A-Fa-f:]{{0,38}}\d|[Ff][CcDd][0-9A-Fa-f]{{2}}:)(?!::[Ff]{{4}}:\d+\.)(?:{_SHORT}))"
 SSN = r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
@@ -205,7 +226,13 @@ def _mapped(canon: Column, digest: Column, letters: Column | int = 26, kept: Col
 
     def change(c: Column, i: Column) -> Column:
         b = F.conv(F.substring(digest, 2 * F.pmod(i, F.lit(60)) + 1, F.lit(2)), 16, 10).cast("int")
-        return F.when(i < kept, c).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.char(65 + b % letters)).when(c.rlike(r"\p{L}"), F.char(97 + b % letters)).otherwise(c)
+        return (
+            F.when(i < kept, c)
+            .when(c.rlike("[0-9]"), (b % 10).cast("string"))
+            .when(c.rlike(r"\p{Lu}"), F.char(65 + b % letters))
+            .when(c.rlike(r"\p{L}"), F.char(97 + b % letters))
+            .otherwise(c)
+        )
 
     # secrets have no greatest length, so no sign is looked up by its place
     return F.array_join(F.transform(F.split(canon, ""), change), "")
@@ -230,16 +257,29 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     email = F.concat(_mapped(local, digest), F.lit("@"), _mapped(rest, second), F.lit("."), top)
     ipv4 = F.concat_ws(".", *[(number(i) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
     ipv6 = F.concat(F.substring(canon, 1, 1), F.substring(F.regexp_replace(F.substring(digest, 1, 32), "(.{4})(?=.)", "$1:"), 2, 38))
-    first = F.when(F.substring(canon, 1, 1) == "2", F.concat(F.lit("2"), (3 + number(9) % 4).cast("string"))).otherwise(F.substring(canon, 1, 1))
+    first = F.when(F.substring(canon, 1, 1) == "2", F.concat(F.lit("2"), (3 + number(9) % 4).cast("string"))).otherwise(
+        F.substring(canon, 1, 1)
+    )
     body = F.concat(first, F.substring(_mapped(canon, digest), F.length(first) + 1, F.length(canon) - 1 - F.length(first)))
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0")))) % 10).cast("string"))
     raw = _mapped(canon, digest, kept=F.when(F.length(canon) > 10, 2).otherwise(0))
     ten = F.concat((2 + number(8) % 8).cast("string"), F.substring(raw, 2, 2), (2 + number(9) % 8).cast("string"), F.substring(raw, 5, 6))
     account = F.concat(F.substring(canon, 1, 2), F.lit("00"), F.substring(_mapped(canon, digest), F.lit(5), F.length(canon)))
-    iban = F.concat(F.substring(canon, 1, 2), F.lpad((98 - mod97(account)).cast("string"), 2, "0"), F.substring(account, F.lit(5), F.length(account)))
-    secret = _mapped(canon, digest, F.when(canon.rlike("^[0-9a-f]+$"), 6).otherwise(26), F.length(F.regexp_extract(canon, "^(A[KS]IA|gh[pousr]_|sk-)?", 0)))
+    iban = F.concat(
+        F.substring(canon, 1, 2), F.lpad((98 - mod97(account)).cast("string"), 2, "0"), F.substring(account, F.lit(5), F.length(account))
+    )
+    secret = _mapped(
+        canon,
+        digest,
+        F.when(canon.rlike("^[0-9a-f]+$"), 6).otherwise(26),
+        F.length(F.regexp_extract(canon, "^(A[KS]IA|gh[pousr]_|sk-)?", 0)),
+    )
     out = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "card", card).when(kind == "iban", iban)
-    out = out.when(kind == "phone", F.when(F.length(canon) == 10, ten).otherwise(raw)).when(kind == "ssn", _mapped(canon, digest)).when(kind == "ipv6", ipv6)
+    out = (
+        out.when(kind == "phone", F.when(F.length(canon) == 10, ten).otherwise(raw))
+        .when(kind == "ssn", _mapped(canon, digest))
+        .when(kind == "ipv6", ipv6)
+    )
     return reduce(lambda acc, kv: acc.when(kind == kv[0], kv[1]), names.items(), out).otherwise(secret)
 
 
@@ -249,7 +289,10 @@ def laid_out(m: Column, kind: Column, cores: Column) -> Column:
     def refill(core: Column) -> Column:
         def step(acc: Column, c: Column) -> Column:
             fill = c.rlike("[0-9A-Za-z]") & (acc["k"] < F.length(core))
-            return F.struct(F.concat(F.when(fill, F.substring(core, F.length(core) - acc["k"], F.lit(1))).otherwise(c), acc["out"]).alias("out"), (acc["k"] + fill.cast("int")).alias("k"))
+            return F.struct(
+                F.concat(F.when(fill, F.substring(core, F.length(core) - acc["k"], F.lit(1))).otherwise(c), acc["out"]).alias("out"),
+                (acc["k"] + fill.cast("int")).alias("k"),
+            )
 
         return F.aggregate(_chars(F.reverse(m)), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda a: a["out"])
 
@@ -277,7 +320,9 @@ def assign(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     same = (F.col("space") == F.col("_k")) & (F.col("low") == F.col("_c"))
     taken = entities.select(_space(F.col("kind")).alias("_k"), F.lower("canon").alias("_c")).distinct()
     while True:
-        made = left.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, key)).withColumns({"low": F.lower("core"), "space": _space(F.col("kind"))})
+        made = left.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, key)).withColumns(
+            {"low": F.lower("core"), "space": _space(F.col("kind"))}
+        )
         free = made.join(taken, same, "left_anti")
         if done is not None:
             free = free.join(done.select(_space(F.col("kind")).alias("_k"), F.lower("core").alias("_c")), same, "left_anti")
@@ -289,7 +334,9 @@ def assign(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
             return done
         attempt, idle = attempt + 1, idle + 1 if won.isEmpty() else 0
         if idle > 8:
-            raise RuntimeError(f"no surrogates are left for {left.count()} entities of the kinds {sorted(r.kind for r in left.select('kind').distinct().collect())}")
+            raise RuntimeError(
+                f"no surrogates are left for {left.count()} entities of the kinds {sorted(r.kind for r in left.select('kind').distinct().collect())}"
+            )
 
 
 def key_of(spark: SparkSession) -> str:
@@ -297,7 +344,9 @@ def key_of(spark: SparkSession) -> str:
     return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
 
-def replace_entities(docs: DataFrame, scratch: Scratch, key: str, doc_id: str = "doc_id", text: str = "text", count: str = "n_entities") -> DataFrame:
+def replace_entities(
+    docs: DataFrame, scratch: Scratch, key: str, doc_id: str = "doc_id", text: str = "text", count: str = "n_entities"
+) -> DataFrame:
     """docs with surrogates in ``text`` and the number of replaced strings in ``count``, in place of a column of that
     name.
 
@@ -314,8 +363,15 @@ def replace_entities(docs: DataFrame, scratch: Scratch, key: str, doc_id: str =
     tagged = docs.withColumn(found_, found)
     # family names that the document has with a title, a context or a given name
     names = F.filter(found_, lambda m: kind_of(m) == "name")
-    tagged = tagged.withColumn(known_, F.when(F.exists(found_, lambda m: m.rlike(rf"^(?:{_LEAD}|(?:{_GIVEN}) )\p{{Lu}}")), families_of(names)))
-    base = scratch.keep(tagged.withColumn(key_, F.concat_ws(":", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"))), "found")
+    tagged = tagged.withColumn(
+        known_, F.when(F.exists(found_, lambda m: m.rlike(rf"^(?:{_LEAD}|(?:{_GIVEN}) )\p{{Lu}}")), families_of(names))
+    )
+    base = scratch.keep(
+        tagged.withColumn(
+            key_, F.concat_ws(":", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"))
+        ),
+        "found",
+    )
     # the patterns run once over the texts, and once more over those with names
     alone = F.array_join(F.transform(known_, lambda w: F.initcap(F.replace(w, F.lit("-"), F.lit(" ")))), "|")
     alone = F.replace(alone, F.lit(" "), F.lit("-"))
@@ -338,7 +394,13 @@ def replace_entities(docs: DataFrame, scratch: Scratch, key: str, doc_id: str =
     total = entities.agg(F.sum("n")).first()[0] or 0
     cores = assign(entities, scratch, key).join(entities, ["kind", "canon"])
     name = F.concat_ws("\x01", "kind", "canon")
-    joined = join_hot(finds.select("_key", "pos", "part", name.alias("_e")), cores.select(name.alias("_e"), "core", "n"), "_e", F.concat_ws(":", "_key", "pos", "part"), F.col("n") >= max(100, total // 1000))
+    joined = join_hot(
+        finds.select("_key", "pos", "part", name.alias("_e")),
+        cores.select(name.alias("_e"), "core", "n"),
+        "_e",
+        F.concat_ws(":", "_key", "pos", "part"),
+        F.col("n") >= max(100, total // 1000),
+    )
     words = joined.groupBy("_key", "pos").agg(F.sort_array(F.collect_set(F.struct("part", "core"))).alias("c"))
     lists = words.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("c.core")))).alias(cores_))
     lists = lists.withColumnRenamed("_key", of_)

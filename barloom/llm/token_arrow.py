@@ -131,7 +131,14 @@ def default_path() -> str:
 
 
 def schema(length: int, kind: np.dtype) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length)), ("ends", pa.list_(pa.bool_(), length)), ("docs", pa.list_(pa.int64()))])
+    return pa.schema(
+        [
+            ("ids", pa.list_(pa.from_numpy_dtype(kind), length)),
+            ("mask", pa.list_(pa.bool_(), length)),
+            ("ends", pa.list_(pa.bool_(), length)),
+            ("docs", pa.list_(pa.int64())),
+        ]
+    )
 
 
 class _File:
@@ -169,7 +176,9 @@ class _File:
         here = [x for x in self.end_at if x < n]
         ends[here] = True
         per_row = np.bincount(np.array(here, np.int64) // self.length, minlength=n // self.length)
-        docs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(self.end_of[: len(here)], pa.int64()))
+        docs = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(self.end_of[: len(here)], pa.int64())
+        )
         fixed = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask, ends)]
         whole = pa.RecordBatch.from_arrays([*fixed, docs], schema=self.schema)
         for i in range(0, whole.num_rows, ROWS):
@@ -194,7 +203,9 @@ def write_tokens(docs: DataFrame, scratch: Scratch, path: str | None = None, doc
     """
     path, folder = path or default_path(), scratch.path("tokens")
     ranges = id_ranges(docs, doc_id)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), ranges.pick(id_key(doc_id)).alias("p"))
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), ranges.pick(id_key(doc_id)).alias("p")
+    )
     dealt = rows.repartitionById(ranges.n, F.col("p")).sortWithinPartitions("p", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +222,10 @@ def write_tokens(docs: DataFrame, scratch: Scratch, path: str | None = None, doc
                     out.add(doc, found)
         if out:
             done.append((at, *out.close()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["p", "file", "tokens", "docs"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))],
+            ["p", "file", "tokens", "docs"],
+        )
 
     files = scratch.keep(dealt.mapInArrow(write, "p int, file string, tokens long, docs long"), "files")
     return [(r["file"], r["tokens"], r["docs"]) for r in sorted(files.collect())]  # a row a file
@@ -225,7 +239,10 @@ def sequences(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, li
         for k in range(reader.num_record_batches):
             b = reader.get_batch(k)
             length = b.schema.field("ids").type.list_size
-            yield (*(b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, length) for c in ("ids", "mask", "ends")), b.column("docs").to_pylist())
+            yield (
+                *(b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, length) for c in ("ids", "mask", "ends")),
+                b.column("docs").to_pylist(),
+            )
 
 
 def sequence(local: str, i: int) -> np.ndarray:

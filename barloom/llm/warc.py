@@ -31,7 +31,11 @@ LEVEL = 3
 def payload_headers(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, payload_bytes, payload_digest) of every page; a null payload is an empty one."""
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    return pages.select(
+        F.col(page_id).cast("long").alias("page_id"),
+        F.octet_length(body).cast("long").alias("payload_bytes"),
+        F.sha1(body).alias("payload_digest"),
+    )
 
 
 def originals(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -42,7 +46,9 @@ def originals(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """
     large = headers.filter(F.col("payload_bytes") >= least)
     able = F.when(F.col("has_payload"), F.col("page_id")) if "has_payload" in headers.columns else F.col("page_id")
-    return large.groupBy("payload_digest").agg(F.max(able).alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null")
+    return large.groupBy("payload_digest").agg(F.max(able).alias("response"), F.count("*").alias("n")).filter(
+        "n > 1 and response is not null"
+    )
 
 
 def resolve_revisits(records: DataFrame, headers: DataFrame, scratch: Scratch, least: int = LEAST_BYTES) -> DataFrame:
@@ -54,7 +60,13 @@ def resolve_revisits(records: DataFrame, headers: DataFrame, scratch: Scratch, l
     found = scratch.keep(originals(headers, least), "originals")
     total = found.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") >= max(100, total // 1000)
-    joined = join_hot(records.withColumn("_key", F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))), found.withColumnRenamed("payload_digest", "_key"), "_key", F.coalesce(F.col("page_id").cast("string"), F.lit("")), hot)
+    joined = join_hot(
+        records.withColumn("_key", F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))),
+        found.withColumnRenamed("payload_digest", "_key"),
+        "_key",
+        F.coalesce(F.col("page_id").cast("string"), F.lit("")),
+        hot,
+    )
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return joined.withColumn("refers_to", F.when(revisit, F.col("response"))).drop("response", "n", "_key")
 
@@ -131,9 +143,13 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     out = None
         if out:
             done.append(out.close())
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes"]
+        )
 
-    return records.select("page_id", "url", "payload_digest", "html", "refers_to").mapInArrow(write, "file string, records long, bytes long")
+    return records.select("page_id", "url", "payload_digest", "html", "refers_to").mapInArrow(
+        write, "file string, records long, bytes long"
+    )
 
 
 def members(uri: str, step: int = 1 << 20) -> Iterator[bytes]:
@@ -176,9 +192,25 @@ def read_archives(spark: SparkSession, files: DataFrame, payloads: bool = False)
                     f, block = parse_record(record)
                     payload = block.partition(b"\r\n\r\n")[2]
                     full = f["warc-type"] == "response"
-                    digest = hashlib.sha1(payload).hexdigest() if full else base64.b32decode(f["warc-payload-digest"].partition(":")[2]).hex()
+                    digest = (
+                        hashlib.sha1(payload)
+                        .hexdigest() if full else base64.b32decode(f["warc-payload-digest"].partition(":")[2])
+                        .hex()
+                    )
                     page, to = f.get("x-page-id"), f.get("x-refers-to-page")
-                    rows.append((f["warc-record-id"], f["warc-type"], page and int(page), f["warc-target-uri"], digest, len(payload) if full else None, f.get("warc-refers-to"), to and int(to), payload.decode() if payloads and full else None))
+                    rows.append(
+                        (
+                            f["warc-record-id"],
+                            f["warc-type"],
+                            page and int(page),
+                            f["warc-target-uri"],
+                            digest,
+                            len(payload) if full else None,
+                            f.get("warc-refers-to"),
+                            to and int(to),
+                            payload.decode() if payloads and full else None,
+                        )
+                    )
                     held += len(payload) if payloads else 300
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], list(names))
@@ -188,17 +220,27 @@ def read_archives(spark: SparkSession, files: DataFrame, payloads: bool = False)
     return files.select("file").mapInArrow(read, READ)
 
 
-def deduplicated_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES) -> DataFrame:
+def deduplicated_archives(
+    pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES
+) -> DataFrame:
     """Write pages as archives without repeated payloads; the files written."""
     headers = payload_headers(pages, page_id, html)
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    records = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    records = pages.select(
+        F.col(page_id).cast("long").alias("page_id"),
+        F.col(url).cast("string").alias("url"),
+        F.col(html).alias("html"),
+        F.octet_length(body).cast("long").alias("payload_bytes"),
+        F.sha1(body).alias("payload_digest"),
+    )
     return scratch.keep(write_archives(resolve_revisits(records, headers, scratch, least), scratch.path("archives")), "files")
 
 
 def with_payload_bytes(records: DataFrame) -> DataFrame:
     """Records read, where a revisit has the payload size of the response it refers to; a row a record."""
-    sizes = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("to")).agg(F.max("payload_bytes").alias("bytes"), F.lit(1).alias("n"))
+    sizes = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("to")).agg(
+        F.max("payload_bytes").alias("bytes"), F.lit(1).alias("n")
+    )
     known = records.filter("record_type = 'response'")
     revisits = records.filter("record_type = 'revisit'").drop("payload_bytes")
     counts = revisits.groupBy(F.col("refers_to_record").alias("to")).agg(F.count("*").alias("n"))
@@ -217,10 +259,20 @@ def rewritten_archives(records: DataFrame, scratch: Scratch, least: int = LEAST_
     in none of the archives stays one.
     """
     # a response without a page_id could be referred to by nobody
-    full = with_payload_bytes(records).withColumns({"has_payload": (F.col("record_type") == "response") & F.col("page_id").isNotNull(), "_told": F.col("refers_to")})
-    small = full.filter(F.col("has_payload") & (F.col("payload_bytes") < least)).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("html").alias("_html"))
+    full = with_payload_bytes(records).withColumns(
+        {"has_payload": (F.col("record_type") == "response") & F.col("page_id").isNotNull(), "_told": F.col("refers_to")}
+    )
+    small = (
+        full.filter(F.col("has_payload") & (F.col("payload_bytes") < least))
+        .groupBy(F.col("payload_digest").alias("_digest"))
+        .agg(F.min("html").alias("_html"))
+    )
     lacks = (F.col("record_type") == "revisit") & (F.col("payload_bytes") < least)
-    full = full.join(small, lacks & (F.col("payload_digest") == F.col("_digest")), "left").withColumn("html", F.coalesce("html", "_html")).drop("refers_to", "_html", "_digest")
+    full = (
+        full.join(small, lacks & (F.col("payload_digest") == F.col("_digest")), "left")
+        .withColumn("html", F.coalesce("html", "_html"))
+        .drop("refers_to", "_html", "_digest")
+    )
     headers = full.select("page_id", "payload_bytes", "payload_digest", "has_payload")
     found = resolve_revisits(full, headers, scratch, least)
     alone = (F.col("record_type") == "revisit") & F.col("refers_to").isNull() & ~(F.col("payload_bytes") < least).eqNullSafe(F.lit(True))

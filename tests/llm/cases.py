@@ -27,7 +27,22 @@ def documents(spark, extra=()):
             for _ in range(k):
                 w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
             texts.append(" ".join(w))
-    texts += ["", " \n\t ", "One", "one", "ONE two three four", "one two three four", "a b c d e", "a b c d e f", "é ñ ß 中文 🙂   x", "tab\tand\x0bvertical\x0cfeed", "word " * 30_000, "  double  spaces  ", "Ends with space ", "<|endoftext|> <|startoftext|>x"]
+    texts += [
+        "",
+        " \n\t ",
+        "One",
+        "one",
+        "ONE two three four",
+        "one two three four",
+        "a b c d e",
+        "a b c d e f",
+        "é ñ ß 中文 🙂   x",
+        "tab\tand\x0bvertical\x0cfeed",
+        "word " * 30_000,
+        "  double  spaces  ",
+        "Ends with space ",
+        "<|endoftext|> <|startoftext|>x",
+    ]
     rows = [row(10 + 3 * i, t) for i, t in enumerate(texts)]
     rows += [row(5, None), row(None, base[0]), row(None, None), rows[2], rows[2], *extra]
     return spark.createDataFrame(rows, SCHEMA)

@@ -13,7 +13,22 @@ from . import cases
 
 def pages(spark):
     big, other = "é" * 700, "x" * 1000
-    rows = [(1, "http://a", big), (2, "http://b c", big), (3, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", other), (8, "u", other), (None, "u", other), (None, None, "y" * 2000), (9, "u", "q" * 999), (10, "u", "q" * 999), (11, "u", "r\r\n\r\nWARC/1.1 " * 200)]
+    rows = [
+        (1, "http://a", big),
+        (2, "http://b c", big),
+        (3, None, big),
+        (4, "u", "short"),
+        (5, "u", "short"),
+        (6, "u", None),
+        (7, "u", ""),
+        (8, "u", other),
+        (8, "u", other),
+        (None, "u", other),
+        (None, None, "y" * 2000),
+        (9, "u", "q" * 999),
+        (10, "u", "q" * 999),
+        (11, "u", "r\r\n\r\nWARC/1.1 " * 200),
+    ]
     return spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, n int, payload_digest string")
 
 
@@ -26,9 +41,13 @@ def test_revisits(spark):
     for i, body in rows:
         same = [j for j, b in rows if b == body and j is not None]
         to = max(same) if len(body) >= 1000 and len([1 for _, b in rows if b == body]) > 1 and same else None
-        plain.append((str(i), "response" if to is None or to == i else "revisit", None if to == i else to, len(body), hashlib.sha1(body).hexdigest()))
+        plain.append(
+            (str(i), "response" if to is None or to == i else "revisit", None if to == i else to, len(body), hashlib.sha1(body).hexdigest())
+        )
     assert got == sorted(plain)
-    assert sorted(r.html or "" for r in records if r.record_type == "response") == sorted(b.decode() for (_, b), p in zip(rows, plain, strict=True) if p[1] == "response")
+    assert sorted(r.html or "" for r in records if r.record_type == "response") == sorted(
+        b.decode() for (_, b), p in zip(rows, plain, strict=True) if p[1] == "response"
+    )
     path = files.first().file.removeprefix("file://")
     with open(path, "rb") as f:
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
@@ -40,11 +59,15 @@ def test_archives_that_hold_revisits(spark):
     rows = [(1, "a", big, None), (2, "b", big, 1), (3, "c", big, 1), (4, "d", small, None), (5, "e", small, 4), (6, "f", "z" * 3000, None)]
     digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
     scratch = cases.scratch(spark)
-    old = spark.createDataFrame([(p, u, digest(t), t, to) for p, u, t, to in rows], "page_id long, url string, payload_digest string, html string, refers_to long")
+    old = spark.createDataFrame(
+        [(p, u, digest(t), t, to) for p, u, t, to in rows], "page_id long, url string, payload_digest string, html string, refers_to long"
+    )
     files = scratch.keep(W.write_archives(old, scratch.path("old")), "files")
     again = W.rewritten_archives(W.read_archives(spark, files, payloads=True), scratch)
     got = {r.page_id: r for r in W.with_payload_bytes(W.read_archives(spark, again, payloads=True)).collect()}
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
+        1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("response", None)
+    }
     assert {i: r.html for i, r in got.items() if r.record_type == "response"} == {1: big, 4: small, 5: small, 6: "z" * 3000}
     assert all(r.payload_digest == digest(t) and r.payload_bytes == len(t.encode()) for (i, _, t, _), r in ((x, got[x[0]]) for x in rows))
 
@@ -73,7 +96,9 @@ def test_no_pages(spark):
     assert W.with_payload_bytes(W.read_archives(spark, files)).count() == 0
 
 
-TEXT = st.text(alphabet="ab<|\\n\n>im_", max_size=25) | st.sampled_from([C.BEGIN, C.END, C.END + C.BEGIN + "assistant ok", "\\", "<", "\\n"])
+TEXT = st.text(alphabet="ab<|\\n\n>im_", max_size=25) | st.sampled_from(
+    [C.BEGIN, C.END, C.END + C.BEGIN + "assistant ok", "\\", "<", "\\n"]
+)
 
 
 @given(st.lists(st.tuples(TEXT, TEXT), max_size=4))
@@ -82,7 +107,26 @@ def test_template_round_trip(turns):
 
 
 def conversations(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (2, 1, "user", "hi"), (2, 0, "system", "be kind"), (2, 2, "assistant", "what?"), (3, 0, "system", "be kind"), (3, 1, "user", "hi"), (3, 2, "assistant", "hello"), (4, 0, "user", None), (4, 1, None, "x"), (4, None, "assistant", C.END + "\\<|"), (5, 0, "assistant", "twice"), (5, 0, "assistant", "twice"), (None, 0, "user", "lost"), (None, 0, "user", "lost"), (None, 1, "user", "too"), (6, 0, "us\ner", "é🙂\n")]
+    rows = [
+        (1, 0, "system", "be kind"),
+        (1, 1, "user", "hi"),
+        (1, 2, "assistant", "hello"),
+        (2, 1, "user", "hi"),
+        (2, 0, "system", "be kind"),
+        (2, 2, "assistant", "what?"),
+        (3, 0, "system", "be kind"),
+        (3, 1, "user", "hi"),
+        (3, 2, "assistant", "hello"),
+        (4, 0, "user", None),
+        (4, 1, None, "x"),
+        (4, None, "assistant", C.END + "\\<|"),
+        (5, 0, "assistant", "twice"),
+        (5, 0, "assistant", "twice"),
+        (None, 0, "user", "lost"),
+        (None, 0, "user", "lost"),
+        (None, 1, "user", "too"),
+        (6, 0, "us\ner", "é🙂\n"),
+    ]
     return spark.createDataFrame([(*r, "n", 1) for r in rows], "conv_id long, turn long, role string, text string, node string, path int")
 
 
@@ -90,7 +134,9 @@ def test_tree(spark):
     df = conversations(spark)
     segments, leaves = C.build(df, cases.scratch(spark))
     every = C.read_back(segments, leaves).collect()
-    assert sorted((r.n_turns, r.formatted_chars) for r in every if r.conv_id is None) == sorted((1, len(C.segment("user", t)[0])) for t in ("lost", "lost", "too"))
+    assert sorted((r.n_turns, r.formatted_chars) for r in every if r.conv_id is None) == sorted(
+        (1, len(C.segment("user", t)[0])) for t in ("lost", "lost", "too")
+    )
     got = {r.conv_id: r for r in every if r.conv_id is not None}
     assert len(every) == len(got) + 3
     by_conv = {}
@@ -132,7 +178,12 @@ def test_tree_of_token_ids(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     long = "many words, " * 200_000
-    df = conversations(spark).union(spark.createDataFrame([(7, 0, "user", long, "n", 1), (7, 1, "assistant", long + "é", "n", 1)], "conv_id long, turn long, role string, text string, node string, path int"))
+    df = conversations(spark).union(
+        spark.createDataFrame(
+            [(7, 0, "user", long, "n", 1), (7, 1, "assistant", long + "é", "n", 1)],
+            "conv_id long, turn long, role string, text string, node string, path int",
+        )
+    )
     segments, leaves = C.build(df, cases.scratch(spark), tokenizer=path)
     rows = segments.orderBy("start").collect()
     at = 0

@@ -55,7 +55,10 @@ def sent(node, hashes, level):
     whole = low.sum() < J.reach(np.array([len(hashes)]))[0]
     rows = [(node, -1, len(hashes) << 32 | int(low.sum()))]
     rows += sorted((node, int(v), int(h)) for h, v, lo in zip(hashes.view(np.int64), level, low, strict=True) if (lo or whole) and v)
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["node", "level", "hash"])
+    return pa.Table.from_arrays(
+        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)],
+        ["node", "level", "hash"],
+    )
 
 
 @settings(max_examples=400, deadline=None)
@@ -99,7 +102,13 @@ def test_counts_of_nodes(monkeypatch, most):
         nodes.setdefault(h, set()).add(node)
     want = {(h, node): min(len(x), most) if h < 100 else most + h - 95 for h, x in nodes.items() for node in x if len(x) > 1 or h >= 100}
     for size in (1, 2, 7, len(rows)):
-        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["hash", "node", "level"]) for i in range(0, len(rows), size)]
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)],
+                ["hash", "node", "level"],
+            )
+            for i in range(0, len(rows), size)
+        ]
         got = [((r["hash"], r["node"]), r["level"]) for b in J._counted(iter(batches)) for r in b.to_pylist()]
         assert len(got) == len(dict(got))
         if most > 30:
@@ -133,7 +142,9 @@ def test_long_entries_go_row_by_row(monkeypatch):
     monkeypatch.setattr(J, "_AT_ONCE", 4)
     entry = np.array([1, 2, 2, 3, 3, 3, 3, 3, 3, 3, 4, 4, 5])
     node, n, lead = np.arange(13) + 100, np.full(13, 50, np.int32), np.zeros(13, np.int32)
-    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (entry, node, n, lead, node, node, node)], [x.split()[0] for x in J.ENTRIES.split(", ")])
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (entry, node, n, lead, node, node, node)], [x.split()[0] for x in J.ENTRIES.split(", ")]
+    )
     for size in (1, 2, 3, 5, 13):
         out = [r for b in J._useful((rows.slice(i, size) for i in range(0, 13, size)), 80) for r in b.to_pylist()]
         assert sorted((r["entry"], r["node"]) for r in out if r["entry"] != 3) == [(2, 101), (2, 102), (4, 110), (4, 111)]
@@ -144,7 +155,9 @@ def test_long_entries_go_row_by_row(monkeypatch):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rnd = random.Random(seed)
-    edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)] + [(500, k) for k in range(501, 540)]
+    edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)] + [
+        (500, k) for k in range(501, 540)
+    ]
     parent = {}
 
     def find(x):

@@ -19,11 +19,19 @@ def folder(spark, tmp_path_factory):
     good = [cases.row(i, r.text) for i, r in enumerate(cases.documents(spark).collect()) if r.text and 100 < len(r.text) < 10_000]
     bad = [cases.row(1000 + r[0], r[1].upper().replace(" ", "!! ")) for r in good]
     item = " ".join(good[3][1].split()[:20])
-    rows = [*good, *bad, *(cases.row(5000 + i, t + " " + good[5][1]) for i, t in PRIVATE), cases.row(6000, f"{item} {item}"), cases.row(None, good[0][1])]
+    rows = [
+        *good,
+        *bad,
+        *(cases.row(5000 + i, t + " " + good[5][1]) for i, t in PRIVATE),
+        cases.row(6000, f"{item} {item}"),
+        cases.row(None, good[0][1]),
+    ]
     # columns of names that the stages use themselves
     schema = cases.SCHEMA + ", predicted int, n_entities long, component_id long, _text string, _x string"
     spark.createDataFrame([(*r, 7, 8, 9, "t", "x") for r in rows], schema).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in good + bad], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in good + bad], "doc_id long, quality int, toxic int").write.parquet(
+        f"{path}/labels.parquet"
+    )
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 

@@ -10,7 +10,27 @@ from barloom.llm import bpe, token_arrow
 
 from . import cases
 
-ALPHABET = st.sampled_from([*"abcLS '.,!9\n\t\x0b\x1c\x85 ", "é", "É", "é", "Σ", "σ", "İ", "ß", "中", "🙂", "²", "Ⅷ", "<|endoftext|>", "<|startoftext|>", "<|", "'ll", "'RE"])
+ALPHABET = st.sampled_from(
+    [
+        *"abcLS '.,!9\n\t\x0b\x1c\x85 ",
+        "é",
+        "É",
+        "é",
+        "Σ",
+        "σ",
+        "İ",
+        "ß",
+        "中",
+        "🙂",
+        "²",
+        "Ⅷ",
+        "<|endoftext|>",
+        "<|startoftext|>",
+        "<|",
+        "'ll",
+        "'RE",
+    ]
+)
 TEXTS = st.lists(st.lists(ALPHABET, max_size=14).map("".join), max_size=6)
 
 
@@ -65,7 +85,14 @@ def test_bpe_documents(spark):
     want = []
     for r in docs.collect():
         ids = WORD.encode(r.text or "", add_special_tokens=False).ids
-        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(WORD.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        want.append(
+            (
+                r.doc_id,
+                len(ids),
+                hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                hashlib.sha256(WORD.decode(ids, skip_special_tokens=False).encode()).hexdigest(),
+            )
+        )
     got = bpe.encode_documents(docs, ids=True).collect()
     assert sorted(map(str, want)) == sorted(str(tuple(r)[:4]) for r in got)
     assert all(len(r.ids) == r.n_tokens for r in got)
@@ -78,10 +105,14 @@ def test_very_long_texts(spark):
     assert len(long) > 2 << 20
     docs = spark.createDataFrame([cases.row(1, long), cases.row(2, "x" * 30_000)], cases.SCHEMA)
     want = {r.doc_id: WORD.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
-    assert {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(docs).collect()} == {i: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for i, x in want.items()}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(docs).collect()} == {
+        i: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for i, x in want.items()
+    }
     files = token_arrow.write_tokens(docs, cases.scratch(spark))
     whole = {r.doc_id: np.array([*BYTE.encode(r.text, add_special_tokens=False).ids, token_arrow.END], "<u4") for r in docs.collect()}
-    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_arrow.read_tokens(spark, files).collect()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in whole.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_arrow.read_tokens(spark, files).collect()} == {
+        i: (len(x), zlib.crc32(x.tobytes())) for i, x in whole.items()
+    }
 
 
 def test_token_files(spark):

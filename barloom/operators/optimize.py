@@ -92,17 +92,15 @@ def walk_forward(
     spans = windows(bars, train, test, step, by)
     day = F.to_date("ts")
     placed = bars.join(spans, list(by)).filter((day >= F.col("train_from")) & (day < F.col("test_to")))
-    keys = (*by, "window_id")
-    early, late = (
-        placed.filter(c).drop("train_from", "test_from", "test_to") for c in (day < F.col("test_from"), day >= F.col("test_from"))
-    )
-    chosen = best(search(early, grid, signals, terms, keys), metric, True, keys).select(
-        *keys, "param_id", F.col(metric).alias("train_metric")
-    )
+    # a window's days are part of its key, so nothing need be joined to it again
+    keys = (*by, "window_id", "train_from", "test_from", "test_to")
+    early, late = (placed.filter(c) for c in (day < F.col("test_from"), day >= F.col("test_from")))
+    found = best(search(early, grid, signals, terms, keys), metric, True, keys)
+    chosen = found.select(*keys, "param_id", F.col(metric).alias("train_metric"))
     own = late.join(chosen.select(*keys, "param_id"), list(keys)).join(F.broadcast(grid), "param_id")
     both = (*keys, "param_id")
     tested = metrics(signals(own, both), terms, both).select(*both, F.col(metric).alias("test_metric"))
-    out = chosen.join(tested, list(both), "left").join(spans, list(keys))
+    out = chosen.join(tested, list(both), "left")
     return out.withColumn("decay", F.col("test_metric") - F.col("train_metric"))
 
 

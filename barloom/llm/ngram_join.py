@@ -50,6 +50,8 @@ _CHUNK = 2_000_000
 #: entries before its own that a row carries, and longs of its bit map
 BEFORE = 3
 MAP = 8
+#: an index entry of more rows, and of a thousandth of all, meets in parts
+PART_ROWS = 1 << 16
 #: hubs of an index entry in the rounds after the first; then four times as many each
 HUBS = 4
 
@@ -370,8 +372,11 @@ def ngram_components(
     prefixes = counted.union(sizes).repartition("node").sortWithinPartitions("node", "level").mapInArrow(
         lambda batches: _index(batches, percent), ENTRIES
     )
-    dealt = prefixes.repartition("entry").sortWithinPartitions("entry", "lead", "n", "node")
-    groups = scratch.keep(dealt.mapInArrow(lambda batches: _useful(batches, percent), GROUPS), "index")
+    dealt = _dealt(scratch.keep(prefixes, "entries")).sortWithinPartitions("key", "lead", "n", "node")
+    groups = dealt.mapInArrow(lambda batches: _useful(batches, percent), GROUPS)
+    # places of an entry's parts interleave
+    place = (F.col("place") - 1) * F.col("salts") + F.col("salt") + 1
+    groups = scratch.keep(groups.withColumn("place", place).drop("key", "salt", "salts"), "index")
     sets = _indexed_sets(linked, rows, groups, scratch, shingle)
 
     # each node with the hub that it shares most entries with
@@ -457,58 +462,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
-GROUPS = ENTRIES + ", place int, hub long"
+DEALT = ENTRIES.replace("entry", "key") + ", entry long, salt int, salts int"
+GROUPS = DEALT + ", place int, hub long"
 #: an entry of more nodes is taken row by row
 _AT_ONCE = 2048
 
 
+def _dealt(entries: DataFrame) -> DataFrame:
+    """The entries' rows dealt by ``key``: their entry, or one of its parts (``salt`` of ``salts``) where it is so long
+    that it would keep one task busy; at most a thousand entries are."""
+    least = max(PART_ROWS, entries.count() // 1000)
+    long = entries.groupBy("entry").agg(F.count("*").alias("_n")).filter(F.col("_n") > least)
+    parts = F.coalesce(F.ceil(F.col("_n") / least), F.lit(1)).cast("int")
+    rows = entries.join(F.broadcast(long), "entry", "left").withColumn("salts", parts).drop("_n")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    rows = rows.withColumn("key", F.when(F.col("salts") > 1, F.xxhash64("entry", "salt")).otherwise(F.col("entry")))
+    return rows.select([x.split()[0] for x in DEALT.split(", ")]).repartition("key")
+
+
 def _useful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a partition sorted by entry and lead that may link with another one of their entry.
+    """The rows of a partition sorted by key and lead that may link with another one of their entry.
 
-    ``place`` counts an entry's rows from 1; ``hub`` is the first row before that the node may link with (of a very
-    long entry its first row or none). Of such an entry only its first row is held.
+    ``place`` counts a key's rows from 1; ``hub`` is the first row before that the node may link with (of a very long
+    entry, and of an entry's part, its first row or none). Of such a key only its first row is held, and all rows stay.
     """
     waiting: pa.Table | None = None
-    long_entry, long_first, long_place = None, None, 0
+    long_key, long_first, long_place = None, None, 0
+
+    def taken(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nonlocal long_key, long_first, long_place
+        key, node, n, lead = columns[:4]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(begin, len(key)))
+        whole = (columns[-1][begin] == 1) & (size <= _AT_ONCE)
+        if long_key is not None:
+            whole &= key[begin] != long_key
+        for kind in np.unique(size[whole]):
+            at = begin[whole & (size == kind)]
+            if kind == 1:
+                continue
+            step = max(1, (1 << 20) // (kind * kind))
+            for i in range(0, len(at), step):
+                yield _checked(columns, at[i : i + step, None] + np.arange(kind), percent)
+        for a, k in zip(begin[~whole].tolist(), size[~whole].tolist(), strict=True):
+            if key[a] != long_key:
+                long_key, long_first, long_place = key[a], (node[a], n[a], lead[a]), 0
+            r = np.arange(a, a + k)
+            ok = may_link(n[r], lead[r], long_first[1], long_first[2], percent) & (node[r] != long_first[0])
+            yield _rows(columns, r, long_place + 1 + np.arange(k), np.full(k, long_first[0]), ok)
+            long_place += k
+
     for b in batches:
         t = pa.Table.from_batches([b])
         t = pa.concat_tables([waiting, t]).combine_chunks() if waiting is not None else t
         if not t.num_rows:
             continue
         columns = [c.to_numpy() for c in t.columns]
-        entry = columns[0]
-        last = int(np.searchsorted(entry, entry[-1], "left"))
-        if len(entry) - last > _AT_ONCE or (long_entry is not None and entry[-1] == long_entry):
-            last = len(entry)  # the entry that may go on is a long one: its rows go now
+        key = columns[0]
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if len(key) - last > _AT_ONCE or (long_key is not None and key[-1] == long_key):
+            last = len(key)  # the key that may go on is a long one: its rows go now
         waiting = t.slice(last)
-        columns = [c[:last] for c in columns]
-        entry, node, n, lead = columns[:4]
-        if not len(entry):
-            continue
-        begin = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-        size = np.diff(np.append(begin, len(entry)))
-        for kind in np.unique(size):
-            at = begin[size == kind]
-            if long_entry is not None:
-                at = at[entry[at] != long_entry]
-            if kind == 1 or not len(at) or kind > _AT_ONCE:
-                continue
-            step = max(1, (1 << 20) // (kind * kind))
-            for i in range(0, len(at), step):
-                rows = at[i : i + step, None] + np.arange(kind)
-                yield _checked(columns, rows, percent)
-        for a, k in zip(begin.tolist(), size.tolist(), strict=True):
-            if entry[a] == long_entry or k > _AT_ONCE:
-                if entry[a] != long_entry:
-                    long_entry, long_first, long_place = entry[a], (node[a], n[a], lead[a]), 0
-                r = np.arange(a, a + k)
-                ok = may_link(n[r], lead[r], long_first[1], long_first[2], percent) & (node[r] != long_first[0])
-                yield _rows(columns, r, long_place + 1 + np.arange(k), np.full(k, long_first[0]), ok)
-                long_place += k
+        if last:
+            yield from taken([c[:last] for c in columns])
     if waiting is not None and waiting.num_rows:
-        columns = [c.to_numpy() for c in waiting.columns]
-        if len(columns[0]) > 1:
-            yield _checked(columns, np.arange(len(columns[0]))[None, :], percent)
+        yield from taken([c.to_numpy() for c in waiting.columns])
 
 
 def _rows(columns: list[np.ndarray], r: np.ndarray, place: np.ndarray, hub: np.ndarray, has: np.ndarray) -> pa.RecordBatch:

@@ -92,10 +92,14 @@ ORACLE = {
     """,
     "op2_ngram_jaccard_join": r"""
         WITH RECURSIVE
-        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g, len(ws) < 5 AS short FROM w),
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(CASE
+          WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g, len(ws) < 5 AS short FROM w),
         n AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_shingles FROM s GROUP BY 1),
-        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.short = b.short AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.short = b.short AND a.doc_id < b.doc_id
+          GROUP BY 1, 2),
         l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n_shingles + q.n_shingles - common)),
         e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
         c(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.r = e.x)
@@ -103,10 +107,13 @@ ORACLE = {
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM c GROUP BY 1) m USING (doc_id)
     """,
     "op7_chat_tree": r"""
-        WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-                   UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text,
+          '') AS text FROM conversations
+                   UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL
+                     SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
              e AS (SELECT *, length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) AS n_text,
-                          length(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), chr(92) || 'n')) AS n_role FROM t)
+                          length(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10),
+                            chr(92) || 'n')) AS n_role FROM t)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -115,15 +122,21 @@ ORACLE = {
         FROM e GROUP BY conv_id, alone
     """,
     "op9_decontamination": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-             i AS (SELECT item_id, least(13, len(ws)) AS m, unnest(list_distinct(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda k: array_to_string(ws[k:k + least(13, len(ws)) - 1], ' ')))) AS g FROM b WHERE len(ws) > 0),
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+             i AS (SELECT item_id, least(13, len(ws)) AS m, unnest(list_distinct(list_transform(range(1, len(ws) - least(13, len(ws)) + 2),
+               lambda k: array_to_string(ws[k:k + least(13, len(ws)) - 1], ' ')))) AS g FROM b WHERE len(ws) > 0),
              m AS (SELECT DISTINCT m FROM i),
              p AS (SELECT doc_id, m, unnest(range(1, len(ws) - m + 2)) AS k, ws FROM d, m),
-             h AS (SELECT doc_id, p.m, k, item_id FROM (SELECT doc_id, m, k, array_to_string(ws[k:k + m - 1], ' ') AS g FROM p) p JOIN i ON i.g = p.g AND i.m = p.m),
+             h AS (SELECT doc_id, p.m, k, item_id FROM (SELECT doc_id, m, k, array_to_string(ws[k:k + m - 1], ' ') AS g FROM p) p
+               JOIN i ON i.g = p.g AND i.m = p.m),
              c AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM (SELECT doc_id, k, unnest(range(0, m)) AS j FROM h) GROUP BY 1),
-             t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
-        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+             t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items,
+          '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
     """,

@@ -45,15 +45,41 @@ CONTEXTS = [
     "Имя:",
 ]
 GIVEN = {
-    "m_l": ["Albert", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Bernard", "Carlos", "Christian", "Charles", "Daniel", "David", "Diego", "Edward", "Etienne", "Fernando", "Francisco", "Frederic", "George", "Gerhard", "Guillaume", "Heinrich", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "Johannes", "John", "Jorge", "Joseph", "Juan", "Klaus", "Karl", "Laurent", "Leonard", "Louis", "Luis", "Manuel", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Pablo", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Rafael", "Richard", "Robert", "Stefan", "Thomas", "Vincent", "William", "Wolfgang"],
-    "f_l": ["Adele", "Alexandra", "Alice", "Amelie", "Andrea", "Angela", "Anna", "Barbara", "Beatrice", "Camille", "Carmen", "Caroline", "Catherine", "Charlotte", "Christine", "Claudia", "Dorothea", "Eleanor", "Elena", "Elizabeth", "Emilia", "Emily", "Emma", "Florence", "Francesca", "Gabriela", "Helene", "Isabel", "Jacqueline", "Jane", "Jennifer", "Johanna", "Julia", "Juliette", "Katharina", "Leonora", "Laura", "Linda", "Lisa", "Louise", "Lucia", "Margaret", "Maria", "Marie", "Marta", "Mary", "Mathilde", "Patricia", "Rosalind", "Sabine", "Sarah", "Sofia", "Sophie", "Stephanie", "Susan", "Theresa", "Victoria"],
-    "m_c": ["Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Дмитрий", "Иван", "Константин", "Михаил", "Николай", "Павел", "Сергей", "Юрий"],
-    "f_c": ["Александра", "Анастасия", "Вера", "Галина", "Дарья", "Екатерина", "Елена", "Ирина", "Людмила", "Мария", "Надежда", "Наталья", "Ольга", "Татьяна"],
+    "m_l": [
+        "Albert", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Bernard", "Carlos", "Christian", "Charles", "Daniel",
+        "David", "Diego", "Edward", "Etienne", "Fernando", "Francisco", "Frederic", "George", "Gerhard", "Guillaume", "Heinrich",
+        "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "Johannes", "John", "Jorge", "Joseph", "Juan", "Klaus", "Karl",
+        "Laurent", "Leonard", "Louis", "Luis", "Manuel", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Pablo",
+        "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Rafael", "Richard", "Robert", "Stefan", "Thomas", "Vincent",
+        "William", "Wolfgang",
+    ],
+    "f_l": [
+        "Adele", "Alexandra", "Alice", "Amelie", "Andrea", "Angela", "Anna", "Barbara", "Beatrice", "Camille", "Carmen",
+        "Caroline", "Catherine", "Charlotte", "Christine", "Claudia", "Dorothea", "Eleanor", "Elena", "Elizabeth", "Emilia",
+        "Emily", "Emma", "Florence", "Francesca", "Gabriela", "Helene", "Isabel", "Jacqueline", "Jane", "Jennifer", "Johanna",
+        "Julia", "Juliette", "Katharina", "Leonora", "Laura", "Linda", "Lisa", "Louise", "Lucia", "Margaret", "Maria", "Marie",
+        "Marta", "Mary", "Mathilde", "Patricia", "Rosalind", "Sabine", "Sarah", "Sofia", "Sophie", "Stephanie", "Susan",
+        "Theresa", "Victoria",
+    ],
+    "m_c": [
+        "Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Дмитрий", "Иван", "Константин", "Михаил", "Николай",
+        "Павел", "Сергей", "Юрий",
+    ],
+    "f_c": [
+        "Александра", "Анастасия", "Вера", "Галина", "Дарья", "Екатерина", "Елена", "Ирина", "Людмила", "Мария", "Надежда",
+        "Наталья", "Ольга", "Татьяна",
+    ],
 }
 GIVEN |= {"n_l": GIVEN["m_l"] + GIVEN["f_l"], "n_c": GIVEN["m_c"] + GIVEN["f_c"]}
 SYLLABLES = {
-    "l": ["bar", "ben", "cal", "dor", "el", "fen", "gar", "hol", "ist", "kar", "lan", "mar", "nor", "ol", "per", "ran", "sel", "tor", "ul", "ven", "win", "zel", "ber", "den", "gen", "ler", "man", "ner", "ser", "ten", "ver", "wal"],
-    "c": ["ба", "бе", "во", "га", "де", "жу", "за", "ка", "ко", "ла", "ле", "ма", "ми", "на", "но", "па", "по", "ра", "ро", "са", "со", "та", "то", "фе"],
+    "l": [
+        "bar", "ben", "cal", "dor", "el", "fen", "gar", "hol", "ist", "kar", "lan", "mar", "nor", "ol", "per", "ran", "sel",
+        "tor", "ul", "ven", "win", "zel", "ber", "den", "gen", "ler", "man", "ner", "ser", "ten", "ver", "wal",
+    ],
+    "c": [
+        "ба", "бе", "во", "га", "де", "жу", "за", "ка", "ко", "ла", "ле", "ма", "ми", "на", "но", "па", "по", "ра", "ро", "са",
+        "со", "та", "то", "фе",
+    ],
 }
 
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
@@ -93,7 +119,8 @@ SSN = r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 CARD = r"(?=[2-6])(?<![\w.\-])(?:(?:222[1-9]|22[3-9]\d|2[3-6]\d{2}|27[01]\d|2720)(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7})(?!\w)"
 # lengths of account numbers by country; others are taken up to the last group
 IBAN_LENGTHS = {
-    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())

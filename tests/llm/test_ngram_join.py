@@ -142,9 +142,9 @@ def test_long_entries_go_row_by_row(monkeypatch):
     monkeypatch.setattr(J, "_AT_ONCE", 4)
     entry = np.array([1, 2, 2, 3, 3, 3, 3, 3, 3, 3, 4, 4, 5])
     node, n, lead = np.arange(13) + 100, np.full(13, 50, np.int32), np.zeros(13, np.int32)
-    rows = pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (entry, node, n, lead, node, node, node)], [x.split()[0] for x in J.ENTRIES.split(", ")]
-    )
+    one = np.ones(13, np.int32)
+    columns = [entry, node, n, lead, *[node] * J.BEFORE, entry, one - 1, one]
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in J.DEALT.split(", ")])
     for size in (1, 2, 3, 5, 13):
         out = [r for b in J._useful((rows.slice(i, size) for i in range(0, 13, size)), 80) for r in b.to_pylist()]
         assert sorted((r["entry"], r["node"]) for r in out if r["entry"] != 3) == [(2, 101), (2, 102), (4, 110), (4, 111)]
@@ -152,6 +152,19 @@ def test_long_entries_go_row_by_row(monkeypatch):
         assert {r["hub"] for r in out if r["entry"] == 3} <= {None, 103}
 
 
+def test_entries_in_parts(spark, monkeypatch):
+    """Every entry of more than three rows meets in parts: all links are found, and no part loses a row."""
+    monkeypatch.setattr(J, "PART_ROWS", 3)
+    test_chains_and_one_large_family(spark)
+    rows = [(e, node, 50, 0, *[node] * J.BEFORE) for e, k in ((1, 2), (2, 3), (3, 40)) for node in range(k)]
+    dealt = J._dealt(spark.createDataFrame(rows, J.ENTRIES))
+    got = [(r.entry, r.node, r.salts, r.key, r.salt) for r in dealt.collect()]
+    assert sorted((e, node) for e, node, *_ in got) == [(e, node) for e, node, *_ in rows]
+    assert {e: s for e, _, s, _, _ in got} == {1: 1, 2: 1, 3: 14} and len({k for *_, k, _ in got}) > 10
+    useful = dealt.sortWithinPartitions("key", "lead", "n", "node").mapInArrow(lambda b: J._useful(b, 80), J.GROUPS).collect()
+    assert sorted(r.node for r in useful if r.entry == 3) == list(range(40))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rnd = random.Random(seed)

@@ -118,9 +118,11 @@ def shards(df: DataFrame, dims: list[str], order: list[str], scratch: Scratch, n
     take neighbouring slots.
     """
     df = df.drop("curve", "shard", "slot")
-    rows = scratch.keep(
-        df.withColumn("curve", curve_index(quantised(df, dims, bits), bits)).withColumn("_own", F.xxhash64(order[0])), "cells"
-    )
+    # the rows in one column, so that no name of theirs meets one from here
+    packed = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(packed, curve_index(quantised(df, dims, bits), bits).alias("curve"), F.xxhash64(order[0]).alias("_own"))
+    rows = scratch.keep(rows, "cells")
+    keys = [F.col("row")[c] for c in order]
     total = rows.count()
     # at most a thousand rows
     hot = (
@@ -132,7 +134,7 @@ def shards(df: DataFrame, dims: list[str], order: list[str], scratch: Scratch, n
     rows = rows.join(F.broadcast(hot), "_own", "left")
     parts = max(PARTS, total // PART_ROWS)
     rows = rows.withColumns({"_part": F.pmod("_own", F.lit(parts)), "_own": F.when(F.col("_hot"), F.col("_own"))}).withColumn(
-        "_sub", F.when(F.col("_hot"), F.pmod(F.xxhash64(*order), F.lit(parts)))
+        "_sub", F.when(F.col("_hot"), F.pmod(F.xxhash64(*keys), F.lit(parts)))
     )
     place = ["curve", "_part", "_own", "_sub"]
     counts = scratch.keep(rows.groupBy(*place).agg(F.count("*").alias("n")), "counts")
@@ -147,7 +149,7 @@ def shards(df: DataFrame, dims: list[str], order: list[str], scratch: Scratch, n
         F.broadcast(ahead.select("_block", "ahead")), "_block"
     )
     offsets = offsets.select(*[F.col(c).alias(f"_at{c}") for c in place], (F.col("within") + F.col("ahead")).alias("_first"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy(*order)))
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy(*keys)))
     same = F.lit(True)
     for c in place:
         same = same & F.col(c).eqNullSafe(F.col(f"_at{c}"))
@@ -156,7 +158,7 @@ def shards(df: DataFrame, dims: list[str], order: list[str], scratch: Scratch, n
         "shard", F.expr(f"cast(_rank * {n} div {max(1, total)} as int)")
     )
     slot = F.col("_rank") - F.expr(f"(cast(shard as bigint) * {total} + {n - 1}) div {n}")
-    return placed.withColumn("slot", slot.cast("int")).select(*df.columns, "curve", "shard", "slot")
+    return placed.withColumn("slot", slot.cast("int")).select("row.*", "curve", "shard", "slot")
 
 
 def described(docs: DataFrame) -> DataFrame:

@@ -283,6 +283,7 @@ def test_shards_can_be_skipped(spark):
 def test_a_hot_text_is_numbered_in_parts(spark, monkeypatch):
     rows = [cases.row(i, "same", "host") for i in range(1500)] + [cases.row(5000 + i, f"other {i}", f"s{i % 5}") for i in range(500)]
     df = spark.createDataFrame(rows, cases.SCHEMA).withColumnsRenamed({"path": "curve", "n": "slot", "node": "shard"})
+    df = df.withColumns({c: F.lit(1) for c in ("_own", "_hot", "_part", "_sub", "_n", "_rank", "_first", "row", "n_")})
     out = H.shards(H.described(df), ["source", "lang"], ["text_crc32", "doc_id"], cases.scratch(spark), 4)
     assert sorted(out.columns) == sorted([*H.described(df).columns])
     got = out.collect()

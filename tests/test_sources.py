@@ -248,3 +248,27 @@ def test_results_and_latest_candles(spark, tmp_path):
     assert X.latest("binance", "BTCUSDT", "60", lambda p: "[]", now) == []
     csv = "start,open,high,low,close,volume\n1672531200000,9,9,9,1.5,10\n1672534800000,9,9,9,2.5,10\n"
     assert [r[4] for r in X.latest("drift", "SOL-PERP", "60", lambda p: csv, now)] == [2.5]
+
+
+def test_requests_are_tried_again(monkeypatch):
+    import io
+    import urllib.error
+
+    answers = [urllib.error.HTTPError("u", 503, "busy", {}, None), OSError("reset"), io.BytesIO(b"[]")]
+
+    def opened(url, timeout):
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    monkeypatch.setattr(X.urllib.request, "urlopen", opened)
+    monkeypatch.setattr(X.time, "sleep", lambda s: None)
+    page = X.Page("binance", "BTCUSDT", "60", 0, 3600)
+    assert X.Http("binance")(page) == "[]"
+    answers[:] = [urllib.error.HTTPError("u", 404, "none", {}, None)]
+    with pytest.raises(X.ExchangeError):
+        X.Http("binance")(page)
+    answers[:] = [urllib.error.HTTPError("u", 429, "wait", {}, None)] * 3
+    with pytest.raises(X.RateLimitError):
+        X.Http("binance")(page)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -391,10 +391,11 @@ def ngram_components(
         each = named.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("most"))
         still = each.filter((F.col("lo") != F.col("hi")) & (F.col("most") > done + 1)).select("entry")
         named = named.join(still, "entry", "left_semi")
-        apart = scratch.keep(
-            named if done else named.join(sets.select("node", *[F.col("map")[k].alias(f"w{k}") for k in range(MAP)]), "node"), "apart"
-        )
-        if apart.isEmpty():
+        if not done:
+            named = named.join(sets.select("node", *[F.col("map")[k].alias(f"w{k}") for k in range(MAP)]), "node")
+        seen = Observation()
+        apart = scratch.keep(named.observe(seen, F.count(F.lit(1)).alias("n")), "apart")
+        if not seen.get["n"]:
             break
         more = _verified(_across(apart, done, done + hubs, percent), sets, percent)
         # components of the components

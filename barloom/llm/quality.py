@@ -224,6 +224,9 @@ def train(
     bounds = np.concatenate([[0], np.cumsum(numbers.value_lengths().to_numpy())])
     machine = fit(bounds, numbers.flatten().to_numpy(), values.flatten().to_numpy(), column("y").to_numpy().astype(float), size)
     machine.metadata = metadata
+    # the driver goes on to other stages
+    del table, column, numbers, values, bounds
+    pa.default_memory_pool().release_unused()
     return machine
 
 

@@ -36,14 +36,22 @@ def sliding(ticks: DataFrame, width: str, slide: str, late: str, by=BY) -> DataF
 def joined(left: DataFrame, right: DataFrame, within: str, late: str, by=BY) -> DataFrame:
     """Ticks of two streams (by, ts, price): each left one with the right ones up to ``within`` behind it.
 
-    Both sides are kept as long as the watermarks allow a partner.
+    Both sides are kept as long as the watermarks allow a partner. They meet by spans of time as long as ``within``: a left
+    tick in each span that it reaches, a right one in its own, so a pair meets once and a tick doesn't meet its whole series.
     """
-    a = left.withWatermark("ts", late).select(*by, "ts", "price")
-    b = right.withWatermark("ts", late).select(*[F.col(c).alias(f"right_{c}") for c in (*by, "ts", "price")])
-    same = (F.col("right_ts") >= F.col("ts")) & (F.col("right_ts") <= F.col("ts") + F.expr(f"interval {within}"))
-    for c in by:
+    reach = F.expr(f"interval {within}")
+    # about as long as the reach; it says how many ticks meet, not which
+    long = F.greatest(F.abs(F.unix_micros(F.timestamp_seconds(F.lit(0)) + reach)), F.lit(1))
+
+    def span(t):
+        return F.call_function("div", F.unix_micros(t), long)
+
+    a = left.withWatermark("ts", late).select(*by, "ts", "price", F.explode(F.sequence(span(F.col("ts")), span(F.col("ts") + reach))).alias("_span"))
+    b = right.withWatermark("ts", late).select(*[F.col(c).alias(f"right_{c}") for c in (*by, "ts", "price")], span(F.col("ts")).alias("right__span"))
+    same = (F.col("right_ts") >= F.col("ts")) & (F.col("right_ts") <= F.col("ts") + reach)
+    for c in (*by, "_span"):
         same = same & (F.col(c) == F.col(f"right_{c}"))
-    return a.join(b, same).drop(*[f"right_{c}" for c in by])
+    return a.join(b, same).drop("_span", *[f"right_{c}" for c in (*by, "_span")])
 
 
 def without_repeats(candles: DataFrame, late: str, ts: str = "timestamp", by=BY) -> DataFrame:

@@ -144,6 +144,48 @@ def test_stream_equals_batch(spark, tmp_path):
     assert found and found <= batch and len(found) >= len(batch) - 2
 
 
+def joined(spark, folder, lefts, rights, within, files=1, seconds=120):
+    """The streams' joined rows; the query must end in time."""
+    sides = []
+    for name, df in (("left", lefts), ("right", rights)):
+        df.repartition(files).write.parquet(f"{folder}/{name}")
+        sides.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}"))
+    q = (
+        L.joined(*sides, within, "3000 days").writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/c")
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        assert q.awaitTermination(seconds)
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{folder}/out").select("market", "ts", "price", "right_ts", "right_price")
+
+
+@pytest.mark.parametrize("within", ["30 minutes", "0 seconds", "1 day", "1 month", "-30 minutes"])
+def test_joined_streams(spark, tmp_path, within):
+    """Ticks on the edges of the reach, and alike ones, in several batches."""
+    at = [dt.datetime(2022, 2, 1), DAY, dt.datetime(2023, 1, 31)]
+    off = [-86400, -1801, -1800, -1, 0, 0, 1, 1799, 1800, 1801, 3600, 86400, 31 * 86400]
+    rows = [(m, t + dt.timedelta(seconds=s), float(i)) for m in "ab" for t in at for i, s in enumerate(off)] + [("a", None, 0.0)]
+    df = spark.createDataFrame(rows, "market string, ts timestamp, price double")
+    got = joined(spark, tmp_path, df.filter("price % 2 = 0"), df, within, files=3)
+    df.createOrReplaceTempView("ticks_joined")
+    right = spark.sql(f"""SELECT a.market, a.ts, a.price, b.ts right_ts, b.price right_price FROM ticks_joined a JOIN ticks_joined b
+        ON a.market = b.market AND b.ts BETWEEN a.ts AND a.ts + INTERVAL {within} WHERE a.price % 2 = 0""")
+    assert got.exceptAll(right).count() == right.exceptAll(got).count() == 0
+    assert (right.count() > 0) == (within[0] != "-")
+
+
+def test_joined_ticks_do_not_meet_a_whole_series(spark, tmp_path):
+    """In a long series of few partners time goes with the pairs, not with the square of the series."""
+    df = spark.range(60_000).select(F.lit("m").alias("market"), F.timestamp_seconds((F.col("id") + 1) * 60).alias("ts"), F.col("id").cast("double").alias("price"))
+    got = joined(spark, tmp_path, df.filter("price % 2 = 0"), df, "1 minute")
+    assert got.count() == 60_000 and got.filter("right_price - price > 1").isEmpty()
+
+
 def test_live_store(spark, tmp_path):
     candles(spark, 5).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(candles(spark).schema).parquet(f"{tmp_path}/in")
